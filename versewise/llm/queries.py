@@ -46,5 +46,17 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op7_token_store, op9_warc_bundles)}
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(_read(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.decontaminate import decontaminate
+
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10).drop("text_key")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_ngram_join, op7_token_store, op9_warc_bundles, op10_decontaminate)}
 SQL: dict[str, str] = {}
