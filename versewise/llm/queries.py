@@ -58,5 +58,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10).drop("text_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_ngram_join, op7_token_store, op9_warc_bundles, op10_decontaminate)}
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.order_minhash import as_hex, edited_neighbours, likeness
+
+    rows = edited_neighbours(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_ngram_join, op6_order_minhash, op7_token_store, op9_warc_bundles, op10_decontaminate)}
 SQL: dict[str, str] = {}
