@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.llm.ranges import range_bounds, range_of
+
 #: Tokens are runs of up to eight characters that are not white space.
 TOKEN = r"[^\s]{1,8}"
 BINS, PICKED, K = 32, 2, 3
@@ -71,23 +73,6 @@ def as_hex(fingerprint: Column) -> Column:
     return F.concat_ws("", F.transform(fingerprint, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("." * 16))))
 
 
-def _bounds(docs: DataFrame, id_col: str, block_bytes: int) -> list[int]:
-    """Bounds of id ranges of about ``block_bytes`` of text each."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(id_col).alias("n")).first()
-    n = max(1, min(1 << 16, (total.b or 0) // block_bytes, total.n or 1))
-    bounds = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n).alias("p")).first().p if n > 1 else []
-    return sorted(set(bounds or []))
-
-
-def _block_of(column: Column, bounds: list, fan: int = 256) -> Column:
-    """Number of bounds that are at most the value: among every ``fan``-th, then among the ones in between."""
-    if not bounds:
-        return F.lit(0)
-    every, tops = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(b) for b in bounds[fan - 1 :: fan]] or [F.lit(None).cast("long")])
-    whole = F.size(F.filter(tops, lambda b: b <= column)) * fan
-    return F.coalesce(whole + F.size(F.filter(F.slice(every, whole + 1, F.lit(fan)), lambda b: b <= column)), F.lit(0))
-
-
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """``(doc_id, n_chars, edited, fp, edited_fp, next_fp)`` of every document.
 
@@ -100,8 +85,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     holds a bound and an id a range.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = _bounds(rows, "doc_id", block_bytes)
-    block = _block_of(F.col("doc_id"), bounds)
+    bounds = range_bounds(rows, "doc_id", F.octet_length("text"), block_bytes)
+    block = range_of(F.col("doc_id"), bounds)
     # The first of each range in descending order: its largest id, or null for a range of null ids alone.
     tops = {r.b: r.top for r in rows.select("doc_id", block.alias("b")).groupBy("b").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops, reverse=True)
