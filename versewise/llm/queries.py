@@ -65,5 +65,12 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_ngram_join, op6_order_minhash, op7_token_store, op9_warc_bundles, op10_decontaminate)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.line_dedup import dedup_lines
+
+    rows = dedup_lines(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "n_exact", "n_near", F.concat_ws(",", F.transform("dropped", lambda x: x.cast("string"))).alias("dropped"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
 SQL: dict[str, str] = {}
