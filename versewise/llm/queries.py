@@ -46,6 +46,21 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.pii import KINDS, find_personal_data, span_digest
+
+    rows = find_personal_data(_read(spark, sf_dir, "documents"))
+    added = {k: F.transform(F.filter("added", _is_kind(k)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))) for k in KINDS}
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    base = span_digest(*[(k, F.col(k)) for k in KINDS])
+    every = span_digest(*[(k, F.concat(F.col(k), added[k])) for k in KINDS])
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+def _is_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewise.llm.ngram_join import ngram_jaccard_join
 
@@ -72,5 +87,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "n_exact", "n_near", F.concat_ws(",", F.transform("dropped", lambda x: x.cast("string"))).alias("dropped"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
 SQL: dict[str, str] = {}
