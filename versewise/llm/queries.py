@@ -14,6 +14,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.license_scan import scan_licenses
+
+    rows = scan_licenses(_read(spark, sf_dir, "documents"))
+    best = F.get("matches", F.lit(0))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return rows.select("doc_id", F.size("matches").alias("n_matches"), F.concat_ws(",", names).alias("licenses"), best["license"].alias("best_license"), best["dice"].alias("best_dice"), best["line"].alias("best_line"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewise.llm import language_id as li
 
@@ -87,5 +96,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "n_exact", "n_near", F.concat_ws(",", F.transform("dropped", lambda x: x.cast("string"))).alias("dropped"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
 SQL: dict[str, str] = {}

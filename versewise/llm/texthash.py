@@ -50,14 +50,19 @@ def blocks(column: pa.Array, max_bytes: int = 1 << 20):
         yield first, column.slice(first)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the n + 1 places at which the words of each text begin. Null has no words."""
+def word_hashes(texts: pa.Array, with_lines: bool = False) -> tuple:
+    """Hashes of all words, and the n + 1 places at which the words of each text begin. Null has no words.
+
+    With ``with_lines`` also the line number of each word over all texts (a text begins a line), whether its line
+    follows a line without words (or begins a text), and the first line number of each text.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)) + ((none, none.astype(bool), np.zeros(len(texts), np.int64)) if with_lines else ())
     inside = _IS_WORD[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
@@ -67,7 +72,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.concatenate(([np.uint64(0)], ((_LOWER[data] + np.uint64(1)) * _power("up", len(data))).cumsum(dtype=np.uint64)))
         hashes = (total[ends] - total[starts]) * _power("down", len(data))[starts]
-    return mix(hashes), np.searchsorted(starts, at)
+    words_at = np.searchsorted(starts, at)
+    if not with_lines:
+        return mix(hashes), words_at
+    breaks = np.zeros(len(data), np.int64)
+    breaks[data == 10] = 1
+    begins = np.zeros(len(data) + 1, np.int64)
+    np.add.at(begins, at[:-1], 1)
+    number = np.concatenate(([0], breaks.cumsum()[:-1])) + begins[:-1].cumsum()
+    lines = number[starts]
+    gap = np.diff(lines, prepend=-9) > 1
+    gap[words_at[:-1][words_at[:-1] < len(starts)]] = True
+    first = np.concatenate(([0], breaks.cumsum()))[at[:-1]] + begins.cumsum()[at[:-1]]
+    return mix(hashes), words_at, lines, gap, first
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
