@@ -59,6 +59,38 @@ def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionar
     return LanguageModel(tuple((lang, b"\n".join(by_lang[lang])[-dictionary_bytes:]) for lang in names), tuple(counts[lang] for lang in names))
 
 
+def _measurer(model: LanguageModel, sure_margin: float, min_margin: float, min_bytes: int):
+    """A function from a text of letters to (language, margin, rejected), for one Python worker."""
+    import zstandard as z
+
+    def coders(level: int) -> list:
+        out = []
+        for _, data in model.dictionaries:
+            d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            out.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return out
+
+    names, fast, slow = [lang for lang, _ in model.dictionaries], coders(model.fast_level), coders(model.slow_level)
+
+    def measure(data: bytes, by: list) -> tuple[int, float]:
+        sizes = [len(c.compress(data)) for c in by]
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], -model.counts[i]))
+        rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
+        return best, 1.0 if rest is None else (rest - sizes[best]) / rest
+
+    def judge(text: str | None) -> tuple[str, float, bool]:
+        if not names or not text or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, True
+        data = text.encode("utf-8", "replace")
+        best, margin = measure(data, fast)
+        if margin < sure_margin:
+            best, margin = measure(data, slow)
+        return names[best], margin, len(data) >= min_bytes and margin < min_margin
+
+    return judge
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float = 0.0, sure_margin: float = 0.03, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, rejected)`` of every whole text, from the text alone.
 
@@ -72,43 +104,25 @@ def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float =
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard as z
+        judge = _measurer(model, sure_margin, min_margin, min_bytes)
+        for batch in batches:
+            langs, scores, rejected = zip(*(judge(t.as_py()) for t in batch.column(1))) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [id_col, "lang_pred", "score", "rejected"])
 
-        def coders(level: int) -> list:
-            out = []
-            for _, data in model.dictionaries:
-                d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                out.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            return out
+    return docs.select(id_col, letters_only(F.col(text_col)).alias("text")).mapInArrow(run, schema)
 
-        names, fast, slow = [lang for lang, _ in model.dictionaries], coders(model.fast_level), coders(model.slow_level)
 
-        def measure(data: bytes, by: list) -> tuple[int, float]:
-            sizes = [len(c.compress(data)) for c in by]
-            best = min(range(len(sizes)), key=lambda i: (sizes[i], -model.counts[i]))
-            rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
-            return best, 1.0 if rest is None else (rest - sizes[best]) / rest
+def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGIN, sure_margin: float = 0.03, min_bytes: int = MIN_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``predict_languages`` does not reject, with all their columns, in one pass."""
+    names = docs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _measurer(model, sure_margin, min_margin, min_bytes)
         for batch in batches:
-            langs, scores, rejected = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                if not names or not text or not any(map(str.isalpha, text)):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    rejected.append(True)
-                    continue
-                data = text.encode("utf-8", "replace")
-                best, margin = measure(data, fast)
-                if margin < sure_margin:
-                    best, margin = measure(data, slow)
-                langs.append(names[best])
-                scores.append(margin)
-                rejected.append(len(data) >= min_bytes and margin < min_margin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [id_col, "lang_pred", "score", "rejected"])
+            kept = pa.array([not judge(t.as_py())[2] for t in batch.column(batch.num_columns - 1)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(kept)
 
-    return docs.select(id_col, letters_only(F.col(text_col)).alias("text")).mapInArrow(run, schema)
+    return docs.select("*", letters_only(F.col(text_col)).alias("_letters")).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
