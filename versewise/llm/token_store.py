@@ -8,6 +8,7 @@ as they are, the high bits are written in unary, and a sampled select structure
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versewise.llm.scratch import cut, scratch_path
+from versewise.llm.ranges import range_bounds, range_of
+from versewise.llm.scratch import scratch_path
 
 MAGIC = b"VWTOK1\0\0"
 _HEAD = struct.Struct("<8sqQQQB7x")  # magic, first key, documents without a key, documents, ids, bytes of an id
@@ -131,99 +133,139 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Fixed value: the pre-tokenizer whose pieces are known here, namely runs of letters, single digits, runs of
+#: other marks and a few English endings after an apostrophe; white space separates and is dropped.
+_KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
-    """Encodes texts through a bounded cache of white-space-delimited pieces.
+    """Encodes texts through bounded caches of white-space-delimited words and of their letters.
 
     The tokenizer drops ASCII white space and never joins what stands on its two sides, so a text's ids are
-    those of its pieces in order. ``joins_words`` says for a tokenizer whether that holds.
+    those of its words in order. A word of Latin letters with marks after it is two pieces: its letters, lower-cased,
+    which go to the tokenizer's model straight, and its marks. All other words are encoded whole.
     """
 
-    def __init__(self, path: str, width: int, max_pieces: int = 600_000):
-        self.tokenizer, self.dtype, self.most = _tokenizer(path), np.dtype(f"<u{width}"), max_pieces
-        self.pieces: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        get = self.pieces.get
-        split = [t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.pieces] if split else []
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.pieces.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, coded))
-        return [b"".join(map(get, words)) for words in split]
+    def __init__(self, path: str, width: int, most: int = 500_000):
+        self.tokenizer, self.dtype, self.most = _tokenizer(path), np.dtype(f"<u{width}"), most
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        alphabet = [chr(c) for c in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytewise = str.maketrans({c: split(c)[0][0] for c in alphabet})
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        plain = _PLAIN_WORD.fullmatch(word)
+        if not plain:
+            return self._whole(word)
+        core, tail = plain[1].lower(), plain[2]
+        ids = self.letters.get(core)
+        if ids is None:
+            if len(self.letters) > self.most:
+                self.letters.clear()
+            ids = self.letters[core] = np.array([t.id for t in self.tokenizer.model.tokenize(core.translate(self.bytewise))], self.dtype).tobytes()
+        end = self.marks.get(tail)
+        if end is None:
+            if len(self.marks) > self.most:
+                self.marks = {"": b""}
+            end = self.marks[tail] = self._whole(tail)
+        return ids + end
+
+    def __call__(self, text: bytes) -> bytes:
+        if len(self.words) > self.most:
+            self.words.clear()
+        known, words = self.words, text.split()
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            for w in set(words):
+                if w not in known:
+                    known[w] = self.word(w)
+            return b"".join([known[w] for w in words])
+
+
+@lru_cache(maxsize=2)
+def _word_encoder(path: str, width: int) -> WordEncoder:
+    """One for each Python worker, so that its caches serve all of the worker's tasks."""
+    return WordEncoder(path, width)
 
 
 def tokenizer_facts(path: str) -> tuple[int, bool]:
-    """(bytes that an id needs, whether white space separates pieces that are encoded on their own)."""
+    """(bytes that an id needs, whether words may be encoded on their own as WordEncoder does)."""
     import json
 
     tok = _tokenizer(path)
     width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     spec = json.loads(tok.to_str())
-    splits = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"]
-    drops = any(p.get("behavior") == "Removed" and p.get("invert") and "\\s]" in str(p.get("pattern")) for p in splits)
-    return width, drops
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": _KNOWN_SPLIT} and steps[0].get("behavior") == "Removed"
+    return width, known and spec["model"].get("end_of_word_suffix") is not None
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(order_col, ids)``: the ids of every whole text and ``end_id`` after them, little-endian.
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
+    """The other columns and ``ids``: those of every whole text and ``end_id`` after them, little-endian.
 
     Null is the empty text. No special tokens are added.
     """
     width, by_piece = tokenizer_facts(tokenizer_path)
-    schema = f"`{order_col}` {dict(docs.dtypes)[order_col]}, ids binary"
+    kept = [c for c in docs.columns if c != text_col]
+    schema = docs.select(*kept).schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, dtype = WordEncoder(tokenizer_path, width), np.dtype(f"<u{width}")
+        encoder, dtype = _word_encoder(tokenizer_path, width), np.dtype(f"<u{width}")
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
+                texts = [t or b"" for t in part.column(len(kept)).to_pylist()]
                 if by_piece:
-                    coded = encoder(texts)
+                    coded = [encoder(t) for t in texts]
                 else:
                     coded = [np.array(e.ids, dtype).tobytes() for e in encoder.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c + end for c in coded], pa.binary())], [order_col, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([c + end for c in coded], pa.binary())], [*kept, "ids"])
 
-    return docs.select(order_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def write_token_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, order_col: str = "doc_id", text_col: str = "text", shard_ids: int = 4 << 20, n_ranges: int | None = None) -> str:
+def write_token_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, order_col: str = "doc_id", text_col: str = "text", range_bytes: int = 8 << 20) -> str:
     """Encode ``docs`` and write shard files in ascending ``order_col`` order; returns the folder.
 
-    Rows are range-partitioned on the order column (equal keys ordered by their ids), and each range writes
-    shards of at most ``shard_ids`` ids (a longer document has a shard of its own), so neither a task nor a
-    file grows with the input. File names sort in document order. An empty table writes no shard.
+    Rows are dealt to ranges of the order column of about ``range_bytes`` of text (null first; equal keys are
+    ordered by their ids), and each range is written as shards of about as many ids, so neither a task nor a file
+    grows with the input; a longer document has a shard of its own. File names sort in document order. An empty
+    table writes no shard.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     width, _ = tokenizer_facts(tokenizer_path)
-    n_ranges = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    coded = encode_texts(docs, tokenizer_path, end_id, order_col, text_col)
-    ordered = coded.repartitionByRange(n_ranges, order_col).sortWithinPartitions(F.col(order_col).asc_nulls_first(), "ids")
+    rows = docs.select(F.col(order_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    bounds = range_bounds(rows, "key", F.octet_length("text"), range_bytes)
+    coded = encode_texts(rows.select("key", range_of(F.col("key"), bounds).cast("int").alias("range"), "text"), tokenizer_path, end_id)
+    ordered = coded.repartition("range").sortWithinPartitions("range", F.col("key").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, keys, ids, lengths, done = TaskContext.get().partitionId(), [], [], [], []
+        keys, ids, lengths, done, at, part, total = [], [], [], [], None, 0, 0
 
         def flush() -> None:
-            name = f"shard-{task:08d}-{len(done):06d}.bin"
+            name = f"shard-{at:08d}-{part:06d}.bin"
             write_file(folder, name, pack_shard(keys, b"".join(ids), np.array(lengths, np.int64), width))
             done.append((name, len(lengths), sum(lengths)))
             for x in (keys, ids, lengths):
                 x.clear()
 
-        total = 0
         for batch in batches:
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, where, x in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(x) // width
-                if ids and total + n > shard_ids:
+                if ids and (where != at or total + n > range_bytes):
                     flush()
-                    total = 0
+                    part, total = (part + 1 if where == at else 0), 0
+                at = where
                 keys.append(key)
                 ids.append(x)
                 lengths.append(n)
