@@ -155,7 +155,7 @@ def xml_escape(text: Column) -> Column:
 def stamp(us: Column) -> Column:
     """Microseconds as trimmed decimal seconds: ``12.5s`` (H5)."""
     number = F.format_string("%d.%06d", F.floor(us / 1000000).cast("long"), (us % 1000000).cast("long"))
-    return F.concat(F.regexp_replace(F.regexp_replace(number, "0+$", ""), r"\.$", ""), F.lit("s"))
+    return F.when(us.isNotNull(), F.concat(F.regexp_replace(F.regexp_replace(number, "0+$", ""), r"\.$", ""), F.lit("s")))
 
 
 def fingerprint(*columns: Column) -> Column:

@@ -66,16 +66,16 @@ def frame_start_us(frame: Column, per_second: int = 60) -> Column:
 def smoothstep(x: Column) -> Column:
     """Cubic ease on [0, 1]."""
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    return t * t * (3 - 2 * t)
+    return F.when(x.isNotNull(), t * t * (3 - 2 * t))
 
 
 def critical(x: Column) -> Column:
     """Critically damped step response, 0 before the onset."""
     t = F.greatest(F.lit(0.0), x)
-    return 1 - (1 + t) * F.exp(-t)
+    return F.when(x.isNotNull(), 1 - (1 + t) * F.exp(-t))
 
 
 def quintic(x: Column) -> Column:
     """Fifth-order ease on [0, 1]."""
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    return t * t * t * (t * (t * 6 - 15) + 10)
+    return F.when(x.isNotNull(), t * t * t * (t * (t * 6 - 15) + 10))
