@@ -1,7 +1,7 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
 The k-mers of a text's tokens are numbered by their occurrence, so that equal k-mers count as often as they
-stand. A hash deals the numbered k-mers to ``bins`` bins; in each bin the ``l`` least by hash are selected, put
+stand. Their hashes deal the numbered k-mers to ``bins`` bins; in each bin the ``l`` least by hash are selected, put
 back into their order in the text and hashed as a tuple. Two texts agree in a bin when they share its selected
 k-mers in the same order, so the share of equal bins falls with the edit distance and not only with the overlap.
 """
@@ -25,7 +25,7 @@ _BITS = ~_PLACE
 
 def _packed(w: Column) -> Column:
     """Of every k-mer of tokens its hash's high bits and its place, as one number; fewer tokens are one k-mer."""
-    kmer = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]).bitwiseAND(F.lit(_BITS)).bitwiseOR(F.least(i, F.lit(_PLACE)).cast("bigint"))
+    kmer = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]).bitwiseAND(F.lit(_BITS)).bitwiseOR(i.cast("bigint"))
     return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - K)), kmer))
 
 
@@ -36,29 +36,36 @@ def fingerprint_columns(df: DataFrame, text: str, to: str) -> DataFrame:
     """
     high = lambda x: x.bitwiseAND(F.lit(_BITS))
     df = df.withColumn("_w", F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).withColumn("_s", F.sort_array(_packed(F.col("_w"))))
-    # First occurrences are in order already; of a repeated k-mer the further ones get hashes of their own.
-    new = F.filter("_s", lambda x, i: (i == 0) | (high(x) != high(F.get("_s", F.greatest(F.lit(0), i - 1)))))
-    df = df.withColumn("_new", new)
-    df = df.withColumn("_first", F.slice("_new", 1, LEAST)).withColumn("_more", F.size("_s") > F.size("_new"))
-    again = F.filter(F.transform("_s", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: (e["i"] > 0) & (high(e["x"]) == high(F.get("_s", F.greatest(F.lit(0), e["i"] - 1)))))
+    # Without repeated k-mers the sorted array is in order already. Else first occurrences keep their hash, and the
+    # further ones of a repeated k-mer get hashes of their own number.
+    df = df.withColumn("_more", F.size(F.array_distinct(F.transform("_s", high))) < F.size("_s"))
+    same = lambda i, j: high(F.get("_s", i)) == high(F.get("_s", j))
+    first = F.filter("_s", lambda x, i: (i == 0) | ~same(i, F.greatest(F.lit(0), i - 1)))
+    df = df.withColumn("_first", F.slice(F.when(F.col("_more"), first).otherwise(F.col("_s")), 1, LEAST))
+    again = F.filter(F.sequence(F.lit(1), F.size("_s") - 1), lambda i: same(i, i - 1))
     # How far its run of equals reaches back, by halving: the run is contiguous as the array is sorted.
-    back = lambda e: F.aggregate(F.array(*[F.lit(1 << b) for b in range(16, -1, -1)]), F.lit(0), lambda d, s: F.when((e["i"] >= d + s) & (high(F.get("_s", F.greatest(F.lit(0), e["i"] - d - s))) == high(e["x"])), d + s).otherwise(d))
-    numbered = F.transform(again, lambda e: F.xxhash64(high(e["x"]), back(e)).bitwiseAND(F.lit(_BITS)).bitwiseOR(e["x"].bitwiseAND(F.lit(_PLACE))))
-    df = df.withColumn("_again", F.when(F.col("_more"), F.slice(F.sort_array(numbered), 1, LEAST)).otherwise(F.array().cast("array<bigint>")))
+    back = lambda i: F.aggregate(F.array(*[F.lit(1 << b) for b in range(16, -1, -1)]), F.lit(0), lambda d, s: F.when((i >= d + s) & same(F.greatest(F.lit(0), i - d - s), i), d + s).otherwise(d))
+    numbered = F.transform(again, lambda i: F.xxhash64(high(F.get("_s", i)), back(i)).bitwiseAND(F.lit(_BITS)).bitwiseOR(F.get("_s", i).bitwiseAND(F.lit(_PLACE))))
+    df = df.withColumn("_again", F.when(F.col("_more"), F.slice(F.sort_array(numbered), 1, LEAST)))
     df = df.withColumn("_least", F.when(F.col("_more"), F.slice(F.sort_array(F.concat("_first", "_again")), 1, LEAST)).otherwise(F.col("_first")))
-    # The bin comes from bits that the order among the least does not use: a second hash of the high bits.
-    bin_of = lambda x: F.pmod(F.xxhash64(high(x), F.lit(1)), F.lit(BINS))
-    df = df.withColumn("_binned", F.array_sort(F.transform("_least", lambda x: F.struct(bin_of(x).alias("b"), x.alias("x")))))
-    picked = F.filter("_binned", lambda e, i: (i < PICKED) | (F.get("_binned", F.greatest(F.lit(0), i - PICKED))["b"] != e["b"]))
-    placed = F.transform(picked, lambda e: F.struct(e["b"].alias("b"), e["x"].bitwiseAND(F.lit(_PLACE)).alias("p"), high(e["x"]).alias("h")))
-    df = df.withColumn("_placed", F.array_sort(placed))
+    # From here on numbers are packed as (bin, place, index into the least), so that all sorts are of plain numbers.
+    # The bin comes from the hash's last bits, on which the order among the least does not depend.
+    index = lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    bin_of = lambda x: F.shiftrightunsigned(x, 22).bitwiseAND(F.lit(BINS - 1))
+    df = df.withColumn("_binned", F.sort_array(F.transform("_least", lambda x, i: F.shiftleft(bin_of(x), 32).bitwiseOR(i.cast("bigint")))))
+    picked = F.filter("_binned", lambda k, i: (i < PICKED) | (F.shiftright(F.get("_binned", F.greatest(F.lit(0), i - PICKED)), 32) != F.shiftright(k, 32)))
+    place = lambda k: F.shiftleft(F.get("_least", index(k)).bitwiseAND(F.lit(_PLACE)), 32)
+    df = df.withColumn("_placed", F.sort_array(F.transform(picked, lambda k: F.shiftleft(F.shiftright(k, 32), 54).bitwiseOR(place(k)).bitwiseOR(k.bitwiseAND(F.lit(0xFFFFFFFF))))))
     # Tuples: the selected k-mers of a bin in the text's order; the last of a bin closes its tuple.
-    after = lambda i: F.get("_placed", i + 1)
-    before = lambda e, i: F.when((i > 0) & (F.get("_placed", F.greatest(F.lit(0), i - 1))["b"] == e["b"]), F.get("_placed", F.greatest(F.lit(0), i - 1))["h"])
-    closed = F.filter(F.transform("_placed", lambda e, i: F.when(after(i).isNull() | (after(i)["b"] != e["b"]), F.struct(e["b"].cast("int").alias("b"), F.xxhash64(F.coalesce(before(e, i), F.lit(0)), e["h"]).alias("t")))), lambda e: e.isNotNull())
-    df = df.withColumn("_closed", F.map_from_entries(closed))
-    df = df.withColumn(to, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.element_at("_closed", b)))
-    return df.drop("_w", "_s", "_new", "_first", "_more", "_again", "_least", "_binned", "_placed", "_closed")
+    at = lambda i: F.get("_placed", i)
+    bin_at, hash_at = lambda k: F.shiftright(k, 54), lambda k: high(F.get("_least", index(k)))
+    ends = F.filter(F.sequence(F.lit(0), F.size("_placed") - 1), lambda i: at(i + 1).isNull() | (bin_at(at(i + 1)) != bin_at(at(i))))
+    before = lambda i: F.when((i > 0) & (bin_at(at(F.greatest(F.lit(0), i - 1))) == bin_at(at(i))), hash_at(at(F.greatest(F.lit(0), i - 1)))).otherwise(F.lit(0))
+    closed = F.transform(ends, lambda i: F.struct(bin_at(at(i)).cast("int").alias("b"), F.xxhash64(before(i), hash_at(at(i))).alias("t")))
+    df = df.withColumn("_closed", F.when(F.size("_placed") > 0, F.map_from_entries(closed)).otherwise(F.create_map().cast("map<int,bigint>")))
+    # One look-up a bin: inside a lambda the optimizer would put the map's whole expression, once for every bin.
+    df = df.withColumn(to, F.array(*[F.element_at("_closed", F.lit(b)) for b in range(BINS)]))
+    return df.drop("_w", "_s", "_more", "_first", "_again", "_least", "_binned", "_placed", "_closed")
 
 
 def likeness(a: Column, b: Column) -> Column:
