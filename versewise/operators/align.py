@@ -123,7 +123,7 @@ def refine_estimates(rows: DataFrame, frames: DataFrame, key: str = "recording_i
     loud = F.col("level_db") > F.col("ref") - onset_db
     quiet = F.coalesce(F.col("level_db") <= F.col("ref") - offset_db, F.lit(True)) | (F.col("frame_idx") * frame_us >= F.col("limit"))
     found = met.groupBy(key, line, "begin_us", "end_us", "limit").agg(F.min(F.when((F.col("frame_idx") < F.col("f1")) & loud, F.col("frame_idx"))).alias("on"), F.min(F.when((F.col("frame_idx") >= F.col("f1")) & quiet, F.col("frame_idx"))).alias("off"))
-    onset = F.greatest("begin_us", F.col("on") * frame_us)
+    onset = F.when(F.col("on").isNotNull(), F.greatest("begin_us", F.col("on") * frame_us))
     offset = F.least(F.greatest("end_us", F.coalesce(F.col("off") * frame_us, F.col("limit"))), F.greatest("end_us", "limit"))
     found = found.select(key, line, onset.alias("onset_us"), offset.alias("offset_us")).withColumn("kept", F.col("onset_us").isNotNull() & (F.col("onset_us") < F.col("offset_us")))
     out = rows.join(found, [key, line], "left")
