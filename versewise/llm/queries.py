@@ -79,7 +79,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewise.llm.decontaminate import decontaminate
 
-    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10).drop("text_key")
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10).drop("text_key", "n_near_items")
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL: dict[str, str] = {
+    "op10_decontaminate": f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS ww FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM bw WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT len(ww) AS n FROM win),
+    dwin AS (SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS ww FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, sizes WHERE len(w) >= n)),
+    occ AS (SELECT doc_id, p, n, item_id FROM dwin JOIN win USING (ww)),
+    hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY 1),
+    its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY 1)
+    SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+}
