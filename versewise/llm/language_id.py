@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.llm.scratch import bound_batches
+
 #: Sample of labelled rows a language, and bytes of its dictionary: the documented bounds of the fit.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 96 << 10
 #: Rejection threshold of the production queries, as a share of the second-best size.
@@ -109,6 +111,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float =
             langs, scores, rejected = zip(*(judge(t.as_py()) for t in batch.column(1))) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [id_col, "lang_pred", "score", "rejected"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(id_col, letters_only(F.col(text_col)).alias("text")).mapInArrow(run, schema)
 
 
@@ -122,6 +125,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = M
             kept = pa.array([not judge(t.as_py())[2] for t in batch.column(batch.num_columns - 1)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(kept)
 
+    bound_batches(docs.sparkSession)
     return docs.select("*", letters_only(F.col(text_col)).alias("_letters")).mapInArrow(run, docs.schema)
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versewise.llm.scratch import bound_batches
 from versewise.llm.texthash import blocks, gram_hashes, word_hashes
 
 # License identifiers, the names they go by in notices, the forms of notices, and some full texts.
@@ -112,6 +113,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] | None = N
                     pairs = gram_hashes(words, 2) if len(words) > 1 else words[:0]
                     place = np.minimum(np.searchsorted(index.vocabulary, pairs), len(index.vocabulary) - 1)
                     known = np.concatenate(([0], (index.vocabulary[place] == pairs).cumsum()))
+                    known = np.append(known, known[-1])  # texts without words may begin at the end
                     news = np.flatnonzero(np.diff(lines, prepend=-1))
                     edges = {"text": at, "paragraph": np.append(np.flatnonzero(gap), len(words)), "line": np.append(news, len(words))}
                     seen: set[tuple[int, int]] = set()
@@ -130,4 +132,5 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] | None = N
                     x.sort(key=lambda m: (-m["dice"], m["license"], m["line"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, kind)], ["doc_id", "matches"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -81,7 +81,7 @@ def banded_distance(edits: int) -> Column:
         score = s["score"] + F.when(inside, F.lit(1) - F.shiftright(s["d0"], width - 1)).otherwise(at_row(hp) - at_row(hn))
         return F.struct(hn.bitwiseOR(inv(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.cast("int").alias("score"))
 
-    first = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("score"))
+    first = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(edits), m).alias("score"))
     # Each lambda's value is bound by a one-element transform, so that no sub-expression is computed twice.
     bind = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
     body = lambda s, j: bind(bind(step(s, j), diagonal), lambda t: move(t, j))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versewise.llm.components import connected_components
-from versewise.llm.scratch import cut
+from versewise.llm.scratch import bound_batches, cut
 from versewise.llm.texthash import blocks, gram_hashes, mix, word_hashes
 
 #: Ids (8 bytes each) up to this many are broadcast after they are counted; beyond, the join shuffles.
@@ -93,6 +93,7 @@ def signatures(docs: DataFrame, banding: Banding, n: int = 5, id_col: str = "doc
                 cols = [batch.column(0).slice(first, len(texts)), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(out[3], pa.binary())] if sets else []), names)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -37,3 +37,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of a batch of whole texts that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python, so that a worker's memory does not depend on the texts' lengths."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))

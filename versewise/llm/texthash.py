@@ -22,7 +22,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(kind: str, n: int) -> np.ndarray:
     """The first n powers of the base, or of its inverse modulo 2**64."""
     if len(_powers[kind]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
         with np.errstate(over="ignore"):
             _powers[kind] = np.concatenate(([np.uint64(1)], np.full(size - 1, base, np.uint64))).cumprod()
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def blocks(column: pa.Array, max_bytes: int = 1 << 20):
+def blocks(column: pa.Array, max_bytes: int = 1 << 18):
     """Slices (first row, array) of about ``max_bytes`` of text; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, total = 0, 0

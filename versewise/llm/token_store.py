@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versewise.llm.ranges import range_bounds, range_of
-from versewise.llm.scratch import scratch_path
+from versewise.llm.scratch import bound_batches, scratch_path
 
 MAGIC = b"VWTOK1\0\0"
 _HEAD = struct.Struct("<8sqQQQB7x")  # magic, first key, documents without a key, documents, ids, bytes of an id
@@ -147,7 +147,7 @@ class WordEncoder:
     which go to the tokenizer's model straight, and its marks. All other words are encoded whole.
     """
 
-    def __init__(self, path: str, width: int, most: int = 500_000):
+    def __init__(self, path: str, width: int, most: int = 260_000):
         self.tokenizer, self.dtype, self.most = _tokenizer(path), np.dtype(f"<u{width}"), most
         self.words: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
@@ -230,6 +230,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: st
                     coded = [np.array(e.ids, dtype).tobytes() for e in encoder.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([c + end for c in coded], pa.binary())], [*kept, "ids"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(*kept, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versewise.llm.scratch import cut, scratch_path
+from versewise.llm.scratch import bound_batches, cut, scratch_path
 from versewise.llm.token_store import write_file
 
 # Fixed values of the seekable format and of WARC 1.1.
@@ -181,6 +181,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
         if bundle is not None:
             yield flush()
 
+    bound_batches(spark)
     rows.mapInArrow(write, INDEX).write.parquet(f"{folder}/_index")
     return folder
 
