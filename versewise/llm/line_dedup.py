@@ -48,53 +48,68 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[Column, Colu
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 fits = (place + shift >= 0) & (place + shift + width <= length)
                 probes.append(F.when(fits, key(other.cast("int"), i, place + shift, width)))
-    return F.array(*index), F.array_compact(F.array(*probes))
+    return F.array(*index), F.array(*probes)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix, by halving."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda d, s: F.when((d + s <= most) & (F.substring(a, d + 1, s) == F.substring(b, d + 1, s)), d + s).otherwise(d))
 
 
 def banded_distance(edits: int) -> Column:
     """Edit distance of the strings whose characters are the arrays ``x`` and ``y``, or null if above ``edits``.
 
     Bit-parallel over the band of ``2 * edits + 1`` diagonals: the vertical differences of a column are two small
-    bit sets that move one row down with every column. Along the lowest diagonal the score grows by its unset
-    diagonal bits; once that diagonal has left the matrix it follows the last row.
+    bit sets that move one row down with every column, and the score follows the lowest diagonal, growing by its
+    unset diagonal bits. Rows below the last are read as characters that match nothing; their differences in the
+    last column lead from the lowest diagonal back to the last row. The state is one number.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
-    m = F.size("x")
-
-    def step(s: Column, j: Column) -> Column:
-        match = sum((F.when(F.get("x", j - 1 - edits + k) == F.get("y", j - 1), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0))
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["score"].alias("score"), match.alias("pm"))
-
-    def diagonal(s: Column) -> Column:
-        d0 = (((s["pm"].bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(s["pm"]).bitwiseOR(s["vn"])).bitwiseAND(F.lit(full))
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["score"].alias("score"), d0.alias("d0"))
-
-    def move(s: Column, j: Column) -> Column:
-        inv = lambda v: F.lit(full) - v
-        hp = s["vn"].bitwiseOR(inv(s["d0"].bitwiseOR(s["vp"])))
-        hn = s["d0"].bitwiseAND(s["vp"])
-        down = F.shiftright(s["d0"], 1)
-        inside = j <= m - edits
-        row = F.greatest(F.lit(0), m - j + edits)  # the last row's place in the band
-        at_row = lambda v: F.floor(v / F.pow(F.lit(2), row)).cast("int").bitwiseAND(F.lit(1))
-        score = s["score"] + F.when(inside, F.lit(1) - F.shiftright(s["d0"], width - 1)).otherwise(at_row(hp) - at_row(hn))
-        return F.struct(hn.bitwiseOR(inv(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.cast("int").alias("score"))
-
-    first = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(edits), m).alias("score"))
-    # Each lambda's value is bound by a one-element transform, so that no sub-expression is computed twice.
-    bind = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
-    body = lambda s, j: bind(bind(step(s, j), diagonal), lambda t: move(t, j))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("y"))), first, body, lambda s: F.when(s["score"] <= edits, s["score"]))
+    m, n = F.size("x"), F.size("y")
+    same = lambda j, k: F.when(F.get("x", j - 1 - edits + k) == F.get("y", j - 1), F.lit(1 << k)).otherwise(F.lit(0))
+    masks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda j: sum((same(j, k) for k in range(1, width)), same(j, 0)).cast("bigint"))
+    vp, vn = lambda s: s.bitwiseAND(F.lit(full)), lambda s: F.shiftright(s, width).bitwiseAND(F.lit(full))
+    inv = lambda v: F.lit(full) - v
+
+    def step(s: Column, pm: Column) -> Column:
+        def with_diagonal(d0: Column) -> Column:
+            hp, hn, down = vn(s).bitwiseOR(inv(d0.bitwiseOR(vp(s)))), d0.bitwiseAND(vp(s)), F.shiftright(d0, 1)
+            score = F.shiftright(s, 2 * width) + 1 - F.shiftright(d0, width - 1)
+            return hn.bitwiseOR(inv(down.bitwiseOR(hp))).bitwiseOR(F.shiftleft(down.bitwiseAND(hp), width)).bitwiseOR(F.shiftleft(score, 2 * width))
+
+        d0 = ((pm.bitwiseAND(vp(s)) + vp(s)).bitwiseXOR(vp(s))).bitwiseOR(pm).bitwiseOR(vn(s)).bitwiseAND(F.lit(full))
+        return _let(d0, with_diagonal)
+
+    def finish(s: Column) -> Column:
+        below = F.lit((1 << (2 * edits)) - 1).bitwiseAND(F.lit(-1) - (F.pow(F.lit(2), m - n + edits).cast("int") - 1))
+        distance = F.shiftright(s, 2 * width) - F.bit_count(vp(s).bitwiseAND(below)) + F.bit_count(vn(s).bitwiseAND(below))
+        return F.when(distance <= edits, distance.cast("int"))
+
+    first = (((1 << (edits + 1)) - 1) << edits) | edits << (2 * width)
+    return F.aggregate(masks, F.lit(first).cast("bigint"), step, finish)
 
 
 def with_distance(pairs: DataFrame, a: str, b: str, edits: int, to: str = "distance") -> DataFrame:
     """Adds the banded distance of columns ``a`` and ``b``: null where it is above ``edits``.
 
-    The lengths may differ by ``edits`` at most, and the strings are not empty.
+    The lengths may differ by ``edits`` at most. What the strings share at both ends is cut off first: it does not
+    change the distance.
     """
-    rows = pairs.withColumns({"x": F.split(a, ""), "y": F.split(b, "")})
-    return rows.withColumn(to, banded_distance(edits)).drop("x", "y")
+    rows = pairs.withColumn("_p", shared_prefix(F.col(a), F.col(b)))
+    rows = rows.withColumns({"_a": F.substring(F.col(a), F.col("_p") + 1, F.length(a)), "_b": F.substring(F.col(b), F.col("_p") + 1, F.length(b))})
+    rows = rows.withColumns({"_ra": F.reverse("_a"), "_rb": F.reverse("_b")}).withColumn("_s", shared_prefix(F.col("_ra"), F.col("_rb")))
+    core = lambda c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("_s"))
+    rows = rows.withColumns({"_a": core("_a"), "_b": core("_b")}).withColumns({"x": F.split("_a", ""), "y": F.split("_b", "")})
+    empty = (F.length("_a") == 0) | (F.length("_b") == 0)
+    return rows.withColumn(to, F.when(empty, F.greatest(F.length("_a"), F.length("_b"))).otherwise(banded_distance(edits))).drop("_p", "_a", "_b", "_ra", "_rb", "_s", "x", "y")
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -106,10 +121,9 @@ def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     distinct = lines.where(F.length("line") >= min_chars).groupBy("line").agg(F.count("*").alias("n"))
     sized = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
     index, probes = segment_keys(F.col("line"), F.col("size"), edits)
-    keyed = sized.select("id", index.alias("index"), probes.alias("probes"))
-    own, asked = F.transform("index", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
-    rows = cut(keyed.select("id", F.explode(F.concat(own, asked)).alias("k")).select("id", "k.key", "k.own"), "segments")
-    left, right = rows.where("own").select("key", F.col("id").alias("u")), rows.where("not own").select("key", F.col("id").alias("v"))
+    # Both sides read the one exchange of the distinct lines; only numbers go on to the join.
+    left = sized.select(F.col("id").alias("u"), F.explode(index).alias("key"))
+    right = sized.select(F.col("id").alias("v"), F.explode(probes).alias("key")).where("key is not null")
     met = left.join(right, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     met = cut(met, "met")
     ids = met.select(F.explode(F.array("u", "v")).alias("id")).distinct()
