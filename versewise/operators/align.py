@@ -183,3 +183,25 @@ def review_flag(value: Column, threshold, unresolved: Column) -> Column:
 def support_class(begin: Column, end: Column, first: Column, last: Column) -> Column:
     """``missing``, ``invalid``, ``out_of_window`` or ``valid`` support of a recognised interval."""
     return F.when(begin.isNull() | end.isNull(), F.lit("missing")).when((begin < 0) | (begin >= end), F.lit("invalid")).when((begin < first) | (end > last), F.lit("out_of_window")).otherwise(F.lit("valid"))
+
+
+def apply_refinement(rows: DataFrame, local: DataFrame, key: str = "recording_id", line: str = "line_id", edge_us: int = 100_000) -> DataFrame:
+    """Local refinements in source time: censored near the window's edge, rejected outside the anchor.
+
+    ``local(key, line, local_begin, local_end, origin, stop)`` is relative to ``origin``; rows carry the anchor
+    ``begin_us, end_us`` and ``flags``.
+    """
+    met = rows.join(local, [key, line], "left")
+    a, b = F.col("local_begin") + F.col("origin"), F.col("local_end") + F.col("origin")
+    outside = (b <= F.col("begin_us")) | (a >= F.col("end_us"))
+    censored = (F.col("local_begin") < edge_us) | (F.col("stop") - b < edge_us)
+    more = F.array_compact(F.array(F.when(outside, F.lit("refinement_outside_anchor")), F.when(~outside & censored, F.lit("censored_refinement"))))
+    kept = a.isNotNull() & ~outside
+    return met.withColumns({"refined_begin": F.when(kept, a), "refined_end": F.when(kept, b), "flags": F.array_union("flags", more)}).select(*rows.columns, "refined_begin", "refined_end")
+
+
+def alternating_split(rows: DataFrame, key, order: str, block: int = 1, to: str = "held_out") -> DataFrame:
+    """Every other row, or block of rows, is held out."""
+    k = [key] if isinstance(key, str) else list(key)
+    i = F.row_number().over(Window.partitionBy(*k).orderBy(order)) - 1
+    return rows.withColumn(to, F.floor(i / block) % 2 == 1)

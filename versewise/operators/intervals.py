@@ -197,3 +197,15 @@ def greedy_nearest(left: DataFrame, right: DataFrame, key: str, tolerance: int,
         return pd.concat(out)[rows.columns] if out else rows.iloc[:0]
 
     return pairs.groupBy(*_keys(key)).applyInPandas(choose, pairs.schema)
+
+
+def not_contained(inner: DataFrame, outer: DataFrame, key, width: int) -> DataFrame:
+    """Intervals that no single outer interval holds whole (C14)."""
+    k = _keys(key)
+    held = overlap_join(inner, outer, k, width, (F.col("r_begin") <= F.col("l_begin")) & (F.col("l_end") <= F.col("r_end")))
+    return inner.join(held.select(*k, F.col("l_begin").alias("begin"), F.col("l_end").alias("end")).distinct(), [*k, "begin", "end"], "left_anti")
+
+
+def windows_of_lines(lines: DataFrame, windows: DataFrame, key, width: int) -> DataFrame:
+    """Lines with the analysis windows that they intersect."""
+    return overlap_join(lines, windows, key, width)

@@ -252,3 +252,44 @@ def level_db(samples: DataFrame, key: str, idx: str, value: str, frame: int) ->
     """RMS level of whole frames in dB, floored at -120."""
     out = samples.groupBy(key, F.floor(F.col(idx) / frame).alias("frame_idx")).agg(F.count("*").alias("_n"), (20 * F.log10(F.sqrt(F.avg(F.col(value) * F.col(value)) + 1e-12))).alias("level_db"))
     return out.where(F.col("_n") == frame).drop("_n")
+
+
+def relative_shift(early: DataFrame, late: DataFrame, key: str, line: str, value: str) -> DataFrame:
+    """The shift common to a paragraph's lines, and each line's own beyond it."""
+    both = early.select(key, line, F.col(value).alias("_a")).join(late.select(key, line, F.col(value).alias("_b")), [key, line]).withColumn("_d", F.col("_b") - F.col("_a"))
+    common = F.avg("_d").over(Window.partitionBy(key))
+    return both.select(key, line, common.alias("common"), (F.col("_d") - common).alias("own"))
+
+
+def paired_medians(rows: DataFrame, measure: str, ours: str, theirs: str, tolerance: float = 0.25) -> DataFrame:
+    """Medians of two sides by measure, their difference, and the share of pairs within the tolerance."""
+    d = F.col(ours) - F.col(theirs)
+    return rows.groupBy(measure).agg(F.count(d).alias("n"), F.percentile(ours, 0.5).alias("ours"), F.percentile(theirs, 0.5).alias("theirs"), F.percentile(d, 0.5).alias("difference"), F.avg((F.abs(d) <= tolerance).cast("int")).alias("within"))
+
+
+def delay_errors(actual: Column, model: Column) -> list[Column]:
+    """Worst and mean error of a delay model."""
+    return [F.max(F.abs(actual - model)).alias("worst"), F.avg(actual - model).alias("mean"), F.count(actual - model).alias("n")]
+
+
+def swap_validation(rows: DataFrame, variants: DataFrame, half: str, key: Sequence[str], x: Column, y: str) -> DataFrame:
+    """Fit on either half, test on the other, for every variant.
+
+    ``variants`` is a bounded table whose columns ``x`` may use (a shift, a threshold, a border).
+    """
+    met = rows.crossJoin(F.broadcast(variants)).withColumn("_x", x)
+    names = [*key, *variants.columns]
+    fit = met.groupBy(*names, F.col(half).alias("_train")).agg(*ols(F.col("_x"), F.col(y)))
+    tested = met.join(fit, names).where(F.col(half) != F.col("_train"))
+    return tested.groupBy(*names, "_train").agg(*residual_errors(F.col(y) - F.col("slope") * F.col("_x") - F.col("intercept"))).withColumnRenamed("_train", "trained_on")
+
+
+def crossing_widths(low: DataFrame, high: DataFrame, key: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Durations between two crossings with their brackets, missing ones counted.
+
+    ``low`` and ``high`` are rows of ``series.crossings`` at the two levels.
+    """
+    k = list(key)
+    name = lambda rows, p: rows.select(*k, *[F.col(c).alias(f"{p}_{c}") for c in ("t0", "t1", "crossing")])
+    both = name(low, "a").join(name(high, "b"), k, "full").withColumn("width", F.col("b_crossing") - F.col("a_crossing"))
+    return both.groupBy(*group).agg(F.count("width").alias("n"), F.count_if(F.col("width").isNull()).alias("missing"), F.min("width").alias("least"), F.percentile("width", 0.5).alias("median"), F.max("width").alias("most"), F.min(F.col("b_t0") - F.col("a_t1")).alias("bracket_low"), F.max(F.col("b_t1") - F.col("a_t0")).alias("bracket_high"))
