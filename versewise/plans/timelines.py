@@ -286,7 +286,7 @@ def interval_histogram(spark, d):
 
 @query("""WITH e AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings),
     s AS (SELECT vec_id, o, (SELECT avg(abs(CAST(a[i + 1] AS FLOAT) - CAST(b[i - o + 1] AS FLOAT))::DOUBLE) FROM (SELECT unnest(range(greatest(0, o), least(len(a), len(a) + o))) AS i)) AS mad FROM e CROSS JOIN (SELECT unnest(range(-3, 4)) AS o) WHERE b IS NOT NULL)
-    SELECT vec_id, CAST(arg_min(o, (round(mad, 6), abs(o), o)) AS BIGINT) AS shift FROM s GROUP BY 1""")
+    SELECT vec_id, CAST(arg_min(o, (round(mad, 9), abs(o), o)) AS BIGINT) AS shift FROM s GROUP BY 1""")
 def best_shift(spark, d):
     # Neighbours by id: the next id is one more, so a self-join needs no order over the whole table.
     e = table(spark, d, "embeddings")
