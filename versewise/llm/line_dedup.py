@@ -133,7 +133,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     texts = cut(texts, "texts")
     both = met.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     both = both.where(F.abs(F.length("a") - F.length("b")) <= edits)
-    return with_distance(both, "a", "b", edits).where("distance is not null").select("u", "v", "distance")
+    # Written before it is filtered: a filter would be pushed below the columns of the distance, and repeat them in it.
+    return cut(with_distance(both, "a", "b", edits).select("u", "v", "distance"), "distances").where("distance is not null")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
