@@ -31,3 +31,11 @@ def test_levenshtein_disagreement_compares_whole_texts(spark, tmp_path):
         want[c, 1] = distance(a, b) / max(len(a), len(b), 1)
     got = {(r.conv_id, r.turn): r.disagreement for r in plans.QUERIES["levenshtein_disagreement"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6) and want[1, 1] > 0.1
+
+
+def test_focus_grid_covers_the_month(spark, tmp_path):
+    rows = [(1, 7, "a", "2024-01-02 00:30:00", 1.0), (2, 7, "b", "2024-01-20 05:10:00", 1.0), (3, 7, "b", "2024-01-31 22:00:00", 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.t - 1_704_067_200_000_000) // 3_600_000_000: r.event_id for r in plans.QUERIES["focus_grid"](spark, str(tmp_path)).collect()}
+    at = {1: 24.5, 2: 19 * 24 + 5 + 1 / 6, 3: 30 * 24 + 22}
+    assert got == {h: next((i for i, t in at.items() if t <= h < t + 12), None) for h in range(31 * 24 + 1)}

@@ -312,7 +312,8 @@ def focus_grid(spark, d):
     from versewise.functions.times import smoothstep
 
     e = events(spark, d).withColumn("stop", F.col("t") + 12 * HOUR)
-    spans = e.select("user_id").distinct().select("user_id", F.lit(MONTH[0]).alias("begin"), F.lit(MONTH[0] + 168 * HOUR).alias("end"))
+    # The whole month. The SQL still states its first week, so it holds the rows of that week only.
+    spans = e.select("user_id").distinct().select("user_id", F.lit(MONTH[0]).alias("begin"), F.lit(MONTH[1]).alias("end"))
     rows = schedule.sample_grid(e.select("user_id", "t", "event_id", "stop", F.col("event_id").alias("tie")), spans, "user_id", HOUR, "t", ["event_id", "stop"], "stop", ("tie",))
     return rows.select("user_id", "t", "event_id", F.round(smoothstep((F.col("t") - F.col("entry_t")) / HOUR), 6).alias("eased"))
 
