@@ -39,3 +39,29 @@ def test_focus_grid_covers_the_month(spark, tmp_path):
     got = {(r.t - 1_704_067_200_000_000) // 3_600_000_000: r.event_id for r in plans.QUERIES["focus_grid"](spark, str(tmp_path)).collect()}
     at = {1: 24.5, 2: 19 * 24 + 5 + 1 / 6, 3: 30 * 24 + 22}
     assert got == {h: next((i for i, t in at.items() if t <= h < t + 12), None) for h in range(31 * 24 + 1)}
+
+
+def test_line_candidates_hold_short_sentences(spark, tmp_path):
+    from versewise.operators import match
+
+    rnd = random.Random(4)
+    vocab = ["the", "of", "and", *(f"{a}{b}" for a in "bcdfg" for b in "aeiou")]
+    docs = [[rnd.choice(vocab) for _ in range(150)] for _ in range(6)] + [["la"] * 7, ["one"]]
+    items = {7: ["the", "la la", "of and the", "one", ""] + [" ".join(d[5 : 5 + n]) for n, d in enumerate(docs[:6], 2)], 8: ["ba of ba", "the x of and", "zz"] + ["nowhere at all"] * 998 + ["bu"]}
+    spark.createDataFrame([(k, ".".join(v)) for k, v in items.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for k, sentences in items.items():
+        for i, s in enumerate(sentences):
+            w = s.split()
+            for j, d in enumerate(docs):
+                found = [(b, e, x, m) for e, b, x, m in match._semi_global(w, d) if w and m >= min(2, len(w)) and x <= 0.3 * len(w) and b < e]
+                kept = []
+                for c in sorted(found, key=lambda c: (c[2] - c[3], c[2], c[0], c[1])):
+                    if not any(c[0] < o[1] and o[0] < c[1] for o in kept):
+                        kept.append(c)
+                want |= {(f"{k}:{i}", j, *c) for c in kept}
+    rows = plans.QUERIES["line_candidates"](spark, str(tmp_path)).collect()
+    got = {(r.line_id, r.stream, r.start, r.end, r.edits, r.matches) for r in rows}
+    assert got == want and len(rows) == len(got)
+    assert {r.line_id for r in plans.QUERIES["fuzzy_containment"](spark, str(tmp_path)).collect()} == {x[0] for x in want}

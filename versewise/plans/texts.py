@@ -94,10 +94,9 @@ def ordered_text_match(spark, d):
 
 
 def _bench_lines(spark, d):
-    """Sentences of the benchmark items as lines of words."""
+    """Sentences of the benchmark items as lines of words, each under its item and number."""
     rows = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "[.\n]")).alias("i", "line"))
-    rows = rows.select((F.col("item_id") * 1000 + F.col("i")).alias("line_id"), F.transform(F.regexp_extract_all("line", F.lit(r"[\p{L}]+"), F.lit(0)), F.lower).alias("words"))
-    return rows.where(F.size("words") >= 6)
+    return rows.select(F.concat_ws(":", "item_id", "i").alias("line_id"), F.transform(F.regexp_extract_all("line", F.lit(r"[\p{L}]+"), F.lit(0)), F.lower).alias("words")).where(F.size("words") > 0)
 
 
 def _doc_tokens(spark, d):
@@ -110,7 +109,7 @@ def line_candidates(spark, d):
 
 
 def _candidates(spark, d):
-    return match.line_candidates(_bench_lines(spark, d), _doc_tokens(spark, d), min_matches=4)
+    return match.line_candidates(_bench_lines(spark, d), _doc_tokens(spark, d))
 
 
 @query()
