@@ -104,6 +104,19 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict_languages(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_rejects_narrow_margins_at_every_length(spark):
+    rnd = random.Random(2)
+    make = lambda parts, n: " ".join("".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(n))
+    parts = {"aa": ["the", "ing", "on", "er", "wh"], "bb": ["ung", "sch", "ei", "keit", "ö"]}
+    texts = [make(parts["aa" if i % 2 else "bb"], rnd.randint(20, 80)) for i in range(400)]
+    strange = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)) for n in (20, 44, 55)]
+    docs = documents(spark, texts + strange, {i: ("aa" if i % 2 else "bb") for i in range(400)})
+    model = language_id.fit_languages(docs.where("doc_id < 400").where(~language_id.held_out()))
+    got = {r.doc_id: r for r in language_id.predict_languages(docs, model, min_margin=language_id.MIN_MARGIN).collect()}
+    assert all(got[i].rejected for i in range(400, 403))
+    assert np.mean([got[i].rejected for i in range(400)]) <= 0.05
+
+
 def test_held_out_is_crc_of_the_id(spark):
     got = {r.id: r.h for r in spark.range(50).select("id", language_id.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,19 +16,33 @@ from versewise.llm.scratch import bound_batches
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 96 << 10
 #: Rejection threshold of the production queries, as a share of the second-best size.
 MIN_MARGIN = 0.002
-#: Letters (in bytes) below which a narrow margin rejects nothing.
-MIN_BYTES = 400
+#: Labelled rows a language (fewer with many languages) and characters of each that the rejection margins are fitted
+#: on, apart from the rows learned from; the lengths (bytes) that they are fitted for; the share of rightly labelled
+#: pieces that may fall below.
+FIT_DOCS, FIT_ALL, FIT_CHARS, BANDS, QUANTILE = 200, 2000, 4096, tuple(16 << k for k in range(10)), 0.005
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Dictionary bytes of each language and its labelled rows, in the order of the languages' code points."""
+    """Dictionary bytes of each language, its labelled rows and its least margin by band, by the languages' code points."""
 
     dictionaries: tuple[tuple[str, bytes], ...]
     counts: tuple[int, ...] = ()
     fast_level: int = 3
     slow_level: int = 9
+    margins: tuple[tuple[float, ...], ...] = ()
+
+    def least_margin(self, lang: int, size: int) -> float:
+        """The fitted margin of a text of ``size`` bytes: the lower of the two bands beside it.
+
+        What a dictionary saves does not grow beyond the last band, so from there the share falls with the size.
+        """
+        if not self.margins:
+            return 0.0
+        k = min(max(size // BANDS[0], 1).bit_length() - 1, len(BANDS) - 1)
+        own = self.margins[lang]
+        return own[k] * BANDS[-1] / size if size >= BANDS[-1] else min(own[k], own[k + 1])
 
 
 def letters_only(text: Column) -> Column:
@@ -41,28 +55,54 @@ def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionar
 
     The choice is made over ids alone (ranks are limited before and after the shuffle, so a language with most
     rows is not gathered); then the chosen rows' texts fill a dictionary of ``dictionary_bytes``, an equal piece
-    of each. Rows with null text or language are not used. Without any row the model is empty.
+    of each. The next ``FIT_DOCS`` rows (of a small language the last fifth) are not learned from: the rejection
+    margins are fitted on pieces of them. Rows with null text or language are not used. Without any row the model
+    is empty.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), letters_only(F.col(text_col)).alias("text"))
     order = [F.xxhash64("id"), F.col("id")]
-    ids = known.select("id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample_docs).select("id", "lang").distinct()
+    ids = known.select("id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample_docs + FIT_DOCS).groupBy("id", "lang").agg(F.min("r").alias("r"))
+    last = F.max("r").over(Window.partitionBy("lang"))
+    ids = ids.withColumn("fit", F.col("r") > F.least(F.lit(sample_docs), F.ceil(last * 0.8)))
     piece = max(64, dictionary_bytes // sample_docs)
-    texts = known.join(F.broadcast(ids), ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), "id", "text")
-    # Pieces are cut from the middle, on a code point; the driver gets at most languages * dictionary bytes.
+    texts = known.join(F.broadcast(ids), ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), "id", "text", "fit")
+    # Pieces are cut from the middle, on a code point; the driver gets at most languages * (dictionary bytes and
+    # FIT_DOCS * FIT_CHARS).
     texts = texts.where(F.length("text") > 0)
     middle = F.greatest(F.lit(1), (F.length("text") - piece) / 2).cast("int")
-    texts = texts.select("lang", "h", "id", F.substring(F.col("text"), middle, F.lit(piece)).alias("part"))
+    texts = texts.select("lang", "h", "id", "fit", F.when(F.col("fit"), F.substring("text", 1, FIT_CHARS)).otherwise(F.substring(F.col("text"), middle, F.lit(piece))).alias("part"))
     rows = texts.collect()
     by_lang: dict[str, list] = {}
+    apart: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.h, r.id, r.part)):
-        by_lang.setdefault(r.lang, []).append(r.part.encode())
+        (apart if r.fit else by_lang).setdefault(r.lang, []).append(r.part.encode())
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(by_lang)
-    return LanguageModel(tuple((lang, b"\n".join(by_lang[lang])[-dictionary_bytes:]) for lang in names), tuple(counts[lang] for lang in names))
-
-
-def _measurer(model: LanguageModel, sure_margin: float, min_margin: float, min_bytes: int):
-    """A function from a text of letters to (language, margin, rejected), for one Python worker."""
+    model = LanguageModel(tuple((lang, b"\n".join(by_lang[lang])[-dictionary_bytes:]) for lang in names), tuple(counts[lang] for lang in names))
+    return replace(model, margins=_fit_margins(model, [apart.get(lang, []) for lang in names]))
+
+
+def _fit_margins(model: LanguageModel, apart: list[list[bytes]]) -> tuple[tuple[float, ...], ...]:
+    """Of each language and band the low quantile of the margins, at the slow level, of its rightly labelled pieces."""
+    if len(apart) < 2:
+        return tuple((0.0,) * len(BANDS) for _ in apart)
+    measure, _, slow = _coders(model)
+    most, out = max(10, min(FIT_DOCS, FIT_ALL // len(apart))), []
+    for lang, texts in enumerate(apart):
+        whole, own = b" ".join(texts[:most]), []
+        for size in BANDS:
+            # Pieces are cut from single rows where enough are long enough, else from all rows in a line.
+            pieces = [t[:size] for t in texts[:most] if len(t) >= size]
+            if 2 * len(pieces) < len(texts[:most]):
+                pieces = [whole[i : i + size] for i in range(0, len(whole) - size + 1, size)][:most]
+            found = sorted(m for best, m in (measure(x.decode("utf-8", "ignore").encode(), slow) for x in pieces) if best == lang)
+            own.append(found[int(QUANTILE * len(found))] if found else own[-1] if own else 0.0)
+        out.append(tuple(own))
+    return tuple(out)
+
+
+def _coders(model: LanguageModel):
+    """The measure of a text's (language, margin), and the encoders at the fast and at the slow level."""
     import zstandard as z
 
     def coders(level: int) -> list:
@@ -73,40 +113,45 @@ def _measurer(model: LanguageModel, sure_margin: float, min_margin: float, min_b
             out.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         return out
 
-    names, fast, slow = [lang for lang, _ in model.dictionaries], coders(model.fast_level), coders(model.slow_level)
-
     def measure(data: bytes, by: list) -> tuple[int, float]:
         sizes = [len(c.compress(data)) for c in by]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], -model.counts[i]))
         rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
         return best, 1.0 if rest is None else (rest - sizes[best]) / rest
 
+    return measure, coders(model.fast_level), coders(model.slow_level)
+
+
+def _measurer(model: LanguageModel, sure_margin: float, min_margin: float):
+    """A function from a text of letters to (language, margin, rejected), for one Python worker."""
+    names = [lang for lang, _ in model.dictionaries]
+    measure, fast, slow = _coders(model)
+
     def judge(text: str | None) -> tuple[str, float, bool]:
         if not names or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         data = text.encode("utf-8", "replace")
         best, margin = measure(data, fast)
-        if margin < sure_margin:
+        if margin < max(sure_margin, 2 * model.least_margin(best, len(data))):
             best, margin = measure(data, slow)
-        return names[best], margin, len(data) >= min_bytes and margin < min_margin
+        return names[best], margin, margin <= 0 or margin < max(min_margin, model.least_margin(best, len(data)))
 
     return judge
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float = 0.0, sure_margin: float = 0.03, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float = 0.0, sure_margin: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, rejected)`` of every whole text, from the text alone.
 
     The text's letters, lower-cased, are encoded with each language's dictionary and the smallest encoding names
     the language (ties: the one with more labelled rows, then the first by code point). Margins below
-    ``sure_margin`` are measured again at the slower level. ``score`` is the margin: the share by which the
-    smallest encoding is below the second (1 if there is one language only). ``rejected`` when a text of at
-    least ``min_bytes`` bytes of letters has a margin below ``min_margin``; a shorter one shows no margin to go
-    by and is kept. Null, a text without a letter or an empty model: ``und``, score 0, rejected.
+    ``sure_margin`` or twice the fitted least are measured again at the slower level. ``score`` is the margin: the share by which the
+    smallest encoding is below the second (1 if there is one language only). ``rejected`` when the
+    first two are even, or the margin is below ``min_margin`` or below what is usual for the language and the text's length, as fitted. Null, a text without a letter or an empty model: ``und``, score 0, rejected.
     """
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _measurer(model, sure_margin, min_margin, min_bytes)
+        judge = _measurer(model, sure_margin, min_margin)
         for batch in batches:
             langs, scores, rejected = zip(*(judge(t.as_py()) for t in batch.column(1))) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [id_col, "lang_pred", "score", "rejected"])
@@ -115,12 +160,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float =
     return docs.select(id_col, letters_only(F.col(text_col)).alias("text")).mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGIN, sure_margin: float = 0.03, min_bytes: int = MIN_BYTES, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGIN, sure_margin: float = 0.03, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``predict_languages`` does not reject, with all their columns, in one pass."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _measurer(model, sure_margin, min_margin, min_bytes)
+        judge = _measurer(model, sure_margin, min_margin)
         for batch in batches:
             kept = pa.array([not judge(t.as_py())[2] for t in batch.column(batch.num_columns - 1)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(kept)
