@@ -198,6 +198,16 @@ def test_personal_data_bootstrap(spark):
     assert pii.find_personal_data(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_personal_data_bootstrap_of_other_shapes(spark):
+    texts = [f"write to our desk at user{c}@mail{c}.org before noon {c}" for c in "abcdef"] + ["write to our desk at anna@localhost before noon", "write to our desk at @ before noon"]
+    texts += [f"ring the night line on +1 (01{i}) 555-77{i}3 when late {i}" for i in range(6)] + ["ring the night line on 030 1234 5678 when late", "ring the night line on 5557-99881, when late"]
+    texts += [f"+1 (02{i}) 555-77{i}3 rings {i} times" for i in range(6)] + ["5558 7788 rings twice"]
+    added = {r.doc_id: {(a.kind, a.value) for a in r.added} for r in pii.find_personal_data(documents(spark, texts)).collect() if r.added}
+    assert added[6] == {("email", "anna@localhost")} and 7 not in added
+    assert added[14] == {("phone", "030 1234 5678")}
+    assert added.get(22) == {("phone", "5558 7788")}
+
+
 def shingles(text, n=5):
     w = words(text)
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()

@@ -28,6 +28,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 #: A candidate is a word with a digit or an at sign, without the marks around it.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A candidate too: words that begin with a digit, a plus or a bracket and go on with groups of digits, a blank between.
+GROUPS = r"(?<!\S)[+(]{0,2}+[0-9][0-9().-]*+(?: \(?+[0-9][0-9().-]*+)++(?![^\s.,;:!?])"
 #: Production parameters of the bootstrap.
 ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_VALUE, MIN_DIGITS = 3, 3, 0.6, 0.85, 4
 _SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -93,6 +95,8 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for kind in KINDS:
         rows = rows.withColumn(kind, F.when(F.col("some"), base_spans(F.col("text"), kind)).otherwise(none))
     rows = rows.withColumn("words", F.when(F.col("some"), find_all(F.col("text"), CANDIDATE)).otherwise(none))
+    grouped = F.when(F.col("text").rlike(r"[0-9).-] [(]?[0-9]"), find_all(F.col("text"), GROUPS)).otherwise(none)
+    rows = rows.withColumn("groups", grouped).withColumn("words", F.concat("words", "groups"))
     taken = F.concat(*KINDS)
     rows = rows.withColumn("taken", taken)
     rows = rows.withColumn("free", F.filter("words", lambda w: ~F.exists("taken", lambda t: (t["start"] < w["end"]) & (w["start"] < t["end"]))))
@@ -116,27 +120,32 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPP
     """``(value, kind)`` of the unseen identifiers that the graph finds.
 
     ``seen(kind, value, far, near, after)`` lists mentions; kind is null where it is not known. Two patterns come
-    from a mention: the two words before it, and the word before and the word after. A pattern's confidence for a
+    from a mention: the two words before it, and the word before and the word after; from one that begins its text,
+    the word after. A pattern's confidence for a
     kind is the mean score of its distinct values, unknown ones counting 0, if at least ``min_support`` of them
     are known; a value's score is 1 - prod(1 - confidence) over its patterns of at least ``min_pattern``. Values
-    of at least ``min_value`` with ``min_digits`` digits are found (ties: the first kind in order) and are known
+    of at least ``min_value`` with ``min_digits`` digits, for e-mail with an at sign inside, are found (ties: the first kind in order) and are known
     in the next round. Patterns of fewer than ``min_support`` + 1 distinct values say nothing about others and
     are left out. Both scores are sums combined before the shuffle, however many mentions a pattern has.
     """
     sides = F.array(F.concat_ws(" ", F.lit("<<"), "far", "near"), F.concat_ws(" ", F.lit("<>"), "near", F.lit("_"), "after"))
-    whole = (F.col("near") != "") & ((F.col("far") != "") | (F.col("after") != ""))
+    begins = (F.col("near") == "") & (F.col("after") != "")
+    sides = F.when(begins, F.array(F.concat_ws(" ", F.lit(">>"), "after"))).otherwise(sides)
+    whole = begins | ((F.col("near") != "") & ((F.col("far") != "") | (F.col("after") != "")))
     edges = seen.where(whole & (F.col("value") != "")).select(F.explode(sides).alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
     edges = cut(edges, "graph")
     rich = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") > min_support)
     edges = cut(edges.join(rich, "pattern"), "graph")
     known = edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
     known = cut(known, "known")
+    # The shape that an unseen value of a kind must have.
+    like = lambda kind: F.when(kind == "email", F.col("value").rlike(r"[^\s@]@[^\s@]")).otherwise(F.length(_digits(F.col("value"))) >= min_digits)
     found = None
     for _ in range(rounds):
         scores = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("support"), F.max("n").alias("n")).where(F.col("support") >= min_support)
         good = scores.withColumn("c", F.least(F.col("s") / F.col("n"), F.lit(0.999))).where(F.col("c") >= min_pattern).select("pattern", F.col("kind").alias("of"), "c")
-        open_ = edges.join(known.select("value"), "value", "left_anti").where(F.length(_digits(F.col("value"))) >= min_digits)
-        values = open_.join(good, "pattern").groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("score"))
+        open_ = edges.join(known.select("value"), "value", "left_anti").where(like(F.lit("email")) | like(F.lit("")))
+        values = open_.join(good, "pattern").where(like(F.col("of"))).groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("score"))
         rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("of"))
         best = values.groupBy("value").agg(F.max_by(F.struct("of", "score"), F.struct("score", -rank)).alias("b")).select("value", F.col("b.of").alias("kind"), F.col("b.score").alias("score"))
         new = cut(best.where(F.col("score") >= min_value), "found")
@@ -157,7 +166,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = rows.select("doc_id", "text_key", F.explode("seen").alias("m")).select("doc_id", "text_key", "m.*")
     found = bootstrap(seen)
     hits = seen.where("kind is null").drop("kind").join(found, "value").select("doc_id", "text_key", F.struct("kind", "start", "end", "value").alias("x")).distinct()
-    added = hits.groupBy("doc_id", "text_key").agg(F.collect_list("x").alias("added")).alias("a")
+    added = hits.groupBy("doc_id", "text_key").agg(F.collect_list("x").alias("added"))
+    # A word inside a found run of groups is part of it. Runs do not overlap each other, nor do words.
+    runs = F.filter("added", lambda x: F.instr(x["value"], " ") > 0)
+    inside = lambda x: (F.instr(x["value"], " ") == 0) & F.exists("runs", lambda r: (r["start"] <= x["start"]) & (x["end"] <= r["end"]))
+    added = added.withColumn("runs", runs).select("doc_id", "text_key", F.filter("added", lambda x: ~inside(x)).alias("added")).alias("a")
     rows = rows.drop("seen").alias("r").join(added, F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_key") == F.col("a.text_key")), "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     return rows.select("r.doc_id", "r.text_key", *KINDS, F.coalesce("added", none).alias("added"))
