@@ -342,16 +342,13 @@ def test_banded_distance(spark, edits):
         assert r.distance == (d if d <= edits else None)
 
 
-def test_line_dedup(spark):
-    rnd = random.Random(11)
-    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(12, 30))) for _ in range(40)]
-    lines = list(base)
-    for x in base:
-        y = list(x)
-        for _ in range(rnd.randint(0, 3)):
-            y[rnd.randrange(len(y))] = "z"
-        lines.append("".join(y))
-    texts = ["\n".join(rnd.choice([*lines, "", "  "]) for _ in range(rnd.randint(1, 12))) for _ in range(40)] + [None, "", "short\nshort"]
+def near(a, b):
+    most = min(2, max(len(a), len(b)) // 6)
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def classes_of(lines):
+    """A root of each line's class, by all pairs."""
     up = {x: x for x in lines}
 
     def root(x):
@@ -359,10 +356,26 @@ def test_line_dedup(spark):
             x = up[x]
         return x
 
-    for a in lines:
-        for b in lines:
-            if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+    for a in up:
+        for b in up:
+            if a < b and near(a, b):
                 up[root(a)] = root(b)
+    return root
+
+
+def test_line_dedup(spark):
+    rnd = random.Random(11)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(3, 30))) for _ in range(60)]
+    lines = list(base)
+    for x in base:
+        y = list(x)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(y))
+            y[i : i + rnd.randint(0, 1)] = "z" * rnd.randint(0, 1)
+            y = y or ["y"]
+        lines.append("".join(y))
+    texts = ["\n".join(rnd.choice([*lines, "", "  "]) for _ in range(rnd.randint(1, 12))) for _ in range(60)] + [None, "", "short\nshort", "é" * 9000 + "x\n" + "é" * 9000]
+    root = classes_of({x for t in texts if t for x in t.split("\n") if x.strip()})
     seen, exact, want = set(), set(), {}
     for i, t in enumerate(texts):
         gone, same = [], 0
@@ -374,15 +387,56 @@ def test_line_dedup(spark):
                 seen.add(root(line))
                 exact.add(line)
         want[i] = (len(t.split("\n")) if t is not None else 0, gone, same)
-    docs = documents(spark, texts)
+    docs = documents(spark, texts).withColumn("dropped", F.lit(1)).withColumn("at", F.lit("z"))
     judged = line_dedup.dedup_lines(docs)
     got = {r.doc_id: (r.n_lines, r.dropped, r.n_exact) for r in judged.collect()}
     assert got == want
-    cleaned = {r.doc_id: r.text for r in line_dedup.drop_lines(docs, judged).collect()}
-    assert all(cleaned[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][1])) for i, t in enumerate(texts))
+    cleaned = line_dedup.drop_lines(docs, judged)
+    assert cleaned.columns == docs.columns
+    assert {r.doc_id: r.text for r in cleaned.collect()} == {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][1]) for i, t in enumerate(texts)}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    line = "the same long line of words"
+    rows = [(1, line), (1, line), (None, line), (None, line + "\nanother quite long line"), (2, None)]
+    got = {(r.doc_id, r.n_lines): (r.dropped, r.n_exact) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1): ([], 0), (None, 1): ([0], 1), (None, 2): ([0], 1), (2, 0): ([], 0)}
+
+
+@pytest.mark.parametrize("full,finer", [(64, (9, 27)), (3, (9, 27)), (2, (5,)), (1, ())])
+def test_near_lines_of_full_keys(spark, full, finer):
+    """Many copies of one line that are far from each other, near ones among them: the classes are those of all pairs."""
+    rnd = random.Random(full)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(40))
+    lines = {base}
+    while len(lines) < 80:
+        y = list(rnd.choice(sorted(lines)) if rnd.random() < 0.3 else base)
+        for _ in range(rnd.randint(1, 2)):
+            i = rnd.randrange(len(y))
+            y[i : i + rnd.randint(0, 2)] = rnd.choice(["", "x", "mn", "pqrs", "opqr"])
+        lines.add("".join(y))
+    root = classes_of(lines)
+    edges = line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string"), full=full, finer=finer)
+    nodes = connected_components(edges)
+    names = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("node", line_dedup.line_key(F.col("line")))
+    rows = names.join(nodes, "node", "left").collect()
+    ours, theirs = {}, {}
+    for r in rows:
+        ours.setdefault(r.component or r.node, set()).add(r.line)
+        theirs.setdefault(root(r.line), set()).add(r.line)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_line_dedup_makes_no_pairs_of_near_copies(spark):
+    """2,000 lines of which any two are near: one class, with a number of proposed pairs that grows with the lines."""
+    base = "".join(random.Random(5).choice("abcdefgh ") for _ in range(100))
+    lines = [base] + [base[:i] + c + base[i + 1 :] for i in range(100) for c in "ijklmnopqrstuvwxyzAB"][:2000]
+    edges = line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert edges.count() < 20 * len(lines)
+    assert connected_components(edges).agg(F.count("*"), F.count_distinct("component")).first()[:] == (2001, 1)
+
+
 def test_warc_bundles(spark, tmp_path):
     bodies = ["<p>a</p>", None, "", "<p>a</p>", "é" * 3000, "<p>a</p>", "x\r\n\r\nWARC/1.1"]
     rows = [(i, f"http://h/{i}\r\nX: y" if i != 2 else None, b, "e") for i, b in enumerate(bodies)]

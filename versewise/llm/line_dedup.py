@@ -3,6 +3,8 @@
 Lines within ``edits`` edits share, unchanged, at least one of ``edits + 1`` segments of the shorter of the two,
 at a place that the edits before and after it allow. Each distinct line is indexed by its segments and probes the
 segments of lines up to ``edits`` characters shorter; what meets is verified by a banded bit-parallel distance.
+A segment that very many lines share is not joined pair by pair: its lines are compared with one of them, and what
+that leaves in different classes meets again on more and smaller segments, of which all but ``edits`` must agree.
 """
 
 from __future__ import annotations
@@ -13,10 +15,14 @@ from pyspark.sql import functions as F
 from versewise.llm.components import connected_components
 from versewise.llm.scratch import cut
 
-#: Production parameters: edits allowed, and the shortest line that is compared by edits.
-EDITS, MIN_CHARS = 2, 12
-#: Line ids (8 bytes) are broadcast up to this many, counted first; beyond, the join shuffles.
+#: Production parameters: edits allowed at most, and the characters of the longer line that each edit needs.
+EDITS, PER_EDIT = 2, 6
+#: Indexed lines of one segment key that meet pair by pair, and the numbers of segments that fuller keys go on to.
+FULL, FINER = 64, (9, 27)
+#: Ids (8 or 16 bytes) are broadcast up to this many, counted first; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: A line with more than one in so many of all occurrences is joined by broadcast: there are at most so many.
+HEAVY = 1000
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,31 +30,84 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(first place from 0, size) of the i-th of ``edits + 1`` segments; the last ones take the remainder."""
-    parts = edits + 1
-    size, longer = F.floor(length / parts), length % parts
-    extra = F.greatest(F.lit(0), longer - (parts - 1 - i))  # this one and those before it that are longer
-    before = size * i + F.greatest(F.lit(0), longer - (parts - i))
-    return before, size + (extra > F.greatest(F.lit(0), longer - (parts - i))).cast("int")
-
-
-def segment_keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """(index keys of a line, probe keys of a line), each a hash of length, segment number and characters."""
-    key = lambda size, i, place, width: F.xxhash64(size, F.lit(i), F.substring(line, (place + 1).cast("int"), width.cast("int")))
-    index, probes = [], []
-    for i in range(edits + 1):
-        place, width = _segment(length, i, edits)
-        index.append(key(length.cast("int"), i, place, width))
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(edits + 1):
-            place, width = _segment(other, i, edits)
-            # At most i edits stand before the segment and edits - i after it.
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                fits = (place + shift >= 0) & (place + shift + width <= length)
-                probes.append(F.when(fits, key(other.cast("int"), i, place + shift, width)))
-    return F.array(*index), F.array(*probes)
+def line_key(line: Column) -> Column:
+    """128 bits that name a line: its hashes under two seeds."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
+def patterns(edits: int, pieces: int) -> list[tuple[int, int, int, int]]:
+    """``(longer, s, t, between)``: how all but the pieces s and t can stand in a line longer by ``longer``.
+
+    The pieces before s stand where they were, those between s and t ``between`` characters on and those after t
+    ``longer`` characters on. Edits inside one piece are covered with a neighbour of it. Of lines of equal length
+    one finds the other with a shift of 1 where the other way round it would be -1.
+    """
+    if edits == 1:
+        return [(d, s, s, 0) for d in (0, 1) for s in range(pieces)]
+    if edits != 2:
+        raise ValueError("one or two edits")
+    out = []
+    for s in range(pieces):
+        for t in range(s + 1, pieces):
+            out += [(d, s, t, 0) for d in (0, 1, 2)] if t == s + 1 else [(0, s, t, 0), (0, s, t, 1), (1, s, t, 0), (1, s, t, 1), (2, s, t, 1)]
+    return out
+
+
+def allowed(longer: Column, edits: int, per_edit: int) -> Column:
+    """Edits that a pair may have whose longer line has ``longer`` characters."""
+    return F.least(F.lit(edits), F.floor(longer / per_edit)).cast("int")
+
+
+def segment_keys(edits: int, per_edit: int, indexed: bool) -> Column:
+    """Keys of a row ``(line, size)``: of its ``edits + 1`` segments if ``indexed``, else those and all it probes.
+
+    A key is a hash of edits, length, segment and characters. Lines near a bound of ``allowed`` are indexed for
+    both numbers of edits.
+    """
+    none = F.array().cast("array<bigint>")
+    parts = []
+    for e in range(1, edits + 1):
+        keys = {True: [], False: []}
+        for longer, s, t, between in patterns(e, e + 1):
+            other = f"(size - {longer})"
+            at = lambda j: f"(({other} * {j}) div {e + 1})"  # noqa: E731, B023
+            runs = []
+            if s > 0:
+                runs.append(f"substring(line, 1, cast({at(s)} as int))")
+            if t > s + 1:
+                runs.append(f"substring(line, cast({at(s + 1)} + {between + 1} as int), cast({at(t)} - {at(s + 1)} as int))")
+            if t < e:
+                runs.append(f"substring(line, cast({at(t + 1)} + {longer + 1} as int), size)")
+            keys[longer == between == 0].append(F.expr(f"xxhash64({(e * 64 + s) * 64 + t}, {other}, {', '.join(runs)})"))
+        size, top = F.col("size"), (e + 1) * per_edit if e < edits else 1 << 30
+        held = (size >= e * per_edit - e) & (size < top)
+        own = (size >= e * per_edit) & (size < top)
+        index = F.when(held, F.array(*keys[True])).otherwise(none)
+        parts.append(index if indexed else F.when(own, F.array(*keys[True], *keys[False])).otherwise(index))
+    return F.concat(*parts)
+
+
+def finer_keys(edits: int, per_edit: int, pieces: int, indexed: bool) -> Column:
+    """As ``segment_keys`` with more pieces than edits + 1, of which all but as many as there are edits agree."""
+    none = F.array().cast("array<bigint>")
+    size, parts = F.col("size"), []
+
+    def key(e: int):
+        def of(code: Column) -> Column:
+            t, s, between, longer = code % 64, F.shiftright(code, 6) % 64, F.shiftright(code, 12) % 2, F.shiftright(code, 13)
+            at = lambda j: ((size - longer) * j / pieces).cast("int")
+            runs = F.substring(F.col("line"), F.lit(1), at(s)), F.substring(F.col("line"), at(s + 1) + 1 + between, at(t) - at(s + 1)), F.substring(F.col("line"), at(t + 1) + 1 + longer, size)
+            return F.xxhash64(F.lit(e * 64 + pieces), code % 4096, size - longer, *runs)
+
+        return of
+
+    for e in range(1, edits + 1):
+        wanted = [(((d * 2 + m) * 64 + s) * 64 + t, d == m == 0) for d, s, t, m in patterns(e, pieces)]
+        top = (e + 1) * per_edit if e < edits else 1 << 30
+        held, own = (size >= e * per_edit - e) & (size < top), (size >= e * per_edit) & (size < top)
+        index = F.when(held, F.transform(F.lit([c for c, i in wanted if i]), key(e))).otherwise(none)
+        parts.append(index if indexed else F.when(own, F.transform(F.lit([c for c, _ in wanted]), key(e))).otherwise(index))
+    return F.concat(*parts)
 
 
 def _let(value: Column, body) -> Column:
@@ -59,7 +118,7 @@ def _let(value: Column, body) -> Column:
 def shared_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix, by halving."""
     most = F.least(F.length(a), F.length(b))
-    steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+    steps = F.transform(F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
     return F.aggregate(steps, F.lit(0), lambda d, s: F.when((d + s <= most) & (F.substring(a, d + 1, s) == F.substring(b, d + 1, s)), d + s).otherwise(d))
 
 
@@ -97,77 +156,158 @@ def banded_distance(edits: int) -> Column:
     return F.aggregate(masks, F.lit(first).cast("bigint"), step, finish)
 
 
+def _may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether strings that differ in their first and in their last characters can be within ``edits`` edits.
+
+    With one edit, only single characters can. With two, one edit is at either end and what stands between is equal,
+    moved by a character at most. With more, anything goes on to the distance.
+    """
+    if edits > 2:
+        return F.lit(True)
+    m, n = F.length(a), F.length(b)
+    if edits == 1:
+        return (m == 1) & (n == 1)
+    inner = lambda s, first, last: F.substring(s, F.lit(1 + first), F.length(s) - first - last)
+    same = lambda x, y: inner(a, *x) == inner(b, *y)
+    level = same((1, 1), (1, 1)) | same((1, 0), (0, 1)) | same((0, 1), (1, 0))
+    longer = same((0, 1), (1, 1)) | same((1, 0), (1, 1))
+    shorter = same((1, 1), (0, 1)) | same((1, 1), (1, 0))
+    return F.when(n == m, level).when(n == m + 1, longer).when(m == n + 1, shorter).when(n == m + 2, same((0, 0), (1, 1))).when(m == n + 2, same((1, 1), (0, 0))).otherwise(False)
+
+
 def with_distance(pairs: DataFrame, a: str, b: str, edits: int, to: str = "distance") -> DataFrame:
     """Adds the banded distance of columns ``a`` and ``b``: null where it is above ``edits``.
 
     The lengths may differ by ``edits`` at most. What the strings share at both ends is cut off first: it does not
-    change the distance.
+    change the distance. Pairs whose rest cannot be near are not measured.
     """
     rows = pairs.withColumn("_p", shared_prefix(F.col(a), F.col(b)))
     rows = rows.withColumns({"_a": F.substring(F.col(a), F.col("_p") + 1, F.length(a)), "_b": F.substring(F.col(b), F.col("_p") + 1, F.length(b))})
     rows = rows.withColumns({"_ra": F.reverse("_a"), "_rb": F.reverse("_b")}).withColumn("_s", shared_prefix(F.col("_ra"), F.col("_rb")))
     core = lambda c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("_s"))
-    rows = rows.withColumns({"_a": core("_a"), "_b": core("_b")}).withColumns({"x": F.split("_a", ""), "y": F.split("_b", "")})
+    rows = rows.withColumns({"_a": core("_a"), "_b": core("_b")})
     empty = (F.length("_a") == 0) | (F.length("_b") == 0)
-    return rows.withColumn(to, F.when(empty, F.greatest(F.length("_a"), F.length("_b"))).otherwise(banded_distance(edits))).drop("_p", "_a", "_b", "_ra", "_rb", "_s", "x", "y")
+    rows = rows.withColumn("_near", ~empty & _may_be_near(F.col("_a"), F.col("_b"), edits))
+    rows = rows.withColumns({c: F.when(F.col("_near"), F.split(s, "")).otherwise(F.array().cast("array<string>")) for c, s in (("x", "_a"), ("y", "_b"))})
+    gap = F.greatest(F.length("_a"), F.length("_b"))
+    measured = F.when(empty & (gap <= edits), gap).when(F.col("_near"), banded_distance(edits))
+    return rows.withColumn(to, measured).drop("_p", "_a", "_b", "_ra", "_rb", "_s", "_near", "x", "y")
+
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
-def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs ``(u, v)`` of ids of distinct lines of at least ``min_chars`` characters within ``edits`` edits.
 
-    ``lines(line)`` may repeat lines; ids are ``xxhash64(line)``. Equal lines are combined before the shuffle;
-    segment keys are hashed, so only numbers are shuffled by the join; texts are looked up for lines that met.
+def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None) -> DataFrame:
+    """``(u, v, key)`` of the rows ``(id, n, side, line, size)`` that meet on a key and are on different sides.
+
+    A key with more than ``full`` indexed lines is full: there the line with most occurrences alone meets the others,
+    and ``key`` is given with each of its lines, the one itself included; elsewhere it is null.
     """
-    distinct = lines.where(F.length("line") >= min_chars).groupBy("line").agg(F.count("*").alias("n"))
-    sized = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
-    index, probes = segment_keys(F.col("line"), F.col("size"), edits)
-    # Both sides read the one exchange of the distinct lines; only numbers go on to the join.
-    left = sized.select(F.col("id").alias("u"), F.explode(index).alias("key"))
-    right = sized.select(F.col("id").alias("v"), F.explode(probes).alias("key")).where("key is not null")
-    met = left.join(right, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    met = cut(met, "met")
-    ids = met.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    ids = cut(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = lines.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").groupBy("id", "line").agg(F.count("*").alias("n")).select("id", "line")
-    texts = cut(texts, "texts")
-    both = met.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    both = both.where(F.abs(F.length("a") - F.length("b")) <= edits)
+    left = rows.select(F.col("id").alias("u"), F.col("side").alias("s"), "n", F.explode(index).alias("key"))
+    right = rows.select(F.col("id").alias("v"), F.col("side").alias("r"), F.explode(probes).alias("key"))
+    crowded = None
+    if full:
+        crowded = cut(left.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > full).select("key"), "full")
+        if not crowded.take(1):
+            crowded = None
+    if crowded is None:
+        met = left.join(right, "key").where("s <> r").select("u", "v", F.lit(None).cast("long").alias("key"))
+    else:
+        crowded = _few(crowded)
+        heads = left.join(crowded, "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("u", "s"), F.struct("n", "u")).alias("h")).select("key", "h.*", F.lit(True).alias("full"))
+        left = left.join(crowded, "key", "left_anti").select("key", "u", "s", F.lit(False).alias("full")).unionByName(heads)
+        met = left.join(right, "key").where("s <> r or full").select("u", "v", F.when(F.col("full"), F.col("key")).alias("key"))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key").where("u <> v or key is not null").distinct()
+
+
+def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, name, line, n)`` of the distinct lines with one of the given ids."""
+    rows = lines.select(F.xxhash64("line").alias("id"), "line").join(_few(ids), "id", "left_semi").groupBy("id", "line").agg(F.count("*").alias("n"))
+    return cut(rows.select("id", line_key(F.col("line")).alias("name"), "line", "n"), "texts")
+
+
+def _verify(lines: DataFrame, met: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Edges ``(u, v, m, n)`` between the names (and ids) of the lines of ``met(u, v)`` that are near."""
+    texts = _texts(lines, cut(met.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids"))
+    one = lambda id_, name, line: texts.select(F.col("id").alias(id_), F.col("name").alias(name), F.col("line").alias(line))
+    both = met.join(one("u", "x", "a"), "u").join(one("v", "y", "b"), "v")
+    both = both.where(F.abs(F.length("a") - F.length("b")) <= edits).withColumnsRenamed({"x": "nu", "y": "nv"}).repartition("u", "v")
     # Written before it is filtered: a filter would be pushed below the columns of the distance, and repeat them in it.
-    return cut(with_distance(both, "a", "b", edits).select("u", "v", "distance"), "distances").where("distance is not null")
+    measured = with_distance(both, "a", "b", edits).withColumn("most", allowed(F.greatest(F.length("a"), F.length("b")), edits, per_edit))
+    return cut(measured.select("u", "v", "nu", "nv", "distance", "most"), "distances").where("distance <= most").select("u", "v", "nu", "nv")
+
 
+def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, full: int = FULL, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """Edges ``(u, v)`` whose connected lines are those of all pairs within the allowed edits.
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``lines(line)`` may repeat lines; u and v are their ``line_key``. A pair may differ by ``edits`` edits at most, and
+    by one for every ``per_edit`` characters of its longer line. Equal lines are combined before the shuffle; segment
+    keys are hashed, so only numbers are shuffled by the join; texts are looked up for lines that met.
+
+    A full key's lines are compared with the most frequent of them. If they are not all in one class then, those
+    lines meet again on the next finer keys, across classes only. Keys of the last number of pieces, which differ
+    in small stretches only, meet pair by pair. So no link between two classes is lost, and pairs inside a class are
+    not all made.
+    """
+    distinct = lines.where(F.length("line") >= per_edit - 1).groupBy("line").agg(F.count("*").alias("n"))
+    rows = distinct.select(F.xxhash64("line").alias("id"), "n", F.xxhash64("line").alias("side"), "line", F.length("line").alias("size"))
+    index, probes, edges = segment_keys(edits, per_edit, True), segment_keys(edits, per_edit, False), None
+    for k in (*finer, 0):
+        met = cut(_meet(rows, index, probes, full if k else None), "met")
+        found = _verify(lines, met.where("u <> v").select("u", "v").distinct(), edits, per_edit)
+        edges = found if edges is None else edges.unionByName(found)
+        members = met.where("key is not null").select("key", F.explode(F.array("u", "v")).alias("id")).distinct()
+        if not k or not members.take(1):
+            break
+        sides = cut(connected_components(edges.select("u", "v")), "sides")
+        sided = cut(members.join(_few(sides), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("side")), "members")
+        mixed = sided.groupBy("key").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("key")
+        again = cut(sided.join(_few(cut(mixed, "mixed")), "key", "left_semi").select("id", "side").distinct(), "again")
+        if not again.take(1):
+            break
+        rows = _texts(lines, again.select("id")).join(_few(again), "id").select("id", "n", "side", "line", F.length("line").alias("size"))
+        index, probes = finer_keys(edits, per_edit, k, True), finer_keys(edits, per_edit, k, False)
+    return edges.select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_key, n_lines, n_exact, n_near, dropped)``: a row per document.
 
-    Lines that are equal, or linked by edit distances of at most ``edits``, are one class; of each class the
-    first line by (doc_id, text's hash, line number) is kept, null ids last. Blank lines are always kept.
-    ``dropped`` lists the numbers of the lines that go; ``n_exact`` of them equal an earlier line and ``n_near``
-    do not. Null text has no lines. Rows that repeat a doc_id and its text are one document.
+    Lines that are equal, or linked by the edits that ``near_lines`` allows, are one class; of each class the first
+    line by (doc_id, text's hash, line number) is kept, null ids last. Blank lines are always kept. ``dropped`` lists
+    the numbers of the lines that go; ``n_exact`` of them equal an earlier line and ``n_near`` do not. Null text has
+    no lines. Rows that repeat a doc_id and its text are one document. Ids may be of any type that has an order.
     """
     lines = split_lines(docs, id_col, text_col)
-    edges = cut(near_lines(lines.select("line"), edits, min_chars), "edges")
-    classes = cut(connected_components(edges.select("u", "v")), "classes").withColumnRenamed("node", "id")
-    occur = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "line"))
-    occur = occur.select("doc_id", "text_key", "line_no", F.when(~F.col("line").rlike(r"^\s*$"), F.xxhash64("line")).alias("id"))
-    classes = F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no")
-    occur = cut(occur.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")), "occurrences")
-    heads = occur.where("class is not null").groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    texts = occur.where("component is not null").groupBy(F.col("id").alias("text")).agg(F.min(place).alias("own"))
-    judged = occur.join(heads, "class", "left").join(texts, F.col("id") == F.col("text"), "left").withColumn("at", place)
-    gone = F.col("first").isNotNull() & ~F.col("at").eqNullSafe(F.col("first"))
-    exact = gone & ~F.col("at").eqNullSafe(F.coalesce("own", "first"))
-    per = judged.groupBy("doc_id", "text_key").agg(
-        (F.coalesce(F.max("line_no"), F.lit(-1)) + 1).cast("long").alias("n_lines"),
-        F.count_distinct(F.when(exact, F.col("line_no"))).alias("n_exact"),
-        F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("dropped"))
-    return per.select("doc_id", "text_key", "n_lines", "n_exact", (F.size("dropped") - F.col("n_exact")).cast("long").alias("n_near"), "dropped")
+    edges = cut(near_lines(lines.select("line"), edits, per_edit), "edges")
+    classes = cut(connected_components(edges), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no").alias("at")
+    occur = cut(lines.where(~F.col("line").rlike(r"^\s*$")).select(place, line_key(F.col("line")).alias("name")), "occurrences")
+    texts = occur.groupBy("name").agg(F.min("at").alias("own"), F.count("*").alias("n"))
+    texts = cut(texts.join(_few(classes), F.col("name") == F.col("node"), "left").where("n > 1 or component is not null").select("name", "own", "n", "component"), "lines")
+    firsts = texts.where("component is not null").groupBy("component").agg(F.min("own").alias("first"))
+    alone = texts.where("component is null").select("name", "n", "own", F.col("own").alias("first"))
+    linked = texts.join(_few(cut(firsts, "firsts")), "component").select("name", "n", "own", "first")
+    known = cut(alone.unionByName(linked), "known")
+    # Frequent lines are joined by broadcast: fewer than HEAVY can have more than a HEAVY-th of all occurrences.
+    heavy = F.col("n") > F.lit(max(1, occur.count() // HEAVY))
+    often = F.broadcast(known.where(heavy))
+    judged = occur.join(often, "name").unionByName(occur.join(F.broadcast(known.where(heavy).select("name")), "name", "left_anti").join(known.where(~heavy), "name"))
+    gone = judged.where("at <> first").select("at.doc_id", "at.text_key", "at.line_no", (F.col("at") != F.col("own")).alias("exact"))
+    drops = gone.groupBy("doc_id", "text_key").agg(F.count_distinct(F.when(F.col("exact"), F.col("line_no"))).alias("n_exact"), F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    n_lines = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines")).groupBy("doc_id", "text_key").agg(F.max("n_lines").alias("n_lines"))
+    rows = whole.alias("w").join(drops.alias("d"), F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_key") == F.col("d.text_key")), "left")
+    none, n_exact = F.array().cast("array<int>"), F.coalesce("n_exact", F.lit(0)).cast("long")
+    return rows.select("w.doc_id", "w.text_key", "n_lines", n_exact.alias("n_exact"), (F.coalesce(F.size("dropped"), F.lit(0)) - n_exact).cast("long").alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def drop_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts; the columns stay as they are."""
-    marks = judged.where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "dropped")
-    rows = docs.join(marks, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    marks = judged.where(F.size("dropped") > 0).select("doc_id", "text_key", "dropped").alias("m")
+    own = lambda c: F.col(f"d.`{c}`")
+    rows = docs.alias("d").join(marks, own(id_col).eqNullSafe(F.col("m.doc_id")) & (F.xxhash64(own(text_col)) == F.col("m.text_key")), "left")
+    left = F.array_join(F.filter(F.split(own(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("m.dropped"), i)), "\n")
+    text = F.when(F.col("m.dropped").isNull(), own(text_col)).otherwise(left)
+    return rows.select(*[text.alias(c) if c == text_col else own(c) for c in docs.columns])
