@@ -108,25 +108,40 @@ def test_refined_estimates(spark):
     assert got[2].estimate_begin is None and got[2].refine_flags == ["no_vocal_activity"]
 
 
-def brute_path(groups):
-    best = 0.0
+def every_path(groups):
+    """(total, choices) of all ways to take at most one candidate a group, in time order."""
     for choice in itertools.product(*[[None, *g] for g in groups]):
         end, total = 0, 0.0
         for c in choice:
             if c is not None:
-                if c["begin"] < end:
+                if c[1] < end:
                     break
-                end, total = c["end"], total + c["utility"]
+                end, total = c[2], total + c[3]
         else:
-            best = max(best, total)
-    return best
+            yield total, choice
 
 
-@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("seed", range(30))
 def test_path_against_brute_force(seed):
     rnd = random.Random(seed)
-    groups = [[{"id": f"{i}{j}", "begin": (b := rnd.randint(0, 20)), "end": b + rnd.randint(1, 6), "utility": rnd.randint(1, 9) / 10} for j in range(rnd.randint(0, 3))] for i in range(5)]
-    assert match._path(groups)[1] == pytest.approx(brute_path(groups))
+    groups = [[(f"{i}{j}", b := rnd.randint(0, 20), b + rnd.randint(1, 6), rnd.randint(0, 99) / 100 + j / 1e4 + i / 1e6) for j in range(rnd.randint(0, 3))] for i in range(5)]
+    best, choice = max(every_path(groups), key=lambda x: x[0])
+    got = match.timeline_choice(groups)
+    assert sum(c[3] for g, (id_, _) in zip(groups, got) for c in g if c[0] == id_) == pytest.approx(best)
+    assert [id_ for id_, _ in got] == [c and c[0] for c in choice]
+    for i, c in enumerate(choice):
+        if c:
+            near = lambda o, c=c: 2 * max(0, min(o[2], c[2]) - max(o[1], c[1])) >= min(o[2] - o[1], c[2] - c[1])
+            other = max(t for t, way in every_path([[o for o in g if k != i or not near(o)] for k, g in enumerate(groups)]))
+            assert got[i][1] == pytest.approx(best - other)
+
+
+def test_path_cuts_keys_and_names_unresolved_occurrences(spark):
+    rows = [("r", 1, "a", 0, 10, 0.9), ("r", 1, "b", 2, 9, 0.8), ("r", 2, "c", 5, 12, 0.3), ("r", 3, "d", 20, 30, 0.5), ("r", 5, "e", 40, 50, 0.01)]
+    df = spark.createDataFrame(rows, "k string, occurrence long, id string, begin long, end long, utility double")
+    every = spark.createDataFrame([("r", i) for i in range(1, 6)], "k string, occurrence long")
+    got = [(r.occurrence, r.candidate, r.state) for r in match.chronological_path(df, "k", 0.02, every).orderBy("occurrence").collect()]
+    assert got == [(1, "a", "supported"), (2, None, "skipped"), (3, "d", "supported"), (4, None, "unresolved"), (5, "e", "ambiguous")]
 
 
 def test_line_candidates_find_edited_lines(spark):

@@ -11,6 +11,7 @@ from versewise.functions import let
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+# Fixed value: the form of a numeric token.
 TOKEN = r"(?<![A-Za-z0-9.,:])'?[0-9]+(?:[,:][0-9]+)*(?:st|nd|rd|th|s)?(?![A-Za-z0-9]|[.,:][0-9])"
 
 
@@ -101,29 +102,14 @@ def spoken(token: Column) -> Column:
     return let(F.regexp_replace(token, "^'", ""), of)
 
 
-def _entries(most: int) -> list[tuple[str, str]]:
-    """Tokens and words of the dictionary, by the same rules as the expressions above."""
-    two = lambda n: ONES[n] if n < 20 else TENS[n // 10] + (f"-{ONES[n % 10]}" if n % 10 else "")
-    small = [" ".join(x for x in (f"{ONES[n // 100]} hundred" if n >= 100 else "", two(n % 100) if n % 100 or not n else "") if x) for n in range(1000)]
-    count = lambda n: " ".join(x for x in (f"{small[n // 1000]} thousand" if n >= 1000 else "", small[n % 1000] if n % 1000 or not n else "") if x)
-    dated = lambda n: count(n) if 2000 <= n <= 2009 else f"{two(n // 100)} " + ("hundred" if n % 100 == 0 else f"oh {ONES[n % 100]}" if n % 100 < 10 else two(n % 100))
-    many = lambda w: f"{w[:-1]}ies" if w.endswith("y") else f"{w}s"
-
-    def nth(n: int) -> tuple[str, str]:
-        head, _, last = count(n).replace("-", "- ").rpartition(" ")
-        end = "th" if 11 <= n % 100 <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
-        word = ORDINALS.get(last) or (f"{last[:-1]}ieth" if last.endswith("y") else f"{last}th")
-        return f"{n}{end}", f"{head} {word}".strip().replace("- ", "-")
-
-    out = [(str(n), dated(n) if 1100 <= n <= 2099 else count(n)) for n in range(most + 1)] + [nth(n) for n in range(1, most + 1)]
-    out += [(f"{q}{n}s", many(TENS[n // 10])) for n in range(10, 100, 10) for q in ("", "'")]
-    out += [(f"{n}s", many(dated(n)) if n % 100 == 0 else f"{two(n // 100)} {many(TENS[n % 100 // 10])}") for n in range(1000, 2091, 10)]
-    return out + [(f"{h}:{m:02d}", f"{two(h)} o'clock" if not m else f"{two(h)} oh {ONES[m]}" if m < 10 else f"{two(h)} {two(m)}") for h in range(25) for m in range(60)]
-
-
 def number_dictionary(spark: SparkSession, most: int = 9999) -> DataFrame:
     """``(token, words)`` of the plain, ordinal, decade and clock tokens up to ``most``: about 22,000 rows, to broadcast."""
-    return spark.createDataFrame(_entries(most), "token string, words string")
+    n, text = F.col("id"), F.col("id").cast("string")
+    tens = spark.range(10, 2091, 10).where("id < 100 or id >= 1000")
+    clocks = spark.range(25 * 60).select(F.format_string("%d:%02d", F.expr("id div 60"), n % 60))
+    tokens = spark.range(most + 1).select(text.alias("token")).union(spark.range(1, most + 1).select(F.concat(text, ordinal_suffix(n))))
+    tokens = tokens.union(tens.select(F.concat(text, F.lit("s")))).union(tens.where("id < 100").select(F.concat(F.lit("'"), text, F.lit("s")))).union(clocks)
+    return tokens.withColumn("words", spoken(F.col("token"))).where("words is not null")
 
 
 def expand_numbers(lines: DataFrame, text: str = "text", to: str = "expanded") -> DataFrame:

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Apostrophe variants, letters that fold to Latin base letters, syllables without lexical content.
+from versewise.functions.numbers import TOKEN
+
+# Apostrophe variants, and the words without lexical content.
 APOSTROPHES = "ʼ`´＇"
-FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
-VOCABLES = "(?:o+h+|a+h+|o{2,}|h*m{2,}|u+h+|e+h+|l+a+|n+a+|d+a+|y+e+a+h+|h+e+y+|w+o+a*h*|o+w+)"
+VOCABLES = "(?:h?m+(?:h?m+)*|mh?m+|a+h*|o+h*|u+h+|e+y+|a+y+|la+|na+|da+|whoa+|ha+|w?h?o+o+|ow+|hee+|ye+a+h*|hey+|shamone)"
 WORDS = r"[A-Za-z]+(?:['’][A-Za-z]+)*"
 
 
+def _folds() -> tuple[str, str]:
+    """Letters of the first plane that are an ASCII letter with marks, and those letters."""
+    pairs = []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c.isalpha() and base.isascii() and base.isalpha() and all(unicodedata.category(m) == "Mn" for m in marks):
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+FOLD_FROM, FOLD_TO = _folds()
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space, none at the ends (B1)."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -28,6 +44,16 @@ def unify_breaks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def compose(text: Column) -> Column:
+    """Letters and their marks in composed form (B2). Only texts with marks go to Python."""
+    marked = text.rlike(r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}]")
+    return F.when(marked, F.pandas_udf(_composed, "string")(F.when(marked, text))).otherwise(text)
+
+
 def unify_apostrophes(text: Column) -> Column:
     """Apostrophe variants as U+2019; a left quote only after a letter or digit, or before a decade."""
     return F.regexp_replace(F.translate(text, APOSTROPHES, "’" * len(APOSTROPHES)), "(?<=[\\p{L}\\p{N}])‘|‘(?=[0-9]{2}s\\b)", "’")
@@ -84,8 +110,25 @@ def first_unsupported(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words of English letters with inner apostrophes."""
-    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    """Words of English letters with inner apostrophes, after folding, and numeric tokens, as they stand.
+
+    Folding keeps every character's place, so words are cut from the text itself where their folded forms stand.
+    """
+    return F.transform(word_places(text), lambda w: w["word"])
+
+
+def word_places(text: Column) -> Column:
+    """Words as (word, begin, size) in characters, from 0."""
+    fenced = F.split(F.regexp_replace(fold_latin(text), f"({TOKEN}|{WORDS})", "\x01$1\x02"), "\x01")
+    kind = "array<struct<word:string,begin:int,size:int>>"
+    start = F.struct(F.length(F.element_at(fenced, 1)).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, piece: Column) -> Column:
+        size = F.length(F.substring_index(piece, "\x02", 1))
+        row = F.struct(F.substring(text, s["at"] + 1, size).alias("word"), s["at"].alias("begin"), size.alias("size"))
+        return F.struct((s["at"] + F.length(piece) - 1).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(F.slice(fenced, 2, F.greatest(F.lit(0), F.size(fenced) - 1)), start, step, lambda s: s["out"])
 
 
 def utf16_length(text: Column) -> Column:
@@ -99,30 +142,19 @@ def utf16_slice(text: Column, start: Column, length: Column) -> Column:
 
 
 def word_ranges(text: Column) -> Column:
-    """Words with UTF-16 ranges: array of (word, start_utf16, length_utf16).
-
-    The text is split at word ends and starts with nothing lost, and lengths are summed along the pieces.
-    """
-    fenced = F.split(F.regexp_replace(text, f"({WORDS})", "\x01$1\x02"), "\x01")
-    kind = "array<struct<word:string,start_utf16:int,length_utf16:int>>"
-    start = F.struct(utf16_length(F.element_at(fenced, 1)).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, piece: Column) -> Column:
-        word = F.substring_index(piece, "\x02", 1)
-        row = F.struct(word.alias("word"), s["at"].alias("start_utf16"), utf16_length(word).alias("length_utf16"))
-        return F.struct((s["at"] + utf16_length(piece) - 1).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(F.slice(fenced, 2, F.greatest(F.lit(0), F.size(fenced) - 1)), start, step, lambda s: s["out"])
+    """Words with UTF-16 ranges: array of (word, start_utf16, length_utf16)."""
+    before = lambda w: utf16_length(F.substring(text, F.lit(1), w["begin"]))
+    return F.transform(word_places(text), lambda w: F.struct(w["word"].alias("word"), before(w).alias("start_utf16"), utf16_length(w["word"]).alias("length_utf16")))
 
 
 def english_words(text: Column) -> Column:
     """Lower-cased words with plain apostrophes; null where another letter, digit or symbol occurs."""
-    return F.when(text.rlike(r"[\p{S}\p{M}\p{C}\p{N}]|[^\P{L}A-Za-z]"), F.lit(None)).otherwise(F.transform(words_of(text), lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'")))))
+    return F.when(text.rlike(r"[\p{S}\p{M}\p{C}\p{N}]|[^\P{L}A-Za-z]"), F.lit(None)).otherwise(F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'")))))
 
 
 def is_vocable(text: Column) -> Column:
-    """Every word is a vocable, and there is one."""
-    w = words_of(text)
+    """Every run of letters is a vocable, and there is one."""
+    w = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
     return (F.size(w) > 0) & F.forall(w, lambda x: F.lower(x).rlike(f"^{VOCABLES}$"))
 
 

@@ -69,8 +69,7 @@ def correspondence(candidates: DataFrame, observations: DataFrame, key: str = "r
     """
     judged = match.assess(candidates).withColumns({"begin": F.element_at("lines", 1)["b"], "end": F.element_at("lines", -1)["e"]})
     ranked = match.suppress_near_duplicates(judged.where("eligible"), [key, "occurrence"], "id", "score", "begin", "end").where("duplicate_of is null")
-    path = match.chronological_path(ranked.select(key, "occurrence", "id", "begin", "end", "utility"), key)
-    every = candidates.select(key, "occurrence").distinct().join(path, [key, "occurrence"], "left").withColumn("state", F.coalesce("state", F.lit("unresolved")))
-    used = path.where("state = 'supported'").select(key, "occurrence", F.col("candidate").alias("id")).join(ranked, [key, "occurrence", "id"]).select(key, "begin", "end")
+    every = match.chronological_path(ranked.select(key, "occurrence", "id", "begin", "end", "utility"), key, occurrences=candidates.select(key, "occurrence"))
+    used = every.where("state = 'supported'").select(key, "occurrence", F.col("candidate").alias("id")).join(ranked, [key, "occurrence", "id"]).select(key, "begin", "end")
     met = iv.overlap_join(observations, used, key, 10_000_000).select(key, F.col("l_begin").alias("begin"), F.col("l_end").alias("end")).distinct()
     return every, observations.join(met, [key, "begin", "end"], "left_anti")

@@ -18,16 +18,22 @@ def line_normalise(spark, d):
     return lines(spark, d).select("doc_id", "line_no", tx.tighten(tx.collapse(F.col("line"))).alias("clean"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, CAST(k AS BIGINT) AS k, lower(w[k]) AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, line_no, regexp_extract_all(line, '{_W.replace(chr(39), chr(39) * 2)}') AS w FROM ln))")
+_BARE_LINE = "translate(line, '0123456789', '')"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, CAST(k AS BIGINT) AS k, lower(w[k]) AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, line_no, regexp_extract_all(strip_accents({_BARE_LINE}), '{_W.replace(chr(39), chr(39) * 2)}') AS w FROM ln))")
 def word_tokens(spark, d):
-    rows = lines(spark, d).select("doc_id", "line_no", F.posexplode(tx.words_of(F.col("line"))).alias("i", "w"))
-    return rows.select("doc_id", "line_no", (F.col("i") + 1).cast("bigint").alias("k"), F.lower("w").alias("word"))
+    """Words of lines without their digits; numeric tokens are compared in the tests of ``word_ranges``."""
+    rows = lines(spark, d).select("doc_id", "line_no", F.posexplode(tx.words_of(F.expr(_BARE_LINE))).alias("i", "w"))
+    return rows.select("doc_id", "line_no", (F.col("i") + 1).cast("bigint").alias("k"), F.lower(tx.fold_latin(F.col("w"))).alias("word"))
 
 
-@query(f"""WITH {LINES}, w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{_W.replace(chr(39), chr(39) * 2)}')) AS w FROM ln)
-    SELECT doc_id, line_no FROM w GROUP BY 1, 2 HAVING bool_and(regexp_full_match(lower(w), '{_VOC}'))""")
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, line_no, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, line_no, string_split(line, ' ') AS w FROM ln))
+    SELECT doc_id, line_no, CAST(k AS BIGINT) AS k, w[k] AS phrase FROM p WHERE len(regexp_extract_all(w[k], '[A-Za-z]+')) > 0 AND len(list_filter(regexp_extract_all(w[k], '[A-Za-z]+'), lambda x: NOT regexp_full_match(lower(x), '{_VOC}'))) = 0""")
 def nonlexical_lines(spark, d):
-    return lines(spark, d).where(tx.is_vocable(F.col("line"))).select("doc_id", "line_no")
+    """Phrases without blanks that are vocables alone."""
+    rows = lines(spark, d).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("i", "phrase"))
+    return rows.where(tx.is_vocable(F.col("phrase"))).select("doc_id", "line_no", (F.col("i") + 1).cast("bigint").alias("k"), "phrase")
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, CASE WHEN NOT regexp_matches(line, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{P}}\\s]') THEN lower(regexp_replace(line, '[\\p{{P}}\\s]', '', 'g')) END AS canonical FROM ln")
@@ -66,8 +72,7 @@ _YEAR = f"concat_ws(' ', {_TWO('(n // 100)')}, CASE WHEN n % 100 = 0 THEN 'hundr
 def spoken_numbers(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("token"), F.lit("part").alias("kind"))
     rows = rows.union(table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 10000).cast("string"), F.lit("order")))
-    # Tokens are looked up in the generated dictionary, whose size is fixed.
-    return rows.join(F.broadcast(numbers.number_dictionary(spark)), "token").select("id", "kind", "token", "words")
+    return rows.select("id", "kind", "token", numbers.spoken(F.col("token")).alias("words"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, count(*) OVER (PARTITION BY doc_id, line) > 1 AS repeated FROM ln")
@@ -75,22 +80,26 @@ def repeated_lines(spark, d):
     return lines(spark, d).select("doc_id", "line_no", (F.count("*").over(Window.partitionBy("doc_id", "line")) > 1).alias("repeated"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prior FROM conversations),
-    k AS (SELECT conv_id, turn, lower(regexp_replace(text, '[\\s!-/:-@\\[-`{-~]', '', 'g'))[1:200] AS a, lower(regexp_replace(prior, '[\\s!-/:-@\\[-`{-~]', '', 'g'))[1:200] AS b FROM c WHERE prior IS NOT NULL)
-    SELECT conv_id, turn, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS disagreement FROM k WHERE octet_length(encode(a)) = length(a) AND octet_length(encode(b)) = length(b)""")
+# The SQL's distance counts bytes: letters beyond ASCII are named by capitals first, which lower-cased texts don't have.
+_BARE = "translate(lower(regexp_replace({}, '[\\s!-/:-@\\[-`{{-~]', '', 'g')), 'ßäöüàáâçèéêëìíîïñòóôùúûœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prior FROM conversations),
+    k AS (SELECT conv_id, turn, {_BARE.format('text')} AS a, {_BARE.format('prior')} AS b FROM c WHERE prior IS NOT NULL)
+    SELECT conv_id, turn, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS disagreement FROM k""")
 def levenshtein_disagreement(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    # Whole texts of any script. The SQL still states a prefix of 200 characters and ASCII pairs only, so it differs.
     bare = lambda c: F.lower(F.regexp_replace(c, r"[\s!-/:-@\[-`{-~]", ""))
     rows = table(spark, d, "conversations").withColumn("prior", F.lag("text").over(w)).where("prior is not null").select("conv_id", "turn", bare("text").alias("a"), bare("prior").alias("b"))
     return rows.select("conv_id", "turn", F.round(tx.disagreement(F.col("a"), F.col("b")), 6).alias("disagreement"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) AS nth FROM conversations)
-    SELECT a.conv_id, a.turn AS l, b.turn AS r, a.nth FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.text = b.text AND a.nth = b.nth AND a.role = 'user' AND b.role = 'assistant'""")
+@query(f"""WITH {LINES}, c AS (SELECT lang, ln.doc_id, line_no, line, row_number() OVER (PARTITION BY lang, ln.doc_id % 2, line ORDER BY ln.doc_id * 10000 + line_no) AS nth FROM ln JOIN documents USING (doc_id))
+    SELECT a.lang, a.doc_id * 10000 + a.line_no AS l, b.doc_id * 10000 + b.line_no AS r, a.nth FROM c a JOIN c b ON a.lang = b.lang AND a.line = b.line AND a.nth = b.nth AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1""")
 def ordered_text_match(spark, d):
-    c = table(spark, d, "conversations")
-    return match.ordered_text_match(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", "turn", "text").select("conv_id", "l", "r", F.col("nth").cast("bigint").alias("nth"))
+    """The n-th time that a line stands in documents of even and of odd number, by language."""
+    rows = lines(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("at", F.col("doc_id") * 10000 + F.col("line_no"))
+    return match.ordered_text_match(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "lang", "at", "line").select("lang", "l", "r", F.col("nth").cast("bigint").alias("nth"))
 
 
 def _bench_lines(spark, d):
