@@ -404,8 +404,8 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     assert got == {(1, 1): ([], 0), (None, 1): ([0], 1), (None, 2): ([0], 1), (2, 0): ([], 0)}
 
 
-@pytest.mark.parametrize("full,finer", [(64, (9, 27)), (3, (9, 27)), (2, (5,)), (1, ())])
-def test_near_lines_of_full_keys(spark, full, finer):
+@pytest.mark.parametrize("full,pieces,depth", [(3, 9, 2), (2, 5, 3)])
+def test_near_lines_of_full_keys(spark, full, pieces, depth):
     """Many copies of one line that are far from each other, near ones among them: the classes are those of all pairs."""
     rnd = random.Random(full)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(40))
@@ -417,7 +417,7 @@ def test_near_lines_of_full_keys(spark, full, finer):
             y[i : i + rnd.randint(0, 2)] = rnd.choice(["", "x", "mn", "pqrs", "opqr"])
         lines.add("".join(y))
     root = classes_of(lines)
-    edges = line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string"), full=full, finer=finer)
+    edges = line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string"), full=full, pieces=pieces, depth=depth)
     nodes = connected_components(edges)
     names = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("node", line_dedup.line_key(F.col("line")))
     rows = names.join(nodes, "node", "left").collect()

@@ -46,3 +46,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def linked_to(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """``edges(u, v)`` -> ``(node, label)``: nodes with equal labels are connected; others may be so too.
+
+    A few rounds of ``connected_components``: enough where most of a class is linked to one of its nodes. A node without a
+    row has itself as its label.
+    """
+    now = edges.select("u", "v").where("u <> v").distinct()
+    for _ in range(rounds):
+        now = cut(_small_star(_large_star(now)), "edges")
+    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))

@@ -12,15 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versewise.llm.components import connected_components
-from versewise.llm.scratch import cut
+from versewise.llm.components import connected_components, linked_to
+from versewise.llm.scratch import cut, small
 
 #: Production parameters: edits allowed at most, and the characters of the longer line that each edit needs.
 EDITS, PER_EDIT = 2, 6
-#: Indexed lines of one segment key that meet pair by pair, and the numbers of segments that fuller keys go on to.
-FULL, FINER = 64, (9, 27)
-#: Ids (8 or 16 bytes) are broadcast up to this many, counted first; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Indexed lines of one segment key that meet pair by pair; the number of segments that fuller keys go on to, and how
+#: often such keys are looked into.
+FULL, PIECES, DEPTH = 24, 9, 2
 #: A line with more than one in so many of all occurrences is joined by broadcast: there are at most so many.
 HEAVY = 1000
 
@@ -87,27 +86,36 @@ def segment_keys(edits: int, per_edit: int, indexed: bool) -> Column:
     return F.concat(*parts)
 
 
-def finer_keys(edits: int, per_edit: int, pieces: int, indexed: bool) -> Column:
-    """As ``segment_keys`` with more pieces than edits + 1, of which all but as many as there are edits agree."""
-    none = F.array().cast("array<bigint>")
-    size, parts = F.col("size"), []
+def _codes(edits: int, pieces: int, indexed: bool) -> Column:
+    """The patterns of ``pieces`` segments as numbers, the plain ones of indexed lines alone or all."""
+    return F.lit([((d * 2 + m) * 64 + s) * 64 + t for d, s, t, m in patterns(edits, pieces) if not indexed or d == m == 0])
 
-    def key(e: int):
-        def of(code: Column) -> Column:
-            t, s, between, longer = code % 64, F.shiftright(code, 6) % 64, F.shiftright(code, 12) % 2, F.shiftright(code, 13)
-            at = lambda j: ((size - longer) * j / pieces).cast("int")
-            runs = F.substring(F.col("line"), F.lit(1), at(s)), F.substring(F.col("line"), at(s + 1) + 1 + between, at(t) - at(s + 1)), F.substring(F.col("line"), at(t + 1) + 1 + longer, size)
-            return F.xxhash64(F.lit(e * 64 + pieces), code % 4096, size - longer, *runs)
 
-        return of
+def _places(code: Column, size: Column, pieces: int):
+    """(s, t, shift between them, shift after t, place of a segment) of a pattern in a string of ``size`` characters."""
+    t, s, between, longer = code % 64, F.shiftright(code, 6) % 64, F.shiftright(code, 12) % 2, F.shiftright(code, 13)
+    return s, t, between, longer, lambda j: ((size - longer) * j / pieces).cast("int")
 
-    for e in range(1, edits + 1):
-        wanted = [(((d * 2 + m) * 64 + s) * 64 + t, d == m == 0) for d, s, t, m in patterns(e, pieces)]
-        top = (e + 1) * per_edit if e < edits else 1 << 30
-        held, own = (size >= e * per_edit - e) & (size < top), (size >= e * per_edit) & (size < top)
-        index = F.when(held, F.transform(F.lit([c for c, i in wanted if i]), key(e))).otherwise(none)
-        parts.append(index if indexed else F.when(own, F.transform(F.lit([c for c, _ in wanted]), key(e))).otherwise(index))
-    return F.concat(*parts)
+
+def finer_keys(edits: int, pieces: int, indexed: bool) -> Column:
+    """Keys and codes of a row ``(part, line, size)``: hashes of all its segments but as many as there are edits.
+
+    Only rows of one ``part`` meet. ``indexed`` as in ``segment_keys``.
+    """
+
+    def key(code: Column) -> Column:
+        s, t, between, longer, at = _places(code, F.col("size"), pieces)
+        runs = F.substring(F.col("line"), F.lit(1), at(s)), F.substring(F.col("line"), at(s + 1) + 1 + between, at(t) - at(s + 1)), F.substring(F.col("line"), at(t + 1) + 1 + longer, F.col("size"))
+        return F.struct(F.xxhash64(F.col("part"), code % 4096, F.col("size") - longer, *runs).alias("key"), code.alias("code"))
+
+    return F.transform(_codes(edits, pieces, indexed), key)
+
+
+def left_open(pieces: int) -> Column:
+    """What the pattern ``code`` leaves open of ``line``: its segments s and t as they stand, one after the other."""
+    s, t, between, longer, at = _places(F.col("code"), F.col("size"), pieces)
+    first = F.substring(F.col("line"), at(s) + 1, at(s + 1) - at(s) + between + F.when(s == t, longer).otherwise(0))
+    return F.when(s == t, first).otherwise(F.concat(first, F.substring(F.col("line"), at(t) + 1 + between, at(t + 1) - at(t) + longer - between)))
 
 
 def _let(value: Column, body) -> Column:
@@ -194,15 +202,12 @@ def with_distance(pairs: DataFrame, a: str, b: str, edits: int, to: str = "dista
     return rows.withColumn(to, measured).drop("_p", "_a", "_b", "_ra", "_rb", "_s", "_near", "x", "y")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-
 def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None) -> DataFrame:
-    """``(u, v, key)`` of the rows ``(id, n, side, line, size)`` that meet on a key and are on different sides.
+    """``(u, v, key)`` of the rows ``(id, n, side, line, size, ...)`` that meet on a key and are on different sides.
 
-    A key with more than ``full`` indexed lines is full: there the line with most occurrences alone meets the others,
-    and ``key`` is given with each of its lines, the one itself included; elsewhere it is null.
+    ``index`` and ``probes`` are arrays of keys. A key with more than ``full`` indexed lines is full: there the line with
+    most occurrences alone meets the others, and ``key`` is given with each of its lines, the one itself included;
+    elsewhere it is null.
     """
     left = rows.select(F.col("id").alias("u"), F.col("side").alias("s"), "n", F.explode(index).alias("key"))
     right = rows.select(F.col("id").alias("v"), F.col("side").alias("r"), F.explode(probes).alias("key"))
@@ -214,7 +219,7 @@ def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None) -> D
     if crowded is None:
         met = left.join(right, "key").where("s <> r").select("u", "v", F.lit(None).cast("long").alias("key"))
     else:
-        crowded = _few(crowded)
+        crowded = small(crowded)
         heads = left.join(crowded, "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("u", "s"), F.struct("n", "u")).alias("h")).select("key", "h.*", F.lit(True).alias("full"))
         left = left.join(crowded, "key", "left_anti").select("key", "u", "s", F.lit(False).alias("full")).unionByName(heads)
         met = left.join(right, "key").where("s <> r or full").select("u", "v", F.when(F.col("full"), F.col("key")).alias("key"))
@@ -223,7 +228,7 @@ def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None) -> D
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """``(id, name, line, n)`` of the distinct lines with one of the given ids."""
-    rows = lines.select(F.xxhash64("line").alias("id"), "line").join(_few(ids), "id", "left_semi").groupBy("id", "line").agg(F.count("*").alias("n"))
+    rows = lines.select(F.xxhash64("line").alias("id"), "line").join(small(ids), "id", "left_semi").groupBy("id", "line").agg(F.count("*").alias("n"))
     return cut(rows.select("id", line_key(F.col("line")).alias("name"), "line", "n"), "texts")
 
 
@@ -238,7 +243,7 @@ def _verify(lines: DataFrame, met: DataFrame, edits: int, per_edit: int) -> Data
     return cut(measured.select("u", "v", "nu", "nv", "distance", "most"), "distances").where("distance <= most").select("u", "v", "nu", "nv")
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, full: int = FULL, finer: tuple[int, ...] = FINER) -> DataFrame:
+def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, full: int = FULL, pieces: int = PIECES, depth: int = DEPTH) -> DataFrame:
     """Edges ``(u, v)`` whose connected lines are those of all pairs within the allowed edits.
 
     ``lines(line)`` may repeat lines; u and v are their ``line_key``. A pair may differ by ``edits`` edits at most, and
@@ -246,28 +251,37 @@ def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, f
     keys are hashed, so only numbers are shuffled by the join; texts are looked up for lines that met.
 
     A full key's lines are compared with the most frequent of them. If they are not all in one class then, those
-    lines meet again on the next finer keys, across classes only. Keys of the last number of pieces, which differ
-    in small stretches only, meet pair by pair. So no link between two classes is lost, and pairs inside a class are
-    not all made.
+    lines meet again on keys of ``pieces`` segments of which all but ``edits`` agree, across classes only; where such a
+    key is full too, on the segments that it leaves open, cut again, and so on ``depth`` times. The last keys meet pair
+    by pair. So no link between two classes is lost, and pairs inside a class are not all made.
     """
     distinct = lines.where(F.length("line") >= per_edit - 1).groupBy("line").agg(F.count("*").alias("n"))
     rows = distinct.select(F.xxhash64("line").alias("id"), "n", F.xxhash64("line").alias("side"), "line", F.length("line").alias("size"))
     index, probes, edges = segment_keys(edits, per_edit, True), segment_keys(edits, per_edit, False), None
-    for k in (*finer, 0):
-        met = cut(_meet(rows, index, probes, full if k else None), "met")
+    only = lambda keys: F.transform(keys, lambda x: x["key"])
+    for level in range(depth + 1):
+        met = cut(_meet(rows, index, probes, full if level < depth else None), "met")
         found = _verify(lines, met.where("u <> v").select("u", "v").distinct(), edits, per_edit)
         edges = found if edges is None else edges.unionByName(found)
+        if level == depth:
+            break
         members = met.where("key is not null").select("key", F.explode(F.array("u", "v")).alias("id")).distinct()
-        if not k or not members.take(1):
+        if not members.take(1):
             break
-        sides = cut(connected_components(edges.select("u", "v")), "sides")
-        sided = cut(members.join(_few(sides), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("side")), "members")
-        mixed = sided.groupBy("key").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("key")
-        again = cut(sided.join(_few(cut(mixed, "mixed")), "key", "left_semi").select("id", "side").distinct(), "again")
+        sides = cut(linked_to(edges.select("u", "v")), "sides")
+        sided = cut(members.join(small(sides), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("side")), "members")
+        mixed = small(cut(sided.groupBy("key").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("key"), "mixed"))
+        again = cut(sided.join(mixed, "key", "left_semi").select("id", "side").distinct(), "again")
         if not again.take(1):
             break
-        rows = _texts(lines, again.select("id")).join(_few(again), "id").select("id", "n", "side", "line", F.length("line").alias("size"))
-        index, probes = finer_keys(edits, per_edit, k, True), finer_keys(edits, per_edit, k, False)
+        again = small(again)
+        if level == 0:
+            rows = _texts(lines, again.select("id")).join(again, "id").select("id", "n", "side", "line", F.length("line").alias("size"), F.lit(0).cast("long").alias("part"))
+        else:
+            opened = rows.drop("side").join(again, "id").withColumn("k", F.explode(finer_keys(edits, pieces, False))).select("*", "k.key", "k.code").join(mixed, "key", "left_semi")
+            rows = opened.select("id", "n", "side", left_open(pieces).alias("line"), F.col("key").alias("part")).distinct().withColumn("size", F.length("line"))
+            rows = cut(rows, "open")
+        index, probes = only(finer_keys(edits, pieces, True)), only(finer_keys(edits, pieces, False))
     return edges.select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
 
@@ -285,10 +299,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, i
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no").alias("at")
     occur = cut(lines.where(~F.col("line").rlike(r"^\s*$")).select(place, line_key(F.col("line")).alias("name")), "occurrences")
     texts = occur.groupBy("name").agg(F.min("at").alias("own"), F.count("*").alias("n"))
-    texts = cut(texts.join(_few(classes), F.col("name") == F.col("node"), "left").where("n > 1 or component is not null").select("name", "own", "n", "component"), "lines")
+    texts = cut(texts.join(small(classes), F.col("name") == F.col("node"), "left").where("n > 1 or component is not null").select("name", "own", "n", "component"), "lines")
     firsts = texts.where("component is not null").groupBy("component").agg(F.min("own").alias("first"))
     alone = texts.where("component is null").select("name", "n", "own", F.col("own").alias("first"))
-    linked = texts.join(_few(cut(firsts, "firsts")), "component").select("name", "n", "own", "first")
+    linked = texts.join(small(cut(firsts, "firsts")), "component").select("name", "n", "own", "first")
     known = cut(alone.unionByName(linked), "known")
     # Frequent lines are joined by broadcast: fewer than HEAVY can have more than a HEAVY-th of all occurrences.
     heavy = F.col("n") > F.lit(max(1, occur.count() // HEAVY))

@@ -1,7 +1,7 @@
 """Shared scratch space: written tables that cut lineage and survive lost executors.
 
 Everything goes below ``spark.checkpoint.dir``, the folder that all executors share; only where that setting
-is absent (unit tests on one machine) a temporary folder is made and set.
+is absent and the session runs on one machine (unit tests) a temporary folder is made and set.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Narrow rows (of ids and hashes) are broadcast up to this many, counted first; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -18,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, as a URI or path."""
     root = spark.conf.get(_SETTING, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="versewise-shared-")
         spark.conf.set(_SETTING, root)
     return root.rstrip("/")
@@ -39,6 +45,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for a broadcast if there are few enough. They should be a written table: they are counted."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 #: Rows and bytes of a batch of whole texts that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
