@@ -20,6 +20,8 @@ MIN_MARGIN = 0.002
 #: on, apart from the rows learned from; the lengths (bytes) that they are fitted for; the share of rightly labelled
 #: pieces that may fall below.
 FIT_DOCS, FIT_ALL, FIT_CHARS, BANDS, QUANTILE = 200, 2000, 4096, tuple(16 << k for k in range(10)), 0.005
+#: Languages that are learned at most (those with most rows), and how many times the sample is ranked.
+MOST_LANGS, SPARE = 500, 4
 UNKNOWN = "und"
 
 
@@ -53,19 +55,26 @@ def letters_only(text: Column) -> Column:
 def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from a bounded sample: of each language the ``sample_docs`` rows that come first by a hash of the id.
 
-    The choice is made over ids alone (ranks are limited before and after the shuffle, so a language with most
-    rows is not gathered); then the chosen rows' texts fill a dictionary of ``dictionary_bytes``, an equal piece
+    The choice is made over ids and hashes of the texts: of each language the rows with the lowest hashes, a few
+    times as many as are taken, are ranked, so a language with most rows is not gathered. Then the chosen rows' texts fill a dictionary of ``dictionary_bytes``, an equal piece
     of each. The next ``FIT_DOCS`` rows (of a small language the last fifth) are not learned from: the rejection
     margins are fitted on pieces of them. Rows with null text or language are not used. Without any row the model
     is empty.
     """
-    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), letters_only(F.col(text_col)).alias("text"))
-    order = [F.xxhash64("id"), F.col("id")]
-    ids = known.select("id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample_docs + FIT_DOCS).groupBy("id", "lang").agg(F.min("r").alias("r"))
+    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("raw"))
+    most = sample_docs + FIT_DOCS
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    # Only rows whose hash is low go to the ranking: a few times as many as are taken, whatever the language's rows.
+    h = F.xxhash64("id", "key")
+    low = F.lit(False)
+    for lang, n in counts.items():
+        low = F.when(F.col("lang") == lang, F.pmod(h, F.lit(1 << 30)) < (1 << 30) * SPARE * most // n).otherwise(low)
+    ranked = known.select("id", "key", "lang").where(low).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "id", "key"))).where(F.col("r") <= most)
     last = F.max("r").over(Window.partitionBy("lang"))
-    ids = ids.withColumn("fit", F.col("r") > F.least(F.lit(sample_docs), F.ceil(last * 0.8)))
+    chosen = ranked.withColumn("fit", F.col("r") > F.least(F.lit(sample_docs), F.ceil(last * 0.8)))
     piece = max(64, dictionary_bytes // sample_docs)
-    texts = known.join(F.broadcast(ids), ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), "id", "text", "fit")
+    texts = known.join(F.broadcast(chosen.withColumnsRenamed({"id": "i", "lang": "l", "key": "k"})), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l"))).dropDuplicates(["i", "k", "l"])
+    texts = texts.select("lang", h.alias("h"), "id", letters_only(F.col("raw")).alias("text"), "fit")
     # Pieces are cut from the middle, on a code point; the driver gets at most languages * (dictionary bytes and
     # FIT_DOCS * FIT_CHARS).
     texts = texts.where(F.length("text") > 0)
@@ -74,9 +83,8 @@ def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionar
     rows = texts.collect()
     by_lang: dict[str, list] = {}
     apart: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.h, r.id, r.part)):
+    for r in sorted(rows, key=lambda r: (r.h, str(r.id), r.part)):
         (apart if r.fit else by_lang).setdefault(r.lang, []).append(r.part.encode())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(by_lang)
     model = LanguageModel(tuple((lang, b"\n".join(by_lang[lang])[-dictionary_bytes:]) for lang in names), tuple(counts[lang] for lang in names))
     return replace(model, margins=_fit_margins(model, [apart.get(lang, []) for lang in names]))

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versewise.llm.components import connected_components
-from versewise.llm.scratch import bound_batches, cut
+from versewise.llm.scratch import bound_batches, cut, small
 from versewise.llm.texthash import blocks, gram_hashes, mix, word_hashes
 
-#: Ids (8 bytes each) up to this many are broadcast after they are counted; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: A set with more than one in so many of all rows is joined by broadcast: there are at most so many.
+HEAVY = 1000
 #: Bytes of n-gram sets that one side of a verification block holds.
 BLOCK_BYTES = 16 << 20
 
@@ -60,12 +60,12 @@ def _hash_family(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, banding: Banding, n: int = 5, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """``(doc_id, digest, n_grams, bands)`` and, with ``sets``, the sorted n-gram hashes as ``grams`` (binary).
+    """``(doc_id, text_key, digest, n_grams, bands)`` and, with ``sets``, the sorted n-gram hashes as ``grams`` (binary).
 
     Words are lower-cased runs of letters and digits; a text of fewer than n words, but not none, is one gram.
     Texts without words have a null digest.
     """
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, digest binary, n_grams int, bands binary" + (", grams binary" if sets else "")
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, text_key long, digest binary, n_grams int, bands binary" + (", grams binary" if sets else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, banding: Banding, n: int = 5, id_col: str = "doc
         a, b = a[:, None], b[:, None]
         salt = np.arange(banding.bands, dtype=np.uint64)
         for batch in batches:
-            for first, texts in blocks(batch.column(1)):
+            for first, texts in blocks(batch.column(2)):
                 words, at = word_hashes(texts)
                 out = ([], [], [], [])
                 for i in range(len(texts)):
@@ -90,11 +90,11 @@ def signatures(docs: DataFrame, banding: Banding, n: int = 5, id_col: str = "doc
                     raw = grams.tobytes()
                     for x, v in zip(out, (hashlib.blake2b(raw, digest_size=16).digest(), len(grams), band.tobytes(), raw)):
                         x.append(v)
-                cols = [batch.column(0).slice(first, len(texts)), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())]
+                cols = [batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(out[3], pa.binary())] if sets else []), names)
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], cells: int = 4 << 20) -> np.ndarray:
@@ -119,28 +119,26 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], cells: int =
     return total.astype(np.int64)
 
 
-class _Forest:
-    """Local components of the verified links of one block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each member's component under the links (i, j), by spreading minima and jumping."""
+    up = np.arange(n)
+    while len(i):
+        least = np.minimum(up[i], up[j])
+        new = up.copy()
+        np.minimum.at(new, i, least), np.minimum.at(new, j, least)
+        np.minimum.at(new, up[i], least), np.minimum.at(new, up[j], least)
+        new = new[new]
+        if (new == up).all():
+            break
+        up = new
+    return up
 
 
 def _verify(rows: list[tuple], threshold: float) -> list[tuple]:
-    """Links of one block's pairs: ``(doc_id, root, links, linked)`` of every text that has one.
+    """Links of one block's pairs: ``(digest, root, links, linked)`` of every set that has one.
 
     A pair counts in the first band that the two share and in no other, so that no pair is emitted or counted
-    twice. Output is a row a text, whatever the number of pairs.
+    twice. Output is a row a set, whatever the number of pairs.
     """
     rows = sorted(rows, key=lambda r: (r[4], r[5]))
     band, lo, hi = rows[0][0], rows[0][2], rows[0][3]
@@ -156,64 +154,61 @@ def _verify(rows: list[tuple], threshold: float) -> list[tuple]:
         linked &= np.triu(np.ones_like(linked), 1)
     sig = [np.array([np.frombuffer(r[8], np.uint64) for r in side]) for side in (mine, other)]
     pairs = np.argwhere(linked)
-    forest, n = _Forest(len(rows)), len(mine)
+    n = len(mine)
     links, near = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     copies = np.array([r[7] for r in mine] + ([] if lo == hi else [r[7] for r in other]))
+    held = []
     for start in range(0, len(pairs), 65536):
         part = pairs[start : start + 65536]
         first = (sig[0][part[:, 0]] == sig[1][part[:, 1]]).argmax(axis=1) == band
         i, j = part[first, 0], part[first, 1] + (0 if lo == hi else n)
         np.add.at(near, i, 1), np.add.at(near, j, 1)
         np.add.at(links, i, copies[j]), np.add.at(links, j, copies[i])
-        for a, b in zip(i.tolist(), j.tolist()):
-            forest.join(a, b)
+        held.append((i, j))
     every = mine if lo == hi else mine + other
-    least: dict[int, int] = {}
-    for k, r in enumerate(every):
-        root = forest.root(k)
-        least[root] = min(least.get(root, r[5]), r[5])
-    return [(every[k][5], least[forest.root(k)], int(links[k]), int(near[k])) for k in range(len(every)) if near[k]]
+    ends = [np.concatenate(x) if held else np.zeros(0, np.int64) for x in (zip(*held) if held else ((), ()))]
+    up = _roots(len(every), *ends)
+    return [(every[k][5], every[up[k]][5], int(links[k]), int(near[k])) for k in range(len(every)) if near[k]]
 
 
 def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, class_id, n_links, n_copies)``: one row per document.
+    """``(doc_id, text_key, class_id, n_links, n_copies, first)``: one row per document.
 
     Two documents are linked when the Jaccard similarity of their sets of word n-grams is at least ``threshold``;
-    ``class_id`` is the least doc_id of the connected documents, ``n_links`` the number of documents linked to
-    this one (those with an equal set included) and ``n_copies`` that of equal sets alone. Documents with equal
-    sets are joined as one. Band buckets with equal members are verified once; a bucket of any size is dealt
-    over blocks of bounded bytes, each pair of blocks being a task's group. Null and empty texts, and texts
-    without words, have no set: each is a class of its own without links. Repeated rows of one id count as
-    copies of one another.
+    ``class_id`` is the least doc_id of the connected documents (null if all are null), ``n_links`` the number of
+    documents linked to this one (those with an equal set included) and ``n_copies`` that of equal sets alone.
+    ``first`` marks the class's first row by (doc_id, hash of the text), null ids last, and rows equal to it in
+    both. Documents with equal sets are joined as one, named by a 128-bit digest of the set. Band buckets with equal
+    members are verified once; a bucket of any size is dealt over blocks of bounded bytes, each pair of blocks being
+    a task's group. Null and empty texts, and texts without words, have no set: each is a class of its own without
+    links. Repeated rows of one id count as copies of one another. Ids are integers.
     """
     banding = choose_banding(threshold, recall)
     marks = cut(signatures(docs, banding, n, id_col, text_col), "signatures")
-    same = marks.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    same = cut(same, "copies")
-    reps = marks.join(same.select("rep", "copies", F.col("digest").alias("d")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).dropDuplicates(["rep", "digest"])
-    band_rows = reps.select("rep", "n_grams", "copies", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(banding.bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))).alias("band", "bucket"))
-    band_rows = cut(band_rows, "bands")
-    member = F.xxhash64("rep")
-    buckets = band_rows.groupBy("band", "bucket").agg(F.count("*").alias("k"), F.sum(F.col("n_grams").cast("long") * 8).alias("bytes"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("k > 1")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    same = marks.where("digest is not null").groupBy("digest").agg(F.min(at).alias("head"), F.count("*").alias("copies"), F.min(F.struct("n_grams", "bands")).alias("x"))
+    same = cut(same.select("digest", "head", "copies", "x.n_grams", "x.bands"), "copies")
+    band_rows = same.select("digest", "n_grams", "copies", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(banding.bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))).alias("band", "bucket"))
+    buckets = band_rows.groupBy("band", "bucket").agg(F.count("*").alias("k"), F.sum(F.col("n_grams").cast("long") * 8).alias("bytes"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")).where("k > 1")
     kept = buckets.groupBy("k", "bytes", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("k") / 2048))).cast("int").alias("parts"))
-    members = cut(band_rows.join(cut(kept, "buckets"), ["band", "bucket"]).select("band", "bucket", "parts", "rep", "copies"), "members")
-    active = cut(members.select("rep").distinct(), "active")
-    few = active.count() <= BROADCAST_IDS
-    chosen = docs.join((F.broadcast(active) if few else active).withColumnRenamed("rep", "_rep"), F.col(id_col) == F.col("_rep"), "left_semi")
-    grams = signatures(chosen, banding, n, id_col, text_col, sets=True).select(F.col("doc_id").alias("rep"), "digest", "bands", "grams").dropDuplicates(["rep", "digest"])
-    grams = grams.join(same.select("rep", "digest"), ["rep", "digest"], "left_semi").drop("digest")
-    part = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int")
+    members = cut(band_rows.join(small(cut(kept, "buckets")), ["band", "bucket"]).select("band", "bucket", "parts", "digest", "copies"), "members")
+    active = cut(same.join(small(cut(members.select("digest").distinct(), "active")), "digest", "left_semi").select("head.doc_id", "head.text_key"), "heads")
+    mine = F.col(f"d.`{id_col}`").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("h.text_key"))
+    chosen = docs.alias("d").join(small(active).alias("h"), mine, "left_semi")
+    grams = signatures(chosen, banding, n, id_col, text_col, sets=True).select("digest", "bands", "grams").dropDuplicates(["digest"])
+    part = F.pmod(F.xxhash64("digest", F.lit(5)), F.col("parts")).cast("int")
     dealt = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "copies")
-    dealt = dealt.join(grams, "rep").select("band", "bucket", "lo", "hi", "part", "rep", F.lit(0).alias("pad"), "copies", "bands", "grams")
+    dealt = dealt.select("band", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "digest", "copies")
+    dealt = dealt.join(grams, "digest").select("band", "bucket", "lo", "hi", "part", "digest", F.lit(0).alias("pad"), "copies", "bands", "grams")
     group = ["band", "bucket", "lo", "hi"]
     dealt = dealt.repartition(*group).sortWithinPartitions(*group)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ([], [], [], []))], ["doc_id", "root", "links", "linked"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([], [], [], []), kinds)], ["digest", "root", "links", "linked"])
 
         for batch in batches:
             done: list[tuple] = []
@@ -226,10 +221,20 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, reca
         if held:
             yield out(_verify(held, threshold))
 
-    links = cut(dealt.mapInArrow(verify, "doc_id long, root long, links long, linked long"), "links")
-    classes = connected_components(links.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
-    counts = links.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "rep")
-    found = cut(counts.join(classes.withColumnRenamed("node", "rep"), "rep", "left"), "found")
-    rows = marks.select("doc_id", "digest").join(same.where("copies > 1"), "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    rows = rows.join(found, "rep", "left")
-    return rows.select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    links = cut(dealt.mapInArrow(verify, "digest binary, root binary, links long, linked long"), "links")
+    classes = cut(connected_components(links.select(F.col("digest").alias("u"), F.col("root").alias("v"))), "classes")
+    counts = links.groupBy("digest").agg(F.sum("links").alias("links"))
+    found = cut(counts.join(small(classes), F.col("digest") == F.col("node"), "left").select("digest", "links", "component"), "found")
+    info = same.select("digest", "head", "copies").join(small(found), "digest", "left").where("copies > 1 or links is not null")
+    heads = cut(info.where("component is not null").groupBy("component").agg(F.min("head").alias("lead")), "leads")
+    facts = cut(info.join(small(heads), "component", "left").select(F.col("digest").alias("known"), F.coalesce("lead", "head").alias("lead"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "facts")
+    # Sets of very many documents are joined by broadcast: fewer than HEAVY can have more than a HEAVY-th of all rows.
+    bound = F.lit(max(1, marks.count() // HEAVY))
+    often = F.broadcast(facts.where(F.col("copies") > bound))
+    rows = marks.select("doc_id", "text_key", "digest")
+    worded = rows.where("digest is not null")
+    joined = worded.join(often, F.col("digest") == F.col("known")).unionByName(worded.join(often.select("known"), F.col("digest") == F.col("known"), "left_anti").join(facts.where(F.col("copies") <= bound), F.col("digest") == F.col("known"), "left"))
+    joined = joined.drop("digest", "known").unionByName(rows.where("digest is null").drop("digest"), allowMissingColumns=True)
+    copies = F.coalesce("copies", F.lit(1)) - 1
+    own = F.col("lead").isNull() | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_key") == F.col("lead.text_key")))
+    return joined.select("doc_id", "text_key", F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"), (copies + F.coalesce("links", F.lit(0))).alias("n_links"), copies.alias("n_copies"), own.alias("first"))

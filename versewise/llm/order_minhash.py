@@ -14,12 +14,15 @@ from pyspark.sql.window import Window
 
 from versewise.llm.ranges import range_bounds, range_of
 
-#: Tokens are runs of up to eight characters that are not white space.
-TOKEN = r"[^\s]{1,8}"
+#: Tokens are words of up to twelve characters; longer runs without white space are cut after vowels and after
+#: characters beyond ASCII, so that an edit inside one moves no later cut, and after eight characters at most.
+TOKEN = r"\S{1,12}+(?!\S)|\S{0,7}?[aeiouAEIOU[^\x00-\x7F]&&\S]|\S{1,8}"
 BINS, PICKED, K = 32, 2, 3
-#: Numbered k-mers that are looked at: the least by hash, eight a bin on average.
+#: Numbered k-mers that are looked at first: the least by hash, eight a bin on average. Bins that hold too few of
+#: them are filled up from all others.
 LEAST = 8 * BINS
-_PLACE = (1 << 22) - 1  # low bits of a packed number: the place in the text
+_AT = 31  # low bits of a packed number: the place in the text, for which any array's length fits
+_PLACE = (1 << _AT) - 1
 _BITS = ~_PLACE
 
 
@@ -32,6 +35,8 @@ def _packed(w: Column) -> Column:
 def fingerprint_columns(df: DataFrame, text: str, to: str) -> DataFrame:
     """Adds ``to``: the fingerprint (array of BINS hashes; null where a bin is empty) of column ``text``.
 
+    Texts of any length; ties between equal k-mers go by their number. Columns of ``df`` that begin with an underscore
+    must not have the names used here.
     Each step is a column of its own, so that no array is computed twice.
     """
     high = lambda x: x.bitwiseAND(F.lit(_BITS))
@@ -41,31 +46,43 @@ def fingerprint_columns(df: DataFrame, text: str, to: str) -> DataFrame:
     df = df.withColumn("_more", F.size(F.array_distinct(F.transform("_s", high))) < F.size("_s"))
     same = lambda i, j: high(F.get("_s", i)) == high(F.get("_s", j))
     first = F.filter("_s", lambda x, i: (i == 0) | ~same(i, F.greatest(F.lit(0), i - 1)))
-    df = df.withColumn("_first", F.slice(F.when(F.col("_more"), first).otherwise(F.col("_s")), 1, LEAST))
+    df = df.withColumn("_first", F.when(F.col("_more"), first).otherwise(F.col("_s")))
     again = F.filter(F.sequence(F.lit(1), F.size("_s") - 1), lambda i: same(i, i - 1))
     # How far its run of equals reaches back, by halving: the run is contiguous as the array is sorted.
-    back = lambda i: F.aggregate(F.array(*[F.lit(1 << b) for b in range(16, -1, -1)]), F.lit(0), lambda d, s: F.when((i >= d + s) & same(F.greatest(F.lit(0), i - d - s), i), d + s).otherwise(d))
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.size("_s") + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    df = df.withColumn("_steps", F.when(F.col("_more"), steps))
+    back = lambda i: F.aggregate("_steps", F.lit(0), lambda d, s: F.when((i >= d + s) & same(F.greatest(F.lit(0), i - d - s), i), d + s).otherwise(d))
     numbered = F.transform(again, lambda i: F.xxhash64(high(F.get("_s", i)), back(i)).bitwiseAND(F.lit(_BITS)).bitwiseOR(F.get("_s", i).bitwiseAND(F.lit(_PLACE))))
-    df = df.withColumn("_again", F.when(F.col("_more"), F.slice(F.sort_array(numbered), 1, LEAST)))
-    df = df.withColumn("_least", F.when(F.col("_more"), F.slice(F.sort_array(F.concat("_first", "_again")), 1, LEAST)).otherwise(F.col("_first")))
+    df = df.withColumn("_again", F.when(F.col("_more"), numbered))
+    every = F.when(F.col("_more"), F.sort_array(F.concat("_first", "_again"))).otherwise(F.col("_first"))
+    df = df.withColumn("_every", every).withColumn("_head", F.slice("_every", 1, LEAST))
     # From here on numbers are packed as (bin, place, index into the least), so that all sorts are of plain numbers.
     # The bin comes from the hash's last bits, on which the order among the least does not depend.
-    index = lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    bin_of = lambda x: F.shiftrightunsigned(x, 22).bitwiseAND(F.lit(BINS - 1))
-    df = df.withColumn("_binned", F.sort_array(F.transform("_least", lambda x, i: F.shiftleft(bin_of(x), 32).bitwiseOR(i.cast("bigint")))))
-    picked = F.filter("_binned", lambda k, i: (i < PICKED) | (F.shiftright(F.get("_binned", F.greatest(F.lit(0), i - PICKED)), 32) != F.shiftright(k, 32)))
-    place = lambda k: F.shiftleft(F.get("_least", index(k)).bitwiseAND(F.lit(_PLACE)), 32)
-    df = df.withColumn("_placed", F.sort_array(F.transform(picked, lambda k: F.shiftleft(F.shiftright(k, 32), 54).bitwiseOR(place(k)).bitwiseOR(k.bitwiseAND(F.lit(0xFFFFFFFF))))))
+    bin_of = lambda x: F.shiftrightunsigned(x, _AT).bitwiseAND(F.lit(BINS - 1)).cast("int")
+    by_bin = lambda least: F.sort_array(F.transform(least, lambda x, i: F.shiftleft(bin_of(x).cast("bigint"), 32).bitwiseOR(i.cast("bigint"))))
+    df = df.withColumn("_binned", by_bin("_head"))
+    # Bins that hold PICKED of the first ones, as a set of bits; for the others all the rest is looked through.
+    held = F.filter("_binned", lambda k, i: F.shiftright(F.get("_binned", i + (PICKED - 1)), 32) == F.shiftright(k, 32))
+    full = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseOR(F.pow(F.lit(2), F.shiftright(k, 32)).cast("bigint")))
+    df = df.withColumn("_full", F.when(F.size("_every") > LEAST, full).otherwise((1 << BINS) - 1))
+    rest = F.filter("_every", lambda x, i: (i >= LEAST) & (F.col("_full").bitwiseAND(F.pow(F.lit(2), bin_of(x)).cast("bigint")) == 0))
+    short = F.col("_full") != (1 << BINS) - 1
+    df = df.withColumn("_least", F.when(short, F.concat("_head", rest)).otherwise(F.col("_head")))
+    df = df.withColumn("_sorted", F.when(short, by_bin("_least")).otherwise(F.col("_binned")))
+    picked = F.filter("_sorted", lambda k, i: (i < PICKED) | (F.shiftright(F.get("_sorted", F.greatest(F.lit(0), i - PICKED)), 32) != F.shiftright(k, 32)))
+    index = lambda k: k.bitwiseAND(F.lit((1 << 28) - 1)).cast("int")
+    place = lambda k: F.shiftleft(F.get("_least", index(k)).bitwiseAND(F.lit(_PLACE)), 28)
+    df = df.withColumn("_placed", F.sort_array(F.transform(picked, lambda k: F.shiftleft(F.shiftright(k, 32), 59).bitwiseOR(place(k)).bitwiseOR(index(k).cast("bigint")))))
     # Tuples: the selected k-mers of a bin in the text's order; the last of a bin closes its tuple.
     at = lambda i: F.get("_placed", i)
-    bin_at, hash_at = lambda k: F.shiftright(k, 54), lambda k: high(F.get("_least", index(k)))
+    bin_at, hash_at = lambda k: F.shiftrightunsigned(k, 59), lambda k: high(F.get("_least", index(k)))
     ends = F.filter(F.sequence(F.lit(0), F.size("_placed") - 1), lambda i: at(i + 1).isNull() | (bin_at(at(i + 1)) != bin_at(at(i))))
     before = lambda i: F.when((i > 0) & (bin_at(at(F.greatest(F.lit(0), i - 1))) == bin_at(at(i))), hash_at(at(F.greatest(F.lit(0), i - 1)))).otherwise(F.lit(0))
     closed = F.transform(ends, lambda i: F.struct(bin_at(at(i)).cast("int").alias("b"), F.xxhash64(before(i), hash_at(at(i))).alias("t")))
     df = df.withColumn("_closed", F.when(F.size("_placed") > 0, F.map_from_entries(closed)).otherwise(F.create_map().cast("map<int,bigint>")))
     # One look-up a bin: inside a lambda the optimizer would put the map's whole expression, once for every bin.
     df = df.withColumn(to, F.array(*[F.element_at("_closed", F.lit(b)) for b in range(BINS)]))
-    return df.drop("_w", "_s", "_more", "_first", "_again", "_least", "_binned", "_placed", "_closed")
+    return df.drop("_w", "_s", "_more", "_steps", "_first", "_again", "_every", "_head", "_full", "_least", "_binned", "_sorted", "_placed", "_closed")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,7 +102,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text is the text with its last third (rounded down) replaced by as many characters (or all) from
     the front of the next document in descending doc_id; after the last comes the first. Null is the empty text.
-    Rows of one id are ordered by their texts; a null id comes last. A table of one row is its own next.
+    Rows of one id are ordered by their texts; a null id comes last. A table of one row is its own next. Ids are
+    integers. An empty table gives no rows.
 
     Rows are dealt to ranges of ids; each range's first document is also sent, as a guest, to the range before
     it, so that a window in each range sees the next text without one order over the whole table. The driver
@@ -110,6 +128,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("_to", guest)
     places = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_to").alias("block"), F.lit(1).alias("guest"))))
     rows = rows.select("doc_id", "text", "fp", F.explode(places).alias("at")).select("doc_id", "text", "fp", "at.block", "at.guest")
+    rows = rows.repartition(len(bounds) + 1, "block")
     w = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("guest = 0")

@@ -31,7 +31,9 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: A candidate too: words that begin with a digit, a plus or a bracket and go on with groups of digits, a blank between.
 GROUPS = r"(?<!\S)[+(]{0,2}+[0-9][0-9().-]*+(?: \(?+[0-9][0-9().-]*+)++(?![^\s.,;:!?])"
 #: Production parameters of the bootstrap.
-ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_VALUE, MIN_DIGITS = 3, 3, 0.6, 0.85, 4
+MIN_SUPPORT, MIN_PATTERN, MIN_VALUE, MIN_DIGITS = 3, 0.6, 0.85, 4
+#: Characters beside a span that its neighbouring words are looked for in first.
+NEAR = 80
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -81,10 +83,19 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _context(text: Column, span: Column) -> tuple[Column, Column, Column]:
-    """The two words before a span and the one after it, lower-cased, from 80 characters on either side."""
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] - 79), F.least(F.lit(80), span["start"])))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(80)))
-    return F.regexp_extract(before, r"(\S+)\s+\S+\s*$", 1), F.regexp_extract(before, r"(\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)", 1)
+    """The two words before a span and the one after it, whole and lower-cased; empty where there is none.
+
+    They are looked for in NEAR characters on either side, and in all that stands there if a word reaches further.
+    """
+    n, size = span["start"], F.length(text)
+    close = F.substring(text, F.greatest(F.lit(1), n - NEAR + 1), F.least(F.lit(NEAR), n))
+    whole = (n <= NEAR) | close.rlike(r"\s\S+\s+\S+\s*$")
+    before = F.reverse(F.lower(F.when(whole, close).otherwise(F.substring(text, F.lit(1), n))))
+    next_ = F.substring(text, span["end"] + 1, F.lit(NEAR))
+    ended = (size - span["end"] <= NEAR) | next_.rlike(r"^\s*\S+\s")
+    after = F.lower(F.when(ended, next_).otherwise(F.substring(text, span["end"] + 1, size)))
+    words = r"^\s*+(\S++)(?:\s++(\S++))?"
+    return F.reverse(F.regexp_extract(before, words, 2)), F.reverse(F.regexp_extract(before, words, 1)), F.regexp_extract(after, r"^\s*+(\S++)", 1)
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +127,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("doc_id", "text_key", *KINDS, every.alias("seen"))
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_pattern: float = MIN_PATTERN, min_value: float = MIN_VALUE, min_digits: int = MIN_DIGITS) -> DataFrame:
+def bootstrap(seen: DataFrame, min_support: int = MIN_SUPPORT, min_pattern: float = MIN_PATTERN, min_value: float = MIN_VALUE, min_digits: int = MIN_DIGITS) -> DataFrame:
     """``(value, kind)`` of the unseen identifiers that the graph finds.
 
     ``seen(kind, value, far, near, after)`` lists mentions; kind is null where it is not known. Two patterns come
@@ -126,7 +137,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPP
     are known; a value's score is 1 - prod(1 - confidence) over its patterns of at least ``min_pattern``. Values
     of at least ``min_value`` with ``min_digits`` digits, for e-mail with an at sign inside, are found (ties: the first kind in order) and are known
     in the next round. Patterns of fewer than ``min_support`` + 1 distinct values say nothing about others and
-    are left out. Both scores are sums combined before the shuffle, however many mentions a pattern has.
+    are left out. Rounds go on until one finds no value. Both scores are sums combined before the shuffle, however many mentions a pattern has.
     """
     sides = F.array(F.concat_ws(" ", F.lit("<<"), "far", "near"), F.concat_ws(" ", F.lit("<>"), "near", F.lit("_"), "after"))
     begins = (F.col("near") == "") & (F.col("after") != "")
@@ -141,7 +152,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPP
     # The shape that an unseen value of a kind must have.
     like = lambda kind: F.when(kind == "email", F.col("value").rlike(r"[^\s@]@[^\s@]")).otherwise(F.length(_digits(F.col("value"))) >= min_digits)
     found = None
-    for _ in range(rounds):
+    while True:
         scores = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("support"), F.max("n").alias("n")).where(F.col("support") >= min_support)
         good = scores.withColumn("c", F.least(F.col("s") / F.col("n"), F.lit(0.999))).where(F.col("c") >= min_pattern).select("pattern", F.col("kind").alias("of"), "c")
         open_ = edges.join(known.select("value"), "value", "left_anti").where(like(F.lit("email")) | like(F.lit("")))

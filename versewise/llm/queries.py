@@ -73,7 +73,7 @@ def _is_kind(kind: str):
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewise.llm.ngram_join import ngram_jaccard_join
 
-    return ngram_jaccard_join(_read(spark, sf_dir, "documents"), threshold=0.8, n=5)
+    return ngram_jaccard_join(_read(spark, sf_dir, "documents"), threshold=0.8, n=5).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

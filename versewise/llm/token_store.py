@@ -248,7 +248,7 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, fol
     rows = docs.select(F.col(order_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     bounds = range_bounds(rows, "key", F.octet_length("text"), range_bytes)
     coded = encode_texts(rows.select("key", range_of(F.col("key"), bounds).cast("int").alias("range"), "text"), tokenizer_path, end_id)
-    ordered = coded.repartition("range").sortWithinPartitions("range", F.col("key").asc_nulls_first(), "ids")
+    ordered = coded.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("key").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, lengths, done, at, part, total = [], [], [], [], None, 0, 0
