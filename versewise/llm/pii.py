@@ -82,25 +82,34 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast(_SPAN))
 
 
-def _context(text: Column, span: Column) -> tuple[Column, Column, Column]:
-    """The two words before a span and the one after it, whole and lower-cased; empty where there is none.
+def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    They are looked for in NEAR characters on either side, and in all that stands there if a word reaches further.
+
+def _in_context(text: Column, size: Column, span: Column, body) -> Column:
+    """``body`` of (far, near, after): the two words before a span and the one after it, whole and lower-cased.
+
+    A word is empty where there is none. They are looked for in NEAR characters on either side, and in all that stands
+    there if a word reaches further. ``size`` is the text's length.
     """
-    n, size = span["start"], F.length(text)
-    close = F.substring(text, F.greatest(F.lit(1), n - NEAR + 1), F.least(F.lit(NEAR), n))
-    whole = (n <= NEAR) | close.rlike(r"\s\S+\s+\S+\s*$")
-    before = F.reverse(F.lower(F.when(whole, close).otherwise(F.substring(text, F.lit(1), n))))
-    next_ = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    ended = (size - span["end"] <= NEAR) | next_.rlike(r"^\s*\S+\s")
-    after = F.lower(F.when(ended, next_).otherwise(F.substring(text, span["end"] + 1, size)))
+    n = span["start"]
     words = r"^\s*+(\S++)(?:\s++(\S++))?"
-    return F.reverse(F.regexp_extract(before, words, 2)), F.reverse(F.regexp_extract(before, words, 1)), F.regexp_extract(after, r"^\s*+(\S++)", 1)
+    close = F.substring(text, F.greatest(F.lit(1), n - NEAR + 1), F.least(F.lit(NEAR), n))
+    beside = F.struct(close.alias("before"), F.substring(text, span["end"] + 1, F.lit(NEAR)).alias("after"))
+
+    def whole(x: Column) -> Column:
+        before = F.when((n <= NEAR) | x["before"].rlike(r"\s\S+\s+\S+\s*$"), x["before"]).otherwise(F.substring(text, F.lit(1), n))
+        after = F.when((size - span["end"] <= NEAR) | x["after"].rlike(r"^\s*\S+\s"), x["after"]).otherwise(F.substring(text, span["end"] + 1, size))
+        return F.struct(F.reverse(F.lower(before)).alias("before"), F.lower(after).alias("after"))
+
+    parts = lambda x: body(F.reverse(F.regexp_extract(x["before"], words, 2)), F.reverse(F.regexp_extract(x["before"], words, 1)), F.regexp_extract(x["after"], r"^\s*+(\S++)", 1))
+    return _let(_let(beside, whole), parts)
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: the base spans of each kind, and ``seen``: base spans and candidates with contexts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"text_key": F.xxhash64("text"), "size": F.length("text")})
     rows = rows.withColumn("some", F.col("text").rlike("[0-9@]"))
     none = F.array().cast(_SPAN)
     for kind in KINDS:
@@ -118,8 +127,8 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def seen(kind: str | None, source: str) -> Column:
         def one(w: Column) -> Column:
-            far, near, after = _context(F.col("text"), w)
-            return F.struct(F.lit(kind).cast("string").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), far.alias("far"), near.alias("near"), after.alias("after"))
+            said = lambda far, near, after: F.struct(F.lit(kind).cast("string").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), far.alias("far"), near.alias("near"), after.alias("after"))
+            return _in_context(F.col("text"), F.col("size"), w, said)
 
         return F.transform(source, one)
 
