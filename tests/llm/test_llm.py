@@ -270,6 +270,49 @@ def test_order_minhash(spark, corpus):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def fingerprint(text):
+    """The fingerprint by its definition, with Spark's hash of strings and numbers."""
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chain = lambda seed, data: xxhash.xxh64(data, seed=seed % (1 << 64)).intdigest()
+    number = lambda x, n: (x % (1 << 8 * n)).to_bytes(n, "little")
+    tokens = regex.findall(order_minhash.TOKEN, text, flags=regex.VERSION1 | regex.ASCII)
+    seen, numbered = {}, []
+    for i in range(max(1, len(tokens) - 2) if tokens else 0):
+        h = 42
+        for x in tokens[i : i + 3]:
+            h = chain(h, x.encode())
+        seen.setdefault(signed(h) >> 31 << 31, []).append(i)
+    for h, places in seen.items():
+        numbered.append((h, places[0]))
+        numbered += [(signed(chain(chain(42, number(h, 8)), number(r, 4))) >> 31 << 31, p) for r, p in enumerate(places[1:], 1)]
+    out = []
+    for b in range(32):
+        two = sorted(x for x in numbered if (x[0] % (1 << 64) >> 31) % 32 == b)[:2]
+        two.sort(key=lambda x: x[1])
+        before = two[0][0] if len(two) == 2 else 0
+        out.append(signed(chain(chain(42, number(before, 8)), number(two[-1][0], 8))) if two else None)
+    return out
+
+
+def test_fingerprint_against_its_definition(spark):
+    rnd = random.Random(8)
+    texts = [sentence(rnd, n) for n in (1, 2, 3, 40, 400, 1500)] + ["w1 " * 700, "w1 w2 w3 " * 300 + sentence(rnd, 200), "", " ", "日本語の文章" * 40, "a" * 500, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzXYZ0123456789") for _ in range(900))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    got = {r.i: r.fp for r in order_minhash.fingerprint_columns(rows, "text", "fp").collect()}
+    assert all(got[i] == fingerprint(x) for i, x in enumerate(texts))
+
+
+def test_fingerprint_of_text_without_blanks_survives_an_insertion(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("的一是不了人我在有他这中大来上个国") for _ in range(400)), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1500))]
+    rows = spark.createDataFrame([(x, "x" + x[:200] + "y" + x[200:]) for x in texts], "a string, b string")
+    rows = order_minhash.fingerprint_columns(order_minhash.fingerprint_columns(rows, "a", "fa"), "b", "fb")
+    assert all(r.l > 0.7 for r in rows.select(order_minhash.likeness(F.col("fa"), F.col("fb")).alias("l")).collect())
+
+
 def test_order_minhash_sees_order_and_repeats(spark):
     rnd = random.Random(5)
     w = [f"t{rnd.randrange(10**6)}" for _ in range(300)]
@@ -289,12 +332,19 @@ def test_elias_fano():
         values = np.sort(np.array([rnd.randrange(10**9) for _ in range(n)], np.int64))
         low, low_bytes, high_bytes = token_store.EliasFano.encode(values)
         ef = token_store.EliasFano(n, low, low_bytes, high_bytes)
-        assert ef.all().tolist() == values.tolist() == [ef[i] for i in range(n)]
+        assert ef.values(0, n).tolist() == values.tolist() == [ef[i] for i in range(n)]
+        assert all(ef.values(i, min(70, n - i)).tolist() == values[i : i + 70].tolist() for i in range(0, n, 61))
     ends = np.cumsum(np.random.default_rng(1).integers(1, 2000, 50_000))
     _, low_bytes, high_bytes = token_store.EliasFano.encode(ends)
     assert 8 * (len(low_bytes) + len(high_bytes)) / len(ends) < 2 + np.log2(ends[-1] / len(ends)) + 1
 
 
+def test_elias_fano_is_read_where_it_lies():
+    ends = np.cumsum(np.random.default_rng(2).integers(1, 3000, 50_000))
+    ef = token_store.EliasFano(len(ends), *token_store.EliasFano.encode(ends))
+    assert ef.nbytes < 0.25 * ends.nbytes and ef[49_999] == ends[-1]
+
+
 def test_token_store(spark, corpus):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -489,6 +539,40 @@ def test_decontamination(spark, corpus):
     assert decontaminate.decontaminate(documents(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_ngram_join_tells_texts_of_one_id_apart(spark):
+    rnd = random.Random(30)
+    a, b = sentence(rnd, 30), sentence(rnd, 30)
+    rows = [(5, a), (5, b), (3, a), (None, b), (7, None), (7, None)]
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.first) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 3, 1, False), (3, 3, 1, True), (5, 5, 1, True), (None, 5, 1, False), (7, 7, 0, True), (7, 7, 0, True)], key=str)
+
+
+def test_pipeline_keeps_one_text_of_each_class_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    a, b = sentence(rnd, 30), sentence(rnd, 30)
+    rows = [(5, a, 1), (5, b, 2), (3, a, 3), (3, a, 4), (9, None, 5), (9, None, 6), (None, "other words", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first long").withColumns({"d": F.lit("x"), "_gone": F.lit(1)})
+    kept = corpus_pipeline.deduplicate(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, b), (3, a), (9, None), (None, "other words")], key=str)
+    assert corpus_pipeline.deduplicate(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_mix_takes_what_the_mix_says(spark):
+    import corpus_pipeline
+
+    rows = [(1, "five words are in here", "a")] * 3 + [(2, "two words", "b"), (3, None, "b"), (None, "one", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_n": F.lit(9), "n": F.lit(8), "t": F.lit("z"), "col": F.lit(0)})
+    asked = {(r.doc_id, r.source): r.n for r in mixing.mix_sources(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect() if r.n}
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns
+    got = {(r.doc_id, r.source): r.n for r in mixed.groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()}
+    assert got == asked
+    assert corpus_pipeline.mix(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
 

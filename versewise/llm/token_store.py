@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,19 +29,25 @@ from versewise.llm.scratch import bound_batches, scratch_path
 MAGIC = b"VWTOK1\0\0"
 _HEAD = struct.Struct("<8sqQQQB7x")  # magic, first key, documents without a key, documents, ids, bytes of an id
 _PART = struct.Struct("<QQB7x")  # bytes of packed low bits, bytes of unary high bits, low bits a value
-SAMPLE = 64
+#: One bits between two samples of the select structure, and documents that a reader decodes at a time.
+SAMPLE, BLOCK = 64, 4096
 
 
 class EliasFano:
-    """A non-decreasing sequence below 2**62, with random access by select."""
+    """A non-decreasing sequence below 2**62, with random access by select.
+
+    It is read where it lies: beside its bytes only the place of every SAMPLE-th one bit is held.
+    """
 
     def __init__(self, n: int, low: int, low_bytes: bytes, high_bytes: bytes):
         self.n, self.low = n, low
-        self.low_bits = np.unpackbits(np.frombuffer(low_bytes, np.uint8), bitorder="little")[: n * low].reshape(n, low) if low else None
-        self.words = np.frombuffer(high_bytes, np.uint8)
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.rank = np.concatenate(([0], ones.cumsum()))  # ones before each byte
-        self.samples = np.searchsorted(self.rank, np.arange(0, max(n, 1), SAMPLE), side="right") - 1
+        self.low_words, self.words = np.frombuffer(low_bytes, np.uint8), np.frombuffer(high_bytes, np.uint8)
+        samples, seen = [], 0
+        for at in range(0, len(self.words), 1 << 16):
+            ones = np.flatnonzero(np.unpackbits(self.words[at : at + (1 << 16)], bitorder="little"))
+            samples.append(at * 8 + ones[-seen % SAMPLE :: SAMPLE])
+            seen += len(ones)
+        self.samples = np.concatenate(samples).astype(np.uint32 if len(self.words) < 1 << 29 else np.uint64) if samples else np.zeros(0, np.uint32)
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -52,24 +60,35 @@ class EliasFano:
         high[(values >> low) + np.arange(n)] = 1
         return low, np.packbits(low_part.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes()
 
-    def select(self, i: int) -> int:
-        """The place of the i-th one bit: from the sample before it, then the byte, then the bit."""
-        byte = int(self.samples[i // SAMPLE])
-        byte += int(np.searchsorted(self.rank[byte + 1 : byte + 2 + 64 * SAMPLE], i, side="right"))
-        while self.rank[byte + 1] <= i:
-            byte += 1
-        bits = np.flatnonzero(np.unpackbits(self.words[byte : byte + 1], bitorder="little"))
-        return byte * 8 + int(bits[i - self.rank[byte]])
+    @property
+    def nbytes(self) -> int:
+        return self.low_words.nbytes + self.words.nbytes + self.samples.nbytes
+
+    def select(self, first: int, count: int = 1) -> np.ndarray:
+        """The places of ``count`` one bits from the ``first``-th on: from the sample before it, onwards."""
+        at, skip = int(self.samples[first // SAMPLE]), first % SAMPLE
+        byte, found, places = at // 8, -(np.bitwise_count(self.words[at // 8] & ((1 << at % 8) - 1)).item()), []
+        while found < skip + count:
+            bits = np.flatnonzero(np.unpackbits(self.words[byte : byte + 64], bitorder="little"))
+            places.append(bits + byte * 8)
+            found, byte = found + len(bits), byte + 64
+        places = np.concatenate(places)
+        skip += int(np.searchsorted(places, at))
+        return places[skip : skip + count]
+
+    def values(self, first: int, count: int) -> np.ndarray:
+        """``count`` values from the ``first``-th on."""
+        if not count:
+            return np.zeros(0, np.int64)
+        out = (self.select(first, count) - np.arange(first, first + count)) << self.low
+        if self.low:
+            start, stop = first * self.low, (first + count) * self.low
+            bits = np.unpackbits(self.low_words[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 :][: stop - start]
+            out |= bits.reshape(count, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+        return out
 
     def __getitem__(self, i: int) -> int:
-        low = int(self.low_bits[i] @ (1 << np.arange(self.low))) if self.low else 0
-        return ((self.select(i) - i) << self.low) | low
-
-    def all(self) -> np.ndarray:
-        """Every value at once."""
-        places = np.flatnonzero(np.unpackbits(self.words, bitorder="little"))[: self.n].astype(np.int64)
-        high = places - np.arange(self.n)
-        return (high << self.low) | (self.low_bits @ (1 << np.arange(self.low, dtype=np.int64)) if self.low else 0)
+        return int(self.values(i, 1)[0])
 
 
 def _pack_sequence(values: np.ndarray) -> bytes:
@@ -102,9 +121,15 @@ class Shard:
         self.ends, at = _read_sequence(data, _HEAD.size + n_ids * self.width, self.n)
         self._keys, _ = _read_sequence(data, at, self.n - self.keyless)
 
-    def keys(self) -> list[int | None]:
-        """The key of every document, in order."""
-        return [None] * self.keyless + (self._keys.all() + self.first).tolist()
+    def keys(self, first: int, count: int) -> list[int | None]:
+        """The keys of ``count`` documents from the ``first``-th on."""
+        keyless = max(0, min(count, self.keyless - first))
+        return [None] * keyless + (self._keys.values(max(0, first - self.keyless), count - keyless) + self.first).tolist()
+
+    def starts(self, first: int, count: int) -> np.ndarray:
+        """Where ``count`` documents from the ``first``-th on begin, and where the last of them ends."""
+        before = self.ends.values(first - 1, 1) if first else np.zeros(1, np.int64)
+        return np.concatenate((before, self.ends.values(first, count)))
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document of the shard."""
@@ -136,6 +161,7 @@ def _tokenizer(path: str):
 #: Fixed value: the pre-tokenizer whose pieces are known here, namely runs of letters, single digits, runs of
 #: other marks and a few English endings after an apostrophe; white space separates and is dropped.
 _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -148,46 +174,58 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, width: int, most: int = 260_000):
-        self.tokenizer, self.dtype, self.most = _tokenizer(path), np.dtype(f"<u{width}"), most
+        self.tokenizer, self.code, self.most = _tokenizer(path), {2: "H", 4: "I"}[width], most
         self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.letters: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
         alphabet = [chr(c) for c in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]]
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.bytewise = str.maketrans({c: split(c)[0][0] for c in alphabet})
 
+    def pack(self, ids: list[int]) -> bytes:
+        """Ids as little-endian bytes."""
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def word(self, raw: bytes) -> bytes:
-        word = raw.decode("utf-8", "replace")
-        plain = _PLAIN_WORD.fullmatch(word)
-        if not plain:
-            return self._whole(word)
-        core, tail = plain[1].lower(), plain[2]
+        """The ids of one word. Words of ASCII letters with one mark or none are told by their bytes."""
+        if raw.isalpha():
+            core, tail = raw.lower(), b""
+        elif raw[-1] in _MARKS and raw[:-1].isalpha():
+            core, tail = raw[:-1].lower(), raw[-1:]
+        else:
+            word = raw.decode("utf-8", "replace")
+            plain = _PLAIN_WORD.fullmatch(word)
+            if not plain:
+                return self._whole(word)
+            core, tail = plain[1].lower().encode(), plain[2].encode()
         ids = self.letters.get(core)
         if ids is None:
             if len(self.letters) > self.most:
                 self.letters.clear()
-            ids = self.letters[core] = np.array([t.id for t in self.tokenizer.model.tokenize(core.translate(self.bytewise))], self.dtype).tobytes()
+            ids = self.letters[core] = self.pack([t.id for t in self.tokenizer.model.tokenize(core.decode().translate(self.bytewise))])
         end = self.marks.get(tail)
         if end is None:
             if len(self.marks) > self.most:
-                self.marks = {"": b""}
-            end = self.marks[tail] = self._whole(tail)
+                self.marks = {b"": b""}
+            end = self.marks[tail] = self._whole(tail.decode())
         return ids + end
 
     def __call__(self, text: bytes) -> bytes:
         if len(self.words) > self.most:
             self.words.clear()
-        known, words = self.words, text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+        known, out = self.words, []
+        for w in text.split():
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = self.word(w)
+            out.append(ids)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -205,7 +243,13 @@ def tokenizer_facts(path: str) -> tuple[int, bool]:
     spec = json.loads(tok.to_str())
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     known = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": _KNOWN_SPLIT} and steps[0].get("behavior") == "Removed"
-    return width, known and spec["model"].get("end_of_word_suffix") is not None
+    # Words may be encoded apart only if the normaliser lower-cases (composing is left to whole words) and no added token
+    # can stand inside a text.
+    steps = spec.get("normalizer") or {}
+    kinds = {x.get("type") for x in (steps.get("normalizers", []) if steps.get("type") == "Sequence" else [steps])}
+    lowers = "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"}
+    added = any(t["content"].isalpha() or not t.get("special") for t in spec.get("added_tokens", []))
+    return width, known and lowers and not added and spec["model"].get("end_of_word_suffix") is not None
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
@@ -285,21 +329,26 @@ def read_token_store(spark, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the shard files alone.
 
     ``start`` is the number of ids of all documents before it. The prefix sums run over the manifest (one row
-    per shard file), not over documents; shard files that are not in the manifest are not read.
+    per shard file), by range and inside each range, not over documents; shard files that are not in the manifest are
+    not read. Boundaries and keys are read through select, a block of documents at a time.
     """
     manifest = spark.read.schema("shard string, n_docs long, n_ids long").parquet(f"{folder}/_manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first_id"))
+    ranges = manifest.select("shard", "n_ids", F.substring("shard", 1, 14).alias("range"))
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = ranges.groupBy("range").agg(F.sum("n_ids").alias("n_ids")).select(F.col("range").alias("r"), upto(Window.orderBy("range")).alias("base"))
+    inside = ranges.select("shard", "range", upto(Window.partitionBy("range").orderBy("shard")).alias("more"))
+    bases = inside.join(F.broadcast(whole), F.col("range") == F.col("r")).select("shard", (F.col("base") + F.col("more")).alias("first_id"))
     schema = "shard string, doc_id long, at long, n_tokens long, ids_crc32 long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard(data.as_buffer().to_pybytes())
-                ends = shard.ends.all()
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ends)), pa.array(shard.keys(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                for first in range(0, shard.n, BLOCK):
+                    count = min(BLOCK, shard.n - first)
+                    at = shard.starts(first, count)
+                    crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * count), pa.array(shard.keys(first, count), pa.int64()), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").option("recursiveFileLookup", "false").load(folder)
     rows = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("shard"), "content").mapInArrow(read, schema)
