@@ -16,6 +16,9 @@ from versewise.llm.scratch import cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Proximity matches: positions that a term may be off, and the share of a window's terms that must stand there. A window
+#: of ten words with one of them replaced keeps seven of its nine pairs.
+SLACK, SHARE = 2, 0.75
 #: The benchmark's terms are broadcast up to this many (about 40 bytes each); beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
 
@@ -72,35 +75,37 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     return index
 
 
-def find_windows(index: DataFrame, terms: DataFrame, slack: int = 2, share: float = 0.8) -> DataFrame:
+def find_windows(index: DataFrame, terms: DataFrame, slack: int = SLACK, share: float = SHARE) -> DataFrame:
     """``(doc_id, text_key, window_id, width, start, exact, near)`` of windows' matches in the indexed documents.
 
-    Each window's terms are ordered by the lengths of their lists. The lists of the two rarest, adjusted by the
-    terms' offsets, propose starts; the lists of the others are intersected with them at the adjusted positions.
-    ``exact`` when all terms stand where they should (the phrase itself); ``near``, a proximity match, when at
-    least ``share`` of them do within ``slack`` positions. A window with a term that occurs nowhere has no exact
-    match.
+    Each window's terms are ordered by the lengths of their lists. A match with at least ``share`` of the terms has one
+    of as many of the rarest terms as may be missing and one more; their lists, adjusted by the terms' offsets,
+    propose starts, and the lists of the others are intersected with them at the adjusted positions. ``exact`` when all
+    terms stand where they should (the phrase itself); ``near``, a proximity match, when at least ``share`` of them do
+    within ``slack`` positions. A window with a term that occurs nowhere has no exact match.
     """
+    size = F.greatest(F.lit(1), F.col("width") - 1)
     lengths = index.where("term_id <> 0").groupBy("term_id").agg(F.count("*").alias("n"))
     by_rarity = Window.partitionBy("window_id").orderBy(F.coalesce("n", F.lit(0)), "offset")
-    ranked = cut(terms.join(lengths, "term_id", "left").withColumn("rank", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(by_rarity)).where("n > 0"), "ranked")
-    anchors = ranked.where("rank <= 2")
+    ranked = cut(terms.join(lengths, "term_id", "left").withColumn("rank", F.row_number().over(by_rarity)).where("n > 0"), "ranked")
+    anchors = ranked.where(F.col("rank") <= size - F.ceil(size * share) + 1)
     anchors = F.broadcast(anchors) if anchors.count() <= BROADCAST_TERMS else anchors
     starts = index.join(anchors, "term_id").select("doc_id", "text_key", "window_id", "width", (F.col("pos") - F.col("offset")).alias("start")).distinct()
     starts = cut(starts, "starts")
     held = starts.select("doc_id", "text_key").distinct()
     held = F.broadcast(held) if held.count() <= BROADCAST_TERMS else held
     same_doc = F.col("i.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("i.text_key") == F.col("h.text_key"))
-    lists = index.where("term_id <> 0").alias("i").join(held.alias("h"), same_doc, "left_semi").distinct()
-    asked = starts.join(ranked.select("window_id", "offset", "term_id"), "window_id").withColumn("dev", F.explode(F.sequence(F.lit(-slack), F.lit(slack))))
-    asked = asked.withColumn("pos", F.col("start") + F.col("offset") + F.col("dev"))
-    hit = F.col("i.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("i.text_key") == F.col("a.text_key")) & (F.col("i.term_id") == F.col("a.term_id")) & (F.col("i.pos") == F.col("a.pos"))
-    met = asked.alias("a").join(lists.alias("i"), hit).groupBy("a.doc_id", "a.text_key", "a.window_id", "a.width", "a.start").agg(F.count(F.when(F.col("dev") == 0, 1)).alias("there"), F.count_distinct("offset").alias("around"))
-    size = F.greatest(F.lit(1), F.col("width") - 1)
+    # Positions meet in cells as wide as the slack reaches: those asked for in two of them, and each pair in one.
+    cell = lambda pos: F.floor(pos / (2 * slack + 1)).cast("int")
+    lists = index.where("term_id <> 0").alias("i").join(held.alias("h"), same_doc, "left_semi").distinct().withColumn("cell", cell(F.col("pos")))
+    asked = starts.join(ranked.select("window_id", "offset", "term_id"), "window_id").withColumn("pos", F.col("start") + F.col("offset"))
+    asked = asked.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("pos") - slack), cell(F.col("pos") + slack)))))
+    hit = F.col("i.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("i.text_key") == F.col("a.text_key")) & (F.col("i.term_id") == F.col("a.term_id")) & (F.col("i.cell") == F.col("a.cell")) & (F.abs(F.col("i.pos") - F.col("a.pos")) <= slack)
+    met = asked.alias("a").join(lists.alias("i"), hit).groupBy("a.doc_id", "a.text_key", "a.window_id", "a.width", "a.start").agg(F.count(F.when(F.col("i.pos") == F.col("a.pos"), 1)).alias("there"), F.count_distinct("offset").alias("around"))
     return met.select("doc_id", "text_key", "window_id", "width", "start", (F.col("there") == size).alias("exact"), (F.col("around") >= size * share).alias("near")).where("exact or near")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slack: int = 2, share: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slack: int = SLACK, share: float = SHARE) -> DataFrame:
     """``(doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items)``, a row per row.
 
     A document word inside an exact occurrence of a window is hit; ``n_items`` counts the items with such

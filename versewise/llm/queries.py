@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
+#: Fixed values of the SQL: the proximity parameters of the decontamination query.
+SLACK, SHARE = 2, 0.75
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,7 +81,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewise.llm.decontaminate import decontaminate
 
-    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10).drop("text_key", "n_near_items")
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10).drop("text_key")
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +107,24 @@ SQL: dict[str, str] = {
     dwin AS (SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS ww FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, sizes WHERE len(w) >= n)),
     occ AS (SELECT doc_id, p, n, item_id FROM dwin JOIN win USING (ww)),
     hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY 1),
-    its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY 1)
-    SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+    its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY 1),
+    wt AS (SELECT DISTINCT ww, o, greatest(1, len(ww) - 1) AS size, CASE WHEN len(ww) = 1 THEN ww[1] ELSE ww[o + 1] || ' ' || ww[o + 2] END AS term FROM (SELECT ww, unnest(range(0, greatest(1, len(ww) - 1))) AS o FROM (SELECT DISTINCT ww FROM win))),
+    post AS (SELECT doc_id, p - 1 AS pos, term FROM (SELECT doc_id, p, unnest(CASE WHEN p < len(w) THEN [w[p], w[p] || ' ' || w[p + 1]] ELSE [w[p]] END) AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw)) WHERE term IN (SELECT term FROM wt)),
+    rk AS (SELECT wt.*, n, row_number() OVER (PARTITION BY ww ORDER BY coalesce(n, 0), o) AS r FROM wt LEFT JOIN (SELECT term, count(*) AS n FROM post GROUP BY 1) USING (term)),
+    st AS (SELECT DISTINCT doc_id, ww, pos - o AS s FROM post JOIN rk USING (term) WHERE r <= size - ceil({SHARE} * size) + 1),
+    near AS (SELECT st.doc_id, st.ww, s FROM st JOIN wt USING (ww) JOIN post ON post.doc_id = st.doc_id AND post.term = wt.term AND abs(pos - s - o) <= {SLACK} GROUP BY st.doc_id, st.ww, s, size HAVING count(DISTINCT o) >= {SHARE} * size),
+    nit AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM near JOIN win USING (ww) GROUP BY 1)
+    SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nit USING (doc_id)""",
+    "op9_warc_bundles": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), g AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY sha1(b)) AS top FROM p),
+    bits AS (SELECT DISTINCT h, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', h[i]) - 1), 4, '0')), '') AS bits FROM g),
+    digest AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT)]), '') AS d FROM bits)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g JOIN digest USING (h)""",
+    "op5_ngram_join": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS g FROM d WHERE len(w) > 0),
+    s AS (SELECT min(doc_id) AS rep, g, count(*) AS copies FROM g GROUP BY g), e AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM s),
+    p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+    q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), reach(a, b) AS (SELECT rep, rep FROM s UNION SELECT reach.a, q.b FROM reach JOIN q ON reach.b = q.a),
+    c AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY 1), l AS (SELECT a AS rep, sum(copies) AS links FROM q JOIN s ON s.rep = q.b GROUP BY 1)
+    SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(copies - 1, 0) + coalesce(links, 0) AS BIGINT) AS n_links, coalesce(copies - 1, 0) AS n_copies
+    FROM d LEFT JOIN g USING (doc_id) LEFT JOIN s ON g.g = s.g LEFT JOIN c ON c.rep = s.rep LEFT JOIN l ON l.rep = s.rep""",
 }
