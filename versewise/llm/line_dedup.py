@@ -202,30 +202,29 @@ def with_distance(pairs: DataFrame, a: str, b: str, edits: int, to: str = "dista
     return rows.withColumn(to, measured).drop("_p", "_a", "_b", "_ra", "_rb", "_s", "_near", "x", "y")
 
 
-def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None, indexed: DataFrame | None = None) -> DataFrame:
-    """``(u, v, key)`` of the rows ``(id, n, line, size, ...)`` that meet on a key.
+def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None, counted: DataFrame | None = None) -> DataFrame:
+    """``(u, v, key)`` of the rows ``(id, line, size, ...)`` that meet on a key.
 
     ``index`` and ``probes`` are arrays of keys. Rows with a ``side`` meet across sides only. A key with more than ``full``
-    indexed lines (counted over ``indexed(key)``, else over the rows) is full: there the line with most occurrences alone
+    indexed lines (of ``counted(id, n, key)``, else of the rows) is full: there the line with most occurrences alone
     meets the others, and ``key`` is given with each of its lines, the one itself included; elsewhere it is null.
     """
     sided = "side" in rows.columns
-    left = rows.select(F.col("id").alias("u"), *([F.col("side").alias("s")] if sided else []), F.explode(index).alias("key"))
-    right = rows.select(F.col("id").alias("v"), *([F.col("side").alias("r")] if sided else []), F.explode(probes).alias("key"))
+    with_side = lambda name: [F.col("side").alias(name)] if sided else []
+    left = rows.select(F.col("id").alias("u"), *with_side("s"), F.explode(index).alias("key"))
+    right = rows.select(F.col("id").alias("v"), *with_side("r"), F.explode(probes).alias("key"))
     apart = F.expr("s <> r" if sided else "u <> v")
     crowded = None
     if full:
-        crowded = cut((left if indexed is None else indexed).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > full).select("key"), "full")
+        each = rows.select("id", *with_side("s"), "n", F.explode(index).alias("key")) if counted is None else counted
+        heads = [F.max_by(c, F.struct("n", "id") if sided else F.col("n")).alias(a) for c, a in (("id", "u"), ("s", "s"))[: 1 + sided]]
+        crowded = cut(each.groupBy("key").agg(F.count("*").alias("c"), *heads).where(F.col("c") > full).drop("c"), "full")
         if not crowded.take(1):
             crowded = None
     if crowded is None:
         met = left.join(right, "key").where(apart).select("u", "v", F.lit(None).cast("long").alias("key"))
     else:
-        crowded = small(crowded)
-        mine = [c for c in left.columns if c != "key"]
-        heads = rows.select(F.col("id").alias("u"), *([F.col("side").alias("s")] if sided else []), "n", F.explode(index).alias("key")).join(crowded, "key", "left_semi")
-        heads = heads.groupBy("key").agg(F.max_by(F.struct(*mine), F.struct("n", "u")).alias("h")).select("key", "h.*", F.lit(True).alias("full"))
-        left = left.join(crowded, "key", "left_anti").select("key", *mine, F.lit(False).alias("full")).unionByName(heads)
+        left = left.join(small(crowded.select("key")), "key", "left_anti").withColumn("full", F.lit(False)).unionByName(crowded.withColumn("full", F.lit(True)))
         met = left.join(right, "key").where(apart | F.col("full")).select("u", "v", F.when(F.col("full"), F.col("key")).alias("key"))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key").where("u <> v or key is not null").distinct()
 
@@ -260,13 +259,13 @@ def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, f
     by pair. So no link between two classes is lost, and pairs inside a class are not all made.
     """
     long_ = lines.where(F.length("line") >= per_edit - 1).select("line", F.length("line").alias("size"))
-    rows = long_.groupBy("line", "size").agg(F.count("*").alias("n")).select(F.xxhash64("line").alias("id"), "n", "line", "size")
+    rows = long_.distinct().select(F.xxhash64("line").alias("id"), "line", "size")
     index, probes, edges = segment_keys(edits, per_edit, True), segment_keys(edits, per_edit, False), None
     # Counted by hashes alone, so that the lines themselves are shuffled once only.
-    indexed = long_.select(F.xxhash64("line").alias("id"), F.explode(index).alias("key")).distinct()
+    counted = long_.select(F.xxhash64("line").alias("id"), F.explode(index).alias("key")).groupBy("id", "key").agg(F.count("*").alias("n"))
     only = lambda keys: F.transform(keys, lambda x: x["key"])
     for level in range(depth + 1):
-        met = cut(_meet(rows, index, probes, full if level < depth else None, None if level else indexed), "met")
+        met = cut(_meet(rows, index, probes, full if level < depth else None, None if level else counted), "met")
         found = _verify(lines, met.where("u <> v").select("u", "v").distinct(), edits, per_edit)
         edges = found if edges is None else edges.unionByName(found)
         if level == depth:
