@@ -80,11 +80,34 @@ def test_license_scan(spark):
             found |= {k for k, t in templates if g and 2 * len(g & t) / (len(g) + len(t)) >= license_scan.MIN_DICE}
         return found
 
-    got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
-    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: {m.license for m in r.matches if m.unit != "stretch"} for r in license_scan.scan_licenses(documents(spark, [*texts, *texts])).collect()}
+    assert got == {i: brute(t) for i, t in enumerate([*texts, *texts])}
     assert license_scan.scan_licenses(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_finds_planted_licenses(spark):
+    """Whole licences over several paragraphs inside prose, with words changed, and notices at the end of a line."""
+    rnd = random.Random(17)
+    prose = lambda n: " ".join(rnd.choice(["the", "of", "to", "this", "any", "or", "software", *[f"w{k}" for k in range(40)]]) for _ in range(n))
+    whole = license_scan.TEXTS | {k: license_scan.GNU.format(name=n, version=v) for k, (n, v) in license_scan.GNU_NAMES.items()} | {"BSD-3-Clause": "".join(license_scan.BSD)}
+    names, texts = [], []
+    for name, text in whole.items():
+        for changed in (0, 1, 2):
+            w = text.split(" ")
+            for _ in range(changed * len(w) // 80):
+                w[rnd.randrange(len(w))] = "other"
+            body = re.sub(r"\. ", ".\n\n", " ".join(w))
+            names.append(name)
+            texts.append(f"{prose(90)}\n\n{prose(20)}\n{body}\n\n{prose(120)}")
+    names += ["MIT", "ISC"]
+    texts += [f"{prose(30)} Released under the MIT License.", f"{prose(12)}\n{prose(8)} licensed under the ISC License. {prose(9)}"]
+    clean = [prose(n) for n in (5, 50, 500, 3000)]
+    got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan_licenses(documents(spark, texts + clean)).collect()}
+    found = sum(name in got[i] for i, name in enumerate(names))
+    assert found >= 0.95 * len(names), [n for i, n in enumerate(names) if n not in got[i]]
+    assert all(not got[len(texts) + i] for i in range(len(clean)))
+
+
 def test_language_id(spark):
     rnd = random.Random(2)
     make = lambda parts: " ".join("".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(rnd.randint(20, 80)))
