@@ -293,3 +293,37 @@ def crossing_widths(low: DataFrame, high: DataFrame, key: Sequence[str], group:
     name = lambda rows, p: rows.select(*k, *[F.col(c).alias(f"{p}_{c}") for c in ("t0", "t1", "crossing")])
     both = name(low, "a").join(name(high, "b"), k, "full").withColumn("width", F.col("b_crossing") - F.col("a_crossing"))
     return both.groupBy(*group).agg(F.count("width").alias("n"), F.count_if(F.col("width").isNull()).alias("missing"), F.min("width").alias("least"), F.percentile("width", 0.5).alias("median"), F.max("width").alias("most"), F.min(F.col("b_t0") - F.col("a_t1")).alias("bracket_low"), F.max(F.col("b_t1") - F.col("a_t0")).alias("bracket_high"))
+
+
+def boundary_summary(on: Column, off: Column, hit: Column) -> list[Column]:
+    """Medians, 95th percentiles and shares of late bounds of signed errors in ms, and misses."""
+    out = [F.count("*").alias("n")]
+    for name, error in (("onset", F.abs(on)), ("offset", F.abs(off))):
+        out += [F.percentile(error, 0.5).alias(f"{name}_median"), F.percentile(error, 0.95).alias(f"{name}_p95"), F.avg((error > 500).cast("int")).alias(f"{name}_late")]
+    return [*out, (F.count_if(F.abs(on) > 2000) + F.count_if(F.abs(off) > 2000)).alias("far"), F.count_if(~hit).alias("misses")]
+
+
+def state_counts(rows: DataFrame, key: Sequence[str], state: str, states: Sequence[str]) -> DataFrame:
+    """How many rows of a key are in each of the known states, and in any other."""
+    known = [F.count_if(F.col(state) == s).alias(s) for s in states]
+    return rows.groupBy(*key).agg(*known, F.count_if(~F.col(state).isin(*states) | F.col(state).isNull()).alias("other"))
+
+
+def common_choices(rows: DataFrame, choice: str) -> DataFrame:
+    """Choices with their counts and ranks, the most common first; ties go by the choice."""
+    counts = rows.groupBy(choice).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), choice)))
+
+
+def pooled(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, each once for every table that holds it; columns that one lacks are null (G1)."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def event_order(rows: DataFrame, key: Sequence[str], t: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``position`` by time and order, keys whose orders are not unique)."""
+    doubled = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct(order).alias("orders")).where("n <> orders")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(t, order))), doubled
