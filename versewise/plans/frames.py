@@ -181,41 +181,42 @@ _ITEMS = f"it AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_retur
 
 
 def _rounded(rows, *names):
-    return rows.withColumns({n: F.round(n, 6) for n in names})
+    """Six digits on both sides; the nudge keeps exact halves, and zeros of either sign, from being told apart."""
+    return rows.withColumns({n: F.round(F.col(n) + 2e-8, 6) for n in names})
 
 
-@query(f'WITH {_ITEMS} SELECT l_suppkey, round(avg(y - 1.5 * x), 6) AS "offset", round(stddev_pop(y - 1.5 * x), 6) AS rmse, count(*) AS n FROM it GROUP BY 1')
+@query(f'WITH {_ITEMS} SELECT l_suppkey, round(2e-8 + avg(y - 1.5 * x), 6) AS "offset", round(2e-8 + stddev_pop(y - 1.5 * x), 6) AS rmse, count(*) AS n FROM it GROUP BY 1')
 def fixed_slopes(spark, d):
     return _rounded(stats.fixed_slope_fit(_items(spark, d), ["l_suppkey"], "x", "y", 1.5), "offset", "rmse")
 
 
-@query(f"WITH {_ITEMS} SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) > 1 THEN round(regr_slope(y, l_linenumber), 4) END AS slope, round(CASE WHEN count(*) = 1 THEN avg(y) ELSE regr_intercept(y, l_linenumber) END, 4) AS intercept FROM it GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) > 1 THEN round(2e-8 + regr_slope(y, l_linenumber), 6) END AS slope, round(2e-8 + CASE WHEN count(*) = 1 THEN avg(y) ELSE regr_intercept(y, l_linenumber) END, 6) AS intercept FROM it GROUP BY 1")
 def baselines(spark, d):
     rows = stats.baseline_fit(_items(spark, d), ["l_orderkey"], "l_linenumber", "y")
-    return rows.select("l_orderkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return _rounded(rows.select("l_orderkey", "n", "slope", "intercept"), "slope", "intercept")
 
 
-@query(f"WITH {_ITEMS} SELECT l_suppkey, round(sqrt(avg((y - 1.5 * x) * (y - 1.5 * x))), 6) AS rmse, round(max(abs(y - 1.5 * x)), 6) AS worst, round(max(abs(y - x)), 6) AS delay_worst, round(avg(y - x), 6) AS delay_mean, count(y - x) AS n FROM it GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT l_suppkey, round(2e-8 + sqrt(avg((y - 1.5 * x) * (y - 1.5 * x))), 6) AS rmse, round(2e-8 + max(abs(y - 1.5 * x)), 6) AS worst, round(2e-8 + max(abs(y - x)), 6) AS delay_worst, round(2e-8 + avg(y - x), 6) AS delay_mean, count(y - x) AS n FROM it GROUP BY 1")
 def residuals_and_delays(spark, d):
     rows = _items(spark, d).groupBy("l_suppkey")
     delays = [c.alias(f"delay_{n}") if n != "n" else c for c, n in zip(stats.delay_errors(F.col("y"), F.col("x")), ("worst", "mean", "n"))]
     return _rounded(rows.agg(*stats.residual_errors(F.col("y") - 1.5 * F.col("x")), *delays), "rmse", "worst", "delay_worst", "delay_mean")
 
 
-@query(f"WITH {_ITEMS}, c AS (SELECT *, y - median(y) OVER (PARTITION BY l_orderkey) AS dd FROM it) SELECT l_partkey, round(avg(dd), 6) AS bias, count(*) AS n FROM c GROUP BY 1")
+@query(f"WITH {_ITEMS}, c AS (SELECT *, y - median(y) OVER (PARTITION BY l_orderkey) AS dd FROM it) SELECT l_partkey, round(2e-8 + avg(dd), 6) AS bias, count(*) AS n FROM c GROUP BY 1")
 def centred_biases(spark, d):
     return _rounded(stats.centred_bias(_items(spark, d), "l_orderkey", "l_partkey", "y"), "bias")
 
 
-@query(f"WITH {_ITEMS}, s AS (SELECT l_orderkey, l_suppkey, sum(x) - sum(z) AS dd FROM it GROUP BY 1, 2) SELECT l_orderkey, l_suppkey, round(avg(dd) OVER (PARTITION BY l_orderkey), 4) AS common, round(dd - avg(dd) OVER (PARTITION BY l_orderkey), 4) AS own FROM s")
+@query(f"WITH {_ITEMS}, s AS (SELECT l_orderkey, l_suppkey, sum(x) - sum(z) AS dd FROM it GROUP BY 1, 2) SELECT l_orderkey, l_suppkey, round(2e-8 + avg(dd) OVER (PARTITION BY l_orderkey), 6) AS common, round(2e-8 + dd - avg(dd) OVER (PARTITION BY l_orderkey), 6) AS own FROM s")
 def paragraph_shifts(spark, d):
     rows = _items(spark, d).groupBy("l_orderkey", "l_suppkey").agg(F.sum("x").alias("x"), F.sum("z").alias("z"))
     side = lambda c: rows.select("l_orderkey", "l_suppkey", F.col(c).alias("v"))
     shifts = stats.relative_shift(side("z"), side("x"), "l_orderkey", "l_suppkey", "v")
-    return shifts.select("l_orderkey", "l_suppkey", F.round("common", 4).alias("common"), F.round("own", 4).alias("own"))
+    return _rounded(shifts.select("l_orderkey", "l_suppkey", "common", "own"), "common", "own")
 
 
-@query(f"WITH {_ITEMS} SELECT l_suppkey, count(*) AS n, round(median(x), 6) AS ours, round(median(y), 6) AS theirs, round(median(x - y), 6) AS difference, round(avg(CASE WHEN abs(x - y) <= 5 THEN 1 ELSE 0 END), 6) AS within FROM it GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT l_suppkey, count(*) AS n, round(2e-8 + median(x), 6) AS ours, round(2e-8 + median(y), 6) AS theirs, round(2e-8 + median(x - y), 6) AS difference, round(2e-8 + avg(CASE WHEN abs(x - y) <= 5 THEN 1 ELSE 0 END), 6) AS within FROM it GROUP BY 1")
 def paired_medians(spark, d):
     return _rounded(stats.paired_medians(_items(spark, d), "l_suppkey", "x", "y", 5.0), "ours", "theirs", "difference", "within")
 
@@ -231,7 +232,7 @@ def table_differences(spark, d):
 
 @query(f"""WITH {_ITEMS}, m AS (SELECT l_returnflag, l_linestatus AS h, shift, greatest(0, x - shift) AS x, y FROM it, (SELECT unnest([0.0, 5.0, 10.0]) AS shift)),
     f AS (SELECT l_returnflag, shift, h, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM m GROUP BY 1, 2, 3)
-    SELECT m.l_returnflag, CAST(m.shift AS DOUBLE) AS shift, f.h AS trained_on, round(sqrt(avg((y - a * x - b) * (y - a * x - b))), 6) AS rmse, round(max(abs(y - a * x - b)), 6) AS worst FROM m JOIN f ON m.l_returnflag = f.l_returnflag AND m.shift = f.shift AND m.h <> f.h GROUP BY 1, 2, 3""")
+    SELECT m.l_returnflag, CAST(m.shift AS DOUBLE) AS shift, f.h AS trained_on, round(2e-8 + sqrt(avg((y - a * x - b) * (y - a * x - b))), 6) AS rmse, round(2e-8 + max(abs(y - a * x - b)), 6) AS worst FROM m JOIN f ON m.l_returnflag = f.l_returnflag AND m.shift = f.shift AND m.h <> f.h GROUP BY 1, 2, 3""")
 def swapped_halves(spark, d):
     variants = spark.createDataFrame([(0.0,), (5.0,), (10.0,)], "shift double")
     return _rounded(stats.swap_validation(_items(spark, d), variants, "l_linestatus", ["l_returnflag"], F.greatest(F.lit(0.0), F.col("x") - F.col("shift")), "y"), "rmse", "worst")
@@ -242,7 +243,7 @@ def _crossing_sql(level: int, name: str) -> str:
 
 
 @query(f"""WITH {EV}, {_NUM}, {_crossing_sql(5, 'lo')}, {_crossing_sql(20, 'hi')}, b AS (SELECT user_id % 5 AS g, hi.c - lo.c AS w FROM lo FULL JOIN hi USING (user_id))
-    SELECT g, count(w) AS n, count(*) FILTER (w IS NULL) AS missing, round(min(w), 6) AS least, round(median(w), 6) AS median, round(max(w), 6) AS most FROM b GROUP BY 1""")
+    SELECT g, count(w) AS n, count(*) FILTER (w IS NULL) AS missing, round(2e-8 + min(w), 6) AS least, round(2e-8 + median(w), 6) AS median, round(2e-8 + max(w), 6) AS most FROM b GROUP BY 1""")
 def crossing_widths(spark, d):
     rows = _numbered(spark, d).withColumn("g", F.col("user_id") % 5)
     at = lambda level: series.crossings(rows, ["g", "user_id"], "i", "value", level)
