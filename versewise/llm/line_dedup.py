@@ -19,7 +19,7 @@ from versewise.llm.scratch import cut, small
 EDITS, PER_EDIT = 2, 6
 #: Indexed lines of one segment key that meet pair by pair; the number of segments that fuller keys go on to, and how
 #: often such keys are looked into.
-FULL, PIECES, DEPTH = 24, 9, 2
+FULL, PIECES, DEPTH = 32, 9, 2
 #: A line with more than one in so many of all occurrences is joined by broadcast: there are at most so many.
 HEAVY = 1000
 
@@ -222,10 +222,11 @@ def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None, coun
         if not crowded.take(1):
             crowded = None
     if crowded is None:
-        met = left.join(right, "key").where(apart).select("u", "v", F.lit(None).cast("long").alias("key"))
+        met = left.hint("shuffle_hash").join(right, "key").where(apart).select("u", "v", F.lit(None).cast("long").alias("key"))
     else:
         left = left.join(small(crowded.select("key")), "key", "left_anti").withColumn("full", F.lit(False)).unionByName(crowded.withColumn("full", F.lit(True)))
-        met = left.join(right, "key").where(apart | F.col("full")).select("u", "v", F.when(F.col("full"), F.col("key")).alias("key"))
+        # The indexed side has few rows a key, so its partitions can be hashed instead of sorting both sides.
+        met = left.hint("shuffle_hash").join(right, "key").where(apart | F.col("full")).select("u", "v", F.when(F.col("full"), F.col("key")).alias("key"))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key").where("u <> v or key is not null").distinct()
 
 
@@ -300,19 +301,25 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, i
     """
     lines = split_lines(docs, id_col, text_col)
     edges = cut(near_lines(lines.select("line"), edits, per_edit), "edges")
-    classes = cut(connected_components(edges), "classes")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no").alias("at")
-    occur = cut(lines.where(~F.col("line").rlike(r"^\s*$")).select(place, line_key(F.col("line")).alias("name")), "occurrences")
-    texts = occur.groupBy("name").agg(F.min("at").alias("own"), F.count("*").alias("n"))
-    texts = cut(texts.join(small(classes), F.col("name") == F.col("node"), "left").where("n > 1 or component is not null").select("name", "own", "n", "component"), "lines")
-    firsts = texts.where("component is not null").groupBy("component").agg(F.min("own").alias("first"))
-    alone = texts.where("component is null").select("name", "n", "own", F.col("own").alias("first"))
-    linked = texts.join(small(cut(firsts, "firsts")), "component").select("name", "n", "own", "first")
-    known = cut(alone.unionByName(linked), "known")
+    classes = cut(connected_components(edges).select("node.a", "node.b", "component"), "classes")
+    occur = cut(lines.where(~F.col("line").rlike(r"^\s*$")).select("doc_id", "text_key", "line_no", line_key(F.col("line")).alias("name")).select("doc_id", "text_key", "line_no", "name.*"), "occurrences")
+    # Only lines with company go on: those that repeat and those that are near to another.
+    shared = occur.groupBy("a", "b").agg(F.count("*").alias("n")).join(small(classes), ["a", "b"], "left").where("n > 1 or component is not null")
+    shared = cut(shared, "shared")
     # Frequent lines are joined by broadcast: fewer than HEAVY can have more than a HEAVY-th of all occurrences.
     heavy = F.col("n") > F.lit(max(1, occur.count() // HEAVY))
-    often = F.broadcast(known.where(heavy))
-    judged = occur.join(often, "name").unionByName(occur.join(F.broadcast(known.where(heavy).select("name")), "name", "left_anti").join(known.where(~heavy), "name"))
+
+    def with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        often = F.broadcast(facts.where(heavy))
+        rest = rows.join(often.select("a", "b"), ["a", "b"], "left_anti").join(facts.where(~heavy), ["a", "b"])
+        return rows.join(often, ["a", "b"]).unionByName(rest)
+
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no")
+    held = cut(with_facts(occur, shared.select("a", "b", "n", "component")).withColumn("at", place), "held")
+    own = cut(held.groupBy("a", "b").agg(F.min("at").alias("own")).join(shared, ["a", "b"]), "own")
+    firsts = cut(own.where("component is not null").groupBy("component").agg(F.min("own").alias("first")), "firsts")
+    known = cut(own.join(small(firsts), "component", "left").select("a", "b", "n", "own", F.coalesce("first", "own").alias("first")), "known")
+    judged = with_facts(held.select("a", "b", "at"), known)
     gone = judged.where("at <> first").select("at.doc_id", "at.text_key", "at.line_no", (F.col("at") != F.col("own")).alias("exact"))
     drops = gone.groupBy("doc_id", "text_key").agg(F.count_distinct(F.when(F.col("exact"), F.col("line_no"))).alias("n_exact"), F.array_sort(F.collect_set("line_no")).alias("dropped"))
     n_lines = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))
