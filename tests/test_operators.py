@@ -29,9 +29,10 @@ def test_times(spark):
 
 
 def test_text(spark):
-    row = spark.createDataFrame([("a😀é don't (yeah  oh) stop !",)], "x string").select(tx.word_ranges(F.col("x")).alias("w"), tx.main_text(F.col("x")).alias("m"), tx.backing(F.col("x")).alias("b"), tx.utf16_length(F.col("x")).alias("n")).first()
-    assert [(w.word, w.start_utf16) for w in row.w] == [("a", 0), ("don't", 5), ("yeah", 12), ("oh", 18), ("stop", 22)]
-    assert (row.m, row.b, row.n) == ("a😀é don't stop!", ["yeah oh"], 28)
+    row = spark.createDataFrame([("a😀é don't (yeah  oh) stop 40th, 3:00 x9!",)], "x string").select(tx.word_ranges(F.col("x")).alias("w"), tx.main_text(F.col("x")).alias("m"), tx.backing(F.col("x")).alias("b"), tx.utf16_length(F.col("x")).alias("n")).first()
+    assert [(w.word, w.start_utf16) for w in row.w] == [("a", 0), ("é", 3), ("don't", 5), ("yeah", 12), ("oh", 18), ("stop", 22), ("40th", 27), ("3:00", 33), ("x", 38)]
+    assert (row.m, row.b, row.n) == ("a😀é don't stop 40th, 3:00 x9!", ["yeah oh"], 41)
+    assert column(spark, tx.compose, "é", "plain", None, "가", kind="string") == ["é", "plain", None, "가"]
     assert column(spark, tx.is_vocable, "oh ooh la la", "oh no", "", "123") == [True, False, False, False]
     assert column(spark, tx.unify_apostrophes, "don‘t ‘90s ‘so’ it`s") == ["don’t ’90s ‘so’ it’s"]
     assert column(spark, tx.canonical, "Hello, World!", "a=b", "") == ["helloworld", None, ""]

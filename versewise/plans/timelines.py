@@ -304,7 +304,7 @@ def shifted_overlap(spark, d):
     return out.select("vec_id", F.col("shift").cast("bigint").alias("shift"), F.round("iou", 6).alias("iou"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT user_id, unnest(range({MONTH[0]}, {MONTH[0] + 168 * HOUR} + 1, {HOUR})) AS t FROM (SELECT DISTINCT user_id FROM ev)),
+@query(f"""WITH {EV}, g AS (SELECT user_id, unnest(range({MONTH[0]}, {MONTH[1]} + 1, {HOUR})) AS t FROM (SELECT DISTINCT user_id FROM ev)),
     u AS (SELECT user_id, t, 1 AS side, NULL AS event_id, NULL AS value, NULL AS tie FROM g UNION ALL SELECT user_id, t, 0, event_id, value, event_id FROM ev),
     j AS (SELECT user_id, t, side, last_value(CASE WHEN side = 0 THEN t END IGNORE NULLS) OVER w AS entry_t, last_value(event_id IGNORE NULLS) OVER w AS event_id FROM u WINDOW w AS (PARTITION BY user_id ORDER BY t, side, tie ROWS UNBOUNDED PRECEDING))
     SELECT user_id, t, CASE WHEN t < entry_t + {12 * HOUR} THEN event_id END AS event_id, round(CASE WHEN t < entry_t + {12 * HOUR} THEN (least(1, (t - entry_t) / {HOUR}.0) ** 2) * (3 - 2 * least(1, (t - entry_t) / {HOUR}.0)) END, 6) AS eased FROM j WHERE side = 1""")
@@ -312,7 +312,6 @@ def focus_grid(spark, d):
     from versewise.functions.times import smoothstep
 
     e = events(spark, d).withColumn("stop", F.col("t") + 12 * HOUR)
-    # The whole month. The SQL still states its first week, so it holds the rows of that week only.
     spans = e.select("user_id").distinct().select("user_id", F.lit(MONTH[0]).alias("begin"), F.lit(MONTH[1]).alias("end"))
     rows = schedule.sample_grid(e.select("user_id", "t", "event_id", "stop", F.col("event_id").alias("tie")), spans, "user_id", HOUR, "t", ["event_id", "stop"], "stop", ("tie",))
     return rows.select("user_id", "t", "event_id", F.round(smoothstep((F.col("t") - F.col("entry_t")) / HOUR), 6).alias("eased"))
