@@ -98,7 +98,30 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "n_exact", "n_near", F.concat_ws(",", F.transform("dropped", lambda x: x.cast("string"))).alias("dropped"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.suffix_dedup import dedup_repeats, kept_bytes
+
+    rows = dedup_repeats(_read(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(kept_bytes(text, F.col("spans")), 256).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versewise.llm.pivot_clusters import pivot_clusters
+
+    rows = pivot_clusters(_read(spark, sf_dir, "embeddings"))
+    named = F.sha2(F.concat_ws(",", F.transform("centroid", lambda v: v.cast("string"))), 256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", named.alias("centroid_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate, op11_suffix_dedup, op12_embedding_whitening, op13_pivot_clusters)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op10_decontaminate": f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

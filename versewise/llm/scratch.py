@@ -1,12 +1,12 @@
 """Shared scratch space: written tables that cut lineage and survive lost executors.
 
-Everything goes below ``spark.checkpoint.dir``, the folder that all executors share; only where that setting
-is absent and the session runs on one machine (unit tests) a temporary folder is made and set.
+Everything goes below ``spark.checkpoint.dir``, the folder that all executors share. It cannot be set in a running
+session, so where it is absent an error says so; tests set it as they build theirs.
 """
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, as a URI or path."""
     root = spark.conf.get(_SETTING, None)
     if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="versewise-shared-")
-        spark.conf.set(_SETTING, root)
+        raise RuntimeError(f"{_SETTING} must name a folder that the driver and all executors share; set it when the session is built")
     return root.rstrip("/")
 
 
@@ -45,6 +41,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """As ``cut``, at a path of the caller's, who may drop it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing will read again, and let Spark clear the shuffle files of plans that are gone."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(rows: DataFrame) -> DataFrame:
     """``rows``, marked for a broadcast if there are few enough. They should be a written table: they are counted."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
