@@ -179,7 +179,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = M
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(kept)
 
     bound_batches(docs.sparkSession)
-    return docs.select("*", letters_only(F.col(text_col)).alias("_letters")).mapInArrow(run, docs.schema)
+    letters = max(names, key=len) + "_letters"  # longer than any name, so none of them
+    return docs.select("*", letters_only(F.col(f"`{text_col}`")).alias(letters)).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:

@@ -300,9 +300,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, i
     no lines. Rows that repeat a doc_id and its text are one document. Ids may be of any type that has an order.
     """
     lines = split_lines(docs, id_col, text_col)
-    edges = cut(near_lines(lines.select("line"), edits, per_edit), "edges")
+    blank = F.col("line").rlike(r"^\s*$")
+    edges = cut(near_lines(lines.where(~blank).select("line"), edits, per_edit), "edges")
     classes = cut(connected_components(edges).select("node.a", "node.b", "component"), "classes")
-    occur = cut(lines.where(~F.col("line").rlike(r"^\s*$")).select("doc_id", "text_key", "line_no", line_key(F.col("line")).alias("name")).select("doc_id", "text_key", "line_no", "name.*"), "occurrences")
+    occur = cut(lines.where(~blank).select("doc_id", "text_key", "line_no", line_key(F.col("line")).alias("name")).select("doc_id", "text_key", "line_no", "name.*"), "occurrences")
     # Only lines with company go on: those that repeat and those that are near to another.
     shared = occur.groupBy("a", "b").agg(F.count("*").alias("n")).join(small(classes), ["a", "b"], "left").where("n > 1 or component is not null")
     shared = cut(shared, "shared")

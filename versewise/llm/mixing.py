@@ -23,14 +23,15 @@ def word_count(text: str = "text"):
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """``(source, source_size, n_docs, target)`` from ``(source, size)``.
+    """``(source, source_size, target)`` from ``(source, size)``, or ``(source, size, n)`` where n rows are equal.
 
     Sources by code point, null last, take the weights in turn. All sizes are shared by weight; a target stops at
     ``most`` times its source's size and the excess is shared by weight among the others until none is above.
     That is one level ``x`` with target = min(cap, weight * x): with sources by cap / weight, the capped ones are
     a prefix, found with running sums over the table of sources (one row each).
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    many = F.col("n") if "n" in sized.columns else F.lit(1)
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * many).alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.array(*[F.lit(float(w)) for w in weights])
     named = totals.withColumn("weight", F.element_at(turn, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(most))
@@ -45,7 +46,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     open_ = F.col("cap") >= F.col("weight") * F.col("level")
     level = level.withColumn("x", F.min(F.when(open_, F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(everything)["level"])
     target = F.when(F.col("x").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("x")))
-    return level.select("source", "source_size", "n_docs", target.alias("target"))
+    return level.select("source", "source_size", target.alias("target"))
 
 
 def flight(chances: list[float], sizes: list[float], rng: random.Random, eps: float = 1e-9) -> list[float]:
@@ -111,11 +112,16 @@ def reserve(x: list[float], sizes: list[float]) -> list[int]:
     return [open_[(2 * k + 1) * len(open_) // (2 * n)] for k in range(n)]
 
 
+def _order(names: Sequence[str]) -> list[str]:
+    """What tells units apart: rows that agree in it are alike."""
+    return [c for c in ("doc_id", "text_key", "size") if c in names]
+
+
 def _settler(seed: int, turn: int):
     """The grouped function of one round: a block's flight, and the landing where a source is one block."""
 
     def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(_order(rows.columns), kind="stable", na_position="last").reset_index(drop=True)
         rng = random.Random(f"{seed}/{turn}/{key[0]}/{key[1]}")
         order = list(range(len(rows)))
         rng.shuffle(order)
@@ -137,25 +143,22 @@ def _settler(seed: int, turn: int):
 
 
 def cube_sample(units: DataFrame, seed: int = 7, block: int = 4000, max_rounds: int = 12) -> DataFrame:
-    """Balanced sample of ``units(doc_id, source, size, n_docs, chance, ...)``: adds ``picked`` (0 or 1).
+    """Balanced sample of ``units(doc_id, source, size, chance, ...)``: adds ``picked`` (0 or 1).
 
     Every source is dealt by a hash over blocks of about ``block`` units; a flight in each block leaves at most two
     open units, which go on to the next round, until one block a source holds all that is open and the landing
     settles it. A block's sums are kept by its flight, so a source's are kept by all. Blocks are bounded
     whatever a source's share of the rows; each round is cut to the shared folder. Reruns agree: the draws are
-    seeded by source, block and round, over rows in the order of doc_id and size.
+    seeded by source, block and round, over units in the order of doc_id, ``text_key`` (if there is one) and size, so units
+    should differ in those: see ``mix_sources``, which combines equal rows.
     """
     names = units.columns
     settled, open_ = None, units.withColumn("x", F.col("chance"))
     for turn in range(max_rounds):
-        per = open_.groupBy("source").agg(F.count("*").alias("open_n")) if turn else None
-        if turn:
-            per = per.withColumnRenamed("source", "s")
-            open_ = open_.join(F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per, open_.source.eqNullSafe(per.s)).drop("s")
-        else:
-            open_ = open_.withColumn("open_n", F.col("n_docs"))
+        per = open_.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("open_n"))
+        open_ = open_.join(F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per, open_.source.eqNullSafe(per.s)).drop("s")
         parts = F.ceil(F.col("open_n") / F.lit(block)).cast("long")
-        open_ = open_.withColumns({"parts": parts, "block": F.pmod(F.xxhash64(F.lit(seed + turn), "doc_id", "size"), parts)}).drop("open_n")
+        open_ = open_.withColumns({"parts": parts, "block": F.pmod(F.xxhash64(F.lit(seed + turn), *_order(names)), parts)}).drop("open_n")
 
         moved = cut(open_.groupBy("source", "block").applyInPandas(_settler(seed, turn), open_.schema), "cube").drop("parts", "block")
         done = moved.where("x <= 0 or x >= 1")
@@ -172,14 +175,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     A source whose target is m times its size takes every document floor(m) times and, with chance m - floor(m),
     once more; the extra copies are a balanced sample. No document is taken more than ``most`` (rounded up)
     times. ``text_key`` is a hash of the text, to join back by. Null text has size 0; a source of size 0 takes
-    nothing; an empty table gives an empty result.
+    nothing; an empty table gives an empty result. Rows that agree in id, text and source are one unit, however many there
+    are: n of them take n times the chance, its whole part surely, and the first of them have the copies.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sized")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    sized = cut(sized.groupBy("doc_id", "text_key", "source", "size").agg(F.count("*").alias("n")), "sized")
     targets = cut(source_targets(sized, weights, most), "targets").withColumnRenamed("source", "s")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    units = sized.join(targets, sized.source.eqNullSafe(F.col("s"))).drop("s").withColumn("times", times).withColumns({"whole": F.floor("times").cast("int"), "chance": F.col("times") - F.floor("times")})
-    picked = cube_sample(units, seed)
-    copies = F.col("whole") + F.col("picked")
-    return picked.select("doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    each = F.col("times") - F.floor("times")
+    units = sized.join(targets, sized.source.eqNullSafe(F.col("s"))).drop("s").withColumn("times", times).withColumns({"whole": F.floor("times").cast("int"), "sure": F.floor(each * F.col("n")).cast("long")})
+    picked = cube_sample(units.withColumn("chance", each * F.col("n") - F.col("sure")), seed)
+    rows = picked.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = F.col("whole") + (F.col("k") <= F.col("sure") + F.col("picked")).cast("int")
+    return rows.select("doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

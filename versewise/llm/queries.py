@@ -122,6 +122,24 @@ def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_personal_data, op5_ngram_join, op6_order_minhash, op7_token_store, op8_line_dedup, op9_warc_bundles, op10_decontaminate, op11_suffix_dedup, op12_embedding_whitening, op13_pivot_clusters)}
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every distance of every round, as SQL."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    steps = [
+        "v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, any_value(v.x) AS x, min({square} * {k} + c) AS best FROM v, c{r} AS c GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT c, i, (s - ((s % n) + n) % n) // n AS m FROM (SELECT best % {k} AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS d(i) GROUP BY ALL))")
+            steps.append(f"c{r + 1} AS (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN (SELECT c, list(CAST(m AS BIGINT) ORDER BY i) AS x FROM m{r} GROUP BY c) AS m ON m.c = c.c)")
+    last = f"SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, CAST(best // {k} AS BIGINT) AS distance FROM a{rounds}"
+    return f"WITH {', '.join(steps)}, o AS ({last}) SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM o JOIN c{rounds} AS c ON c.c = o.cluster"
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op10_decontaminate": f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -150,4 +168,15 @@ SQL: dict[str, str] = {
     c AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY 1), l AS (SELECT a AS rep, sum(copies) AS links FROM q JOIN s ON s.rep = q.b GROUP BY 1)
     SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(copies - 1, 0) + coalesce(links, 0) AS BIGINT) AS n_links, coalesce(copies - 1, 0) AS n_copies
     FROM d LEFT JOIN g USING (doc_id) LEFT JOIN s ON g.g = s.g LEFT JOIN c ON c.rep = s.rep LEFT JOIN l ON l.rep = s.rep""",
+    "op11_suffix_dedup": """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    w AS (SELECT doc_id, i, md5(b[i + 1 : i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 399)) AS i FROM t WHERE octet_length(b) >= 400)),
+    r AS (SELECT w.doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+    o AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r)),
+    s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM o GROUP BY doc_id, run),
+    f AS (SELECT doc_id, z AS j FROM s UNION ALL SELECT doc_id, 0 FROM t),
+    p AS (SELECT f.doc_id, f.j, (SELECT min(a) FROM s WHERE s.doc_id = f.doc_id AND s.a >= f.j) AS till FROM f),
+    k AS (SELECT doc_id, unhex(string_agg(hex(b[j + 1 : coalesce(till, octet_length(b))]), '' ORDER BY j)) AS kept FROM p JOIN t USING (doc_id) GROUP BY doc_id),
+    n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+    SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(kept) AS kept_sha256 FROM t JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op13_pivot_clusters": _clusters_sql(),
 }

@@ -29,6 +29,8 @@ from versewise.llm.scratch import BROADCAST_IDS, bound_batches, dropped, scratch
 from versewise.llm.texthash import mix
 
 LENGTH, GRAM, SHORTEST = 400, 16, 64
+#: Anchors of a block that are compared in one task; the recursion ends when less than one place in SPARE is in a tie.
+BLOCK, SPARE = 256, 8
 #: Bytes that are hashed at a time, and the most that a hash spans.
 TILE, SPAN = 1 << 20, 1 << 12
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -125,7 +127,7 @@ class _Texts:
 
 
 def _anchors(length: int):
-    """Rows (k1, k2, twice, text) -> a row an anchor: (k1, k2, twice, pos, certain)."""
+    """Rows (t, twice, text) -> a row an anchor: (t, twice, pos, certain)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -134,16 +136,19 @@ def _anchors(length: int):
             x = _Texts(b["text"], length)
             of = np.flatnonzero(x.used)
             rows = pa.array(x.text[of])
-            yield pa.RecordBatch.from_arrays([b["k1"].take(rows), b["k2"].take(rows), b["twice"].take(rows), pa.array((x.place - x.at[x.text])[of]), pa.array(x.certain(of))], names=["k1", "k2", "twice", "pos", "certain"])
+            yield pa.RecordBatch.from_arrays([b["t"].take(rows), b["twice"].take(rows), pa.array((x.place - x.at[x.text])[of]), pa.array(x.certain(of))], names=["t", "twice", "pos", "certain"])
 
     return run
 
 
-_SEQUENCE = "g long, i int, k1 long, k2 long, twice boolean, pos long, used boolean, near int, far int, s1 long, s2 long, symbol binary, l1 long, l2 long, r1 long, r2 long, certain long, step int"
+_SEQUENCE = "g long, i int, t long, twice boolean, pos long, used boolean, near int, far int, s1 long, s2 long, symbol binary, l1 long, u1 long, u2 long, certain long, step int"
 
 
 def _sequences(length: int):
-    """Rows (k1, k2, twice, text, marked places) -> sequences g of the anchors that suffixes of marked ones need."""
+    """Rows (t, twice, text, marks) -> sequences g of the anchors that suffixes of marked ones need, with their symbols.
+
+    l1 is a hash of the bytes before an anchor that its strings hold, u1 and u2 are hashes of all bytes that they hold.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -172,8 +177,8 @@ def _sequences(length: int):
             whole = x.data.tobytes()
             rows = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g + made), pa.array((np.arange(len(g)) - heads[g]).astype(np.int32)), b["k1"].take(rows), b["k2"].take(rows), b["twice"].take(rows), pa.array(place - x.at[text]), pa.array(used), pa.array(low.astype(np.int32)), pa.array(far.astype(np.int32)),
-                 h(place, stop, 0), h(place, stop, 1), pa.array([whole[s:e] for s, e in zip(place.tolist(), stop.tolist())], pa.binary()), h(left, place, 0), h(left, place, 1), h(place, right, 0), h(place, right, 1), h(place, np.minimum(place + x.length - x.window + 1, end), 0), pa.array(step.astype(np.int32))],
+                [pa.array(g + made), pa.array((np.arange(len(g)) - heads[g]).astype(np.int32)), b["t"].take(rows), b["twice"].take(rows), pa.array(place - x.at[text]), pa.array(used), pa.array(low.astype(np.int32)), pa.array(far.astype(np.int32)),
+                 h(place, stop, 0), h(place, stop, 1), pa.array([whole[s:e] for s, e in zip(place.tolist(), stop.tolist())], pa.binary()), h(left, place, 0), h(left, right, 0), h(left, right, 1), h(place, np.minimum(place + x.length - x.window + 1, end), 0), pa.array(step.astype(np.int32))],
                 names=[c.split()[0] for c in _SEQUENCE.split(", ")],
             )
             made += int(g[-1]) + 1
@@ -181,28 +186,89 @@ def _sequences(length: int):
     return run
 
 
-def _strings(length: int):
-    """Rows (k1, k2, text, open: anchors whose strings are not settled) -> a row a string that begins at or before them."""
+_OPEN = "certain long, t long, pos long, near int, far int, rank long, twice boolean, bytes binary"
+
+
+def _held_bytes(length: int):
+    """Rows (t, text, open: anchors that are not settled) -> a row an anchor with the bytes that its strings hold."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            column = b["text"].cast(pa.large_string())
-            at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
             lists, flat = b["open"], b["open"].flatten()
             rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            pos, near, far, rank = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "near", "far", "rank"))
-            twice = flat.field("twice").to_numpy(zero_copy_only=False)
-            size = far - near + 1
-            of = np.repeat(np.arange(len(pos)), size)
-            back = far[of] - (np.arange(len(of)) - np.repeat(size.cumsum() - size, size))
-            place = (pos + at[rows] - at[0])[of]
-            start = place - back
-            take = pa.array(rows[of])
-            h = lambda s, e, w: pa.array(string_hashes(data, s, e, w))
-            yield pa.RecordBatch.from_arrays([b["k1"].take(take), b["k2"].take(take), pa.array(twice[of]), pa.array(pos[of] - back), pa.array(back.astype(np.int32)), pa.array(rank[of]), h(start, place, 0), h(start, start + length, 0), h(start, start + length, 1)], names=["k1", "k2", "twice", "start", "back", "rank", "l1", "w1", "w2"])
+            texts = [t.as_buffer() for t in b["text"].cast(pa.large_binary())]
+            pos, near, far = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("pos", "near", "far"))
+            held = pa.array([bytes(texts[r][p - f : p - n + length]) for r, p, n, f in zip(rows.tolist(), pos, near, far)], pa.binary())
+            yield pa.RecordBatch.from_arrays([flat.field("certain"), b["t"].take(pa.array(rows)), *[flat.field(c) for c in ("pos", "near", "far", "rank", "twice")], held], names=[c.split()[0] for c in _OPEN.split(", ")])
+
+    return run
+
+
+def _strings_of(b, length: int) -> tuple:
+    """(row, back, hash of the bytes before the anchor, two hashes of the string) of every string of a batch of anchors."""
+    held = b["bytes"]
+    at = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    near, far = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("near", "far"))
+    size = far - near + 1
+    row = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(row)) - np.repeat(size.cumsum() - size, size)
+    start = (at[:-1] - at[0])[row] + step
+    back = far[row] - step
+    return row, back, string_hashes(data, start, start + back), string_hashes(data, start, start + length), string_hashes(data, start, start + length, 1)
+
+
+def _exploded(length: int):
+    """A row a string of each anchor: (t, start, twice, back, rank, l1, w1, w2)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            row, back, left, one, two = _strings_of(b, length)
+            of = lambda c: b[c].to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (of("t"), of("pos") - back, of("twice"), back.astype(np.int32), of("rank"), left, one, two)], names=["t", "start", "twice", "back", "rank", "l1", "w1", "w2"])
+
+    return run
+
+
+def _compared(length: int):
+    """Anchors in the order of ``certain`` -> (t, lo, hi) of strings that another anchor of the same block also has.
+
+    Strings are sorted by what stands before the anchor and the anchor's rank, and neighbours compared.
+    """
+
+    def settle(b):
+        import pyarrow as pa
+
+        row, back, left, one, two = _strings_of(b, length)
+        of = lambda c: b[c].to_numpy(zero_copy_only=False)[row]
+        block = of("certain")
+        by = np.lexsort((one, of("rank"), left, back, block))
+        like = np.zeros(len(by) + 1, bool)
+        like[1:-1] = np.all([v[by][1:] == v[by][:-1] for v in (block, back, one, two)], axis=0)
+        same = np.zeros(len(by), bool)
+        same[by] = like[1:] | like[:-1]
+        start = (of("pos") - back)[found := np.flatnonzero(same & ~of("twice"))]
+        return pa.RecordBatch.from_arrays([pa.array(of("t")[found]), pa.array(start), pa.array(start)], names=["t", "lo", "hi"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = None  # the last block may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if held is None else pa.concat_batches([held, b])
+            key = b["certain"].to_numpy(zero_copy_only=False)
+            cut = int(np.argmax(key == key[-1]))
+            if cut:
+                yield settle(b.slice(0, cut))
+            held = b.slice(cut)
+        if held is not None:
+            yield settle(held)
 
     return run
 
@@ -310,24 +376,25 @@ def _at(i: Column, field: str, without: int) -> Column:
     return F.coalesce(F.get("x", i)[field], F.lit(without))
 
 
-def suffix_ranks(strings: DataFrame, enough: int) -> DataFrame:
+def suffix_ranks(strings: DataFrame, enough: int, spare: int = 0) -> DataFrame:
     """``strings(g, x: array<struct<i, s, step, cover>>)`` -> ``(g, i, rank)``: how many suffixes are less than the one at i.
 
     ``s`` are symbols from 0; the end of a string is less than any. ``step`` and ``cover`` say how far the next symbol is and
     how much this one covers: suffixes that agree over ``enough`` may tie. Places that 3 does not divide are the sample:
     their triples are sorted, and unless the places in a tie cover enough, the ranks of the triples are two strings (one a
-    residue) for the recursion. Then each place in three is merged by its symbols and the rank of the next sampled suffix.
+    residue) for the recursion. With ``spare`` it ends when less than one place in so many is in such a tie. Then each place in three is merged by its symbols and the rank of the next sampled suffix.
     """
     spark = strings.sparkSession
     paths = {k: scratch_path(spark, f"suffix-{k}") for k in ("triples", "names", "places", "merged")}
     triple = lambda v, i: F.struct(i.alias("i"), v["s"].alias("s0"), _at(i + 1, "s", -1).alias("s1"), _at(i + 2, "s", -1).alias("s2"), F.least(F.lit(enough), v["step"] + _at(i + 1, "step", enough) + _at(i + 2, "step", enough)).cast("int").alias("step"), F.least(F.lit(enough), v["step"] + _at(i + 1, "step", enough) + _at(i + 2, "cover", enough)).cast("int").alias("cover"))
     triples = strings.select("g", F.explode(F.filter(F.transform("x", triple), lambda t: t["i"] % 3 > 0)).alias("t")).select("g", "t.*")
     named = sorted_runs(triples, ["s0", "s1", "s2", "g"], ["s0", "s1", "s2"], paths["triples"])
-    if named.where(F.col("same") & (F.col("cover") < enough)).isEmpty():
+    ties = named.agg(F.count_if(F.col("same") & (F.col("cover") < enough)).alias("n"), F.count("*").alias("of")).first()
+    if ties.n * max(1, spare) < max(1, ties.of if spare else 1):
         sample = named.select("g", "i", F.col("less0").alias("rank"))
     else:
         parts = named.select((F.col("g") * 2 + F.col("i") % 3 - 1).alias("g"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("less0").alias("s"), "step", "cover")
-        inner = suffix_ranks(written(_as_strings(parts, "s", "step", "cover"), paths["names"]), enough)
+        inner = suffix_ranks(written(_as_strings(parts, "s", "step", "cover"), paths["names"]), enough, spare)
         sample = inner.select(F.shiftright("g", 1).alias("g"), (F.col("i") * 3 + F.col("g") % 2 + 1).cast("int").alias("i"), "rank")
     ranks = _as_strings(sample, "rank").withColumnRenamed("x", "ranks")
     places = written(strings.join(ranks, "g", "left").select("g", "x", "ranks"), paths["places"])
@@ -354,43 +421,64 @@ def _few(rows: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(rows) if n.n <= BROADCAST_IDS and (n.of or 0) <= 4 * BROADCAST_IDS else rows
 
 
+def _marked(texts: DataFrame, length: int, path: str) -> DataFrame:
+    """Anchors whose certain bytes occur twice: (t, marks)."""
+    anchors = written(texts.select("t", "twice", "text").mapInArrow(_anchors(length), "t long, twice boolean, pos long, certain long"), f"{path}-anchors")
+    often = anchors.groupBy("certain").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("certain")
+    marks = written(anchors.join(often, "certain", "left_semi").groupBy("t").agg(F.collect_list("pos").alias("marks")), f"{path}-marks")
+    dropped(texts.sparkSession, f"{path}-anchors")
+    return marks
+
+
+def _ordered(texts: DataFrame, marks: DataFrame, length: int, path: str) -> DataFrame:
+    """Marked anchors with their rank in the order of suffixes, and whether one beside them holds the same bytes."""
+    spark = texts.sparkSession
+    rows = texts.select("t", "twice", "text").join(_few(marks, F.size("marks")), "t")
+    sequences = written(rows.mapInArrow(_sequences(length), _SEQUENCE), f"{path}-sequences")
+    symbols = sorted_runs(sequences.select("s1", "s2", "symbol").distinct(), ["symbol"], [], f"{path}-symbols")
+    named = sequences.join(symbols.select("s1", "s2", F.col("less0").alias("s")), ["s1", "s2"])
+    cover = F.when(F.col("step") >= length, length).otherwise(window_of(length) + GRAM)
+    strings = written(_as_strings(named.select("g", "i", "s", "step", cover.alias("cover")), "s", "step", "cover"), f"{path}-strings")
+    dropped(spark, f"{path}-marks", f"{path}-symbols")
+    ranks = suffix_ranks(strings, length, SPARE)
+    ranked = sequences.where("used").select("g", "i", "t", "twice", "pos", "near", "far", "l1", "u1", "u2", "certain").join(ranks, ["g", "i"])
+    # anchors that tie in rank agree in u1 if they hold the same bytes
+    pairs = sorted_runs(ranked.drop("g", "i"), ["far", "near", "l1", "rank", "u1", "t"], ["far", "near", "u1", "u2"], f"{path}-pairs")
+    dropped(spark, f"{path}-sequences", f"{path}-strings")
+    return pairs
+
+
 def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``texts(k1, k2, twice, text)``, each text once -> ``(k1, k2, starts: array<struct<lo, hi>>)``.
+    """``texts(t, twice, text)``, each text once -> ``(t, starts: array<struct<lo, hi>>)``.
 
     Strings of ``length`` bytes that begin at lo..hi occur elsewhere, in the same text or another, or the text does
-    (``twice``). Every such place is in some pair; texts without one have no row.
+    (``twice``). Texts without one have no row.
+
+    Anchors that hold the same bytes, over all their strings, are neighbours in the order of suffixes and so settled. One of each
+    such run, and the anchors that are in none, are looked into where a block (the anchors whose certain bytes agree, which
+    lie together in that order) has several: their strings are sorted by what stands before the anchor and its rank, and
+    neighbours compared; in one task for a block of at most ``BLOCK`` anchors, over ranges for others.
     """
     spark = texts.sparkSession
     bound_batches(spark)
-    keys = ["k1", "k2"]
-    path = {k: scratch_path(spark, f"repeats-{k}") for k in ("anchors", "marks", "sequences", "symbols", "names", "order", "ranked", "open", "strings", "starts")}
-    # 1. anchors, and those whose certain bytes occur twice
-    anchors = written(texts.mapInArrow(_anchors(length), "k1 long, k2 long, twice boolean, pos long, certain long"), path["anchors"])
-    often = anchors.groupBy("certain").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("certain")
-    marks = written(anchors.join(often, "certain", "left_semi").groupBy(*keys).agg(F.collect_list("pos").alias("marks")), path["marks"])
-    dropped(spark, path["anchors"])
-    # 2. their symbols, ordered by bytes
-    sequences = written(texts.join(_few(marks, F.size("marks")), keys).mapInArrow(_sequences(length), _SEQUENCE), path["sequences"])
-    symbols = sorted_runs(sequences.select("s1", "s2", "symbol").distinct(), ["symbol"], [], path["symbols"])
-    named = sequences.join(symbols.select("s1", "s2", F.col("less0").alias("s")), ["s1", "s2"])
-    cover = F.when(F.col("step") >= length, length).otherwise(window_of(length) + GRAM)
-    strings = written(_as_strings(named.select("g", "i", "s", "step", cover.alias("cover")), "s", "step", "cover"), path["names"])
-    dropped(spark, path["marks"], path["symbols"])
-    # 3. the order of suffixes at anchors; neighbours that agree before and after the anchor over all its strings are settled
-    ranks = suffix_ranks(strings, length)
-    ranked = sequences.where("used").drop("symbol").join(ranks, ["g", "i"])
-    order = ["far", "near", "l1", "l2", "rank"]
-    pairs = sorted_runs(ranked.select(*keys, "g", "twice", "pos", "near", "far", "l1", "l2", "r1", "r2", "certain", "rank"), [*order, "g", "pos"], ["far", "near", "l1", "l2", "r1", "r2"], path["ranked"])
-    settled = pairs.where("same or twice").select(*keys, (F.col("pos") - F.col("far")).alias("lo"), (F.col("pos") - F.col("near")).alias("hi"))
-    # 4. one anchor of each settled run, and the others: strings that begin before them, by their first bytes and the anchor's rank
+    path = scratch_path(spark, "repeats")
+    pairs = _ordered(texts, _marked(texts, length, path), length, path)
+    settled = pairs.where("same or twice").select("t", (F.col("pos") - F.col("far")).alias("lo"), (F.col("pos") - F.col("near")).alias("hi"))
     heads = pairs.where("head").withColumn("twice", F.col("same") | F.col("twice"))
-    mixed = heads.groupBy("certain").agg(F.count("*").alias("n"), F.min("twice").alias("all")).where("n > 1 and not all").select("certain")
-    look = written(heads.join(mixed, "certain", "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("pos", "near", "far", "rank", "twice")).alias("open")), path["open"])
-    dropped(spark, path["sequences"], path["names"])
-    strings = texts.join(_few(look, F.size("open")), keys).mapInArrow(_strings(length), "k1 long, k2 long, twice boolean, start long, back int, rank long, l1 long, w1 long, w2 long")
-    each = sorted_runs(written(strings, path["strings"]), ["back", "l1", "rank", "k1", "start"], ["w1", "w2"], path["order"])
-    found = each.where("same and not twice").select(*keys, F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return written(settled.union(found).groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), path["starts"])
+    mixed = heads.groupBy("certain").agg(F.count("*").alias("n"), F.min("twice").alias("all")).where("n > 1 and not all").select("certain", (F.col("n") > BLOCK).alias("many"))
+    look = heads.join(mixed, "certain").groupBy("t").agg(F.collect_list(F.struct("pos", "near", "far", "rank", "twice", "certain", "many")).alias("open"))
+    look = written(look, f"{path}-look")
+    is_many = lambda x: x["many"]
+    some = look.withColumns({"large": F.filter("open", is_many), "open": F.filter("open", lambda x: ~is_many(x))})
+    held = lambda rows: texts.select("t", "text").join(_few(rows, F.size("open")), "t").select("t", "text", "open").mapInArrow(_held_bytes(length), _OPEN)
+    small = held(some.where(F.size("open") > 0)).repartition("certain").sortWithinPartitions("certain")
+    found = settled.union(small.mapInArrow(_compared(length), "t long, lo long, hi long"))
+    large = some.where(F.size("large") > 0).select("t", F.col("large").alias("open"))
+    if not large.isEmpty():
+        each = held(large).mapInArrow(_exploded(length), "t long, start long, twice boolean, back int, rank long, l1 long, w1 long, w2 long")
+        each = sorted_runs(written(each, f"{path}-each"), ["back", "l1", "rank", "w1", "t"], ["back", "w1", "w2"], f"{path}-order")
+        found = found.union(each.where("same and not twice").select("t", F.col("start").alias("lo"), F.col("start").alias("hi")))
+    return written(found.groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), f"{path}-starts")
 
 
 def _cover(length: int):
@@ -413,7 +501,7 @@ def _cover(length: int):
             stops = np.concatenate((begins[1:] - 1, [len(row) - 1]))
             spans = pa.StructArray.from_arrays([pa.array(lo[begins]), pa.array(top[stops] - row[stops] * far)], names=["start", "end"])
             offsets = np.searchsorted(row[begins], np.arange(len(lists) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["k1", "k2", "spans"])
+            yield pa.RecordBatch.from_arrays([b["t"], pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["t", "spans"])
 
     return run
 
@@ -442,8 +530,11 @@ def dedup_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     long = F.octet_length(body) >= length
     path, done = scratch_path(spark, "repeats-texts"), scratch_path(spark, "repeats-spans")
     each = docs.where(long).select(key[0].alias("k1"), key[1].alias("k2"), body.alias("text"))
-    texts = written(each.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("twice")).select("k1", "k2", "twice", "text"), path)
-    spans = written(repeated_starts(texts, length).mapInArrow(_cover(length), "k1 long, k2 long, spans array<struct<start: long, end: long>>"), done)
+    texts = each.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("twice"))
+    texts = written(texts.withColumn("t", F.monotonically_increasing_id()), path)
+    dropped(spark)
+    spans = repeated_starts(texts, length).mapInArrow(_cover(length), "t long, spans array<struct<start: long, end: long>>")
+    spans = written(spans.join(texts.select("t", "k1", "k2"), "t").select("k1", "k2", "spans"), done)
     dropped(spark, path)
     rest = [c for c in docs.columns if c.lower() != "spans"]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.when(long, key[0]).alias("_dedup_1"), F.when(long, key[1]).alias("_dedup_2"))
