@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from versewise.functions import let
 from versewise.functions.numbers import TOKEN
 
 # Apostrophe variants, and the words without lexical content.
@@ -109,26 +111,50 @@ def first_unsupported(text: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(found)), 4, "0")))
 
 
+def running(sizes: Column) -> Column:
+    """Sums of an array's elements up to each, by doubling the stretch that is summed: n log n steps, no growing arrays."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int"))
+    step = lambda sums, k: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    return F.aggregate(rounds, sizes, step)
+
+
 def words_of(text: Column) -> Column:
     """Words of English letters with inner apostrophes, after folding, and numeric tokens, as they stand.
 
-    Folding keeps every character's place, so words are cut from the text itself where their folded forms stand.
+    Folding keeps every character's place, so where it changes a text its words are cut where the folded ones stand.
     """
-    return F.transform(word_places(text), lambda w: w["word"])
+
+    def of(t: Column, folded: Column) -> Column:
+        cut = lambda chars: F.transform(_places(folded, F.length), lambda w: F.array_join(F.slice(chars, w["begin"] + 1, w["size"]), ""))
+        return F.when(t == folded, F.regexp_extract_all(folded, F.lit(_ANY_WORD), F.lit(0))).otherwise(let(F.split(t, ""), cut))
+
+    return let(text, lambda t: let(fold_latin(t), lambda folded: of(t, folded)))
+
+
+_ANY_WORD = f"(?:{TOKEN}|{WORDS})"
+
+
+def _places(folded: Column, size: Callable[[Column], Column]) -> Column:
+    """Words of a folded text as (begin, size), from 0, in units that ``size`` counts."""
+
+    def of(words: Column, between: Column) -> Column:
+        # what stands up to the end of each word: the words so far and what stands before them
+        ends = running(F.transform(words, lambda w, i: size(w) + size(F.get(between, i))))
+        return F.transform(F.arrays_zip(words.alias("w"), ends.alias("e")), lambda x: F.struct((x["e"] - size(x["w"])).alias("begin"), size(x["w"]).alias("size")))
+
+    return let(F.regexp_extract_all(folded, F.lit(_ANY_WORD), F.lit(0)), lambda words: let(F.split(folded, _ANY_WORD), lambda between: of(words, between)))
 
 
 def word_places(text: Column) -> Column:
     """Words as (word, begin, size) in characters, from 0."""
-    fenced = F.split(F.regexp_replace(fold_latin(text), f"({TOKEN}|{WORDS})", "\x01$1\x02"), "\x01")
-    kind = "array<struct<word:string,begin:int,size:int>>"
-    start = F.struct(F.length(F.element_at(fenced, 1)).alias("at"), F.array().cast(kind).alias("out"))
+    return _with_words(text, F.length, "begin", "size")
+
 
-    def step(s: Column, piece: Column) -> Column:
-        size = F.length(F.substring_index(piece, "\x02", 1))
-        row = F.struct(F.substring(text, s["at"] + 1, size).alias("word"), s["at"].alias("begin"), size.alias("size"))
-        return F.struct((s["at"] + F.length(piece) - 1).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+def _with_words(text: Column, size: Callable[[Column], Column], begin: str, length: str) -> Column:
+    def of(words: Column, places: Column) -> Column:
+        return F.transform(F.arrays_zip(words.alias("w"), places.alias("p")), lambda x: F.struct(x["w"].alias("word"), x["p"]["begin"].alias(begin), x["p"]["size"].alias(length)))
 
-    return F.aggregate(F.slice(fenced, 2, F.greatest(F.lit(0), F.size(fenced) - 1)), start, step, lambda s: s["out"])
+    return let(text, lambda t: let(words_of(t), lambda words: let(_places(fold_latin(t), size), lambda places: of(words, places))))
 
 
 def utf16_length(text: Column) -> Column:
@@ -142,9 +168,8 @@ def utf16_slice(text: Column, start: Column, length: Column) -> Column:
 
 
 def word_ranges(text: Column) -> Column:
-    """Words with UTF-16 ranges: array of (word, start_utf16, length_utf16)."""
-    before = lambda w: utf16_length(F.substring(text, F.lit(1), w["begin"]))
-    return F.transform(word_places(text), lambda w: F.struct(w["word"].alias("word"), before(w).alias("start_utf16"), utf16_length(w["word"]).alias("length_utf16")))
+    """Words with UTF-16 ranges: array of (word, start_utf16, length_utf16) (B12). Folded letters have one unit, as before."""
+    return _with_words(text, utf16_length, "start_utf16", "length_utf16")
 
 
 def english_words(text: Column) -> Column:

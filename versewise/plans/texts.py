@@ -18,13 +18,18 @@ def line_normalise(spark, d):
     return lines(spark, d).select("doc_id", "line_no", tx.tighten(tx.collapse(F.col("line"))).alias("clean"))
 
 
-_BARE_LINE = "translate(line, '0123456789', '')"
+_PIECE = "''?[0-9]+(?:[,:][0-9]+)*|[A-Za-z]+(?:[''’][A-Za-z]+)*|."
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, CAST(k AS BIGINT) AS k, lower(w[k]) AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, line_no, regexp_extract_all(strip_accents({_BARE_LINE}), '{_W.replace(chr(39), chr(39) * 2)}') AS w FROM ln))")
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, line_no, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM (SELECT doc_id, line_no, regexp_extract_all(strip_accents(line), '{_PIECE}') AS w FROM ln)),
+    n AS (SELECT *, coalesce(lag(w) OVER o, '') AS before, coalesce(lead(w) OVER o, '') AS a1, coalesce(lead(w, 2) OVER o, '') AS a2, coalesce(lead(w, 3) OVER o, '') AS a3, regexp_matches(w, '[0-9]') AS num FROM p WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY i)),
+    t AS (SELECT *, num AND regexp_matches(a1, '^(st|nd|rd|th|s)$') AND NOT regexp_matches(a2, '^[0-9]') AND NOT (a2 IN ('.', ',', ':') AND regexp_matches(a3, '^[0-9]')) AS ordinal, num AND NOT regexp_matches(a1, '^[A-Za-z0-9]') AND NOT (a1 IN ('.', ',', ':') AND regexp_matches(a2, '^[0-9]')) AS bare FROM n),
+    v AS (SELECT *, num AND (ordinal OR bare) AND (w[1] = chr(39) OR NOT regexp_matches(before, '[A-Za-z0-9.,:]$')) AS token, CASE WHEN w[1] = chr(39) AND regexp_matches(before, '[A-Za-z0-9.,:]$') THEN w[2:] ELSE w END AS x FROM t),
+    f AS (SELECT doc_id, line_no, i, CASE WHEN token AND ordinal THEN x || a1 WHEN token THEN x ELSE w END AS word FROM (SELECT *, coalesce(lag(token AND ordinal) OVER (PARTITION BY doc_id, line_no ORDER BY i), false) AS used FROM v) WHERE token OR (NOT used AND regexp_matches(w, '^[A-Za-z]')))
+    SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i) AS k, lower(word) AS word FROM f""")
 def word_tokens(spark, d):
-    """Words of lines without their digits; numeric tokens are compared in the tests of ``word_ranges``."""
-    rows = lines(spark, d).select("doc_id", "line_no", F.posexplode(tx.words_of(F.expr(_BARE_LINE))).alias("i", "w"))
+    """Words and numeric tokens of every line."""
+    rows = lines(spark, d).select("doc_id", "line_no", F.posexplode(tx.words_of(F.col("line"))).alias("i", "w"))
     return rows.select("doc_id", "line_no", (F.col("i") + 1).cast("bigint").alias("k"), F.lower(tx.fold_latin(F.col("w"))).alias("word"))
 
 
