@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.operators import selection
+
 # Fixed values of the acceptance and placement rules.
 MIN_SUPPORT, MIN_SIMILARITY, US_PER_CHAR = -3.5, 0.15, (40_000, 400_000)
 NEIGHBOUR_SIMILARITY, NEIGHBOUR_RATE = 0.05, 1_000_000
@@ -113,7 +115,7 @@ def refine_estimates(rows: DataFrame, frames: DataFrame, key: str = "recording_i
     the interpolated 99th percentile; onset is the first frame above it less 30 dB (none: rejected), and the
     offset runs on through frames above it less 20 dB, by 0.6 s at most and not past the next proposal.
     """
-    ref = frames.groupBy(key).agg(F.expr("percentile(level_db, 0.99)").alias("ref"))
+    ref = selection.percentiles(frames, [key], "level_db", {"ref": 0.99}).drop("n")
     rows = next_begin(rows, key, line, "begin_us")
     limit = F.least(F.col("end_us") + most_extension, F.coalesce("following", F.col("end_us") + most_extension))
     spans = rows.where("accepted").select(key, line, "begin_us", "end_us", limit.alias("limit"), F.floor(F.col("begin_us") / frame_us).alias("f0"), F.floor((F.col("end_us") + frame_us - 1) / frame_us).alias("f1"))

@@ -108,27 +108,61 @@ def coverage(activity: DataFrame, estimated: DataFrame, key) -> DataFrame:
     return whole.withColumns({"uncovered": outside("activity"), "excess": outside("estimated")}).withColumn("score", F.greatest("uncovered", "excess"))
 
 
+def _level(length: Column, width: int) -> Column:
+    """The least n with ``length <= width * 2^n``: an interval lies in two buckets at most of its level."""
+    n = F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(width))).cast("int"))
+    return F.when(length > F.lit(width) * F.pow(F.lit(2.0), n), n + 1).otherwise(n)  # the logarithm is rounded
+
+
+def _levels(rows: DataFrame, length: Column, width: int) -> list[int]:
+    """The levels that intervals have: one number a doubling of their length, so at most 63."""
+    return sorted(r.n for r in rows.select(_level(length, width).alias("n")).distinct().collect())
+
+
+def _bucket(t: Column, level: Column, width: int) -> Column:
+    return F.floor(t / F.lit(width) / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _dealt(rows: DataFrame, begin: str, end: str, levels: Column, width: int) -> DataFrame:
+    """A row for each level and bucket that an interval touches."""
+    rows = rows.withColumn("_level", F.explode(levels))
+    return rows.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col(begin), F.col("_level"), width), _bucket(F.col(end) - 1, F.col("_level"), width))))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key, width: int, condition: Column | None = None) -> DataFrame:
     """Pairs of intervals that overlap strictly, as ``l.*`` and ``r.*`` columns with prefixes ``l_`` and ``r_``.
 
-    Intervals are dealt to buckets of ``width`` and meet in a bucket; a pair is kept in the bucket where the later
-    of the two begins, so that none is repeated. The width should be near the usual length of an interval.
+    Buckets are dyadic: ``width`` doubled as often as an interval is long. An interval is at home in the two buckets at most
+    that it touches at its own level, and looks into those of coarser levels that the other side has. So a row is dealt at
+    most twice a level, however unlike the lengths. Homes meet homes and visitors; a pair is kept in the bucket where the
+    later of the two begins, so that none is repeated. ``width`` should be near the shorter lengths.
     """
     k = _keys(key)
     pre = lambda rows, p: rows.select(*[F.col(c).alias(c if c in k else f"{p}_{c}") for c in rows.columns])
     l, r = pre(left, "l").where("l_begin < l_end"), pre(right, "r").where("r_begin < r_end")
-    bucket = lambda p: F.explode(F.sequence(F.floor(F.col(f"{p}_begin") / width), F.floor((F.col(f"{p}_end") - 1) / width)))
-    met = l.withColumn("_bucket", bucket("l")).join(r.withColumn("_bucket", bucket("r")), [*k, "_bucket"])
-    ok = overlaps(F.col("l_begin"), F.col("l_end"), F.col("r_begin"), F.col("r_end")) & (F.floor(F.greatest("l_begin", "r_begin") / width) == F.col("_bucket"))
-    return met.where(ok if condition is None else ok & condition).drop("_bucket")
+    own = {p: _level(F.col(f"{p}_end") - F.col(f"{p}_begin"), width) for p in "lr"}
+    levels = {p: _levels(rows, F.col(f"{p}_end") - F.col(f"{p}_begin"), width) for p, rows in (("l", l), ("r", r))}
+    coarser = lambda p, other, equal: F.filter(F.array(*map(F.lit, levels[other])).cast("array<int>"), lambda n: n >= own[p] if equal else n > own[p])
+    home = lambda rows, p: _dealt(rows, f"{p}_begin", f"{p}_end", F.array(own[p]), width)
+    visits = lambda rows, p, other, equal: _dealt(rows, f"{p}_begin", f"{p}_end", coarser(p, other, equal), width)
+    met = home(l, "l").join(visits(r, "r", "l", True), [*k, "_level", "_bucket"]).unionByName(visits(l, "l", "r", False).join(home(r, "r"), [*k, "_level", "_bucket"]))
+    ok = overlaps(F.col("l_begin"), F.col("l_end"), F.col("r_begin"), F.col("r_end")) & (_bucket(F.greatest("l_begin", "r_begin"), F.col("_level"), width) == F.col("_bucket"))
+    return met.where(ok if condition is None else ok & condition).drop("_level", "_bucket")
 
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, key, width: int, t: str = "t", begin: str = "begin", end: str = "end") -> DataFrame:
-    """Points joined to the intervals that hold them, ``begin <= t < end``, through buckets of ``width``."""
+    """Points joined to the intervals that hold them, ``begin <= t < end``.
+
+    Intervals are dealt to the two dyadic buckets at most of their own level (see ``overlap_join``), points to one a level.
+    """
     k = _keys(key)
-    dealt = spans.where(F.col(begin) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))))
-    met = points.withColumn("_bucket", F.floor(F.col(t) / width)).join(dealt, [*k, "_bucket"])
-    return met.where((F.col(begin) <= F.col(t)) & (F.col(t) < F.col(end))).drop("_bucket")
+    spans = spans.where(F.col(begin) < F.col(end))
+    length = F.col(end) - F.col(begin)
+    dealt = _dealt(spans, begin, end, F.array(_level(length, width)), width)
+    levels = F.array(*map(F.lit, _levels(spans, length, width))).cast("array<int>")
+    at = points.withColumn("_level", F.explode(levels)).withColumn("_bucket", _bucket(F.col(t), F.col("_level"), width))
+    met = at.join(dealt, [*k, "_level", "_bucket"])
+    return met.where((F.col(begin) <= F.col(t)) & (F.col(t) < F.col(end))).drop("_level", "_bucket")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key, t: str, values: Sequence[str], right_first: bool = True, ties: Sequence[str] = ()) -> DataFrame:
@@ -177,26 +211,28 @@ def nearest(left: DataFrame, right: DataFrame, key, tolerance: int, mutual: bool
     return ranked.where("_l = 1").drop("_l")
 
 
-def greedy_nearest(left: DataFrame, right: DataFrame, key: str, tolerance: int, t: str = "t", id_: str = "id") -> DataFrame:
+def greedy_nearest(left: DataFrame, right: DataFrame, key, tolerance: int, t: str = "t", id_: str = "id") -> DataFrame:
     """One-to-one: left events in time order each take the nearest unused right event within ``tolerance``.
 
-    The choice depends on all earlier ones, so each key's pairs (already cut to the tolerance) are one group.
+    Ties go to the earlier right event, then the smaller id. A left event is sure of its nearest unused right one if no earlier
+    left event, still open, could take that; so in each round every open pair that is first in this way is settled, of all keys
+    and stretches at once, and what it uses is left out. There are as many rounds as the longest chain of events that wait for
+    each other; each goes to a checkpoint. Ids must differ within a key.
     """
-    import pandas as pd
-
-    pairs = near_pairs(left, right, key, tolerance, t, id_)
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, mine in rows.sort_values(["l_t", "l_id"]).groupby(["l_t", "l_id"], sort=True):
-            free = mine[~mine["r_id"].isin(used)]
-            if len(free):
-                best = free.assign(d=(free["l_t"] - free["r_t"]).abs()).sort_values(["d", "r_t", "r_id"]).iloc[[0]]
-                used.add(best["r_id"].iat[0])
-                out.append(best.drop(columns="d"))
-        return pd.concat(out)[rows.columns] if out else rows.iloc[:0]
-
-    return pairs.groupBy(*_keys(key)).applyInPandas(choose, pairs.schema)
+    k = _keys(key)
+    open_ = near_pairs(left, right, key, tolerance, t, id_)
+    names = open_.columns
+    mine, theirs = Window.partitionBy(*k, "l_id"), Window.partitionBy(*k, "r_id")
+    best = F.row_number().over(mine.orderBy(F.abs(F.col("l_t") - F.col("r_t")), "r_t", "r_id")) == 1
+    first = F.row_number().over(theirs.orderBy("l_t", "l_id")) == 1
+    settled = None
+    while True:
+        marked = open_.withColumn("_best", best).withColumn("_sure", F.col("_best") & first).withColumn("_used", F.max("_sure").over(theirs)).withColumn("_done", F.max("_sure").over(mine))
+        marked = marked.where("_sure or not (_used or _done)").select(*names, "_sure").checkpoint()
+        done, open_ = marked.where("_sure").select(names), marked.where("not _sure").select(names)
+        settled = done if settled is None else settled.unionByName(done)
+        if open_.isEmpty():
+            return settled
 
 
 def not_contained(inner: DataFrame, outer: DataFrame, key, width: int) -> DataFrame:

@@ -8,33 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.operators import selection
+
 
 def error_summary(error: Column, late: float = 500.0) -> list[Column]:
-    """Interpolated percentiles of absolute errors: count, median, p95, mean, max, share above ``late``."""
+    """Interpolated percentiles of absolute errors: count, median, p95, mean, max, share above ``late``.
+
+    For groups of bounded size, such as a recording's lines; see ``error_summaries`` for others.
+    """
     e = F.abs(error)
     return [F.count(error).alias("n"), F.percentile(e, 0.5).alias("median"), F.percentile(e, 0.95).alias("p95"), F.avg(e).alias("mae"), F.max(e).alias("worst"), F.avg((e > late).cast("int")).alias("late_share")]
 
 
-def _ranked(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*key)
-    return rows.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
+def error_summaries(rows: DataFrame, key: Sequence[str], error: str, late: float = 500.0, **how) -> DataFrame:
+    """The measures of ``error_summary`` for groups of any size: percentiles by ``selection.values_at``."""
+    k = list(key)
+    e = rows.withColumn("_e", F.abs(error))
+    sums = e.groupBy(*k).agg(F.count("_e").alias("_n"), F.avg("_e").alias("mae"), F.max("_e").alias("worst"), F.avg((F.col("_e") > late).cast("int")).alias("late_share"))
+    found = selection.percentiles(e, k, "_e", {"median": 0.5, "p95": 0.95}, **how)
+    return sums.join(found, k, "left").select(*k, F.col("_n").alias("n"), "median", "p95", "mae", "worst", "late_share")
 
 
-def nearest_rank_summary(rows: DataFrame, key: Sequence[str], error: str, q: float = 0.95) -> DataFrame:
+def nearest_rank_summary(rows: DataFrame, key: Sequence[str], error: str, q: float = 0.95, **how) -> DataFrame:
     """Nearest-rank percentile of absolute errors at ``round(q * (n - 1))``, ties to even, and the median."""
-    k = list(key)
-    ranked = _ranked(rows.withColumn("_e", F.abs(error)), k, "_e")
-    at = F.bround(F.lit(q) * (F.col("_n") - 1), 0) + 1
-    return ranked.groupBy(*k).agg(F.count("*").alias("n"), F.percentile("_e", 0.5).alias("median"), F.max(F.when(F.col("_r") == at, F.col("_e"))).alias("p95"))
+    ranks = lambda n: [*selection.interpolated(n, 0.5), F.bround(F.lit(q) * (n - 1), 0)]
+    found = selection.values_at(rows.withColumn("_e", F.abs(error)), key, "_e", ranks, **how)
+    return found.select(*key, "n", selection.between(F.col("at"), 0, F.col("n"), 0.5).alias("median"), F.get("at", F.lit(2)).alias("p95"))
 
 
-def floor_rank_summary(rows: DataFrame, key: Sequence[str], error: str) -> DataFrame:
+def floor_rank_summary(rows: DataFrame, key: Sequence[str], error: str, **how) -> DataFrame:
     """Floor-rank p90 and p95 at ``int(q * n)``, signed median, shares within 100 and 200 (D3)."""
     k = list(key)
-    ranked = _ranked(rows.withColumn("_e", F.abs(error)), k, "_e")
-    pick = lambda q: F.max(F.when(F.col("_r") == F.least(F.col("_n"), F.floor(F.lit(q) * F.col("_n")) + 1), F.col("_e")))
+    e = rows.where(F.col(error).isNotNull()).withColumn("_e", F.abs(error))
+    pick = lambda n, q: F.least(n - 1, F.floor(F.lit(q) * n))
     within = lambda v: F.avg((F.col("_e") <= v).cast("int"))
-    return ranked.groupBy(*k).agg(F.count("*").alias("n"), F.percentile(error, 0.5).alias("signed_median"), pick(0.9).alias("p90"), pick(0.95).alias("p95"), within(100).alias("within_100"), within(200).alias("within_200"))
+    sums = e.groupBy(*k).agg(F.count("*").alias("n"), within(100).alias("within_100"), within(200).alias("within_200"))
+    high = selection.values_at(e, k, "_e", lambda n: [pick(n, 0.9), pick(n, 0.95)], **how)
+    signed = selection.percentiles(e, k, error, {"signed_median": 0.5}, **how)
+    both = sums.join(high.select(*k, F.get("at", F.lit(0)).alias("p90"), F.get("at", F.lit(1)).alias("p95")), k).join(signed.drop("n"), k)
+    return both.select(*k, "n", "signed_median", "p90", "p95", "within_100", "within_200")
 
 
 def pooled_and_by_kind(rows: DataFrame, kind: str, measures: Sequence[Column], pooled: str = "all") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versewise.functions import text as tx
-from versewise.operators import align, intervals as iv, match, schedule
+from versewise.operators import align, intervals as iv, match, schedule, selection
 
 
 def normalise_lyrics(texts: DataFrame, key: str = "recording_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,7 +56,7 @@ def place_unresolved(rows: DataFrame, frames: DataFrame, key: str = "recording_i
     ``rows(key, line_id, estimate_begin, estimate_end, duration)``; silence (a reference at the floor) moves nothing.
     """
     filled = align.fill_unresolved(rows, key, "line_id", "estimate_begin", "estimate_end", "duration")
-    ref = frames.groupBy(key).agg(F.expr("percentile(level_db, 0.99)").alias("ref"))
+    ref = selection.percentiles(frames, [key], "level_db", {"ref": 0.99}).drop("n")
     loud = frames.join(ref, key).withColumn("active", (F.col("level_db") > F.col("ref") - onset_db) & (F.col("ref") > -120))
     moved = align.relocate_boundary_runs(filled, iv.active_intervals(loud, key, frame_us), key, "line_id", "estimate_begin", "estimate_end", "duration")
     return moved.withColumn("status", align.status(F.col("estimate_begin"), F.col("fill_begin"), F.lit(False)))

@@ -23,7 +23,7 @@ def _rounded(df, *names, places=6):
 
 @query(f"WITH {_ERR} SELECT l_returnflag, count(e) AS n, round(quantile_cont(abs(e), 0.5), 6) AS median, round(quantile_cont(abs(e), 0.95), 6) AS p95, round(avg(abs(e)), 6) AS mae, round(max(abs(e)), 6) AS worst, round(avg(CASE WHEN abs(e) > 500 THEN 1 ELSE 0 END), 6) AS late_share FROM err GROUP BY 1")
 def line_error_summary_interp(spark, d):
-    return _rounded(_errors(spark, d).groupBy("l_returnflag").agg(*stats.error_summary(F.col("e"))), "median", "p95", "mae", "worst", "late_share")
+    return _rounded(stats.error_summaries(_errors(spark, d), ["l_returnflag"], "e"), "median", "p95", "mae", "worst", "late_share")
 
 
 @query(f"WITH {_ERR}, r AS (SELECT l_returnflag, abs(e) AS e, row_number() OVER (PARTITION BY l_returnflag ORDER BY abs(e)) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM err) SELECT l_returnflag, count(*) AS n, round(quantile_cont(e, 0.5), 6) AS median, round(max(CASE WHEN r = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1 THEN e END), 6) AS p95 FROM r GROUP BY 1")

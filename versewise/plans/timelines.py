@@ -113,7 +113,10 @@ def nearest_mutual(spark, d):
     return iv.nearest(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", 2 * HOUR, mutual=True)
 
 
-@query()
+@query(f"""{_NEAR.replace("WITH", "WITH RECURSIVE", 1)}, lf AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l_t, l_id) AS i FROM (SELECT user_id, l_id, l_t, list(r_id ORDER BY abs(l_t - r_t), r_t, r_id) AS near FROM p GROUP BY ALL)),
+    g AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM lf
+    UNION ALL SELECT user_id, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (SELECT lf.user_id, lf.i, used, list_filter(near, lambda r: NOT list_contains(used, r))[1] AS pick FROM g JOIN lf ON lf.user_id = g.user_id AND lf.i = g.i + 1))
+    SELECT p.* FROM g JOIN lf USING (user_id, i) JOIN p ON p.user_id = g.user_id AND p.l_id = lf.l_id AND p.r_id = g.pick""")
 def nearest_greedy(spark, d):
     e = events(spark, d).withColumnRenamed("event_id", "id")
     return iv.greedy_nearest(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", 2 * HOUR)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from versewise.functions.text import stamp, xml_escape
 
@@ -79,7 +78,26 @@ def require_fitted(rows: DataFrame, record: DataFrame, order: Sequence[str]) ->
     return rows.crossJoin(frozen_record(rows, record.select("fitted_on").withColumnRenamed("fitted_on", "expected"), order).where("expected = fitted_on").select(F.lit(1).alias("_ok"))).drop("_ok")
 
 
+def replace_days(path: str, day: str = "day", at: str = "observed_at") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the batch's days replace those stored below ``path``, other days stay.
+
+    A day that has several observations in the batch keeps the last. Days are partitions, and only those of the batch are
+    written over, so a batch that comes again leaves the same table. Batches must come in the order of their observations.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c != day]
+        last = batch.groupBy(day).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("v")).select(day, "v.*")
+        last.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+    return apply
+
+
 def upsert_daily(stored: DataFrame, observed: DataFrame, day: str = "day", at: str = "observed_at") -> DataFrame:
-    """The last observation of each day; days that were not observed stay as they are."""
-    w = Window.partitionBy(day).orderBy(F.col(at).desc())
-    return stored.unionByName(observed).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last observation of each day; days that were not observed stay as they are.
+
+    Of equal times the greatest of the other columns counts, so observing the same again changes nothing.
+    """
+    rest = [c for c in stored.columns if c not in (day, at)]
+    rows = stored.unionByName(observed)
+    return rows.groupBy(day).agg(F.max(F.struct(at, *rest)).alias("v")).select(day, "v.*").select(*stored.columns)
