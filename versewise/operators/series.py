@@ -131,36 +131,88 @@ def energy_endpoint(frames: DataFrame, lines: DataFrame, key: str, line: str, ra
     return lines.join(best, [key, line], "left")
 
 
+_RUN = ("first", "last", "lo", "hi", "n")  # an open run; n is 0 where there is none
+
+
+def _greedy(rows, t: str, value: str, run: tuple, tolerance: float, gap: float) -> tuple[list[tuple], tuple]:
+    """Runs that close in sorted samples, entered with an open run, and the run that is open at their end."""
+    first, last, lo, hi, n = run
+    closed = []
+    for at, v in zip(rows[t].tolist(), rows[value].tolist()):
+        missing = v is None or v != v
+        if n and (missing or max(hi, v) - min(lo, v) > tolerance or at - last > gap):
+            closed.append((first, last, n))
+            n = 0
+        if not missing:
+            first, lo, hi = (first, min(lo, v), max(hi, v)) if n else (at, v, v)
+            last, n = at, n + 1
+    return closed, (first, last, lo, hi, n) if n else (0, 0, 0.0, 0.0, 0)
+
+
 def stable_intervals(samples: DataFrame, key: str, t: str, value: str, tolerance: float, minimum: float, gap: float) -> DataFrame:
-    """Greedy maximal runs with a bounded span of values and bounded gaps.
+    """Greedy maximal runs with a bounded span of values and bounded gaps: (key, first, last, n).
 
-    A run ends when a sample would stretch it beyond the tolerance or comes too late, or has no value; where the next
-    begins depends on that, so each key's samples are one sequential group.
+    A run ends when a sample would stretch it beyond the tolerance or comes too late, or has no value; where the next begins
+    depends on that. Samples are sorted over ranges, so a key may have many cells, and a cell is scanned from the run that is
+    open at its beginning. At first none is supposed; then a key's cells are walked, by what is known of each: a cell that the
+    open run passes through whole needs no scan, and one that was entered otherwise than supposed is scanned again, all such
+    cells at once, until every entry is known. Where two entries fall into step within a cell, as they mostly do, that is the second round.
     """
     import pandas as pd
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        out, first, last, n, lo, hi = [], None, None, 0, 0.0, 0.0
-
-        def close() -> None:
-            if n and last - first >= minimum:
-                out.append((rows[key].iat[0], first, last, n))
-
-        for at, v in rows.sort_values(t)[[t, value]].itertuples(index=False):
-            if v is None or v != v:
-                close()
-                n = 0
-                continue
-            if n and (max(hi, v) - min(lo, v) > tolerance or at - last > gap):
-                close()
-                n = 0
-            first, lo, hi = (at, v, v) if not n else (first, min(lo, v), max(hi, v))
-            last, n = at, n + 1
-        close()
-        return pd.DataFrame(out, columns=[key, "first", "last", "n"])
-
     kinds = dict(samples.dtypes)
-    return samples.select(key, t, value).groupBy(key).applyInPandas(scan, f"{key} {kinds[key]}, first {kinds[t]}, last {kinds[t]}, n long")
+    run = f"first {kinds[t]}, last {kinds[t]}, lo double, hi double, n long"
+    entered = f"{key} {kinds[key]}, cell int, {run}"
+    ordered = samples.select(key, t, F.col(value).cast("double").alias(value)).repartitionByRange(key, t, value).sortWithinPartitions(key, t, value).withColumn("cell", F.spark_partition_id()).checkpoint()
+    by_cell = [key, "cell"]
+    sort = lambda rows: rows.sort_values([t, value], na_position="first")
+
+    def leave(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(entries):
+            return pd.DataFrame([], columns=columns)
+        rows, out = sort(rows), []
+        v, steps = rows[value], rows[t].diff().iloc[1:]
+        facts = (rows[t].iat[0], rows[t].iat[-1], v.min(), v.max(), len(rows), bool(v.isna().any()) or bool((steps > gap).any()))
+        for e in entries[list(_RUN)].itertuples(index=False):
+            out.append((rows[key].iat[0], rows["cell"].iat[0], *e, *_greedy(rows, t, value, tuple(e), tolerance, gap)[1], *facts))
+        return pd.DataFrame(out, columns=columns)
+
+    columns = [key, "cell", *_RUN, *[f"x_{c}" for c in _RUN], "f_first", "f_last", "f_lo", "f_hi", "f_n", "broken"]
+    known_kind = f"{entered}, x_first {kinds[t]}, x_last {kinds[t]}, x_lo double, x_hi double, x_n long, f_first {kinds[t]}, f_last {kinds[t]}, f_lo double, f_hi double, f_n long, broken boolean"
+
+    def walk(cells: pd.DataFrame) -> pd.DataFrame:
+        none, out = (0, 0, 0.0, 0.0, 0), []
+        exits = {(r.cell, (r.first, r.last, r.lo, r.hi, r.n)): (r.x_first, r.x_last, r.x_lo, r.x_hi, r.x_n) for r in cells.itertuples(index=False)}
+        facts, now = cells.drop_duplicates("cell").sort_values("cell"), none
+        for r in facts.itertuples(index=False):
+            enter, through = now, False
+            if now[4] and not r.broken and r.f_first - now[1] <= gap:
+                lo, hi = min(now[2], r.f_lo), max(now[3], r.f_hi)
+                through = hi - lo <= tolerance
+            sure = through or (r.cell, now) in exits
+            now = (now[0], r.f_last, lo, hi, now[4] + r.f_n) if through else exits.get((r.cell, now), exits[r.cell, none])
+            out.append((getattr(r, key), r.cell, *enter, sure, r.cell == facts["cell"].iat[-1]))
+        return pd.DataFrame(out, columns=[key, "cell", *_RUN, "sure", "final"])
+
+    zero = {c: F.lit(0).cast(k) for c, k in zip(_RUN, (kinds[t], kinds[t], "double", "double", "long"))}
+    asked = ordered.select(*by_cell).distinct().withColumns(zero)
+    known = None
+    while True:
+        cells = ordered.join(asked.select(*by_cell).distinct(), by_cell, "left_semi") if known is not None else ordered
+        found = cells.groupBy(*by_cell).cogroup(asked.groupBy(*by_cell)).applyInPandas(leave, known_kind).checkpoint()
+        known = found if known is None else known.unionByName(found)
+        plan = known.groupBy(key).applyInPandas(walk, f"{entered}, sure boolean, final boolean").checkpoint()
+        asked = plan.where("not sure").select(*by_cell, *_RUN)
+        if asked.isEmpty():
+            break
+
+    def close(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        closed, open_ = _greedy(sort(rows), t, value, tuple(plan[list(_RUN)].iloc[0]), tolerance, gap)
+        if plan["final"].iat[0] and open_[4]:
+            closed.append((open_[0], open_[1], open_[4]))
+        return pd.DataFrame([(rows[key].iat[0], f, l, n) for f, l, n in closed if l - f >= minimum], columns=[key, "first", "last", "n"])
+
+    return ordered.groupBy(*by_cell).cogroup(plan.groupBy(*by_cell)).applyInPandas(close, f"{key} {kinds[key]}, first {kinds[t]}, last {kinds[t]}, n long")
 
 
 def shifted_overlap(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, limit: int) -> DataFrame:

@@ -340,7 +340,11 @@ def deadline_compression(spark, d):
     return schedule.compress_to_deadline(rows, ["user_id", "day"], "i", "begin", "end", "deadline").select("user_id", "event_id", "new_begin", "new_end")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, s AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t, value) AS i FROM ev),
+    g AS (SELECT user_id, i, t AS first, t AS last, value AS lo, value AS hi, CAST(1 AS BIGINT) AS n FROM s WHERE i = 1
+    UNION ALL SELECT user_id, i, CASE WHEN new THEN t ELSE first END, t, CASE WHEN new THEN value ELSE least(lo, value) END, CASE WHEN new THEN value ELSE greatest(hi, value) END, CASE WHEN new THEN 1 ELSE n + 1 END
+    FROM (SELECT s.user_id, s.i, s.t, s.value, first, lo, hi, n, greatest(hi, value) - least(lo, value) > 40.0 OR s.t - last > {24 * HOUR} AS new FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.i + 1))
+    SELECT user_id, first, last, n FROM (SELECT *, lead(n) OVER (PARTITION BY user_id ORDER BY i) AS more FROM g) WHERE coalesce(more, 1) = 1 AND last - first >= {HOUR}""")
 def stable_runs(spark, d):
     rows = events(spark, d).select("user_id", "t", "value")
     return series.stable_intervals(rows, "user_id", "t", "value", 40.0, HOUR, 24 * HOUR)
