@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versewise.llm.scratch import BROADCAST_IDS, bound_batches, dropped, scratch_path, written
+from versewise.llm.scratch import BROADCAST_IDS, bound_batches, dropped, scratch_path, small, written
 from versewise.llm.texthash import mix
 
 LENGTH, GRAM, SHORTEST = 400, 16, 64
-#: Anchors of a block that are compared in one task; the recursion ends when less than one place in SPARE is in a tie.
-BLOCK, SPARE = 256, 8
+#: Anchors of a block that are compared in one task; levels of the recursion, after which ties are ordered by hashes of the prefix.
+BLOCK, LEVELS = 256, 2
 #: Bytes that are hashed at a time, and the most that a hash spans.
 TILE, SPAN = 1 << 20, 1 << 12
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -376,25 +376,24 @@ def _at(i: Column, field: str, without: int) -> Column:
     return F.coalesce(F.get("x", i)[field], F.lit(without))
 
 
-def suffix_ranks(strings: DataFrame, enough: int, spare: int = 0) -> DataFrame:
+def suffix_ranks(strings: DataFrame, enough: int, levels: int | None = None) -> DataFrame:
     """``strings(g, x: array<struct<i, s, step, cover>>)`` -> ``(g, i, rank)``: how many suffixes are less than the one at i.
 
     ``s`` are symbols from 0; the end of a string is less than any. ``step`` and ``cover`` say how far the next symbol is and
     how much this one covers: suffixes that agree over ``enough`` may tie. Places that 3 does not divide are the sample:
     their triples are sorted, and unless the places in a tie cover enough, the ranks of the triples are two strings (one a
-    residue) for the recursion. With ``spare`` it ends when less than one place in so many is in such a tie. Then each place in three is merged by its symbols and the rank of the next sampled suffix.
+    residue) for the recursion, which ends after ``levels``, if given, with ties. Then each place in three is merged by its symbols and the rank of the next sampled suffix.
     """
     spark = strings.sparkSession
     paths = {k: scratch_path(spark, f"suffix-{k}") for k in ("triples", "names", "places", "merged")}
     triple = lambda v, i: F.struct(i.alias("i"), v["s"].alias("s0"), _at(i + 1, "s", -1).alias("s1"), _at(i + 2, "s", -1).alias("s2"), F.least(F.lit(enough), v["step"] + _at(i + 1, "step", enough) + _at(i + 2, "step", enough)).cast("int").alias("step"), F.least(F.lit(enough), v["step"] + _at(i + 1, "step", enough) + _at(i + 2, "cover", enough)).cast("int").alias("cover"))
     triples = strings.select("g", F.explode(F.filter(F.transform("x", triple), lambda t: t["i"] % 3 > 0)).alias("t")).select("g", "t.*")
     named = sorted_runs(triples, ["s0", "s1", "s2", "g"], ["s0", "s1", "s2"], paths["triples"])
-    ties = named.agg(F.count_if(F.col("same") & (F.col("cover") < enough)).alias("n"), F.count("*").alias("of")).first()
-    if ties.n * max(1, spare) < max(1, ties.of if spare else 1):
+    if levels == 1 or named.where(F.col("same") & (F.col("cover") < enough)).isEmpty():
         sample = named.select("g", "i", F.col("less0").alias("rank"))
     else:
         parts = named.select((F.col("g") * 2 + F.col("i") % 3 - 1).alias("g"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("less0").alias("s"), "step", "cover")
-        inner = suffix_ranks(written(_as_strings(parts, "s", "step", "cover"), paths["names"]), enough, spare)
+        inner = suffix_ranks(written(_as_strings(parts, "s", "step", "cover"), paths["names"]), enough, levels and levels - 1)
         sample = inner.select(F.shiftright("g", 1).alias("g"), (F.col("i") * 3 + F.col("g") % 2 + 1).cast("int").alias("i"), "rank")
     ranks = _as_strings(sample, "rank").withColumnRenamed("x", "ranks")
     places = written(strings.join(ranks, "g", "left").select("g", "x", "ranks"), paths["places"])
@@ -425,8 +424,10 @@ def _marked(texts: DataFrame, length: int, path: str) -> DataFrame:
     """Anchors whose certain bytes occur twice: (t, marks)."""
     anchors = written(texts.select("t", "twice", "text").mapInArrow(_anchors(length), "t long, twice boolean, pos long, certain long"), f"{path}-anchors")
     often = anchors.groupBy("certain").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("certain")
+    # a table of its own, so that the join can split the anchors of a hash that very many texts have
+    often = small(written(often, f"{path}-often"))
     marks = written(anchors.join(often, "certain", "left_semi").groupBy("t").agg(F.collect_list("pos").alias("marks")), f"{path}-marks")
-    dropped(texts.sparkSession, f"{path}-anchors")
+    dropped(texts.sparkSession, f"{path}-anchors", f"{path}-often")
     return marks
 
 
@@ -440,9 +441,9 @@ def _ordered(texts: DataFrame, marks: DataFrame, length: int, path: str) -> Data
     cover = F.when(F.col("step") >= length, length).otherwise(window_of(length) + GRAM)
     strings = written(_as_strings(named.select("g", "i", "s", "step", cover.alias("cover")), "s", "step", "cover"), f"{path}-strings")
     dropped(spark, f"{path}-marks", f"{path}-symbols")
-    ranks = suffix_ranks(strings, length, SPARE)
+    ranks = suffix_ranks(strings, length, LEVELS)
     ranked = sequences.where("used").select("g", "i", "t", "twice", "pos", "near", "far", "l1", "u1", "u2", "certain").join(ranks, ["g", "i"])
-    # anchors that tie in rank agree in u1 if they hold the same bytes
+    # anchors of one rank that hold the same bytes agree in u1
     pairs = sorted_runs(ranked.drop("g", "i"), ["far", "near", "l1", "rank", "u1", "t"], ["far", "near", "u1", "u2"], f"{path}-pairs")
     dropped(spark, f"{path}-sequences", f"{path}-strings")
     return pairs
@@ -471,8 +472,8 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     is_many = lambda x: x["many"]
     some = look.withColumns({"large": F.filter("open", is_many), "open": F.filter("open", lambda x: ~is_many(x))})
     held = lambda rows: texts.select("t", "text").join(_few(rows, F.size("open")), "t").select("t", "text", "open").mapInArrow(_held_bytes(length), _OPEN)
-    small = held(some.where(F.size("open") > 0)).repartition("certain").sortWithinPartitions("certain")
-    found = settled.union(small.mapInArrow(_compared(length), "t long, lo long, hi long"))
+    blocks = held(some.where(F.size("open") > 0)).repartition("certain").sortWithinPartitions("certain")
+    found = settled.union(blocks.mapInArrow(_compared(length), "t long, lo long, hi long"))
     large = some.where(F.size("large") > 0).select("t", F.col("large").alias("open"))
     if not large.isEmpty():
         each = held(large).mapInArrow(_exploded(length), "t long, start long, twice boolean, back int, rank long, l1 long, w1 long, w2 long")
