@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.operators import intervals as iv
 from versewise.operators.align import proposal_flags
 from versewise.operators.match import with_matching_ratio
 from versewise.operators.series import argmax_label
@@ -58,23 +59,31 @@ def proposals(lines: DataFrame, spans: DataFrame, frames: DataFrame, alphabet: C
     return rows.withColumns({"estimate_begin": F.when(clean, F.col("begin_us")), "estimate_end": F.when(clean, F.col("end_us"))}).drop("longest", "heard")
 
 
-def units_to_lines(units: DataFrame, lines: DataFrame, key: str = "recording_id") -> DataFrame:
-    """Acoustic units mapped to source lines by running character offsets.
+def units_to_lines(units: DataFrame, lines: DataFrame, key: str = "recording_id", order: str = "line_id") -> DataFrame:
+    """Acoustic units mapped to source lines by running character offsets (E40): lines with ``begin_us``, ``end_us``, ``unresolved``.
 
-    ``units(key, unit, text, begin_us, end_us)``, ``lines(key, line_id, alignment_text)``. A unit that crosses lines, or a
-    recording whose texts differ, leaves its lines without an interval.
+    ``units(key, unit, text, begin_us, end_us)``, ``lines(key, line_id, alignment_text)``. The two cuts of one text meet where
+    their ranges of characters overlap. A line has an interval only if whole units cover it; where a unit is out of order, or
+    the texts differ, no line of the recording has one. ``unresolved`` says why: ``units_out_of_order``, ``text_mismatch`` or
+    ``unaligned``.
     """
-    def placed(rows: DataFrame, order: str, text: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(order)
-        return rows.withColumns({"begin": F.coalesce(F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "end": F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-
-    spelled = lambda rows, order, text, name: rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "").alias(name))
-    same = spelled(units, "unit", "text", "_u").join(spelled(lines, "line_id", "alignment_text", "_l"), key).where("_u = _l").select(key)
-    u = placed(units, "unit", "text").select(key, "begin_us", "end_us", F.col("begin").alias("_b"), F.col("end").alias("_e"))
-    l = placed(lines, "line_id", "alignment_text")
-    met = l.join(same, key, "left_semi").join(u, key).where("_b < end and _e > begin").withColumn("whole", (F.col("_b") >= F.col("begin")) & (F.col("_e") <= F.col("end")))
-    spans = met.groupBy(key, "line_id").agg(F.min("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"), F.every("whole").alias("_ok")).where("_ok").drop("_ok")
-    return lines.join(spans, [key, "line_id"], "left")
+    def placed(rows: DataFrame, by: str, text: str, size: str) -> DataFrame:
+        upto = F.sum(F.length(text)).over(Window.partitionBy(key).orderBy(by))
+        return rows.withColumn(size, F.length(text)).withColumns({"begin": upto - F.col(size), "end": upto})
+
+    spelled = lambda rows, by, text, name, *more: rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda x: x[text]), "").alias(name), *more)
+    before = F.coalesce(F.lag("end_us").over(Window.partitionBy(key).orderBy("unit")), F.lit(0))
+    timed = units.withColumn("_bad", F.coalesce((before > F.col("begin_us")) | (F.col("begin_us") >= F.col("end_us")), F.lit(True)))
+    texts = spelled(lines, order, "alignment_text", "_l").join(spelled(timed, "unit", "text", "_u", F.max("_bad").alias("_bad")), key, "left")
+    why = F.when(F.col("_bad"), F.lit("units_out_of_order")).when(~F.coalesce(F.col("_u") == F.col("_l"), F.lit(False)) | (F.col("_l") == ""), F.lit("text_mismatch"))
+    judged = texts.select(key, why.alias("_why"))
+    u = placed(timed, "unit", "text", "_n").join(judged.where("_why is null"), key, "left_semi").select(key, "begin", "end", "begin_us", "end_us")
+    l = placed(lines, order, "alignment_text", "_n").select(key, order, "begin", "end")
+    met = iv.overlap_join(l, u, key, 16)
+    whole = (F.col("r_begin") >= F.col("l_begin")) & (F.col("r_end") <= F.col("l_end"))
+    spans = met.groupBy(key, F.col(f"l_{order}").alias(order)).agg(F.min("r_begin_us").alias("begin_us"), F.max("r_end_us").alias("end_us"), F.every(whole).alias("_ok")).where("_ok").drop("_ok")
+    out = lines.join(spans, [key, order], "left").join(judged, key, "left")
+    return out.withColumn("unresolved", F.coalesce("_why", F.when(F.col("begin_us").isNull(), F.lit("unaligned")))).drop("_why")
 
 
 def script_units(lines: DataFrame, vocabulary: DataFrame, readings: DataFrame, key: str = "recording_id") -> DataFrame:
@@ -97,27 +106,30 @@ def script_units(lines: DataFrame, vocabulary: DataFrame, readings: DataFrame, k
     return rows.groupBy(key, "line_id", "unit").agg(text.alias("text"), F.max(F.when(F.substring("_kind", 1, 1) == "r", F.col("reading"))).alias("reading"), F.max(F.substring("_kind", 1, 1).isin("c", "r")).alias("labelled"))
 
 
-def bridge_units(units: DataFrame, key: str = "recording_id", most_us: int = 1_000_000) -> DataFrame:
-    """Aligned units run on to the next one; units without a span take their syllables' share.
+def bridge_units(units: DataFrame, key: str = "recording_id", most_us: int = 1_000_000, low: str | None = None, high: str | None = None) -> DataFrame:
+    """Aligned units run on to the next unit; units without a span last their syllables at the line's pace.
 
-    ``units(key, line_id, unit, syllables, begin_us, end_us)``. The pace is the upper median of time by syllable; units
-    before the first aligned one are laid backwards from it, those after the last forwards, and those between share
-    the gap.
+    ``units(key, line_id, unit, syllables, begin_us, end_us)``. The pace is the upper median length of the line's aligned units,
+    within 0.12 and 0.4 s (0.2 s without any). An aligned unit runs on to an aligned one right after it, by ``most_us`` at most.
+    Units before the first aligned one are laid backwards from it, those after the last forwards, within the columns ``low``
+    and ``high`` if given; of those between, the first has the gap and the others nothing.
     """
-    w = Window.partitionBy(key, "line_id").orderBy("unit")
-    whole = Window.partitionBy(key, "line_id")
-    rows = units.withColumn("_next", F.first("begin_us", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    rows = rows.withColumn("_end", F.when(F.col("begin_us").isNotNull(), F.when(F.col("_next") - F.col("end_us") <= most_us, F.col("_next")).otherwise(F.col("end_us"))))
-    paces = F.array_sort(F.collect_list(F.when(F.col("begin_us").isNotNull(), (F.col("end_us") - F.col("begin_us")) / F.col("syllables"))).over(whole))
-    rows = rows.withColumn("_paces", paces).withColumn("_pace", F.get("_paces", (F.size("_paces") / 2).cast("int")))
-    rows = rows.withColumns({"_run": F.count("begin_us").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_prev": F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    gap = Window.partitionBy(key, "line_id", "_run", F.col("begin_us").isNull())
-    rows = rows.withColumns({"_sum": F.sum("syllables").over(gap), "_upto": F.sum("syllables").over(gap.orderBy("unit"))})
-    free = F.when(F.col("_prev").isNull(), F.col("_next") - F.col("_pace") * F.col("_sum")).otherwise(F.col("_prev"))
-    stop = F.when(F.col("_next").isNull(), F.col("_prev") + F.col("_pace") * F.col("_sum")).otherwise(F.col("_next"))
-    at = lambda n: F.greatest(F.lit(0), F.floor(free + (stop - free) * n / F.col("_sum"))).cast("bigint")
-    empty = F.col("begin_us").isNull()
-    return rows.withColumns({"unit_begin": F.when(empty, at(F.col("_upto") - F.col("syllables"))).otherwise(F.col("begin_us")), "unit_end": F.when(empty, at(F.col("_upto"))).otherwise(F.col("_end"))}).select(*units.columns, "unit_begin", "unit_end")
+    line = [key, "line_id"]
+    w, whole = Window.partitionBy(*line).orderBy("unit"), Window.partitionBy(*line)
+    aligned = F.col("begin_us").isNotNull()
+    rows = units.withColumns({"_low": F.col(low) if low else F.lit(0).cast("bigint"), "_high": F.col(high) if high else F.lit((1 << 63) - 1)})
+    lengths = F.array_sort(F.collect_list(F.when(aligned, F.col("end_us") - F.col("begin_us"))).over(whole))
+    pace = F.least(F.lit(400_000), F.greatest(F.lit(120_000), F.coalesce(F.get(lengths, F.floor(F.size(lengths) / 2).cast("int")), F.lit(200_000))))
+    rows = rows.withColumn("_pace", pace).withColumn("_end", F.when(aligned, F.greatest("end_us", F.least(F.coalesce(F.lead("begin_us").over(w), F.col("end_us")), F.col("end_us") + most_us))))
+    rows = rows.withColumns({"_next": F.first("begin_us", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "_prev": F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_run": F.count("begin_us").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    gap = Window.partitionBy(*line, "_run", aligned)
+    rows = rows.withColumns({"_all": F.sum("syllables").over(gap), "_upto": F.sum("syllables").over(gap.orderBy("unit")), "_nth": F.row_number().over(gap.orderBy("unit"))})
+    back = lambda syllables: F.greatest("_low", F.coalesce("_next", "_low") - F.col("_pace") * syllables)
+    on = lambda syllables: F.greatest("_prev", F.least("_high", F.col("_prev") + F.col("_pace") * syllables))
+    own, reach = F.col("_upto") - F.col("syllables"), F.greatest("_prev", "_next")
+    begin = F.when(F.col("_prev").isNull(), back(F.col("_all") - own)).when(F.col("_next").isNull(), on(own)).when(F.col("_nth") == 1, F.col("_prev")).otherwise(reach)
+    end = F.when(F.col("_prev").isNull(), back(F.col("_all") - F.col("_upto"))).when(F.col("_next").isNull(), on(F.col("_upto"))).otherwise(reach)
+    return rows.select(*units.columns, F.when(aligned, F.col("begin_us")).otherwise(begin).cast("bigint").alias("unit_begin"), F.when(aligned, F.col("_end")).otherwise(end).cast("bigint").alias("unit_end"))
 
 
 def latest_readings(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.functions.text import utf16_length
+
 
 def violations(rows: DataFrame, key: str, row: str, rules: dict[str, Column]) -> DataFrame:
     """One row for each rule that a row breaks; a rule is a condition that is true where it is broken."""
@@ -90,10 +92,39 @@ def candidate_violations(rows: DataFrame) -> DataFrame:
     return violations(per, "recording_id", "occurrence", {"duplicate_candidate": F.col("n") > F.col("ids"), "too_many_candidates": F.col("n") > 64})
 
 
-def long_vowel_suggestions(rows: DataFrame) -> DataFrame:
-    """Readings that equal the recognised one but for long-vowel marks: suggested, never applied."""
-    bare = F.replace("reading", F.lit("ー"))
-    return rows.where((F.col("recognised") != F.col("reading")) & (bare == F.replace("recognised", F.lit("ー")))).select("recording_id", "line_id", F.col("recognised").alias("suggestion"))
+_MARK, _HIRAGANA, _KATAKANA, _EITHER = "ー", "\\x{3041}-\\x{3096}", "\\x{30A1}-\\x{30FA}", "ー\\x{3099}\\x{309A}"
+
+
+def long_vowel_suggestions(paragraphs: DataFrame, units: DataFrame, key: str = "recording_id") -> DataFrame:
+    """Source ranges to review where recognised units drop long-vowel marks: suggested, never applied.
+
+    ``paragraphs(key, paragraph, text)``, ``units(key, unit, text)``. The units' letters, one after the other, must be those of
+    the paragraphs but for marks that are missing; any other difference, or nothing missing, gives no suggestion. In each
+    stretch between letters the last marks count as missing. A missing mark grows to the run of kana of its script around
+    it. Returns ``(key, paragraph, start_utf16, length_utf16, text)``; a source with ranges that overlap has none.
+    """
+    letters = lambda c: F.lower(F.regexp_replace(c, r"[\p{P}\s]", ""))
+    spelled = lambda rows, order, name: rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, letters("text").alias("t")))), lambda x: x["t"]), "").alias(name))
+    marks = lambda c: F.split(c, f"[^{_MARK}]")  # noqa: E731  the runs of marks before, between and after letters
+    both = spelled(paragraphs, "paragraph", "_want").join(spelled(units, "unit", "_got"), key).where(F.replace("_want", F.lit(_MARK), F.lit("")) == F.replace("_got", F.lit(_MARK), F.lit("")))
+    both = both.withColumns({"_w": F.transform(marks("_want"), F.length), "_g": F.transform(marks("_got"), F.length)})
+    pairs = F.zip_with("_w", "_g", lambda w, g: w - g)
+    short = both.where(F.forall(pairs, lambda d: d >= 0) & F.exists(pairs, lambda d: d > 0)).select(key, F.posexplode("_g").alias("_gap", "_have"))
+    chars = paragraphs.join(short.select(key).distinct(), key, "left_semi").select(key, "paragraph", "text", F.posexplode(F.split("text", "")).alias("_at", "_c")).where((F.col("_c") != "") & ~F.col("_c").rlike(r"[\p{P}\s]"))
+    w = Window.partitionBy(key).orderBy("paragraph", "_at")
+    is_mark = F.col("_c") == _MARK
+    chars = chars.withColumn("_gap", F.sum((~is_mark).cast("int")).over(w)).where(is_mark)
+    nth = F.row_number().over(Window.partitionBy(key, "_gap").orderBy("paragraph", "_at"))
+    missing = chars.withColumn("_nth", nth).join(short.withColumn("_gap", F.col("_gap").cast("bigint")), [key, "_gap"]).where(F.col("_nth") > F.col("_have"))
+    head, tail = F.substring(F.col("text"), F.lit(1), F.col("_at")), F.substring(F.col("text"), F.col("_at") + 1, F.length("text"))
+    run = lambda script: (F.regexp_extract(head, f"([{script}{_EITHER}]*)$", 1), F.regexp_extract(tail, f"^([{script}{_EITHER}]*)", 1))
+    katakana = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("_at")), F.lit(1)).rlike(f"[{_KATAKANA}]")
+    around = F.when(katakana, F.struct(*[x.alias(n) for x, n in zip(run(_KATAKANA), ("l", "r"))])).otherwise(F.struct(*[x.alias(n) for x, n in zip(run(_HIRAGANA), ("l", "r"))]))
+    rows = missing.withColumn("_run", around).withColumn("_before", F.substring(F.col("text"), F.lit(1), F.col("_at") - F.length("_run.l")))
+    ranges = rows.select(key, "paragraph", utf16_length(F.col("_before")).alias("start_utf16"), F.concat("_run.l", "_run.r").alias("text")).distinct().withColumn("length_utf16", utf16_length(F.col("text")))
+    clash = F.lag(F.col("start_utf16") + F.col("length_utf16")).over(Window.partitionBy(key, "paragraph").orderBy("start_utf16", "length_utf16")) > F.col("start_utf16")
+    judged = ranges.withColumn("_clash", F.coalesce(clash, F.lit(False)))
+    return judged.withColumn("_any", F.max("_clash").over(Window.partitionBy(key))).where("not _any").select(key, "paragraph", "start_utf16", "length_utf16", "text")
 
 
 def all_violations(*tables: DataFrame) -> DataFrame:

@@ -108,18 +108,52 @@ def either(legacy: Column, new: Column) -> Column:
     return F.when(legacy, F.lit(True)).otherwise(new)
 
 
-def score_matrix(rows: DataFrame, features: Sequence[str], thresholds: dict[str, float], truth: str, legacy: str, by: Sequence[str]) -> DataFrame:
-    """Confusion of every feature's flag, alone and with the legacy flag, by the given columns and in total."""
+def flagged(score: Column, threshold: Column) -> Column:
+    """A score above its threshold; unknown where either is."""
+    return score > threshold
+
+
+def score_matrix(rows: DataFrame, features: Sequence[str], thresholds: dict[str, float] | DataFrame, truth: str, legacy: str, by: Sequence[str]) -> DataFrame:
+    """Confusion of every feature's flag, alone and with the legacy flag, by the given columns and in total.
+
+    ``thresholds`` by feature, or a small table of them: (feature, threshold) and any of the columns ``by``.
+    """
     long = rows.unpivot([*by, truth, legacy], list(features), "feature", "score")
-    limit = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
-    flagged = F.col("score") > F.element_at(limit, F.col("feature"))
-    both = long.withColumn("flag", F.explode(F.array(F.struct(F.lit("alone").alias("rule"), flagged.alias("on")), F.struct(F.lit("with_legacy").alias("rule"), either(F.col(legacy), flagged).alias("on"))))).select("*", "flag.*")
+    if isinstance(thresholds, dict):
+        limit = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
+        long = long.withColumn("threshold", F.element_at(limit, F.col("feature")))
+    else:
+        on = ["feature", *[c for c in by if c in thresholds.columns]]
+        long = long.join(thresholds.select(*on, "threshold"), on, "left")
+    flag = flagged(F.col("score"), F.col("threshold"))
+    both = long.withColumn("flag", F.explode(F.array(F.struct(F.lit("alone").alias("rule"), flag.alias("on")), F.struct(F.lit("with_legacy").alias("rule"), either(F.col(legacy), flag).alias("on"))))).select("*", "flag.*")
     out = both.groupingSets([["feature", "rule", *by], ["feature", "rule"]], "feature", "rule", *by).agg(*confusion(F.col(truth), F.col("on")), *[F.grouping(b).alias(f"_{b}") for b in by])
     for b in by:
         out = out.withColumn(b, F.when(F.col(f"_{b}") == 1, F.lit("all")).otherwise(F.col(b))).drop(f"_{b}")
     return out
 
 
+def fit_features(rows: DataFrame, key: Sequence[str], features: Sequence[str], matched: str) -> DataFrame:
+    """High-score thresholds of several features: (key..., feature, threshold)."""
+    long = rows.unpivot([*key, matched], list(features), "feature", "score").where("score is not null")
+    return fit_threshold_high(long, [*key, "feature"], "score", matched)
+
+
+def held_out_spacing(rows: DataFrame, recording: str, x: str, y: str) -> DataFrame:
+    """Every recording judged by the mean scale of the others: (recording, scale, offset, rmse, worst, n).
+
+    The scale of each is its least-squares slope; the others' mean is the total less its own, so all are fitted in one pass.
+    Only the offset is taken from the recording itself. Recordings without a slope (no spread of x) are in no mean and judge by
+    the mean of all others; one recording alone has nulls.
+    """
+    own = rows.groupBy(recording).agg(F.regr_slope(y, x).alias("_own"), F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.count("*").alias("n"))
+    total = own.agg(F.sum("_own").alias("_sum"), F.count("_own").alias("_of"))  # one row
+    scale = (F.col("_sum") - F.coalesce("_own", F.lit(0.0))) / F.nullif(F.col("_of") - F.col("_own").isNotNull().cast("int"), F.lit(0))
+    facts = own.crossJoin(F.broadcast(total)).withColumn("scale", scale).withColumn("offset", F.col("_y") - F.col("scale") * F.col("_x")).select(recording, "scale", "offset", "n")
+    r = F.col(y) - F.col("offset") - F.col("scale") * F.col(x)
+    return rows.join(facts, recording).groupBy(recording, "scale", "offset", "n").agg(F.sqrt(F.avg(r * r)).alias("rmse"), F.max(F.abs(r)).alias("worst"))
+
+
 def ols(x: Column, y: Column) -> list[Column]:
     """Slope and intercept."""
     return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]

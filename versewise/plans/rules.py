@@ -234,10 +234,26 @@ def candidate_faults(spark, d):
     return quality.candidate_violations(events(spark, d).select(F.col("user_id").alias("recording_id"), F.expr(f"t div {_DAY}").alias("occurrence"), F.col("event_type").alias("id")))
 
 
-@query(f"WITH {LINES}, r AS (SELECT doc_id, line_no, replace(line, 'e', 'ー') AS reading, CASE WHEN line_no % 3 = 0 THEN line ELSE replace(line, 'e', CASE WHEN line_no % 3 = 1 THEN 'ーー' ELSE '' END) END AS heard FROM ln) SELECT doc_id AS recording_id, line_no AS line_id, heard AS suggestion FROM r WHERE heard <> reading AND replace(heard, 'ー', '') = replace(reading, 'ー', '')")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_KANA = {"kata": "アイカキーサシタチナニハヒマミヤラリワンガギザジダヂ", "hira": "あいかきーさしたちなにはひまみやらりわんがぎざじだぢ"}
+_RUNS = {"kata": "\\x{30A1}-\\x{30FA}ー\\x{3099}\\x{309A}", "hira": "\\x{3041}-\\x{3096}ー\\x{3099}\\x{309A}"}
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN translate(lower(line), '{_LETTERS}', '{_KANA["kata"]}') ELSE translate(lower(line), '{_LETTERS}', '{_KANA["hira"]}') END AS text FROM ln WHERE doc_id % 5 <> 2),
+    c AS (SELECT doc_id, line_no, text, i, text[i] AS ch FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM k)), l AS (SELECT * FROM c WHERE NOT regexp_matches(ch, '[\\p{{P}}\\s]')),
+    g AS (SELECT *, sum(CASE WHEN ch <> 'ー' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no, i) AS gap FROM l), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap ORDER BY line_no, i) AS nth, count(*) FILTER (i % 4 <> 0) OVER (PARTITION BY doc_id, gap) AS have FROM g WHERE ch = 'ー'),
+    x AS (SELECT *, regexp_matches(text[greatest(1, i - 1)], '[\\x{{30A1}}-\\x{{30FA}}]') AS kata FROM m WHERE nth > have),
+    y AS (SELECT *, regexp_extract(text[1:i - 1], CASE WHEN kata THEN '([{_RUNS["kata"]}]*)$' ELSE '([{_RUNS["hira"]}]*)$' END, 1) AS a, regexp_extract(text[i:], CASE WHEN kata THEN '^([{_RUNS["kata"]}]*)' ELSE '^([{_RUNS["hira"]}]*)' END, 1) AS z FROM x),
+    r AS (SELECT DISTINCT doc_id, line_no, i - 1 - length(a) AS start_utf16, length(a) + length(z) AS length_utf16, a || z AS text FROM y),
+    o AS (SELECT *, coalesce(lag(start_utf16 + length_utf16) OVER (PARTITION BY doc_id, line_no ORDER BY start_utf16, length_utf16) > start_utf16, false) AS clash FROM r)
+    SELECT doc_id, line_no, start_utf16, length_utf16, text FROM o WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE clash)""")
 def long_vowels(spark, d):
-    heard = F.expr("CASE WHEN line_no % 3 = 0 THEN line ELSE replace(line, 'e', CASE WHEN line_no % 3 = 1 THEN 'ーー' ELSE '' END) END")
-    return quality.long_vowel_suggestions(lines(spark, d).select(F.col("doc_id").alias("recording_id"), F.col("line_no").alias("line_id"), F.replace("line", F.lit("e"), F.lit("ー")).alias("reading"), heard.alias("recognised")))
+    """Lines as kana, e as the long-vowel mark; the units lose every mark at a place that four divides, some have a letter more."""
+    rows = lines(spark, d).select(F.col("doc_id").alias("recording_id"), F.col("line_no").alias("paragraph"), F.when(F.col("doc_id") % 2 == 0, F.translate(F.lower("line"), _LETTERS, _KANA["kata"])).otherwise(F.translate(F.lower("line"), _LETTERS, _KANA["hira"])).alias("text"))
+    heard = F.array_join(F.filter(F.split("text", ""), lambda c, i: (c != "ー") | ((i + 1) % 4 != 0)), "")
+    units = rows.select("recording_id", F.col("paragraph").alias("unit"), F.concat(heard, F.when(F.col("recording_id") % 5 == 2, "ン").otherwise("")).alias("text"))
+    return quality.long_vowel_suggestions(rows, units).select(F.col("recording_id").alias("doc_id"), F.col("paragraph").alias("line_no"), F.col("start_utf16").cast("bigint").alias("start_utf16"), F.col("length_utf16").cast("bigint").alias("length_utf16"), "text")
+
 
 
 @query(f"WITH {EV}, s AS (SELECT user_id, event_id, t, CAST(floor(value) AS BIGINT) AS d FROM ev) " + " UNION ALL ".join(_found(c, r, source="s") for c, r in (("t + d > t + 60 OR t + 2 * d > t + 60 OR t + d - event_id % 3 < t", "segment_outside"), ("event_id % 3 > 0", "segment_order"), ("d <= 0 OR t + d - event_id % 3 >= t + 2 * d", "segment_empty"))))

@@ -82,6 +82,29 @@ def segment_observations(segments: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.withColumns({"timing": counts, "reason": F.nullif(support_class(F.col("begin_ms"), F.col("end_ms"), F.lit(0), F.col("last")), F.lit("valid"))}).drop("states", "last")
 
 
+def projected_segments(segments: DataFrame, windows: DataFrame, tick_ms: int = 10) -> DataFrame:
+    """Native segments of overlapping windows as observations, or the reason why they are none (I7: A11, B21, B22).
+
+    ``segments(recording_id, window, segment, text, begin_ms, end_ms, tokens)``, times from the window's start;
+    ``windows(recording_id, window, begin_us, end_us)``. Segments of a window are a chain: one that begins before the last one
+    with a valid time is ambiguous. ``token_issues`` counts the tokens of each timing fault; every token has its segment's
+    support, so there is no word timing. Adds ``begin_tick, end_tick, reason, uncertainty, token_count, token_issues``.
+    """
+    rows = segments.join(windows, ["recording_id", "window"])
+    length = F.expr("(end_us - begin_us) div 1000")
+    state = lambda x: F.when(x["begin_ms"].isNull() | x["end_ms"].isNull(), F.lit("missing")).when((x["begin_ms"] < 0) | (x["begin_ms"] > x["end_ms"]), F.lit("invalid")).when(x["end_ms"] > length, F.lit("out_of_window")).when((x["begin_ms"] < F.col("begin_ms")) | (x["end_ms"] > F.col("end_ms")), F.lit("outside_segment"))
+    faults = F.array_compact(F.transform("tokens", state))
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(faults)), lambda s: F.struct(s, F.size(F.filter(faults, lambda f: f == s)))))
+    rows = rows.withColumns({"status": support_class(F.col("begin_ms"), F.col("end_ms"), F.lit(0), length), "token_count": F.size("tokens"), "token_issues": counts})
+    rows = rows.withColumns({"begin_tick": F.expr(f"begin_ms div {tick_ms} + begin_us div {tick_ms * 1000}"), "end_tick": F.expr(f"end_ms div {tick_ms} + begin_us div {tick_ms * 1000}")})
+    chain = Window.partitionBy("recording_id", "window").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("status") == "valid", F.col("begin_tick")), ignorenulls=True).over(chain)
+    status = F.when((F.col("status") == "valid") & (F.col("begin_tick") < before), F.lit("ambiguous")).otherwise(F.col("status"))
+    reason = F.when(status != "valid", F.concat(F.lit("segment_timing_"), status)).when(F.col("text") == "", F.lit("empty_recognition")).when(F.col("text").rlike(r"[\x00-\x1F]"), F.lit("unsupported_text_control"))
+    noise = F.when(F.col("text").rlike(r"\[[^\]]*\]|\([^)]*\)|[♪♫]"), F.array(F.lit("nonlexical_event_or_annotation"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"reason": reason, "uncertainty": noise}).drop("status")
+
+
 def read_cases(spark: SparkSession, path: str, development_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cases, violations) of manifests: unique keys and relative paths."""
     raw = spark.read.schema("case string, variant string, role string, artifact string, features string").json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versewise.functions.text import stamp, xml_escape
@@ -73,9 +73,28 @@ def frozen_record(rows: DataFrame, thresholds: DataFrame, order: Sequence[str])
     return thresholds.crossJoin(digest)
 
 
+def write_frozen(record: DataFrame, path: str) -> None:
+    """The record as JSON lines."""
+    record.write.mode("overwrite").json(path)
+
+
+def read_frozen(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A frozen record: ``schema`` of its thresholds, with ``fitted_on``."""
+    return spark.read.schema(f"{schema}, fitted_on string").json(path)
+
+
+def frozen_violations(rows: DataFrame, record: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``(recording_id, row, rule_id)``: one row if the record was fitted on other rows than these, or is empty."""
+    found = record.agg(F.min("fitted_on").alias("a"), F.max("fitted_on").alias("b"))
+    now = frozen_record(rows, record.sparkSession.range(1).select(F.lit(1).alias("_one")), order)
+    differ = ~F.coalesce((F.col("a") == F.col("fitted_on")) & (F.col("b") == F.col("fitted_on")), F.lit(False))
+    return now.crossJoin(found).where(differ).select(F.lit("frozen").alias("recording_id"), F.coalesce("a", F.lit("none")).alias("row"), F.lit("fitted_on_other_rows").alias("rule_id"))
+
+
 def require_fitted(rows: DataFrame, record: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The rows, if the record was fitted on them; else none."""
-    return rows.crossJoin(frozen_record(rows, record.select("fitted_on").withColumnRenamed("fitted_on", "expected"), order).where("expected = fitted_on").select(F.lit(1).alias("_ok"))).drop("_ok")
+    """The rows, if the record was fitted on them; else none, and ``frozen_violations`` says so."""
+    bad = frozen_violations(rows, record, order).select("rule_id")  # a row at most
+    return rows.crossJoin(bad.agg(F.count("*").alias("_bad"))).where("_bad = 0").drop("_bad")
 
 
 def replace_days(path: str, day: str = "day", at: str = "observed_at") -> Callable[[DataFrame, int], None]:
