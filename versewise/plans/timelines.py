@@ -280,11 +280,9 @@ def autocorrelation(spark, d):
     return series.autocorrelation(rows.withColumnRenamed("n", "v"), "event_type", "h", "v", 24).withColumn("r", F.round("r", 6))
 
 
-@query(f"""WITH {EV}, s AS (SELECT user_id, (t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id)) // {HOUR} AS step FROM ev) SELECT user_id, step, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1, 2""")
+@query(f"""WITH {EV}, s AS (SELECT user_id, t // {HOUR} - lag(t // {HOUR}) OVER (PARTITION BY user_id ORDER BY t, event_id) AS step FROM ev) SELECT user_id, step, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1, 2""")
 def interval_histogram(spark, d):
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    rows = events(spark, d).select("user_id", F.expr("event_id").alias("event_id"), F.col("t"), F.lag("t").over(w).alias("p"))
-    return rows.where("p is not null").groupBy("user_id", F.expr(f"(t - p) div {HOUR}").alias("step")).agg(F.count("*").alias("n"))
+    return series.interval_histogram(events(spark, d).select("user_id", F.expr(f"t div {HOUR}").alias("hour")), "user_id", "hour")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings),

@@ -16,7 +16,10 @@ RECOGNITION = "result struct<language:string>, transcription array<struct<text:s
 
 
 def _name() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("recording_id")
+    """The file's name without its ending, or what a folder named ``recording_id=...`` above it says."""
+    at = F.col("_metadata.file_path")
+    folder = F.regexp_extract(at, r"/recording_id=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(at, r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("recording_id")
 
 
 def read_reports(spark: SparkSession, path: str, formats: Sequence[str]) -> DataFrame:
