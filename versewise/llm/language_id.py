@@ -10,18 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versewise.llm.scratch import bound_batches
+from versewise.llm.scratch import bound_batches, cut, small
 
-#: Sample of labelled rows a language, and bytes of its dictionary: the documented bounds of the fit.
-SAMPLE_DOCS, DICTIONARY_BYTES = 400, 96 << 10
+#: Labelled rows a language that are looked at for its dictionary, the bytes of that, and of all dictionaries together: the
+#: documented bounds of the fit. Many languages share the last.
+SAMPLE_DOCS, DICTIONARY_BYTES, MODEL_BYTES = 400, 128 << 10, 64 << 20
 #: Rejection threshold of the production queries, as a share of the second-best size.
 MIN_MARGIN = 0.002
-#: Labelled rows a language (fewer with many languages) and characters of each that the rejection margins are fitted
-#: on, apart from the rows learned from; the lengths (bytes) that they are fitted for; the share of rightly labelled
-#: pieces that may fall below.
-FIT_DOCS, FIT_ALL, FIT_CHARS, BANDS, QUANTILE = 200, 2000, 4096, tuple(16 << k for k in range(10)), 0.005
-#: Languages that are learned at most (those with most rows), and how many times the sample is ranked.
-MOST_LANGS, SPARE = 500, 4
+#: Labelled rows a language (fewer with many languages) that the rejection margins are fitted on, apart from the rows
+#: learned from; the lengths (bytes) that they are fitted for; the share of rightly labelled pieces that may fall below.
+FIT_DOCS, FIT_ALL, BANDS, QUANTILE = 200, 2000, tuple(16 << k for k in range(10)), 0.005
+#: How many times the sample is ranked.
+SPARE = 4
 UNKNOWN = "und"
 
 
@@ -52,63 +52,109 @@ def letters_only(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
 
 
-def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from a bounded sample: of each language the ``sample_docs`` rows that come first by a hash of the id.
+def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Learn every language from a bounded sample: its different texts in the order of their hashes.
 
-    The choice is made over ids and hashes of the texts: of each language the rows with the lowest hashes, a few
-    times as many as are taken, are ranked, so a language with most rows is not gathered. Then the chosen rows' texts fill a dictionary of ``dictionary_bytes``, an equal piece
-    of each. The next ``FIT_DOCS`` rows (of a small language the last fifth) are not learned from: the rejection
-    margins are fitted on pieces of them. Rows with null text or language are not used. Without any row the model
-    is empty.
+    Only texts whose hash is low are ranked, a few times as many as are taken, so a language with most rows is not gathered.
+    Whole texts fill the dictionary until it holds ``dictionary_bytes`` (fewer if many languages share ``MODEL_BYTES``), at most
+    ``sample_docs`` and four fifths of them; what the last has too much is cut off. Of the texts that are not in it ``FIT_DOCS``
+    give the rejection margins. The driver sees a row a language, the dictionaries, and a number a language and band.
+    Rows with null text or language, and texts without letters, are not used; repeated texts count once. Without any row the
+    model is empty.
     """
-    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("raw"))
+    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("raw"))
     most = sample_docs + FIT_DOCS
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
-    # Only rows whose hash is low go to the ranking: a few times as many as are taken, whatever the language's rows.
-    h = F.xxhash64("id", "key")
-    low = F.lit(False)
-    for lang, n in counts.items():
-        low = F.when(F.col("lang") == lang, F.pmod(h, F.lit(1 << 30)) < (1 << 30) * SPARE * most // n).otherwise(low)
-    ranked = known.select("id", "key", "lang").where(low).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "id", "key"))).where(F.col("r") <= most)
-    last = F.max("r").over(Window.partitionBy("lang"))
-    chosen = ranked.withColumn("fit", F.col("r") > F.least(F.lit(sample_docs), F.ceil(last * 0.8)))
-    piece = max(64, dictionary_bytes // sample_docs)
-    texts = known.join(F.broadcast(chosen.withColumnsRenamed({"id": "i", "lang": "l", "key": "k"})), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l"))).dropDuplicates(["i", "k", "l"])
-    texts = texts.select("lang", h.alias("h"), "id", letters_only(F.col("raw")).alias("text"), "fit")
-    # Pieces are cut from the middle, on a code point; the driver gets at most languages * (dictionary bytes and
-    # FIT_DOCS * FIT_CHARS).
-    texts = texts.where(F.length("text") > 0)
-    middle = F.greatest(F.lit(1), (F.length("text") - piece) / 2).cast("int")
-    texts = texts.select("lang", "h", "id", "fit", F.when(F.col("fit"), F.substring("text", 1, FIT_CHARS)).otherwise(F.substring(F.col("text"), middle, F.lit(piece))).alias("part"))
-    rows = texts.collect()
+    spark = labelled.sparkSession
+    # a row a language
+    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = {r.lang: r.n for r in sizes.collect()}
+    if not counts:
+        return LanguageModel(())
+    few = F.pmod("key", F.lit(1 << 30)) < F.lit((1 << 30) * SPARE * most) / F.col("n")
+    low = known.select("lang", "key").join(small(sizes), "lang").where(few).select("lang", "key").distinct()
+    ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= most)
+    chosen = small(cut(ranked, "sample"))
+    texts = known.join(chosen, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "key", letters_only(F.col("raw")).alias("text")).where("text <> ''")
+    room = min(dictionary_bytes, MODEL_BYTES // len(counts))
+    by_hash = Window.partitionBy("lang").orderBy("key")
+    size = F.octet_length("text") + 1
+    texts = texts.withColumns({"r": F.row_number().over(by_hash), "before": F.sum(size).over(by_hash) - size, "of": F.count("*").over(Window.partitionBy("lang"))})
+    learn = (F.col("r") <= F.least(F.lit(sample_docs), F.ceil(F.col("of") * 0.8))) & (F.col("before") < room)
+    texts = cut(texts.withColumn("learn", learn), "texts")
     by_lang: dict[str, list] = {}
-    apart: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.h, str(r.id), r.part)):
-        (apart if r.fit else by_lang).setdefault(r.lang, []).append(r.part.encode())
+    for r in texts.where("learn").select("lang", "r", F.substring("text", 1, room).alias("text")).orderBy("lang", "r").collect():
+        by_lang.setdefault(r.lang, []).append(r.text.encode())
     names = sorted(by_lang)
-    model = LanguageModel(tuple((lang, b"\n".join(by_lang[lang])[-dictionary_bytes:]) for lang in names), tuple(counts[lang] for lang in names))
-    return replace(model, margins=_fit_margins(model, [apart.get(lang, []) for lang in names]))
-
-
-def _fit_margins(model: LanguageModel, apart: list[list[bytes]]) -> tuple[tuple[float, ...], ...]:
-    """Of each language and band the low quantile of the margins, at the slow level, of its rightly labelled pieces."""
-    if len(apart) < 2:
-        return tuple((0.0,) * len(BANDS) for _ in apart)
-    measure, _, slow = _coders(model)
-    most, out = max(10, min(FIT_DOCS, FIT_ALL // len(apart))), []
-    for lang, texts in enumerate(apart):
-        whole, own = b" ".join(texts[:most]), []
-        for size in BANDS:
-            # Pieces are cut from single rows where enough are long enough, else from all rows in a line.
-            pieces = [t[:size] for t in texts[:most] if len(t) >= size]
-            if 2 * len(pieces) < len(texts[:most]):
-                pieces = [whole[i : i + size] for i in range(0, len(whole) - size + 1, size)][:most]
-            found = sorted(m for best, m in (measure(x.decode("utf-8", "ignore").encode(), slow) for x in pieces) if best == lang)
-            own.append(found[int(QUANTILE * len(found))] if found else own[-1] if own else 0.0)
+    model = LanguageModel(tuple((lang, b"\n".join(by_lang[lang])[:room]) for lang in names), tuple(counts[lang] for lang in names))
+    return replace(model, margins=_fit_margins(spark, model, texts.where("not learn")))
+
+
+def _pieces(most: int):
+    """Rows (lang, parts) -> (lang, band, piece): of each band up to ``most`` pieces, cut from single parts where enough are long enough, else from all in a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, parts in zip(b["lang"].to_pylist(), b["parts"].to_pylist()):
+                parts = [p["part"].encode() for p in parts]
+                whole, out = b" ".join(parts), []
+                for band, size in enumerate(BANDS):
+                    own = [p[:size] for p in parts if len(p) >= size]
+                    if 2 * len(own) < len(parts):
+                        own = [whole[i : i + size] for i in range(0, len(whole) - size + 1, size)]
+                    out += [(lang, band, p.decode("utf-8", "ignore")) for p in own[:most]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["lang", "band", "piece"])
+
+    return run
+
+
+def _fit_margins(spark, model: LanguageModel, apart: DataFrame) -> tuple[tuple[float, ...], ...]:
+    """Of each language and band the low quantile of the margins, at the slow level, of its rightly labelled pieces.
+
+    A text gives what follows a place that its hash chooses, as much as the longest band. Pieces are measured as rows of a job.
+    """
+    names = [lang for lang, _ in model.dictionaries]
+    if len(names) < 2:
+        return tuple((0.0,) * len(BANDS) for _ in names)
+    most = max(10, min(FIT_DOCS, FIT_ALL // len(names)))
+    length = F.length("text")
+    place = F.pmod(F.col("key"), F.greatest(F.lit(1), length - BANDS[-1] + 1)).cast("int") + 1
+    some = apart.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).where(F.col("i") <= most)
+    parts = some.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", F.substring(F.col("text"), place, F.lit(BANDS[-1])).alias("part")))).alias("parts"))
+    held = spark.sparkContext.broadcast(model)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure, _, slow = _cached(held)
+        for b in batches:
+            found = [measure(p.encode(), slow) for p in b["piece"].to_pylist()]
+            right = [i for i, (lang, (best, _)) in enumerate(zip(b["lang"].to_pylist(), found)) if names[best] == lang]
+            take = pa.array(right, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["lang"].take(take), b["band"].take(take), pa.array([found[i][1] for i in right], pa.float64())], ["lang", "band", "margin"])
+
+    pieces = cut(parts.mapInArrow(_pieces(most), "lang string, band long, piece string"), "pieces")
+    spread = pieces.repartition(max(2, spark.sparkContext.defaultParallelism), "band", "piece")
+    low = spread.mapInArrow(margins, "lang string, band long, margin double").groupBy("lang", "band").agg(F.array_sort(F.collect_list("margin")).alias("m"))
+    got = {(r.lang, r.band): r.m for r in low.select("lang", "band", F.get("m", F.floor(F.lit(QUANTILE) * F.size("m")).cast("int")).alias("m")).collect()}
+    out = []
+    for lang in names:
+        own: list[float] = []
+        for band in range(len(BANDS)):
+            own.append(got.get((lang, band), own[-1] if own else 0.0))
         out.append(tuple(own))
     return tuple(out)
 
 
+#: The model that a Python worker used last, and its encoders: making them costs far more than a text.
+_made: dict = {}
+
+
+def _cached(held):
+    model = held.value  # one object a worker and broadcast
+    if _made.get("model") is not model:
+        _made.update(model=model, coders=_coders(model))
+    return _made["coders"]
+
+
 def _coders(model: LanguageModel):
     """The measure of a text's (language, margin), and the encoders at the fast and at the slow level."""
     import zstandard as z
@@ -130,10 +176,11 @@ def _coders(model: LanguageModel):
     return measure, coders(model.fast_level), coders(model.slow_level)
 
 
-def _measurer(model: LanguageModel, sure_margin: float, min_margin: float):
-    """A function from a text of letters to (language, margin, rejected), for one Python worker."""
+def _measurer(held, sure_margin: float, min_margin: float):
+    """A function from a text of letters to (language, margin, rejected), for one Python worker; ``held`` is a broadcast model."""
+    model = held.value
     names = [lang for lang, _ in model.dictionaries]
-    measure, fast, slow = _coders(model)
+    measure, fast, slow = _cached(held)
 
     def judge(text: str | None) -> tuple[str, float, bool]:
         if not names or not text or not any(map(str.isalpha, text)):
@@ -158,8 +205,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, min_margin: float =
     """
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean"
 
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _measurer(model, sure_margin, min_margin)
+        judge = _measurer(held, sure_margin, min_margin)
         for batch in batches:
             langs, scores, rejected = zip(*(judge(t.as_py()) for t in batch.column(1))) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [id_col, "lang_pred", "score", "rejected"])
@@ -172,8 +221,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = M
     """The rows of ``docs`` that ``predict_languages`` does not reject, with all their columns, in one pass."""
     names = docs.columns
 
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _measurer(model, sure_margin, min_margin)
+        judge = _measurer(held, sure_margin, min_margin)
         for batch in batches:
             kept = pa.array([not judge(t.as_py())[2] for t in batch.column(batch.num_columns - 1)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(kept)

@@ -102,7 +102,7 @@ def _assigned(centroids: list[list[int]], pivots: list[list[int]]):
         c, p = np.array(centroids), np.array(pivots)
         for b in batches:
             which, best, _ = nearest_centroids(_rows(b["x"], c.shape[1]), _rows(b["far"], len(p)), c, p)
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(which.astype(np.int32)), pa.array([Decimal(int(d)) for d in best], pa.decimal128(38, 0))], names=["key", "cluster", "d"])
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(which.astype(np.int32)), pa.array([Decimal(int(d)) if d < 10**38 else None for d in best], pa.decimal128(38, 0))], names=["key", "cluster", "d"])
 
     return run
 
@@ -141,7 +141,7 @@ def pivot_clusters(vectors: DataFrame, vector: str = "embedding", key: str = "ve
     Vectors that are null, of another length, or have null or non-finite entries are left out; components become floor(scale * x).
     The first k vectors by sha256 of ``seed:key`` are the first centroids (fewer vectors: fewer centroids; equal keys in order of
     their vectors). Distances tie to the smaller number; empty clusters keep their centroid; repeated rows count as often as they
-    come. An empty table gives no rows; further columns do not matter. Sums beyond 64 bits are null in the two inertia columns.
+    come. An empty table gives no rows; further columns do not matter. Distances and sums beyond 64 bits are null.
     """
     bound_batches(vectors.sparkSession)
     table, fixed = pivot_table(vectors, vector, key, dims, scale, pivots, seed)
@@ -149,7 +149,10 @@ def pivot_clusters(vectors: DataFrame, vector: str = "embedding", key: str = "ve
     kind = table.schema["key"].dataType.simpleString()
     rows = cut(table.mapInArrow(_assigned(centroids, fixed), f"key {kind}, cluster int, d decimal(38,0)"), "assigned")
     long = lambda c: F.when(c < F.lit(Decimal(1 << 63)), c).cast("long")
-    each = {r.cluster: r.s for r in rows.groupBy("cluster").agg(F.sum("d").alias("s")).collect()}
+    # a distance of more than 38 digits makes its sums null
+    sums = F.when(F.count("d") == F.count("*"), F.sum("d"))
+    each = {r.cluster: r.s for r in rows.groupBy("cluster").agg(sums.alias("s")).collect()}
+    whole = None if None in each.values() else sum(each.values(), Decimal(0))
     spark = vectors.sparkSession
-    known = F.broadcast(spark.createDataFrame([(c, each.get(c), sum(each.values(), Decimal(0)), v) for c, v in enumerate(centroids)], "cluster int, ci decimal(38,0), i decimal(38,0), centroid array<bigint>"))
+    known = F.broadcast(spark.createDataFrame([(c, each.get(c), whole, v) for c, v in enumerate(centroids)], "cluster int, ci decimal(38,0), i decimal(38,0), centroid array<bigint>"))
     return rows.join(known, "cluster").select(F.col("key").alias(key), "cluster", long(F.col("d")).alias("distance"), long(F.col("ci")).alias("cluster_inertia"), long(F.col("i")).alias("inertia"), "centroid")

@@ -31,8 +31,9 @@ from versewise.llm.texthash import mix
 LENGTH, GRAM, SHORTEST = 400, 16, 64
 #: Anchors of a block that are compared in one task; levels of the recursion, after which ties are ordered by hashes of the prefix.
 BLOCK, LEVELS = 256, 2
-#: Bytes that are hashed at a time, and the most that a hash spans.
-TILE, SPAN = 1 << 20, 1 << 12
+#: Bytes that are hashed at a time, and the most that a hash spans; anchors of a batch that goes back to Spark (text that repeats
+#: itself at once has an anchor every few bytes).
+TILE, SPAN, SLICE = 1 << 18, 1 << 12, 1 << 14
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64((1 << 24) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -134,9 +135,11 @@ def _anchors(length: int):
 
         for b in batches:
             x = _Texts(b["text"], length)
-            of = np.flatnonzero(x.used)
-            rows = pa.array(x.text[of])
-            yield pa.RecordBatch.from_arrays([b["t"].take(rows), b["twice"].take(rows), pa.array((x.place - x.at[x.text])[of]), pa.array(x.certain(of))], names=["t", "twice", "pos", "certain"])
+            used = np.flatnonzero(x.used)
+            for a in range(0, len(used), SLICE):
+                of = used[a : a + SLICE]
+                rows = pa.array(x.text[of])
+                yield pa.RecordBatch.from_arrays([b["t"].take(rows), b["twice"].take(rows), pa.array((x.place - x.at[x.text])[of]), pa.array(x.certain(of))], names=["t", "twice", "pos", "certain"])
 
     return run
 
@@ -173,14 +176,17 @@ def _sequences(length: int):
             stop = np.minimum(place + x.window + GRAM, end)
             far, low = np.where(used, x.far[keep], 0), np.where(used, x.near[keep], 0)
             left, right = place - far, np.where(used, place + length - low, place)
-            h = lambda s, e, w: pa.array(string_hashes(x.data, s, e, w))
-            whole = x.data.tobytes()
-            rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g + made), pa.array((np.arange(len(g)) - heads[g]).astype(np.int32)), b["t"].take(rows), b["twice"].take(rows), pa.array(place - x.at[text]), pa.array(used), pa.array(low.astype(np.int32)), pa.array(far.astype(np.int32)),
-                 h(place, stop, 0), h(place, stop, 1), pa.array([whole[s:e] for s, e in zip(place.tolist(), stop.tolist())], pa.binary()), h(left, place, 0), h(left, right, 0), h(left, right, 1), h(place, np.minimum(place + x.length - x.window + 1, end), 0), pa.array(step.astype(np.int32))],
-                names=[c.split()[0] for c in _SEQUENCE.split(", ")],
-            )
+            i, pos, held = (np.arange(len(g)) - heads[g]).astype(np.int32), place - x.at[text], np.minimum(place + length - x.window + 1, end)
+            for a in range(0, len(keep), SLICE):
+                of = slice(a, a + SLICE)
+                h = lambda s, e, w: pa.array(string_hashes(x.data, s[of], e[of], w))  # noqa: E731, B023
+                rows = pa.array(text[of])
+                symbols = pa.array([x.data[s:e].tobytes() for s, e in zip(place[of].tolist(), stop[of].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[of] + made), pa.array(i[of]), b["t"].take(rows), b["twice"].take(rows), pa.array(pos[of]), pa.array(used[of]), pa.array(low[of].astype(np.int32)), pa.array(far[of].astype(np.int32)),
+                     h(place, stop, 0), h(place, stop, 1), symbols, h(left, place, 0), h(left, right, 0), h(left, right, 1), h(place, held, 0), pa.array(step[of].astype(np.int32))],
+                    names=[c.split()[0] for c in _SEQUENCE.split(", ")],
+                )
             made += int(g[-1]) + 1
 
     return run
@@ -521,10 +527,10 @@ def dedup_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     A byte is in a span if a string of ``length`` bytes over it also begins anywhere else, in the same text or another.
     Null is empty; texts shorter than ``length`` have no spans; rows with equal texts, the same row repeated among them, repeat
     each other wholly. All columns stay; a column named ``spans`` is replaced, names that begin with ``_dedup_`` are reserved.
-    Texts are told apart by two 64-bit hashes; each different text is worked on once. ``length`` must be at least 64.
+    Texts are told apart by two 64-bit hashes; each different text is worked on once. ``length`` must be between 64 and 2048.
     """
-    if not SHORTEST <= length <= SPAN:
-        raise ValueError(f"length must be between {SHORTEST} and {SPAN}")
+    if not SHORTEST <= length <= SPAN // 2:
+        raise ValueError(f"length must be between {SHORTEST} and {SPAN // 2}")
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = [F.xxhash64(F.lit(i), body) for i in (1, 2)]
