@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versewise.functions.text import utf16_length
+from versewise.operators.intervals import complement, merge_intervals
 
 
 def violations(rows: DataFrame, key: str, row: str, rules: dict[str, Column]) -> DataFrame:
@@ -86,6 +87,90 @@ def pass_violations(passes: DataFrame) -> DataFrame:
     return violations(per, "source_id", "source_id", {"not_two_passes": F.col("n") != 2, "same_annotator": F.col("people") < F.col("n"), "different_audio": F.col("audio") > 1})
 
 
+# The classes of annotated intervals.
+VOCAL = ("lead_singing", "backing_singing", "overlapping_singers", "humming", "sung_ad_lib")
+NEGATIVE = ("instrumental", "silence")
+UNKNOWN = ("breath", "spoken_interjection", "ambiguous_reverberation", "unresolved")
+#: What an initial pass and the reviewed record of one source must share.
+IDENTITY = ("source_id", "audio_sha256", "sample_rate_hz", "source_start_sample", "source_end_sample", "language")
+
+
+def annotation_record_violations(annotations: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rules of whole annotation records and of their intervals (M7).
+
+    ``annotations(recording_id, source_id, audio_sha256, annotator, reviewer, language, sample_rate_hz, source_total_samples,
+    source_start_sample, source_end_sample, duration_us, resolution_us, review_status, initial_passes)``;
+    ``rows(recording_id, seq, kind, onset_earliest_us, onset_latest_us, offset_earliest_us, offset_latest_us, censored_onset,
+    censored_offset)``: of other kinds than singing the first and last bound alone count. The excerpt in samples and its length in
+    microseconds must agree within one microsecond; envelopes are in order and apart; a censored bound touches the edge.
+    """
+    rate, size = F.col("sample_rate_hz"), F.col("source_end_sample") - F.col("source_start_sample")
+    reviewed = F.col("review_status") == "reviewed"
+    whole = violations(annotations.withColumn("row", F.lit("record")), "recording_id", "row", {
+        "identity": F.coalesce(F.trim("source_id"), F.lit("")).eqNullSafe("") | F.coalesce(F.trim("annotator"), F.lit("")).eqNullSafe(""),
+        "audio_digest": ~F.coalesce(F.col("audio_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+        "language": ~F.coalesce(F.col("language").isin("en", "ja"), F.lit(False)),
+        "sample_rate": ~F.coalesce((rate >= 1) & (rate <= 192_000), F.lit(False)),
+        "excerpt": ~F.coalesce((F.col("source_start_sample") >= 0) & (size > 0) & (F.col("source_end_sample") <= F.col("source_total_samples")) & (size <= rate * 60), F.lit(False)),
+        "duration": F.abs(F.col("duration_us") * rate - size * 1_000_000) > rate,
+        "resolution": ~F.coalesce((F.col("resolution_us") >= 1) & (F.col("resolution_us") <= F.col("duration_us")), F.lit(False)),
+        "review_status": ~F.coalesce(F.col("review_status").isin("independent_pass", "reviewed"), F.lit(False)),
+        "reviewer": reviewed & (F.col("reviewer").isNull() | (F.col("reviewer") == F.col("annotator"))),
+        "initial_passes": (reviewed & (F.size(F.array_distinct(F.coalesce("initial_passes", F.array().cast("array<string>")))) != 2)) | ((F.col("review_status") == "independent_pass") & F.col("initial_passes").isNotNull()),
+    })
+    a, b, c, d = (F.col(x) for x in ("onset_earliest_us", "onset_latest_us", "offset_earliest_us", "offset_latest_us"))
+    vocal, known = F.col("kind").isin(*VOCAL), F.col("kind").isin(*VOCAL, *NEGATIVE, *UNKNOWN)
+    w = Window.partitionBy("recording_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(annotations.select("recording_id", "duration_us"), "recording_id").withColumn("_upto", F.coalesce(F.last("offset_latest_us").over(w), F.lit(0)))
+    each = violations(placed, "recording_id", "seq", {
+        "unknown_kind": ~F.coalesce(known, F.lit(False)),
+        "band_order": vocal & ~F.coalesce((a <= b) & (b <= c) & (c <= d) & (a < d), F.lit(False)),
+        "empty_interval": known & ~vocal & ~F.coalesce(a < d, F.lit(False)),
+        "censored_edge": vocal & ((F.col("censored_onset") & (a != 0)) | (F.col("censored_offset") & (d != F.col("duration_us")))),
+        "envelope_order": a < F.col("_upto"),
+        "outside_excerpt": (a < 0) | (d > F.col("duration_us")),
+    })
+    return whole.unionByName(each)
+
+
+def annotation_summary(annotations: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged unknown intervals, counts) of records without violations.
+
+    Unknown is what no interval covers, what is of an unknown class, and the bands of uncertain bounds; a vocal interval whose
+    bands touch is unknown whole. Counts: vocal intervals with both bounds clear and uncensored, gaps, instrumental ones.
+    """
+    a, b, c, d = (F.col(x) for x in ("onset_earliest_us", "onset_latest_us", "offset_earliest_us", "offset_latest_us"))
+    vocal = F.col("kind").isin(*VOCAL)
+    piece = lambda x, y: F.struct(x.alias("begin"), y.alias("end"))
+    unsure = F.when(F.col("kind").isin(*UNKNOWN) | (vocal & (b == c)), F.array(piece(a, d))).when(vocal, F.array(piece(a, b), piece(c, d))).otherwise(F.array().cast("array<struct<begin:bigint,end:bigint>>"))
+    bands = rows.select("recording_id", F.explode(unsure).alias("p")).select("recording_id", "p.begin", "p.end").where("begin < end")
+    spans = annotations.select("recording_id", F.lit(0).cast("bigint").alias("begin"), F.col("duration_us").alias("end"))
+    free = complement(rows.select("recording_id", a.alias("begin"), d.alias("end")), "recording_id", spans)
+    unknown = merge_intervals(bands.unionByName(free.select("recording_id", "begin", "end")), "recording_id")
+    clear = vocal & (b < c) & ~F.coalesce(F.col("censored_onset") | F.col("censored_offset"), F.lit(False))
+    counts = rows.groupBy("recording_id").agg(F.count_if(clear).alias("pairs"), F.count_if(F.col("kind").isin(*NEGATIVE)).alias("gaps"), F.count_if(F.col("kind") == "instrumental").alias("instrumental"))
+    return unknown, annotations.select("recording_id").join(counts, "recording_id", "left").fillna(0, ["pairs", "gaps", "instrumental"])
+
+
+def review_violations(annotations: DataFrame, intervals: DataFrame, disagreements: DataFrame) -> DataFrame:
+    """Reviewed records against the two independent passes that they name (M8).
+
+    ``annotations`` as above with ``sha256``, the digest that ``initial_passes`` of a reviewed record lists; ``intervals(recording_id,
+    digest)`` names each record's intervals; ``disagreements(recording_id)``. Both passes must exist and be independent, by the
+    annotator and the reviewer of the record, of one identity with it; passes that differ need a disagreement.
+    """
+    named = annotations.where("review_status = 'reviewed'").select("recording_id", "annotator", "reviewer", F.struct(*IDENTITY).alias("own"), F.explode("initial_passes").alias("sha256"))
+    passes = annotations.where("review_status = 'independent_pass'").join(intervals.withColumnRenamed("recording_id", "_i"), F.col("recording_id") == F.col("_i"), "left").select("sha256", F.col("annotator").alias("by"), F.struct(*IDENTITY).alias("other"), F.coalesce("digest", F.lit("")).alias("digest"))
+    met = named.join(passes, "sha256", "left").groupBy("recording_id").agg(F.count("by").alias("n"), F.count_distinct("by").alias("people"), F.every(F.col("by").isin(F.col("annotator"), F.col("reviewer"))).alias("declared"), F.every(F.col("own") == F.col("other")).alias("same"), F.count_distinct("digest").alias("versions"))
+    seen = disagreements.select("recording_id").distinct().withColumn("_seen", F.lit(True))
+    return violations(met.join(seen, "recording_id", "left").withColumn("row", F.lit("review")), "recording_id", "row", {
+        "missing_pass": F.col("n") != 2,
+        "not_the_declared_people": (F.col("people") < 2) | ~F.coalesce("declared", F.lit(False)),
+        "different_identity": ~F.coalesce("same", F.lit(True)),
+        "disagreement_missing": (F.col("versions") > 1) & F.col("_seen").isNull(),
+    })
+
+
 def candidate_violations(rows: DataFrame) -> DataFrame:
     """Candidate ids unique in an occurrence, groups bounded (M9)."""
     per = rows.groupBy("recording_id", "occurrence").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
