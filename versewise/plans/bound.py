@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versewise.operators import align
+from versewise.operators import align, match
 from versewise.plans import scores
 from versewise.plans.judged import _HIT, _PAIRS, _pairs
-from versewise.plans.registry import EV, HOUR, IV, MONTH, events, query
+from versewise.plans.registry import EV, HOUR, IV, MONTH, events, intervals, merged_sql, query, sweep_sql
 from versewise.plans.scans import _REL, _joined, _written
 from versewise.sources import records, sinks
 from versewise.streaming.replay import shared_folder
@@ -149,3 +149,48 @@ def timed_words(spark, d):
     w = w.withColumn("est_us", F.col("ref_us") + 1000 * ((F.col("line_id") + F.col("k")) % 900 - 300))
     out = scores.word_timing(w.select("recording_id", "line_id", "k", "length", "est_us", "ref_us"), lines)
     return out.select("engine", "n", *[F.round(c, 6 if c.startswith("within") else 4).alias(c) for c in ("signed_median", "p90", "p95", "within_100", "within_200")])
+
+
+def _covered(name: str, activity: str) -> str:
+    share = f"(SELECT user_id, sum(\"end\" - \"begin\") AS z FROM {{}} GROUP BY 1)"
+    part = f"""{sweep_sql(activity, "es", f"x{name}", "l > 0 AND r > 0")}, {merged_sql(activity, f"m{name}")}, c{name} AS (SELECT user_id, coalesce(a.z, 0) AS a, coalesce(e.z, 0) AS e, coalesce(x.z, 0) AS x FROM {share.format(f"m{name}")} a FULL JOIN {share.format("me")} e USING (user_id) LEFT JOIN {share.format(f"x{name}")} x USING (user_id)),
+    d{name} AS (SELECT user_id, CASE WHEN a > 0 THEN (a - x) / a END AS u, CASE WHEN e > 0 THEN (e - x) / e END AS v FROM c{name})"""
+    return part
+
+
+_TEXTS = """tx AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'ja' END AS language, string_agg(event_type, ' ' ORDER BY t, event_id) AS source, string_agg(CASE WHEN event_id % 3 = 0 THEN 'vew' ELSE event_type END, '' ORDER BY t, event_id) AS heard FROM ev GROUP BY 1)"""
+
+
+@query(f"""WITH {EV}, {IV}, es AS (SELECT * FROM iv WHERE event_type = 'purchase' AND event_id % 6 > 0), sp AS (SELECT * FROM iv WHERE event_type IN ('view', 'click')), ct AS (SELECT * FROM iv WHERE event_type = 'error'), {merged_sql("es", "me")}, {_covered("s", "sp")}, {_covered("c", "ct")}, {_TEXTS},
+    un AS (SELECT user_id, count(*) FILTER (event_id % 6 = 0) AS unresolved FROM iv WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT tx.user_id AS recording_id, round(CASE WHEN language = 'en' THEN levenshtein(replace(source, ' ', ''), heard) / greatest(length(replace(source, ' ', '')), length(heard)) END, 6) AS lexical_score, coalesce(unresolved, 0) AS unresolved,
+    round(s.u, 6) AS spectral_uncovered, round(s.v, 6) AS spectral_excess, round(greatest(s.u, s.v), 6) AS spectral_score, round(c.u, 6) AS ctc_uncovered, round(c.v, 6) AS ctc_excess, round(greatest(c.u, c.v), 6) AS ctc_score FROM tx LEFT JOIN un USING (user_id) LEFT JOIN ds s USING (user_id) LEFT JOIN dc c USING (user_id)""")
+def coverage_diagnostics(spark, d):
+    """Purchases as lines, against two kinds of activity and a text heard without the source (I8)."""
+    e = events(spark, d)
+    rows = lambda *kinds: intervals(e, *kinds).withColumnRenamed("user_id", "recording_id")
+    p = rows("purchase")
+    placed = F.col("event_id") % 6 > 0
+    lines = p.select("recording_id", F.col("event_id").alias("line_id"), F.when(placed, F.col("begin")).alias("begin"), F.when(placed, F.col("end")).alias("end"))
+    joined = lambda word, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", word.alias("w")))), lambda x: x["w"]), by)
+    heard = F.when(F.col("event_id") % 3 == 0, "vew").otherwise(F.col("event_type"))
+    texts = e.groupBy(F.col("user_id").alias("recording_id")).agg(joined(F.col("event_type"), " ").alias("source_text"), joined(heard, "").alias("greedy_text")).withColumn("language", F.when(F.col("recording_id") % 2 == 0, "en").otherwise("ja"))
+    out = scores.coverage_diagnostic(lines, {"spectral": rows("view", "click"), "ctc": rows("error")}, texts)
+    return out.select(*[F.col(c) if c in ("recording_id", "unresolved") else F.round(c, 6).alias(c) for c in out.columns])
+
+
+_CAND = "cand AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1.5 ELSE event_id % 100 / 100.0 END AS agreement, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id % 37 / 37.0 - 0.1 END AS similarity, CAST(floor(value) AS BIGINT) AS v FROM ev)"
+
+
+@query(f"""WITH {EV}, {_CAND}, x AS (SELECT *, agreement > 1 OR similarity IS NULL AS bad_score, v % 7 = 0 AS none, v % 7 > 0 AND v % 5 = 1 AS misplaced, v * 1000000 + 2000000 AS length FROM cand),
+    r AS (SELECT *, [CASE WHEN bad_score THEN 'invalid_score' END, CASE WHEN none THEN 'missing_line_support' END, CASE WHEN misplaced THEN 'invalid_or_skipped_timing' END] AS f, [CASE WHEN agreement < 0.5 THEN 'weak_token_agreement' END, CASE WHEN similarity < 0.0 THEN 'weak_span_similarity' END, CASE WHEN length > {match.MAX_PASSAGE_US} THEN 'extended_passage' END] AS g FROM x),
+    s AS (SELECT *, list_sort(list_filter(CASE WHEN bad_score OR none OR misplaced THEN f ELSE g END, lambda y: y IS NOT NULL)) AS reasons FROM r)
+    SELECT event_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible, round(CASE WHEN len(reasons) = 0 THEN (agreement + similarity) / 2 ELSE 0 END, 9) AS score, round(CASE WHEN len(reasons) = 0 THEN greatest(0, (agreement + similarity) / 2 - {match.UTILITY_FLOOR}) ELSE 0 END, 9) AS utility FROM s""")
+def assessed_candidates(spark, d):
+    """Reasons against passages, their score and utility."""
+    n, v = F.col("event_id"), F.floor("value")
+    pair = lambda b, e: F.struct(b.cast("bigint").alias("b"), e.cast("bigint").alias("e"))
+    two = F.array(pair(F.lit(1_000_000), F.lit(2_000_000)), pair(F.when(v % 5 == 1, 1_500_000).otherwise(2_000_000), v * 1_000_000 + 3_000_000))
+    rows = events(spark, d).select("event_id", F.when(n % 11 == 0, 1.5).otherwise(n % 100 / 100).alias("agreement"), F.when(n % 13 > 0, n % 37 / 37 - 0.1).alias("similarity"), F.when(v % 7 == 0, F.array().cast("array<struct<b:bigint,e:bigint>>")).otherwise(two).alias("lines"), F.lit(10**12).alias("duration"))
+    out = match.assess(rows)
+    return out.select("event_id", F.array_join("reasons", ",").alias("reasons"), "eligible", F.round("score", 9).alias("score"), F.round("utility", 9).alias("utility"))

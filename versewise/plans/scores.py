@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versewise.functions import text as tx
 from versewise.functions.text import is_vocable
 from versewise.operators import intervals as iv, schedule, stats
 
@@ -44,6 +45,25 @@ def full_song_score(pairs: DataFrame) -> DataFrame:
     return out.join(wrong, "recording_id", "left").withColumn("wrong_repeats", F.coalesce("wrong_repeats", F.lit(0)))
 
 
+def coverage_diagnostic(lines: DataFrame, activities: dict[str, DataFrame], texts: DataFrame) -> DataFrame:
+    """Whether estimates cover what an audio-only model hears: scores to look at, never an acceptance (I8: E6, E7, D9, H9).
+
+    ``lines(recording_id, line_id, begin, end)`` with null bounds where unresolved; ``activities`` by name, intervals
+    ``(recording_id, begin, end)``; ``texts(recording_id, language, source_text, greedy_text)``. A row a recording of ``texts``:
+    ``unresolved`` lines, ``<name>_uncovered, <name>_excess, <name>_score`` of each activity, and ``lexical_score``, the
+    disagreement of the canonical texts, in English alone.
+    """
+    key = "recording_id"
+    lexical = F.when(F.col("language") == "en", tx.disagreement(tx.canonical(F.col("source_text")), tx.canonical(F.col("greedy_text"))))
+    open_ = lines.groupBy(key).agg(F.count_if(F.col("begin").isNull() | F.col("end").isNull()).alias("unresolved"))
+    out = texts.select(key, lexical.alias("lexical_score")).join(open_, key, "left").fillna(0, ["unresolved"])
+    placed = lines.where("begin is not null and end is not null").select(key, "begin", "end")
+    for name, activity in activities.items():
+        c = iv.coverage(activity.select(key, "begin", "end"), placed, key)
+        out = out.join(c.select(key, *[F.col(x).alias(f"{name}_{x}") for x in ("uncovered", "excess", "score")]), key, "left")
+    return out
+
+
 def qualification(pairs: DataFrame, kind: str | None = None) -> DataFrame:
     """Pooled and per-recording rates of placement by overlap; vocable lines are counted apart."""
     rows = pairs.withColumns({"vocable": is_vocable(F.col("ref_text")), "placed": F.col("est_begin_us").isNotNull()})
