@@ -197,3 +197,30 @@ def test_held_out_spacing_equals_refitting(spark):
         assert np.allclose([got[k].scale, got[k].rmse, got[k].worst], [scale, np.sqrt((r * r).mean()), np.abs(r).max()])
     alone = stats.held_out_spacing(spark.createDataFrame(rows[:20], "k int, x double, y double"), "k", "x", "y").first()
     assert alone.scale is None and alone.rmse is None
+
+
+ANNOTATION = "recording_id string, source_id string, audio_sha256 string, annotator string, reviewer string, language string, sample_rate_hz long, source_total_samples long, source_start_sample long, source_end_sample long, duration_us long, resolution_us long, review_status string, initial_passes array<string>, sha256 string"
+BANDS = "recording_id string, seq int, kind string, onset_earliest_us long, onset_latest_us long, offset_earliest_us long, offset_latest_us long, censored_onset boolean, censored_offset boolean"
+
+
+def test_annotation_records_and_their_unknown_complement(spark):
+    good = ("r", "s", "a" * 64, "p", None, "en", 48_000, 96_000, 0, 48_000, 1_000_000, 10, "independent_pass", None, "x")
+    bad = ("b", " ", "zz", None, None, "fr", 0, 10, 5, 4, 7, 99, "reviewed", ["h"], "y")
+    records_ = spark.createDataFrame([good, bad], ANNOTATION)
+    rows = spark.createDataFrame([("r", 1, "lead_singing", 0, 10, 100, 120, True, False), ("r", 2, "humming", 200, 250, 250, 300, False, False), ("r", 3, "sung_ad_lib", 300, 310, 400, 400, False, False), ("r", 4, "silence", 400, None, None, 500, None, None), ("r", 5, "breath", 500, None, None, 600, None, None), ("b", 1, "noise", 0, 0, 1, 2, False, False), ("b", 2, "humming", 1, 5, 4, 9, True, False), ("b", 3, "silence", 9, None, None, 9, None, None)], BANDS)
+    faults = sorted((r.recording_id, r.row, r.rule_id) for r in quality.annotation_record_violations(records_, rows).collect())
+    assert faults == sorted([("b", "record", x) for x in ("identity", "audio_digest", "language", "sample_rate", "excerpt", "duration", "resolution", "reviewer", "initial_passes")] + [("b", "1", "unknown_kind"), ("b", "2", "band_order"), ("b", "2", "censored_edge"), ("b", "2", "envelope_order"), ("b", "2", "outside_excerpt"), ("b", "3", "empty_interval"), ("b", "3", "outside_excerpt")])
+    unknown, counts = quality.annotation_summary(records_.where("recording_id = 'r'"), rows.where("recording_id = 'r'"))
+    assert sorted((r.begin, r.end) for r in unknown.collect()) == [(0, 10), (100, 310), (500, 1_000_000)]
+    assert [tuple(r) for r in counts.collect()] == [("r", 1, 1, 0)]
+
+
+def test_reviews_name_two_independent_passes(spark):
+    make = lambda name, who, status, passes, sha, language="en", reviewer=None: (name, "s", "a", who, reviewer, language, 1, 9, 0, 9, 9, 1, status, passes, sha)
+    rows = [make("p1", "a", "independent_pass", None, "h1"), make("p2", "b", "independent_pass", None, "h2"), make("p3", "a", "independent_pass", None, "h3", "ja")]
+    rows += [make("good", "a", "reviewed", ["h1", "h2"], "r1", reviewer="b"), make("gone", "a", "reviewed", ["h1", "h9"], "r2", reviewer="b"), make("odd", "a", "reviewed", ["h1", "h3"], "r3", reviewer="b")]
+    digests = spark.createDataFrame([("p1", "x"), ("p2", "y"), ("p3", "x")], "recording_id string, digest string")
+    table = spark.createDataFrame(rows, ANNOTATION)
+    found = lambda seen: sorted((r.recording_id, r.rule_id) for r in quality.review_violations(table, digests, spark.createDataFrame(seen, "recording_id string")).collect())
+    rest = [("gone", "missing_pass"), ("gone", "not_the_declared_people"), ("odd", "different_identity"), ("odd", "not_the_declared_people")]
+    assert found([("good",)]) == rest and found([("odd",)]) == sorted([*rest, ("good", "disagreement_missing")])
