@@ -89,3 +89,12 @@ def test_a_run_of_equal_keys_over_several_ranges(spark, tmp_path):
         mine = [r for r in out if r.a == key]
         assert {(r.less0, r.less1) for r in mine} == {tuple(sum(x.a < key and x.group == g for x in everything) for g in (0, 1))}
         assert sum(r.head for r in mine) == 1 and all(r.same == (len(mine) > 1) for r in mine)
+
+
+def test_strings_of_short_periods_are_found_beside_others(spark):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    units = [word(p) for p in (1, 2, 3, 5, 7, 7, 11, 13)]
+    texts = [word(rnd.randrange(260)) + "".join((u := rnd.choice(units)) * (rnd.randrange(300, 700) // len(u)) + word(rnd.randrange(90)) for _ in range(rnd.randrange(1, 3))) for _ in range(60)]
+    out = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in sd.dedup_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == dict(enumerate(sd.plain_repeats([t.encode() for t in texts])))
