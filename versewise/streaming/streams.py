@@ -52,27 +52,30 @@ def exact_repeats_dropped(events: DataFrame, ts: str, keys: list[str], late: str
 def live_focus(events: DataFrame, key: str, ts: str, text: str, hold_seconds: int, late: str = "10 seconds") -> DataFrame:
     """``(key, at, text, state)``: the last onset of each recording, and its expiry in event time.
 
-    An onset that is older than the one in focus is left out. A focus expires ``hold_seconds`` after its onset
-    unless a later onset replaced it.
+    An onset that is older than the one in focus as its step began is left out; of equal times the greatest text is in focus.
+    Nothing depends on the order of a step's rows, which come in batches of any size. A focus expires ``hold_seconds`` after
+    its onset unless a later onset replaced it.
     """
+    rank = lambda at, value: (at, value is None, value or "")
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (None, None)
-        out = []
+        held = first = state.get if state.exists else None
+        frame = lambda out: pd.DataFrame(out, columns=["key", "at", "text", "state"])
         if state.hasTimedOut:
-            out.append((name[0], pd.Timestamp(held[0], unit="us"), held[1], "expired"))
             state.remove()
-        else:
-            for rows in batches:
-                for at, value in rows.sort_values([ts, text])[[ts, text]].itertuples(index=False):
-                    us = at.value // 1000
-                    if held[0] is None or us >= held[0]:
-                        held = (us, value)
-                        out.append((name[0], at, value, "focused"))
-            state.update(held)
-            wake = held[0] // 1000 + hold_seconds * 1000
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "at", "text", "state"])
+            yield frame([(name[0], pd.Timestamp(held[0], unit="us"), held[1], "expired")])
+            return
+        for rows in batches:
+            out = []
+            for at, value in rows[[ts, text]].itertuples(index=False):
+                us = at.value // 1000
+                if first is None or us >= first[0]:
+                    held = (us, value) if held is None else max(held, (us, value), key=lambda x: rank(*x))
+                    out.append((name[0], at, value, "focused"))
+            yield frame(out)
+        state.update(held)
+        wake = held[0] // 1000 + hold_seconds * 1000
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
 
     kind = dict(events.dtypes)[key]
     return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"key {kind}, at timestamp, text string, state string", "us long, text string", "append", GroupStateTimeout.EventTimeTimeout)
