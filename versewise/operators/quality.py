@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versewise.functions.text import utf16_length
 from versewise.operators.intervals import complement, merge_intervals
 
 
@@ -177,7 +180,23 @@ def candidate_violations(rows: DataFrame) -> DataFrame:
     return violations(per, "recording_id", "occurrence", {"duplicate_candidate": F.col("n") > F.col("ids"), "too_many_candidates": F.col("n") > 64})
 
 
-_MARK, _HIRAGANA, _KATAKANA, _EITHER = "ー", "\\x{3041}-\\x{3096}", "\\x{30A1}-\\x{30FA}", "ー\\x{3099}\\x{309A}"
+_MARK = "ー"
+#: Runs of kana of one script, with what stands in both; by whether it is katakana.
+_RUNS = {False: re.compile("[\u3041-\u3096ー\u3099\u309A]+"), True: re.compile("[\u30A1-\u30FAー\u3099\u309A]+")}
+
+
+def _kana_runs(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """The runs of kana around marks at ``places`` of each text, in the script of the letter before the mark; each run once."""
+
+    def of(text: str, at: list) -> list[dict]:
+        runs = {script: [m.span() for m in run.finditer(text)] for script, run in _RUNS.items()}
+        starts = {script: [a for a, _ in r] for script, r in runs.items()}
+        katakana = lambda i: "\u30A1" <= text[max(0, i - 1)] <= "\u30FA"
+        found = sorted({runs[k][bisect_right(starts[k], i) - 1] for i in at for k in (katakana(i),)})
+        units = [0, *accumulate(1 + (c > "\uFFFF") for c in text)]
+        return [{"start_utf16": units[a], "length_utf16": units[b] - units[a], "text": text[a:b]} for a, b in found]
+
+    return pd.Series([of(t, p) for t, p in zip(texts, places)], dtype=object)
 
 
 def long_vowel_suggestions(paragraphs: DataFrame, units: DataFrame, key: str = "recording_id") -> DataFrame:
@@ -194,19 +213,18 @@ def long_vowel_suggestions(paragraphs: DataFrame, units: DataFrame, key: str = "
     both = spelled(paragraphs, "paragraph", "_want").join(spelled(units, "unit", "_got"), key).where(F.replace("_want", F.lit(_MARK), F.lit("")) == F.replace("_got", F.lit(_MARK), F.lit("")))
     both = both.withColumns({"_w": F.transform(marks("_want"), F.length), "_g": F.transform(marks("_got"), F.length)})
     pairs = F.zip_with("_w", "_g", lambda w, g: w - g)
-    short = both.where(F.forall(pairs, lambda d: d >= 0) & F.exists(pairs, lambda d: d > 0)).select(key, F.posexplode("_g").alias("_gap", "_have"))
-    chars = paragraphs.join(short.select(key).distinct(), key, "left_semi").select(key, "paragraph", "text", F.posexplode(F.split("text", "")).alias("_at", "_c")).where((F.col("_c") != "") & ~F.col("_c").rlike(r"[\p{P}\s]"))
-    w = Window.partitionBy(key).orderBy("paragraph", "_at")
-    is_mark = F.col("_c") == _MARK
-    chars = chars.withColumn("_gap", F.sum((~is_mark).cast("int")).over(w)).where(is_mark)
+    gaps = F.filter(F.transform(F.arrays_zip("_w", "_g"), lambda v, i: F.struct(i.cast("bigint").alias("_gap"), v["_w"].alias("_w"), v["_g"].alias("_have"))), lambda v: v["_w"] > v["_have"])
+    short = both.where(F.forall(pairs, lambda d: d >= 0)).select(key, F.inline(gaps)).drop("_w")
+    # a row a mark, without the text: what stands before it since the mark before, and sums of that
+    pieces = paragraphs.join(short.select(key).distinct(), key, "left_semi").select(key, "paragraph", F.split("text", _MARK).alias("_p"))
+    pieces = pieces.select(key, "paragraph", F.size("_p").alias("_n"), F.posexplode(F.transform("_p", lambda s: F.struct(F.length(s).alias("n"), F.length(F.regexp_replace(s, r"[\p{P}\s]", "")).alias("letters")))).alias("_k", "_s"))
+    gap, at = F.sum("_s.letters").over(Window.partitionBy(key).orderBy("paragraph", "_k")), F.sum("_s.n").over(Window.partitionBy(key, "paragraph").orderBy("_k")) + F.col("_k")
+    marked = pieces.select(key, "paragraph", gap.alias("_gap"), at.cast("int").alias("_at"), (F.col("_k") < F.col("_n") - 1).alias("_mark")).where("_mark").drop("_mark")
     nth = F.row_number().over(Window.partitionBy(key, "_gap").orderBy("paragraph", "_at"))
-    missing = chars.withColumn("_nth", nth).join(short.withColumn("_gap", F.col("_gap").cast("bigint")), [key, "_gap"]).where(F.col("_nth") > F.col("_have"))
-    head, tail = F.substring(F.col("text"), F.lit(1), F.col("_at")), F.substring(F.col("text"), F.col("_at") + 1, F.length("text"))
-    run = lambda script: (F.regexp_extract(head, f"([{script}{_EITHER}]*)$", 1), F.regexp_extract(tail, f"^([{script}{_EITHER}]*)", 1))
-    katakana = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("_at")), F.lit(1)).rlike(f"[{_KATAKANA}]")
-    around = F.when(katakana, F.struct(*[x.alias(n) for x, n in zip(run(_KATAKANA), ("l", "r"))])).otherwise(F.struct(*[x.alias(n) for x, n in zip(run(_HIRAGANA), ("l", "r"))]))
-    rows = missing.withColumn("_run", around).withColumn("_before", F.substring(F.col("text"), F.lit(1), F.col("_at") - F.length("_run.l")))
-    ranges = rows.select(key, "paragraph", utf16_length(F.col("_before")).alias("start_utf16"), F.concat("_run.l", "_run.r").alias("text")).distinct().withColumn("length_utf16", utf16_length(F.col("text")))
+    missing = marked.join(short, [key, "_gap"]).withColumn("_nth", nth).where(F.col("_nth") > F.col("_have"))
+    places = missing.groupBy(key, "paragraph").agg(F.collect_list("_at").alias("_places"))
+    around = F.pandas_udf(_kana_runs, "array<struct<start_utf16: int, length_utf16: int, text: string>>")
+    ranges = paragraphs.join(places, [key, "paragraph"]).select(key, "paragraph", F.inline(around("text", "_places")))
     clash = F.lag(F.col("start_utf16") + F.col("length_utf16")).over(Window.partitionBy(key, "paragraph").orderBy("start_utf16", "length_utf16")) > F.col("start_utf16")
     judged = ranges.withColumn("_clash", F.coalesce(clash, F.lit(False)))
     return judged.withColumn("_any", F.max("_clash").over(Window.partitionBy(key))).where("not _any").select(key, "paragraph", "start_utf16", "length_utf16", "text")
