@@ -1,4 +1,4 @@
-"""Exact order statistics of groups of any size: a value at a rank is found by narrowing, never by sorting a whole group."""
+"""Exact order statistics of groups of any size: values are sorted over ranges, never a whole group in one task."""
 
 from __future__ import annotations
 
@@ -8,47 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a group, or of a part of one, that are sorted together at most (equal values count once); parts of a larger group.
+from versewise.streaming.replay import shared_folder
+
+#: Equal values count once. Rows of a range of the sorted table at most, about; ranges at least, where there is more than one.
 SORTED, PARTS = 200_000, 256
 
 
 def values_at(rows: DataFrame, key: Sequence[str], value: str, ranks: Callable[[Column], list[Column]], most: int = SORTED, parts: int = PARTS) -> DataFrame:
     """``(key..., n, at)``: ``at`` holds the values at ``ranks(n)`` (from 0) of each group in ascending order; nulls are left out.
 
-    Groups of more than ``most`` rows are cut at approximate quantiles, parts are counted, and only parts that hold a wanted rank
-    go on, as groups of their own, until none is larger. Counting combines before the shuffle; of equal values only the
-    number is kept. Ranks outside 0..n-1 give null.
+    Different values of all groups, with their counts, are sorted once over ranges of about ``most`` rows (``parts`` ranges at
+    least beyond one), so a large group lies over many. Ranges are counted, and only those that hold a wanted rank are read again.
+    Counting combines before the shuffle; of equal values only the number is kept. Ranks outside 0..n-1 give null.
     """
-    named, k = list(key), ["_k"]  # one struct, so that null keys are keys too
-    held = rows.where(F.col(value).isNotNull()).select(F.struct(*named).alias("_k") if named else F.lit(0).alias("_k"), F.col(value).alias("_v"))
-    sizes = held.groupBy(*k).agg(F.count("*").alias("n"))
-    wanted = sizes.select(*k, "n", F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("n"))])).alias("_i", "_rank"))
-    # groups of groups: the key and the path of parts into it
-    found = _select(held.groupBy(*k, "_v").agg(F.count("*").alias("_c")).withColumn("_path", F.lit("")), wanted.select(*k, "_rank").distinct().withColumns({"_path": F.lit(""), "_left": F.col("_rank")}), k, most, parts)
-    return wanted.join(found, [*k, "_rank"], "left").groupBy(*k, "n").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("at")).select(*[f"_k.{c}" for c in named], "n", F.transform("at", lambda x: x["_v"]).alias("at"))
-
-
-def _select(counts: DataFrame, wanted: DataFrame, k: list[str], most: int, parts: int) -> DataFrame:
-    """``counts(k, _path, _v, _c)`` and ``wanted(k, _rank, _path, _left)`` -> ``(k, _rank, _v)``; ``_left`` ranks within a path."""
-    group = [*k, "_path"]
-    large = counts.groupBy(*group).agg(F.count("*").alias("_d")).where(F.col("_d") > most)
-    some = not large.isEmpty()
-    if some:
-        cut = F.percentile_approx("_v", [i / parts for i in range(1, parts)], 20 * parts)
-        bounds = counts.join(F.broadcast(large.select(*group)) if large.count() <= most else large.select(*group), group).groupBy(*group).agg(F.array_distinct(cut).alias("_cut"))
-        part = F.format_string("%s/%05d", "_path", F.size(F.filter("_cut", lambda b: b <= F.col("_v"))))
-        dealt = counts.join(bounds, group).select(*k, "_path", part.alias("_part"), "_v", "_c").checkpoint()
-        sums = dealt.groupBy(*group, "_part").agg(F.sum("_c").alias("_of"))
-        before = F.sum("_of").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_of")
-        inside = wanted.join(sums.withColumn("_before", before), group).where((F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_of")))
-        inside = inside.select(*k, "_rank", F.col("_part").alias("_path"), (F.col("_left") - F.col("_before")).alias("_left")).checkpoint()
-        next_counts = dealt.select(*k, F.col("_part").alias("_path"), "_v", "_c").join(inside.select(*group).distinct(), group, "left_semi")
-        deeper = _select(next_counts, inside, k, most, parts)
-        counts = counts.join(large.select(*group), group, "left_anti")
-    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))
-    ranged = counts.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-    here = wanted.join(ranged, group).where((F.col("_left") >= F.col("_from")) & (F.col("_left") < F.col("_upto"))).select(*k, "_rank", "_v")
-    return here.unionByName(deeper) if some else here
+    spark, named, k = rows.sparkSession, list(key), "_k"  # one struct, so that null keys are keys too
+    held = rows.where(F.col(value).isNotNull()).select(F.struct(*named).alias(k) if named else F.lit(0).alias(k), F.col(value).alias("_v"))
+    folder = shared_folder(spark, "values")
+    counts = _stored(held.groupBy(k, "_v").agg(F.count("*").alias("_c")), f"{folder}/counts")
+    different = counts.count()
+    ranges = 1 if different <= most else max(parts, -(-different // most))
+    ranged = _stored(counts.repartitionByRange(ranges, k, "_v").withColumn("_part", F.spark_partition_id()), f"{folder}/ranges")
+    sums = ranged.groupBy(k, "_part").agg(F.sum("_c").alias("_of"))
+    all_of = Window.partitionBy(k)
+    sums = sums.withColumns({"_before": F.sum("_of").over(all_of.orderBy("_part")) - F.col("_of"), "n": F.sum("_of").over(all_of)})
+    wanted = sums.groupBy(k).agg(F.max("n").alias("n")).select(k, "n", F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("n"))])).alias("_i", "_rank"))
+    inside = wanted.select(k, "_rank").distinct().join(sums.drop("n"), k).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_of")))
+    inside = inside.select(k, "_part", "_rank", (F.col("_rank") - F.col("_before")).alias("_left"))
+    upto = F.sum("_c").over(Window.partitionBy("_part", k).orderBy("_v"))
+    read = ranged.join(inside.select(k, "_part").distinct(), [k, "_part"], "left_semi").withColumn("_upto", upto)
+    found = inside.join(read, [k, "_part"]).where((F.col("_left") >= F.col("_upto") - F.col("_c")) & (F.col("_left") < F.col("_upto"))).select(k, "_rank", "_v")
+    return wanted.join(found, [k, "_rank"], "left").groupBy(k, "n").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("at")).select(*[f"{k}.{c}" for c in named], "n", F.transform("at", lambda x: x["_v"]).alias("at"))
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written to the shared folder and read back, so that no use of them computes them again."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def interpolated(n: Column, q: float) -> list[Column]:
