@@ -61,7 +61,8 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     """
     few = terms.count() <= BROADCAST_TERMS
     singles = bool(terms.where("instr(term, ' ') = 0").take(1))
-    marker = terms.sparkSession.createDataFrame([("", 0)], "term string, term_id long")
+    # Rows of Python lists would start a second pool of Python workers on every executor.
+    marker = terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("term_id"))
     wanted = terms.unionByName(marker)
     wanted = F.broadcast(wanted) if few else wanted
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), words(F.col(text_col)).alias("w"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versewise.llm.scratch import bound_batches, cut, small
+from versewise.llm.scratch import bound_batches, cut, kept_by_worker, small
 
 #: Labelled rows a language that are looked at for its dictionary, the bytes of that, and of all dictionaries together: the
 #: documented bounds of the fit. Many languages share the last.
@@ -144,15 +144,9 @@ def _fit_margins(spark, model: LanguageModel, apart: DataFrame) -> tuple[tuple[f
     return tuple(out)
 
 
-#: The model that a Python worker used last, and its encoders: making them costs far more than a text.
-_made: dict = {}
-
-
 def _cached(held):
-    model = held.value  # one object a worker and broadcast
-    if _made.get("model") is not model:
-        _made.update(model=model, coders=_coders(model))
-    return _made["coders"]
+    """The encoders of a broadcast model: making them costs far more than a text."""
+    return kept_by_worker(held.value, lambda: _coders(held.value))
 
 
 def _coders(model: LanguageModel):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versewise.llm.ranges import range_bounds, range_of
-from versewise.llm.scratch import bound_batches, scratch_path
+from versewise.llm.scratch import bound_batches, kept_by_worker, scratch_path
 
 MAGIC = b"VWTOK1\0\0"
 _HEAD = struct.Struct("<8sqQQQB7x")  # magic, first key, documents without a key, documents, ids, bytes of an id
@@ -148,7 +148,6 @@ def write_file(folder: str, name: str, data: bytes) -> None:
     where.move(own, f"{base}/{name}")
 
 
-@lru_cache(maxsize=4)
 def _tokenizer(path: str):
     import os
 
@@ -228,12 +227,12 @@ class WordEncoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def _word_encoder(path: str, width: int) -> WordEncoder:
     """One for each Python worker, so that its caches serve all of the worker's tasks."""
-    return WordEncoder(path, width)
+    return kept_by_worker((path, width), lambda: WordEncoder(path, width))
 
 
+@lru_cache(maxsize=4)
 def tokenizer_facts(path: str) -> tuple[int, bool]:
     """(bytes that an id needs, whether words may be encoded on their own as WordEncoder does)."""
     import json
