@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +42,36 @@ def ttml_documents(rows: DataFrame, key: str = "recording_id") -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str, text: str, key: str = "recording_id") -> None:
-    """One text file a recording, partitioned by it."""
-    documents.select(key, text).write.partitionBy(key).mode("overwrite").text(path)
+    """One text file a recording, named by it: ``<recording>.txt``, so that a folder of any number is listed at once.
+
+    Tasks write whole files under private names and rename them, so retries agree, and the driver handles no file. Recordings
+    whose names are not plain have a folder ``recording_id=<escaped>`` of their own. Several rows of a recording are one
+    file, a line each, in the order of their texts.
+    """
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    where, base = fs.FileSystem.from_uri(uri)
+    if where.get_file_info(base).type != fs.FileType.NotFound:
+        where.delete_dir(base)
+    where.create_dir(base, recursive=True)
+    folder = F.concat(F.lit(f"{key}="), F.coalesce(F.replace(F.url_encode(F.col(key).cast("string")), F.lit("+"), F.lit("%20")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    plain = F.col(key).cast("string").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+    whole = documents.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("body"))
+    files = whole.select(F.when(plain, F.lit("")).otherwise(folder).alias("folder"), F.when(plain, F.concat(F.col(key).cast("string"), F.lit(".txt"))).otherwise("part.txt").alias("name"), "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder, name, body in zip(*(c.to_pylist() for c in batch.columns)):
+                at = f"{top}/{folder}" if folder else top
+                if folder:
+                    store.create_dir(at, recursive=True)
+                own = f"{at}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(f"{body}\n".encode())
+                store.move(own, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def report_rows(rows: DataFrame, columns: Sequence[str], key: str = "recording_id", order: str = "line") -> DataFrame:
