@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versewise.operators.intervals import asof_join
-
 
 def implicit_ends(rows: DataFrame, key: str, begin: str, end: str, duration, ties: tuple = (), to: str = "until") -> DataFrame:
     """The explicit end, else the next onset, else the end of the audio."""
@@ -67,9 +65,27 @@ def ownership_faults(owned: DataFrame, key: str, idx: str) -> DataFrame:
 
 
 def sample_grid(entries: DataFrame, spans: DataFrame, key: str, step: int, begin: str, values: list[str], end: str | None = None, ties: tuple = ()) -> DataFrame:
-    """What is in focus at every step of each key's span: the last entry at or before, null past its end."""
-    grid = spans.select(key, F.explode(F.sequence(F.col("begin"), F.col("end"), F.lit(step))).alias("t"))
-    rows = asof_join(grid, entries.withColumnRenamed(begin, "t").withColumn("entry_t", F.col("t")), key, "t", ["entry_t", *values], ties=ties)
+    """What is in focus at every step of each key's span: the last entry at or before, null past its end.
+
+    Entries alone are shuffled and sorted, after a row of their key with its spans: each row then gives the steps up to the next.
+    An entry without a time is at no step.
+    """
+    span = "array<struct<begin:long,end:long>>"
+    held = F.struct(F.col(begin).alias("entry_t"), *values)
+    rows = entries.where(F.col(begin).isNotNull()).select(key, F.col(begin).alias("_at"), held.alias("_v"), F.lit(None).cast(span).alias("_spans"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)])
+    heads = spans.groupBy(key).agg(F.collect_list(F.struct("begin", "end")).cast(span).alias("_spans"))
+    heads = heads.select(key, *["_spans" if c.name == "_spans" else F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema[1:]])
+    w = Window.partitionBy(key).orderBy(F.col("_at").asc_nulls_first(), *[f"_t{i}" for i in range(len(ties))])
+    rows = rows.union(heads).withColumns({"_spans": F.last("_spans", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("_at").over(w)})
+    nth = lambda at, s: F.call_function("div", F.greatest(F.lit(0).cast("long"), F.ceil(at) - s["begin"]) + (step - 1), F.lit(step).cast("long"))  # noqa: E731  the first step at or after; of null the first
+
+    def steps(s: Column) -> Column:
+        low, high = nth(F.col("_at"), s), F.floor((s["end"] - s["begin"]) / step)
+        high = F.least(high, F.when(F.col("_next").isNotNull(), nth(F.col("_next"), s) - 1))  # beside a null least takes the other
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda i: s["begin"] + i * step)).otherwise(F.array().cast("array<long>"))
+
+    rows = rows.select(key, "_v", F.explode(F.flatten(F.transform("_spans", steps))).alias("t"))
+    rows = rows.select(key, "t", *[F.col(f"_v.{c}").alias(c) for c in ["entry_t", *values]])
     if end is None:
         return rows
     live = F.col(end).isNull() | (F.col("t") < F.col(end))
