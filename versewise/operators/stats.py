@@ -302,9 +302,15 @@ def level_db(samples: DataFrame, key: str, idx: str, value: str, frame: int) ->
 
 def relative_shift(early: DataFrame, late: DataFrame, key: str, line: str, value: str) -> DataFrame:
     """The shift common to a paragraph's lines, and each line's own beyond it."""
-    both = early.select(key, line, F.col(value).alias("_a")).join(late.select(key, line, F.col(value).alias("_b")), [key, line]).withColumn("_d", F.col("_b") - F.col("_a"))
+    both = early.select(key, line, F.col(value).alias("_a")).join(late.select(key, line, F.col(value).alias("_b")), [key, line])
+    return common_shift(both, key, line, "_a", "_b")
+
+
+def common_shift(lines: DataFrame, key: str, line: str, early: str, late: str) -> DataFrame:
+    """``relative_shift`` of lines that hold both times already: no join."""
+    shifts = lines.select(key, line, (F.col(late) - F.col(early)).alias("_d"))
     common = F.avg("_d").over(Window.partitionBy(key))
-    return both.select(key, line, common.alias("common"), (F.col("_d") - common).alias("own"))
+    return shifts.select(key, line, common.alias("common"), (F.col("_d") - common).alias("own"))
 
 
 def paired_medians(rows: DataFrame, measure: str, ours: str, theirs: str, tolerance: float = 0.25) -> DataFrame:
