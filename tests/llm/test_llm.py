@@ -634,3 +634,23 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert seen[0] >= set(range(60))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, now.collect()))
+
+
+def test_lines_whose_letters_differ_are_not_measured(spark):
+    """Counts refuse no pair within the edits, and nearly all lines that share a segment only because a word was changed."""
+    rnd = random.Random(6)
+    base = [sentence(rnd, 40, 900).replace("w", "the river ") for _ in range(4)]
+    pairs, apart = [], []
+    for x in base * 40:
+        y = list(x)
+        for _ in range(rnd.randint(0, 2)):
+            i = rnd.randrange(len(y))
+            y[i : i + rnd.randint(0, 1)] = rnd.choice(["", "e", "ü", "x"])
+        pairs.append((x, "".join(y)))
+        w = x.split()
+        w[rnd.randrange(len(w))] = "another side"
+        apart.append((x, " ".join(w)))
+    allow = line_dedup.counts_allow(line_dedup.letter_counts(F.col("a")), line_dedup.letter_counts(F.col("b")), F.lit(2))
+    rows = lambda p: spark.createDataFrame(p, "a string, b string")
+    assert rows(pairs).where(allow).count() == len(pairs)
+    assert rows(apart).where(allow).count() < len(apart) // 20

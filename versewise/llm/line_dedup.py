@@ -22,6 +22,8 @@ EDITS, PER_EDIT = 2, 6
 FULL, PIECES, DEPTH = 24, 9, 2
 #: A line with more than one in so many of all occurrences is joined by broadcast: there are at most so many.
 HEAVY = 1000
+#: Characters that are counted in lines that have met: an edit changes two of the counts by one at most.
+COUNTED = " eanirtosdlu"
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,17 +233,31 @@ def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None, coun
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, name, line, n)`` of the distinct lines with one of the given ids."""
+    """``(id, name, line, n, counts)`` of the distinct lines with one of the given ids."""
     rows = lines.select(F.xxhash64("line").alias("id"), "line").join(small(ids), "id", "left_semi").groupBy("id", "line").agg(F.count("*").alias("n"))
-    return cut(rows.select("id", line_key(F.col("line")).alias("name"), "line", "n"), "texts")
+    return cut(rows.select("id", line_key(F.col("line")).alias("name"), "line", "n", letter_counts(F.col("line")).alias("counts")), "texts")
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of the ``COUNTED`` characters, of one byte each, stands in the line."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def counts_allow(a: Column, b: Column, edits: Column) -> Column:
+    """Whether lines with these counts can be within ``edits`` edits; no pair within them is refused."""
+    return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(COUNTED))), F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0)))) <= 2 * edits
 
 
 def _verify(lines: DataFrame, met: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """Edges ``(u, v, m, n)`` between the names (and ids) of the lines of ``met(u, v)`` that are near."""
+    """Edges ``(u, v, m, n)`` between the names (and ids) of the lines of ``met(u, v)`` that are near.
+
+    Pairs whose counts of letters cannot be so near leave the join of the texts, before both texts are shuffled and measured.
+    """
     texts = _texts(lines, cut(met.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids"))
-    one = lambda id_, name, line: texts.select(F.col("id").alias(id_), F.col("name").alias(name), F.col("line").alias(line))
-    both = met.join(one("u", "x", "a"), "u").join(one("v", "y", "b"), "v")
-    both = both.where(F.abs(F.length("a") - F.length("b")) <= edits).withColumnsRenamed({"x": "nu", "y": "nv"}).repartition("u", "v")
+    one = lambda id_, name, line, counts: texts.select(F.col("id").alias(id_), F.col("name").alias(name), F.col("line").alias(line), F.col("counts").alias(counts))
+    both = met.join(one("u", "x", "a", "ca"), "u").join(one("v", "y", "b", "cb"), "v").where(F.abs(F.length("a") - F.length("b")) <= edits)
+    both = both.where(counts_allow(F.col("ca"), F.col("cb"), allowed(F.greatest(F.length("a"), F.length("b")), edits, per_edit))).drop("ca", "cb")
+    both = both.withColumnsRenamed({"x": "nu", "y": "nv"}).repartition("u", "v")
     # Written before it is filtered: a filter would be pushed below the columns of the distance, and repeat them in it.
     measured = with_distance(both, "a", "b", edits).withColumn("most", allowed(F.greatest(F.length("a"), F.length("b")), edits, per_edit))
     return cut(measured.select("u", "v", "nu", "nv", "distance", "most"), "distances").where("distance <= most").select("u", "v", "nu", "nv")
