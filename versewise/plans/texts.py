@@ -113,9 +113,18 @@ def _bench_lines(spark, d):
     return rows.select(F.concat_ws(":", "item_id", "i").alias("line_id"), F.transform(F.regexp_extract_all("line", F.lit(r"[\p{L}]+"), F.lit(0)), F.lower).alias("words")).where(F.size("words") > 0)
 
 
+#: Bytes of texts of a part whose pairs of words are counted in one task, about.
+PART_BYTES = 4 << 20
+
+
 def _doc_runs(spark, d):
-    """Documents as runs of words; they lie by a hash of their number, so that what is counted for each needs no shuffle."""
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("stream"), "text").repartition("stream")
+    """Documents as runs of words; they lie by a hash of their number, so that what is counted for each needs no shuffle.
+
+    There are as many parts as the texts' bytes need, so that what a task holds does not grow with the table.
+    """
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("stream"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), "stream")
     return texts.select("stream", F.lit(0).alias("first"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("run"))
 
 
