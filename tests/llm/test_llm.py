@@ -654,3 +654,38 @@ def test_lines_whose_letters_differ_are_not_measured(spark):
     rows = lambda p: spark.createDataFrame(p, "a string, b string")
     assert rows(pairs).where(allow).count() == len(pairs)
     assert rows(apart).where(allow).count() < len(apart) // 20
+
+
+def test_packed_counts_refuse_no_near_pair(spark):
+    """Counts around the circle of their bits, far beyond it too: two edits anywhere pass, of all letters or of some."""
+    rnd = random.Random(8)
+    pairs = []
+    for k in range(300):
+        x = "".join(rnd.choice("  eeeanirtosdluxyé") for _ in range(rnd.choice([6, 40, 900])))
+        y = list(x)
+        for _ in range(2):
+            i = rnd.randrange(len(y))
+            y[i : i + rnd.randint(0, 1)] = rnd.choice(["", "e", " ", "n", "ü"])
+        pairs.append((x, "".join(y)))
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for letters in (line_dedup.COUNTED, line_dedup.COUNTED[: line_dedup.BEFORE]):
+        near = line_dedup.packed_allow(line_dedup.packed_counts(F.col("a"), letters), line_dedup.packed_counts(F.col("b"), letters), 2)
+        assert rows.where(near).count() == len(pairs)
+
+
+def test_lines_far_apart_that_share_a_segment_hardly_meet(spark, monkeypatch):
+    """Copies of a line with words put in that no two have alike: near none, so few of them go on to the join of the texts."""
+    rnd = random.Random(9)
+    base = [sentence(rnd, 30, 300).split() for _ in range(2)]
+    lines = []
+    for k in range(240):
+        w = list(base[k % 2])
+        for _ in range(2):
+            w.insert(rnd.randrange(len(w)), "".join(rnd.choice("eanirtosdlu") for _ in range(6)))
+        lines.append(" ".join(w))
+    lines += [x[:40] + "#" + x[41:] for x in lines[:5]]
+    met, verify = [], line_dedup._verify
+    monkeypatch.setattr(line_dedup, "_verify", lambda lines, pairs, *a: met.append(pairs.count()) or verify(lines, pairs, *a))
+    edges = line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert connected_components(edges).agg(F.count("*"), F.count_distinct("component")).first()[:] == (10, 5)
+    assert sum(met) < 3 * len(lines)

@@ -22,8 +22,9 @@ EDITS, PER_EDIT = 2, 6
 FULL, PIECES, DEPTH = 24, 9, 2
 #: A line with more than one in so many of all occurrences is joined by broadcast: there are at most so many.
 HEAVY = 1000
-#: Characters that are counted in lines that have met: an edit changes two of the counts by one at most.
-COUNTED = " eanirtosdlu"
+#: Characters that are counted in lines: an edit changes two of the counts by one at most. Of all lines, so few are counted
+#: before they meet; of lines that have met, all. ``BITS`` of each count go along with a key.
+COUNTED, BEFORE, BITS = " eanirtosdlu", 2, 5
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,18 +205,19 @@ def with_distance(pairs: DataFrame, a: str, b: str, edits: int, to: str = "dista
     return rows.withColumn(to, measured).drop("_p", "_a", "_b", "_ra", "_rb", "_s", "_near", "x", "y")
 
 
-def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None, counted: DataFrame | None = None) -> DataFrame:
-    """``(u, v, key)`` of the rows ``(id, line, size, ...)`` that meet on a key.
+def _meet(rows: DataFrame, index: Column, probes: Column, edits: int, full: int | None, counted: DataFrame | None = None) -> DataFrame:
+    """``(u, v, key)`` of the rows ``(id, line, size, packed, ...)`` that meet on a key.
 
-    ``index`` and ``probes`` are arrays of keys. Rows with a ``side`` meet across sides only. A key with more than ``full``
-    indexed lines (of ``counted(id, n, key)``, else of the rows) is full: there the line with most occurrences alone
-    meets the others, and ``key`` is given with each of its lines, the one itself included; elsewhere it is null.
+    ``index`` and ``probes`` are arrays of keys. Rows with a ``side`` meet across sides only, and rows whose ``packed`` counts
+    are too far apart do not. A key with more than ``full`` indexed lines (of ``counted(id, n, key)``, else of the rows) is
+    full: there the line with most occurrences alone meets the others, and ``key`` is given with each of its lines, the
+    one itself included; elsewhere it is null.
     """
     sided = "side" in rows.columns
     with_side = lambda name: [F.col("side").alias(name)] if sided else []
-    left = rows.select(F.col("id").alias("u"), *with_side("s"), F.explode(index).alias("key"))
-    right = rows.select(F.col("id").alias("v"), *with_side("r"), F.explode(probes).alias("key"))
-    apart = F.expr("s <> r" if sided else "u <> v")
+    left = rows.select(F.col("id").alias("u"), *with_side("s"), F.col("packed").alias("cu"), F.explode(index).alias("key"))
+    right = rows.select(F.col("id").alias("v"), *with_side("r"), F.col("packed").alias("cv"), F.explode(probes).alias("key"))
+    apart = F.expr("s <> r" if sided else "u <> v") & packed_allow(F.col("cu"), F.col("cv"), edits)
     crowded = None
     if full:
         each = rows.select("id", *with_side("s"), "n", F.explode(index).alias("key")) if counted is None else counted
@@ -226,7 +228,7 @@ def _meet(rows: DataFrame, index: Column, probes: Column, full: int | None, coun
     if crowded is None:
         met = left.hint("shuffle_hash").join(right, "key").where(apart).select("u", "v", F.lit(None).cast("long").alias("key"))
     else:
-        left = left.join(small(crowded.select("key")), "key", "left_anti").withColumn("full", F.lit(False)).unionByName(crowded.withColumn("full", F.lit(True)))
+        left = left.join(small(crowded.select("key")), "key", "left_anti").withColumn("full", F.lit(False)).unionByName(crowded.withColumns({"full": F.lit(True), "cu": F.lit(None).cast("long")}))
         # The indexed side has few rows a key, so its partitions can be hashed instead of sorting both sides.
         met = left.hint("shuffle_hash").join(right, "key").where(apart | F.col("full")).select("u", "v", F.when(F.col("full"), F.col("key")).alias("key"))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key").where("u <> v or key is not null").distinct()
@@ -243,6 +245,24 @@ def letter_counts(line: Column) -> Column:
     return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
 
 
+def packed_counts(line: Column, letters: str) -> Column:
+    """The last ``BITS`` bits of the count of each of ``letters``, as one number."""
+    bits = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit((1 << BITS) - 1)).cast("long")
+    return sum((F.shiftleft(bits(c), BITS * i) for i, c in enumerate(letters[1:], 1)), bits(letters[0]))
+
+
+def packed_allow(a: Column, b: Column, edits: int) -> Column:
+    """Whether lines with these packed counts of the same letters can be within ``edits`` edits.
+
+    Counts are compared around the circle of ``BITS`` bits, where they are no farther apart than they are: no pair
+    within the edits is refused.
+    """
+    ring = 1 << BITS
+    part = lambda x, i: F.shiftright(x, BITS * i).bitwiseAND(F.lit(ring - 1))
+    gap = lambda i: F.abs(part(a, i) - part(b, i))
+    return sum((F.least(gap(i), ring - gap(i)) for i in range(1, len(COUNTED))), F.least(gap(0), ring - gap(0))) <= 2 * edits
+
+
 def counts_allow(a: Column, b: Column, edits: Column) -> Column:
     """Whether lines with these counts can be within ``edits`` edits; no pair within them is refused."""
     return sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(COUNTED))), F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0)))) <= 2 * edits
@@ -276,13 +296,13 @@ def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, f
     by pair. So no link between two classes is lost, and pairs inside a class are not all made.
     """
     long_ = lines.where(F.length("line") >= per_edit - 1).select("line", F.length("line").alias("size"))
-    rows = long_.distinct().select(F.xxhash64("line").alias("id"), "line", "size")
+    rows = long_.distinct().select(F.xxhash64("line").alias("id"), "line", "size", packed_counts(F.col("line"), COUNTED[:BEFORE]).alias("packed"))
     index, probes, edges = segment_keys(edits, per_edit, True), segment_keys(edits, per_edit, False), None
     # Counted by hashes alone, so that the lines themselves are shuffled once only.
     counted = long_.select(F.xxhash64("line").alias("id"), F.explode(index).alias("key")).groupBy("id", "key").agg(F.count("*").alias("n"))
     only = lambda keys: F.transform(keys, lambda x: x["key"])
     for level in range(depth + 1):
-        met = cut(_meet(rows, index, probes, full if level < depth else None, None if level else counted), "met")
+        met = cut(_meet(rows, index, probes, edits, full if level < depth else None, None if level else counted), "met")
         found = _verify(lines, met.where("u <> v").select("u", "v").distinct(), edits, per_edit)
         edges = found if edges is None else edges.unionByName(found)
         if level == depth:
@@ -298,10 +318,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, f
             break
         again = small(again)
         if level == 0:
-            rows = _texts(lines, again.select("id")).join(again, "id").select("id", "n", "side", "line", F.length("line").alias("size"), F.lit(0).cast("long").alias("part"))
+            rows = _texts(lines, again.select("id")).join(again, "id").select("id", "n", "side", "line", F.length("line").alias("size"), F.lit(0).cast("long").alias("part"), packed_counts(F.col("line"), COUNTED).alias("packed"))
         else:
             opened = rows.drop("side").join(again, "id").withColumn("k", F.explode(finer_keys(edits, pieces, False))).select("*", "k.key", "k.code").join(mixed, "key", "left_semi")
-            rows = opened.select("id", "n", "side", left_open(pieces).alias("line"), F.col("key").alias("part")).distinct().withColumn("size", F.length("line"))
+            rows = opened.select("id", "n", "side", left_open(pieces).alias("line"), F.col("key").alias("part"), "packed").distinct().withColumn("size", F.length("line"))
             rows = cut(rows, "open")
         index, probes = only(finer_keys(edits, pieces, True)), only(finer_keys(edits, pieces, False))
     return edges.select(F.col("nu").alias("u"), F.col("nv").alias("v"))
