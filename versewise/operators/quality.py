@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, groupby, pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -181,22 +180,195 @@ def candidate_violations(rows: DataFrame) -> DataFrame:
 
 
 _MARK = "ー"
-#: Runs of kana of one script, with what stands in both; by whether it is katakana.
-_RUNS = {False: re.compile("[\u3041-\u3096ー\u3099\u309A]+"), True: re.compile("[\u30A1-\u30FAー\u3099\u309A]+")}
-
-
-def _kana_runs(texts: pd.Series, places: pd.Series) -> pd.Series:
-    """The runs of kana around marks at ``places`` of each text, in the script of the letter before the mark; each run once."""
-
-    def of(text: str, at: list) -> list[dict]:
-        runs = {script: [m.span() for m in run.finditer(text)] for script, run in _RUNS.items()}
-        starts = {script: [a for a, _ in r] for script, r in runs.items()}
-        katakana = lambda i: "\u30A1" <= text[max(0, i - 1)] <= "\u30FA"
-        found = sorted({runs[k][bisect_right(starts[k], i) - 1] for i in at for k in (katakana(i),)})
-        units = [0, *accumulate(1 + (c > "\uFFFF") for c in text)]
-        return [{"start_utf16": units[a], "length_utf16": units[b] - units[a], "text": text[a:b]} for a, b in found]
-
-    return pd.Series([of(t, p) for t, p in zip(texts, places)], dtype=object)
+#: Primes and bases of the hashes of letters; together of 124 bits.
+_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+_BASES = (1103515245, 1664525, 22695477, 134775813)
+#: Where kana begin: letters of runs are kept as bytes from here. Letters that are digested at once.
+_KANA, _AT_ONCE = 0x3040, 1 << 18
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+def _summed(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values)])
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Of each stretch between cuts the steps from value to value, in one, two or four bytes as the greatest needs; the first byte says which."""
+    steps = np.diff(values, axis=0, prepend=values[:1] * 0)
+    begins = cuts[:-1][cuts[:-1] < cuts[1:]]
+    steps[begins] = values[begins]
+    most, out = np.abs(steps).reshape(len(steps), *values.shape[1:] or (1,)).max(1, initial=0), []
+    wide = _summed(most > 127), _summed(most > 32767)
+    kinds = {size: steps.astype(f"<i{size}") for size in (1, 2, 4)}
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+        size = 1 if wide[0][i] == wide[0][j] else 2 if wide[1][i] == wide[1][j] else 4
+        out.append(bytes([size]) + kinds[size][i:j].tobytes())
+    return out
+
+
+def _unpacked(data: list[bytes], columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all that ``_packed`` gave, one below the other, and where each begins."""
+    sizes = np.array([d[0] for d in data])
+    cuts = _summed(np.array([len(d) - 1 for d in data]) // sizes)
+    steps = np.empty(cuts[-1], np.int64)
+    for size in (1, 2, 4):
+        own = np.flatnonzero(sizes == size)
+        steps[_ranges(cuts[own], cuts[own + 1])] = np.frombuffer(b"".join([data[i][1:] for i in own.tolist()]), f"<i{size}")
+    cuts, sums = cuts // columns, np.concatenate([np.zeros((1, columns), np.int64), np.cumsum(steps.reshape(-1, columns), axis=0)])
+    return sums[1:] - np.repeat(sums[cuts[:-1]], np.diff(cuts), axis=0), cuts
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each begin up to its end."""
+    sizes = _summed(end - begin)
+    return np.repeat(begin - sizes[:-1], end - begin) + np.arange(sizes[-1])
+
+
+def _spelled(letters: list[str]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Of each row how many letters are no marks, their hash, and how many of them stand before each mark."""
+    codes, bounds = _codes(letters), _summed([len(t) for t in letters])
+    plain = codes != ord(_MARK)
+    upto, at = _summed(plain), np.flatnonzero(~plain)
+    first = upto[bounds[:-1]]
+    n = upto[bounds[1:]] - first
+    place, hashes = np.arange(upto[-1]) - np.repeat(first, n), []
+    for base, prime in zip(_BASES, _PRIMES):
+        powers, k = np.ones(n.max(initial=1), np.int64), 1
+        while k < len(powers):
+            powers[k : 2 * k] = powers[:k][: len(powers) - k] * pow(base, k, prime) % prime
+            k *= 2
+        sums = _summed(codes[plain] * powers[place] % prime)
+        hashes.append((sums[first + n] - sums[first]) % prime)
+    cuts = np.searchsorted(at, bounds)
+    gaps = upto[at] - np.repeat(first, np.diff(cuts))
+    return n, [r.tobytes() for r in np.stack(hashes, 1).astype(np.uint32)], _packed(gaps, cuts)
+
+
+def _kana_runs(texts: list[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """Of each row the run of kana around each mark, in the script of the letter before it: its number, the runs as
+    (start_utf16, length), each once, and their letters."""
+    codes = _codes(["\0" + t for t in texts] + ["\0"])
+    starts = _summed([len(t) + 1 for t in texts]) + 1
+    at = np.flatnonzero(codes == ord(_MARK))
+    shared = (codes == ord(_MARK)) | (codes == 0x3099) | (codes == 0x309A)
+
+    def around(first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        turns = np.flatnonzero(np.diff(shared | ((codes >= first) & (codes <= last)))) + 1
+        i = np.searchsorted(turns, at, "right")
+        return turns[i - 1], turns[i]
+
+    katakana = (codes[at - 1] >= 0x30A1) & (codes[at - 1] <= 0x30FA)
+    begin, end = (np.where(katakana, k, h) for k, h in zip(around(0x30A1, 0x30FA), around(0x3041, 0x3096)))
+    runs, number = np.unique(begin * len(codes) + end, return_inverse=True)
+    begin, end = runs // len(codes), runs % len(codes)
+    marks, cuts = np.searchsorted(at, starts), np.searchsorted(begin, starts)
+    number = number - np.repeat(cuts[:-1], np.diff(marks))
+    long, row = _summed(codes > 0xFFFF), np.repeat(starts[:-1], np.diff(cuts))
+    spans = np.stack([begin - row + long[begin] - long[row], end - begin], 1)
+    sizes = _summed(end - begin)
+    kana = (codes[_ranges(begin, end)] - _KANA).astype(np.uint8)
+    return _packed(number, marks), _packed(spans, cuts), [kana[i:j].tobytes() for i, j in pairwise(sizes[cuts].tolist())]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, source, unit, paragraph, tie, text, letters) -> the same with numbers, hashes, marks and runs for the texts."""
+    names = ["key", "source", "unit", "paragraph", "tie", "n", "hash", "gaps", "number", "spans", "kana"]
+    for b in batches:
+        texts, letters = b.column(5).to_pylist(), b.column(6).to_pylist()
+        part = [s // _AT_ONCE for s in accumulate(len(t) + len(u) for t, u in zip(texts, letters))]
+        for _, same in groupby(range(len(part)), part.__getitem__):
+            same = list(same)
+            i, j = same[0], same[-1] + 1
+            (n, *spelled), runs = _spelled(letters[i:j]), _kana_runs(texts[i:j])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(5)), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (*spelled, *runs))], names)
+
+
+def _powers(base: int, prime: int, exponents: np.ndarray) -> np.ndarray:
+    out = np.ones(len(exponents), np.int64)
+    for k in range(int(exponents.max(initial=0)).bit_length()):
+        out = np.where(exponents >> k & 1, out * pow(base, 1 << k, prime) % prime, out)
+    return out
+
+
+def _dropped(keys: list, source: list[bool], places: list, n: list[int], hashes: list[bytes], gaps: list[bytes], number: list[bytes], spans: list[bytes], kana: list[bytes]) -> list[tuple]:
+    """(key, paragraph, start_utf16, length_utf16, text) of the runs that lost marks, of all rows of some keys in order, units first."""
+    source = np.array(source)
+    changed = lambda x: np.array([True, *(a != b for a, b in pairwise(x))])
+    new = changed(keys)
+    key, place = np.cumsum(new) - 1, np.cumsum(new | changed(places)) - 1
+    many = int(key[-1]) + 1
+    # letters and hashes of each side of a key, row after row
+    side = 2 * key + source
+    total = _summed(np.array(n))
+    first, last = np.searchsorted(side, np.arange(2 * many)), np.searchsorted(side, np.arange(2 * many), "right")
+    before = total[:-1] - total[first[side]]
+    own, sides = np.frombuffer(b"".join(hashes), np.uint32).reshape(-1, 4).astype(np.int64), [total[last] - total[first]]
+    for i, (base, prime) in enumerate(zip(_BASES, _PRIMES)):
+        sums = _summed(own[:, i] * _powers(base, prime, before) % prime)
+        sides.append((sums[last] - sums[first]) % prime)
+    sound = (last > first)[::2] & (last > first)[1::2] & np.logical_and.reduce([x[::2] == x[1::2] for x in sides])
+    # marks by key and letters before: no fewer than the units have, the last of them lost
+    gap, cuts = _unpacked(gaps)
+    row = np.repeat(np.arange(len(keys)), np.diff(cuts))
+    gap = key[row] * (int(total[-1]) + 1) + before[row] + gap[:, 0]
+    mine = source[row]
+    gap, row, kept = gap[mine], row[mine], gap[~mine]
+    (want, begin, w), (held, at, g) = (np.unique(x, return_index=True, return_counts=True) for x in (gap, kept))
+    i = np.searchsorted(want, held)
+    met = i < len(want)
+    met[met] = (want[i[met]] == held[met]) & (g[met] <= w[i[met]])
+    sound[held[~met] // (int(total[-1]) + 1)] = False
+    have = np.zeros(len(want), np.int64)
+    have[i[met]] = g[met]
+    lost = (np.arange(len(gap)) - np.repeat(begin, w) >= np.repeat(have, w)) & sound[key[row]]
+    # their runs, each once in a paragraph
+    span, runs = _unpacked(spans, 2)
+    run = np.unique((_unpacked(number)[0][:, 0] + runs[row])[lost])
+    row = np.searchsorted(runs, run, "right") - 1
+    start, size = span[run, 0], span[run, 1]
+    letters = (np.frombuffer(b"".join(kana), np.uint8).astype("<u2") + _KANA).astype("<u2").tobytes().decode("utf-16-le")
+    stop = np.cumsum(span[:, 1])[run]
+    named = np.array([places[r] is not None for r in row.tolist()], bool)
+    order = np.lexsort((size, start, place[row]))
+    order = order[named[order]]
+    found = [(keys[r], places[r], a, m, letters[z - m : z]) for r, a, m, z in zip(*(x[order].tolist() for x in (row, start, size, stop)))]
+    row, start, size = row[order], start[order], size[order]
+    close = np.flatnonzero((place[row][1:] == place[row][:-1]) & (start[:-1] + size[:-1] > start[1:])) + 1
+    again = {i for i in close.tolist() if found[i][2:] == found[i - 1][2:]}
+    sound[[key[row[i]] for i in close.tolist() if i not in again]] = False
+    return [x for i, (x, good) in enumerate(zip(found, sound[key[row]].tolist())) if good and i not in again]
+
+
+def _suggested(key: str) -> Callable:
+    """Digests sorted by key and place, units first -> ranges; the rows of a key may lie in several batches."""
+
+    def ranges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        out = _dropped(*(rows.column(i).to_pylist() for i in (0, 1, 3, 5, 6, 7, 8, 9, 10)))
+        kinds = rows.column(0).type, rows.column(3).type, pa.int32(), pa.int32(), pa.string()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [key, "paragraph", "start_utf16", "length_utf16", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            begin = next((i for i in range(len(keys), 0, -1) if keys[i - 1] != keys[-1]), 0)
+            if begin:
+                yield ranges([*held, b.slice(0, begin)])
+                held = [b.slice(begin)]
+            elif keys:
+                if held and last != keys[0]:
+                    yield ranges(held)
+                    held = []
+                held.append(b)
+            last = keys[-1] if keys else last
+        if held:
+            yield ranges(held)
+
+    return run
 
 
 def long_vowel_suggestions(paragraphs: DataFrame, units: DataFrame, key: str = "recording_id") -> DataFrame:
@@ -205,29 +377,21 @@ def long_vowel_suggestions(paragraphs: DataFrame, units: DataFrame, key: str = "
     ``paragraphs(key, paragraph, text)``, ``units(key, unit, text)``. The units' letters, one after the other, must be those of
     the paragraphs but for marks that are missing; any other difference, or nothing missing, gives no suggestion. In each
     stretch between letters the last marks count as missing. A missing mark grows to the run of kana of its script around
-    it. Returns ``(key, paragraph, start_utf16, length_utf16, text)``; a source with ranges that overlap has none.
+    it. Returns ``(key, paragraph, start_utf16, length_utf16, text)``; a source with ranges that overlap has none. Rows of one place
+    stand in the order of their first letters.
+
+    Texts are not shuffled: letters are compared by hashes of 124 bits that add up over a key's rows, and a row takes along the places
+    of its marks and, a byte a letter, the runs around them.
     """
-    letters = lambda c: F.lower(F.regexp_replace(c, r"[\p{P}\s]", ""))
-    spelled = lambda rows, order, name: rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, letters("text").alias("t")))), lambda x: x["t"]), "").alias(name))
-    marks = lambda c: F.split(c, f"[^{_MARK}]")  # noqa: E731  the runs of marks before, between and after letters
-    both = spelled(paragraphs, "paragraph", "_want").join(spelled(units, "unit", "_got"), key).where(F.replace("_want", F.lit(_MARK), F.lit("")) == F.replace("_got", F.lit(_MARK), F.lit("")))
-    both = both.withColumns({"_w": F.transform(marks("_want"), F.length), "_g": F.transform(marks("_got"), F.length)})
-    pairs = F.zip_with("_w", "_g", lambda w, g: w - g)
-    gaps = F.filter(F.transform(F.arrays_zip("_w", "_g"), lambda v, i: F.struct(i.cast("bigint").alias("_gap"), v["_w"].alias("_w"), v["_g"].alias("_have"))), lambda v: v["_w"] > v["_have"])
-    short = both.where(F.forall(pairs, lambda d: d >= 0)).select(key, F.inline(gaps)).drop("_w")
-    # a row a mark, without the text: what stands before it since the mark before, and sums of that
-    pieces = paragraphs.join(short.select(key).distinct(), key, "left_semi").select(key, "paragraph", F.split("text", _MARK).alias("_p"))
-    pieces = pieces.select(key, "paragraph", F.size("_p").alias("_n"), F.posexplode(F.transform("_p", lambda s: F.struct(F.length(s).alias("n"), F.length(F.regexp_replace(s, r"[\p{P}\s]", "")).alias("letters")))).alias("_k", "_s"))
-    gap, at = F.sum("_s.letters").over(Window.partitionBy(key).orderBy("paragraph", "_k")), F.sum("_s.n").over(Window.partitionBy(key, "paragraph").orderBy("_k")) + F.col("_k")
-    marked = pieces.select(key, "paragraph", gap.alias("_gap"), at.cast("int").alias("_at"), (F.col("_k") < F.col("_n") - 1).alias("_mark")).where("_mark").drop("_mark")
-    nth = F.row_number().over(Window.partitionBy(key, "_gap").orderBy("paragraph", "_at"))
-    missing = marked.join(short, [key, "_gap"]).withColumn("_nth", nth).where(F.col("_nth") > F.col("_have"))
-    places = missing.groupBy(key, "paragraph").agg(F.collect_list("_at").alias("_places"))
-    around = F.pandas_udf(_kana_runs, "array<struct<start_utf16: int, length_utf16: int, text: string>>")
-    ranges = paragraphs.join(places, [key, "paragraph"]).select(key, "paragraph", F.inline(around("text", "_places")))
-    clash = F.lag(F.col("start_utf16") + F.col("length_utf16")).over(Window.partitionBy(key, "paragraph").orderBy("start_utf16", "length_utf16")) > F.col("start_utf16")
-    judged = ranges.withColumn("_clash", F.coalesce(clash, F.lit(False)))
-    return judged.withColumn("_any", F.max("_clash").over(Window.partitionBy(key))).where("not _any").select(key, "paragraph", "start_utf16", "length_utf16", "text")
+    kinds = dict(paragraphs.dtypes)
+    letters = F.coalesce(F.lower(F.regexp_replace("text", r"[\p{P}\s]", "")), F.lit(""))
+    unit, paragraph = F.col("unit"), F.col("paragraph")
+    side = lambda rows, source, unit, paragraph, text: rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(source).alias("source"), unit.alias("unit"), paragraph.alias("paragraph"), F.substring(letters, 1, 16).alias("tie"), text.alias("text"), letters.alias("letters"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = side(units, False, unit, none(kinds["paragraph"]), F.lit("")).unionByName(side(paragraphs, True, none(dict(units.dtypes)["unit"]), paragraph, F.coalesce("text", F.lit(""))))
+    digests = rows.mapInArrow(_digests, f"key {kinds[key]}, source boolean, unit {dict(units.dtypes)['unit']}, paragraph {kinds['paragraph']}, tie string, n long, hash binary, gaps binary, number binary, spans binary, kana binary")
+    ordered = digests.repartition("key").sortWithinPartitions("key", "source", "unit", "paragraph", "tie", "hash")
+    return ordered.mapInArrow(_suggested(key), f"`{key}` {kinds[key]}, paragraph {kinds['paragraph']}, start_utf16 int, length_utf16 int, text string")
 
 
 def all_violations(*tables: DataFrame) -> DataFrame:
