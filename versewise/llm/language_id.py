@@ -20,6 +20,8 @@ MIN_MARGIN = 0.002
 #: Labelled rows a language (fewer with many languages) that the rejection margins are fitted on, apart from the rows
 #: learned from; the lengths (bytes) that they are fitted for; the share of rightly labelled pieces that may fall below.
 FIT_DOCS, FIT_ALL, BANDS, QUANTILE = 200, 2000, tuple(16 << k for k in range(10)), 0.005
+#: How many times the sample is ranked.
+SPARE = 4
 UNKNOWN = "und"
 
 
@@ -54,7 +56,8 @@ def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionar
     """Learn every language from a bounded sample: its different texts with letters in the order of their hashes.
 
     Copies and texts without letters go before the sample is taken, so however many there are, it holds as many texts as the language
-    has, up to its bound. Of each task the lowest hashes are ranked, so a language with most rows is not gathered. Whole texts fill the dictionary until it holds ``dictionary_bytes`` (fewer if many languages share ``MODEL_BYTES``), at most
+    has, up to its bound. Only texts whose hash is low are ranked, a few times as many as are taken, so a language with most texts is
+    not gathered. Whole texts fill the dictionary until it holds ``dictionary_bytes`` (fewer if many languages share ``MODEL_BYTES``), at most
     ``sample_docs`` and four fifths of them; what the last has too much is cut off. Of the texts that are not in it ``FIT_DOCS``
     give the rejection margins. The driver sees a row a language, the dictionaries, and a number a language and band.
     Rows with null text or language, and texts without letters, are not used; repeated texts count once. Without any row the
@@ -64,11 +67,14 @@ def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionar
     most = sample_docs + FIT_DOCS
     spark = labelled.sparkSession
     worded = F.col("raw").rlike(r"[\p{L}\p{M}]")
+    different = cut(known.where(worded).select("lang", "key").distinct(), "different")
     # a row a language
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.some(worded).alias("worded")).where("worded").collect()}
+    sizes = cut(different.groupBy("lang").agg(F.count("*").alias("of")).join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang"), "languages")
+    counts = {r.lang: r.n for r in sizes.collect()}
     if not counts:
         return LanguageModel(())
-    low = known.where(worded).select("lang", "key").distinct()
+    few = F.pmod("key", F.lit(1 << 30)) < F.lit((1 << 30) * SPARE * most) / F.col("of")
+    low = different.join(small(sizes), "lang").where(few).select("lang", "key")
     ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= most)
     chosen = small(cut(ranked, "sample"))
     texts = known.join(chosen, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "key", letters_only(F.col("raw")).alias("text")).where("text <> ''")
